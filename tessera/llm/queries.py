@@ -5,28 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table
+from .embeddings import near_duplicate_vectors
+from .minhash import near_duplicates
 from .packing import pack
+from .pieces import encode_pieces
 from .secrets import scan_secrets
 from .sharding import balanced_shards
+from .tokens import token_counts
+
+
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), full=False)
+
+
 def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op2_secret_scan, op4_best_fit_packing, op10_label_propagation_shards)
+    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op7_sentencepiece, op10_label_propagation_shards)
     return {f.__name__: f for f in named}
 
 
