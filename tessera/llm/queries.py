@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .embeddings import near_duplicate_vectors
+from .lm import score_texts
 from .minhash import near_duplicates
 from .packing import pack
 from .pieces import encode_pieces
@@ -15,6 +16,7 @@ from .quality import quality_rules
 from .secrets import scan_secrets
 from .sharding import balanced_shards
 from .tokens import token_counts
+from .toxicity import toxicity
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), full=False)
 
@@ -46,12 +52,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered_words")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op7_sentencepiece, op8_quality_rules, op10_label_propagation_shards)
+    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_lm_scores, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_label_propagation_shards)
     return {f.__name__: f for f in named}
 
 

@@ -96,7 +96,8 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     wanted = ((F.col("wk") == 3) & (F.col("met").bitwiseAND(2) > 0)) | ((F.col("wk") == 4) & (F.col("met").bitwiseAND(3) == 3)) | ((F.col("wk") == 5) & (F.col("met").bitwiseAND(5) > 0))
     linked = met.where(wanted).groupBy("_rid").agg(F.collect_list(F.struct(F.col("ws").alias("s"), F.col("wk").alias("k"), F.col("we").alias("e"), F.lit(0).alias("v"))).alias("_linked"))
 
-    out = rows.join(linked, "_rid", "left")
+    # Only rows with candidates are joined; the others, texts that are passed through with them, stay where they are.
+    out = with_soft.join(linked, "_rid", "left").unionByName(rows.where(F.size("_soft") == 0).withColumn("_linked", F.lit(None).cast("array<struct<s:int,k:int,e:int,v:int>>")))
     extra = F.coalesce("_linked", F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:int>>)"))
     every = F.transform(F.array_sort(F.concat("_base", extra)), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
     count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
