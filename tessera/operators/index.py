@@ -45,20 +45,25 @@ def lexical_index(chunks: DataFrame) -> LexicalIndex:
     return LexicalIndex(postings, dictionary, stats)
 
 
-def _bucket(token: Column, groups: int) -> Column:
-    """The first `groups` 4-digit groups of the token's sha256, read as one number, modulo DIM."""
+def _buckets(token: Column) -> tuple[Column, Column]:
+    """The token's sha256, read as a number, modulo DIM; and the same without its last 16 bits.
+
+    Its first 60 hexadecimal digits are taken 15 at a time, which fits a long; powers of 16 are reduced beforehand.
+    """
     hexes = F.sha2(token, 256)
-    part = lambda k: F.conv(F.substring(hexes, 4 * k + 1, 4), 16, 10).cast("long") * pow(65536, groups - 1 - k, DIM)
-    total = part(0)
-    for k in range(1, groups):
-        total = total + part(k)
-    return (total % DIM).cast("int")
+    part = lambda at, n: F.conv(F.substring(hexes, at, n), 16, 10).cast("long")
+    high = F.lit(0).cast("long")
+    for k in range(4):
+        high = high + (part(15 * k + 1, 15) % DIM) * pow(16, 15 * (3 - k), DIM)
+    high = high % DIM
+    return ((high * pow(16, 4, DIM) + part(61, 4)) % DIM).cast("int"), high.cast("int")
 
 
 def hashed_weights(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Sparse unit vectors (key, bucket, w): every token adds 1 to one bucket and 0.5 to another; then the norm is 1."""
     terms = rows.select(key, F.explode(tokens(F.coalesce(text, F.lit("")))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    both = terms.select(key, F.explode(F.array(F.struct(_bucket(F.col("term"), 16).alias("b"), F.lit(1.0).alias("x")), F.struct(_bucket(F.col("term"), 15).alias("b"), F.lit(0.5).alias("x")))).alias("p"), "tf")
+    one, half = _buckets(F.col("term"))
+    both = terms.select(key, F.explode(F.array(F.struct(one.alias("b"), F.lit(1.0).alias("x")), F.struct(half.alias("b"), F.lit(0.5).alias("x")))).alias("p"), "tf")
     raw = both.groupBy(key, F.col("p.b").alias("bucket")).agg(F.sum(F.col("tf") * F.col("p.x")).alias("w"))
     listed = raw.groupBy(key).agg(F.collect_list(F.struct("bucket", "w")).alias("v"))  # DIM entries at most
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
