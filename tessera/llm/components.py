@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +55,18 @@ def connected_components(links: DataFrame, scratch: Scratch, a: str = "a", b: st
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def block_forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what the block's links connect: each vector to the smallest of its component in the block."""
+    best_l, best_r = left.copy(), right.copy()
+    rows, cols = linked.any(1), linked.any(0)
+    while True:
+        r = np.minimum(best_r[cols], np.where(linked[:, cols], best_l[:, None], np.iinfo(np.int64).max).min(0)) if cols.any() else best_r[cols]
+        best_r[cols] = r
+        l = np.minimum(best_l[rows], np.where(linked[rows], best_r[None, :], np.iinfo(np.int64).max).min(1)) if rows.any() else best_l[rows]  # noqa: E741
+        if (l == best_l[rows]).all():
+            break
+        best_l[rows] = l
+    out = {(int(a), int(b)) for a, b in zip(left[rows], best_l[rows], strict=True) if a != b}
+    return sorted(out | {(int(a), int(b)) for a, b in zip(right[cols], best_r[cols], strict=True) if a != b})

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .components import connected_components
+from .components import block_forest, connected_components
 
 THRESHOLD = 0.93
 #: Vectors of the sample that the cells are fitted on, over all labels.
@@ -68,21 +68,6 @@ def cells_of(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np
     return home, [np.nonzero(row)[0] for row in close]
 
 
-def _forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect what the block's links connect: each vector to the smallest of its component in the block."""
-    best_l, best_r = left.copy(), right.copy()
-    rows, cols = linked.any(1), linked.any(0)
-    while True:
-        r = np.minimum(best_r[cols], np.where(linked[:, cols], best_l[:, None], np.iinfo(np.int64).max).min(0)) if cols.any() else best_r[cols]
-        best_r[cols] = r
-        l = np.minimum(best_l[rows], np.where(linked[rows], best_r[None, :], np.iinfo(np.int64).max).min(1)) if rows.any() else best_l[rows]  # noqa: E741
-        if (l == best_l[rows]).all():
-            break
-        best_l[rows] = l
-    out = {(int(a), int(b)) for a, b in zip(left[rows], best_l[rows], strict=True) if a != b}
-    return sorted(out | {(int(a), int(b)) for a, b in zip(right[cols], best_r[cols], strict=True) if a != b})
-
-
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept.
 
@@ -158,7 +143,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
         out = [(n, c, n) for n, c in zip(a, linked @ right["m"].to_numpy(), strict=True) if c]
         if i != j:
             out += [(n, c, n) for n, c in zip(b, left["m"].to_numpy() @ linked, strict=True) if c]
-        out += [(n, 0, p) for n, p in _forest(linked, a, b)]
+        out += [(n, 0, p) for n, p in block_forest(linked, a, b)]
         return pd.DataFrame(out, columns=["node", "links", "parent"]).astype("int64")
 
     met = scratch.put(work.groupBy("label", "cell", "i", "j").applyInPandas(compare, "node long, links long, parent long"))

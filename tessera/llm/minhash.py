@@ -14,17 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, slices
-from .components import connected_components
+from .components import block_forest, connected_components
 
 WORDS, PERCENT = 5, 75
 #: 39 permutations give 78 values, a minimum and a maximum each; 26 bands of 3 values lose a pair at similarity 0.75
 #: with a probability of (1 - 0.75 ** 3) ** 26 < 1e-6.
 PERMUTATIONS, ROWS = 39, 3
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Agreement of signatures below which a pair in an unsettled large bucket is not confirmed: 5 standard deviations
-#: under the similarity asked for.
-LEAST_AGREEMENT = 0.5
-SMALL_BUCKET, BLOCK = 8, 512
+#: Buckets up to this size are unfolded to pairs; members of larger ones are compared in blocks of so many documents or
+#: so many shingles.
+SMALL_BUCKET, BLOCK, BLOCK_SHINGLES = 8, 512, 400_000
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,27 +110,45 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
 
 
-def _agreeing(frame):
-    """Pairs of a block pair in different components whose signatures agree well enough to be confirmed."""
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs, as a matrix product over the shingles that two sets or more have."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sets = left + right
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[a:b], column[a:b] - lo] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out
+
+
+def _compare(frame):
+    """Links across components of a block pair, confirmed on full sets, as a spanning forest."""
     import pandas as pd
 
-    same = frame["i"].iloc[0] == frame["j"].iloc[0]
-    left = frame[frame["block"] == frame["i"].iloc[0]]
-    right = left if same else frame[frame["block"] == frame["j"].iloc[0]]
-    if not len(left) or not len(right):
+    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+    left = frame[frame["block"] == i]
+    right = left if i == j else frame[frame["block"] == j]
+    if not len(left) or not len(right) or (left["comp"].nunique() == 1 and set(right["comp"]) == set(left["comp"])):
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    s, t = (np.frombuffer(b"".join(f["sig"]), np.uint32).reshape(len(f), -1) for f in (left, right))
-    agree = np.zeros((len(s), len(t)), np.uint8)
-    for k in range(s.shape[1]):
-        agree += s[:, k, None] == t[None, :, k]
-    n, m = left["n"].to_numpy(), right["n"].to_numpy()
-    fits = 100 * np.minimum(n[:, None], m) >= PERCENT * np.maximum(n[:, None], m)
-    i, j = np.nonzero((agree >= LEAST_AGREEMENT * s.shape[1]) & fits & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()))
-    a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def near_duplicates(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    tool = zstandard.ZstdDecompressor()
+    s = [shingle_hashes(tool.decompress(z).split()) for z in left["z"]]
+    t = s if i == j else [shingle_hashes(tool.decompress(z).split()) for z in right["z"]]
+    both = intersections(s, t)
+    n, m = np.array([len(x) for x in s], np.float64), np.array([len(x) for x in t], np.float64)
+    linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy())
+    return pd.DataFrame(block_forest(linked, left["rep"].to_numpy(), right["rep"].to_numpy()), columns=["a", "b"]).astype("int64")
+
+
+def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, copies (rows with its id and words).
 
     Words are lower-cased (A-Z); a document is its set of distinct 5-word shingles. Documents are linked where 100 times
@@ -142,8 +159,10 @@ def near_duplicates(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
     2. Leaders that share a band form a bucket. In each round every member meets one pivot of its bucket, unless both are
        in one component already; the pairs are confirmed on full sets and components are found anew. A bucket of any
        size gives as many pairs as members, and a large family collapses in a few rounds.
-    3. In buckets that still hold several components, all pairs across components are looked at, by block pairs of
-       signatures; those whose signatures agree are confirmed. No member is left out, whatever the bucket's size.
+    3. In buckets that still hold several components, all pairs across components are confirmed: first each member in
+       the largest of its buckets, then, once components are found anew, in all buckets that are still unsettled. Small
+       buckets are unfolded to pairs; in larger ones, block pairs give all intersections as matrix products and return
+       a spanning forest. No member is left out, whatever the bucket's size, and no bucket's pairs are written out.
 
     Nulls: a null text is empty; documents without words have an empty set, link with nothing and are kept. A null doc_id
     joins no class: component_id is null and kept is true. Rows that repeat a doc_id are one node. An empty table gives
@@ -189,12 +208,14 @@ def near_duplicates(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
         links = new if links is None else links.union(new)
         comp = scratch.put(connected_components(links, scratch))
     if unsettled is None:
-        unsettled = members.join(comp, members["rep"] == comp["node"], "left").select("bk", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    unsettled = scratch.put(unsettled)
-    rest = confirm(_across(scratch, unsettled, leaders))
-    if not rest.isEmpty():
-        links = rest if links is None else links.union(rest)
-        comp = scratch.put(connected_components(links, scratch))
+        unsettled = _components_of(members, comp)
+    for widest in (True, False):
+        unsettled = scratch.put(unsettled)
+        rest = _across(scratch, unsettled, packed, confirm, widest)
+        if not rest.isEmpty():
+            links = rest if links is None else links.union(rest)
+            comp = scratch.put(connected_components(links, scratch))
+            unsettled = _components_of(unsettled.drop("comp"), comp)
 
     if comp is not None:
         classes = classes.join(comp, classes["rep"] == comp["node"], "left").select("dg", F.coalesce("component", "rep").alias("component_id"))
@@ -206,18 +227,31 @@ def near_duplicates(docs: DataFrame, rounds: int = 3, id_col: str = "doc_id", te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(scratch: Scratch, members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Pairs to confirm, across the components of each bucket that holds more than one."""
-    open_ = scratch.put(members.groupBy("bk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bk", "c"))
+def _components_of(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp, members["rep"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("comp"))
+
+
+def _across(scratch: Scratch, members: DataFrame, packed: DataFrame, confirm, widest: bool) -> DataFrame:
+    """Links across the components of each bucket that holds more than one; if widest, of large ones alone, and with each
+    member in the largest of its buckets only."""
+    sizes = F.count("*").alias("c"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+    open_ = scratch.put(members.groupBy("bk").agg(*sizes).where("lo < hi").select("bk", "c", "s"))
     live = scratch.put(members.join(open_, "bk"))
+    large = live.where(F.col("c") > SMALL_BUCKET)
+    if widest:
+        best = large.groupBy("rep").agg(F.max(F.struct("c", "bk")).getField("bk").alias("best"))
+        best = scratch.put(best.withColumnRenamed("rep", "owner"))
+        large = large.join(best, (F.col("rep") == F.col("owner")) & (F.col("bk") == F.col("best"))).drop("owner", "best")
+    blocks = F.greatest(F.expr(f"(c + {BLOCK - 1}) div {BLOCK}"), F.expr(f"(s + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}"))
+    large = large.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    large = large.join(packed.select(F.col("id"), "z"), F.col("rep") == F.col("id")).drop("id")
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    large = large.select("bk", "rep", "comp", "z", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    found = scratch.put(large.groupBy("bk", "i", "j").applyInPandas(_compare, "a long, b long"))
+    if widest:
+        return found
     small = live.where(F.col("c") <= SMALL_BUCKET)
     other = small.select("bk", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
     fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-    pairs = small.join(other, "bk").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b")
-    blocks = F.expr(f"(c + {BLOCK - 1}) div {BLOCK}")
-    large = live.where(F.col("c") > SMALL_BUCKET).withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    large = large.join(leaders.select(F.col("rep").alias("leader"), "sig"), F.col("rep") == F.col("leader")).drop("leader")
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    large = large.select("bk", "rep", "n", "comp", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    agreeing = large.groupBy("bk", "i", "j").applyInPandas(_agreeing, "a long, b long")
-    return scratch.put(pairs.union(agreeing).distinct())
+    pairs = small.join(other, "bk").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b").distinct()
+    return found.union(confirm(scratch.put(pairs)))
