@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the workers, once for each context, so that they can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    import tessera
+
+    home = os.path.dirname(os.path.abspath(tessera.__file__))
+    fd, path = tempfile.mkstemp(suffix="-tessera.zip")
+    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    context.addPyFile(path)
+    context._tessera_shipped = True
+
+
 class Scratch:
     """Tables written as Parquet to the shared folder: they cut lineage, survive lost executors, and are read back
     with fresh partitioning, so that a skewed join over them can be split at run time.
@@ -36,6 +56,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
         self._count = 0
         atexit.register(self.clear)

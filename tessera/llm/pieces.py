@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 
 MARK = "▁"
 #: Marks and what follows them up to the next mark; marks at the end stand alone.
@@ -85,6 +85,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     as empty: no ids. A null doc_id is kept, repeated rows are encoded each, other columns are ignored, an empty table
     gives an empty result.
     """
+    ship(docs.sparkSession)
     path = path or default_model()
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

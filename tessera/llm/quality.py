@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 
 #: Fixed characters of the base rules: ASCII white space, symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -146,6 +146,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null text has no words and so fails. Null ids are kept, repeated rows are judged each, an empty table gives an
     empty result. Columns of docs that have a result's name are dropped for it.
     """
+    ship(docs.sparkSession)
     names = [n for n, _ in _FIELDS]
     rest = [c for c in docs.columns if c not in names]
     rows = docs.select(*[docs[c] for c in rest], F.coalesce(docs[text_col], F.lit("")).alias("_quality_text"))

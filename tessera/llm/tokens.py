@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import ship, slices
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 2048, id
     A null text counts as empty: 0 bytes, 0 tokens. A null doc_id is kept, repeated rows are counted each, other columns
     are ignored, an empty table gives an empty result. Memory is bounded by a batch and by a chunk's tokens.
     """
+    ship(docs.sparkSession)
     path = path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
