@@ -28,8 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def trim() -> None:
+    """Gives freed memory of this worker back, which else stays with it while it waits for the next task."""
+    import ctypes
+    import gc
+
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run):
+    """A function over batches that trims its worker once a partition is done."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def ship(spark: SparkSession) -> None:
-    """Hands this package to the workers, once for each context, so that they can import it wherever they run."""
+    """Hands this package to the workers, once for each context, so that they can import it wherever they run; and bounds
+    the batches they get, by rows and bytes, where the session has the defaults."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b")):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .components import block_forest, connected_components
 
 THRESHOLD = 0.93
@@ -88,7 +88,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("v"))
-    rows = scratch.put(rows.mapInArrow(_digest, "vec_id long, label string, v array<double>, dg binary"))
+    rows = scratch.put(rows.mapInArrow(lean(_digest), "vec_id long, label string, v array<double>, dg binary"))
     usable = rows.where("dg is not null and label is not null and vec_id is not null").withColumn("label", F.concat_ws("/", "label", F.size("v")))
     classes = usable.groupBy("label", "dg").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
     classes = scratch.put(classes)
@@ -119,7 +119,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
                 cell = np.concatenate([home, *more])
                 yield pd.DataFrame({"label": label, "cell": cell, "home": np.arange(len(cell)) < len(x), "rep": ids[index], "m": frame["m"].to_numpy()[index], "v": [frame["v"].iloc[i] for i in index]})
 
-    placed = scratch.put(leaders.mapInPandas(assign, "label string, cell long, home boolean, rep long, m long, v array<double>"))
+    placed = scratch.put(leaders.mapInPandas(lean(assign), "label string, cell long, home boolean, rep long, m long, v array<double>"))
     counted = placed.groupBy("label", "cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("g"))
     counted = counted.select("label", "cell", F.expr(f"(h + {BLOCK - 1}) div {BLOCK}").alias("nh"), F.expr(f"(g + {BLOCK - 1}) div {BLOCK}").alias("ng"))
     work = placed.join(scratch.put(counted), ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("nh")).otherwise(F.col("ng"))))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, lean, slices
 
 #: Tokens with a class of their own, classes of the others, width of the vectors, noise samples, tokens in a step.
 OWN, BUCKETS, WIDTH, NOISE, STEP = 1022, 256, 16, 32, 8192
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
                 keys, n = np.unique(keys_of([w for t in texts[lo:hi] for w in words_of(t)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, END_KEY)), pa.array(np.append(n, hi - lo))], ["key", "n"])
 
-    counts = scratch.put(learnt.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
+    counts = scratch.put(learnt.mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
     total, size = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     level = F.floor(F.log("c") * 16)
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([trainer.params], pa.list_(pa.float32()))], ["n", "params"])
 
-    trained = learnt.mapInArrow(train, "n long, params array<float>").select("n", F.posexplode("params").alias("i", "v"))
+    trained = learnt.mapInArrow(lean(train), "n long, params array<float>").select("n", F.posexplode("params").alias("i", "v"))
     mean = trained.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
     if len(mean):
         model.params = model.params.copy()
@@ -266,7 +266,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 sums = [np.add.reduceat(x, at) for x in (base, lm, hits)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo), pa.array(n + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]), rare], ["doc_id", "held_out", "n_tokens", "base", "lm", "hits", "rare"])
 
-    found = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, base double, lm double, hits long, rare array<long>")
+    found = rows.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens long, base double, lm double, hits long, rare array<long>")
     found = scratch.put(found.withColumn("rid", F.monotonically_increasing_id()))
     rare = found.select("rid", F.explode("rare").alias("key")).join(counts, "key")
     rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("more_hits"))

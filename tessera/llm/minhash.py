@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, lean, slices, trim
 from .components import block_forest, connected_components
 
 WORDS, PERCENT = 5, 75
@@ -145,7 +145,11 @@ def _compare(frame):
     both = intersections(s, t)
     n, m = np.array([len(x) for x in s], np.float64), np.array([len(x) for x in t], np.float64)
     linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy())
-    return pd.DataFrame(block_forest(linked, left["rep"].to_numpy(), right["rep"].to_numpy()), columns=["a", "b"]).astype("int64")
+    found = pd.DataFrame(block_forest(linked, left["rep"].to_numpy(), right["rep"].to_numpy()), columns=["a", "b"]).astype("int64")
+    if len(frame) > BLOCK // 2:
+        del s, t, both, linked
+        trim()
+    return found
 
 
 def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +175,7 @@ def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", te
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    signed = scratch.put(texts.mapInArrow(_sign, "doc_id long, n_shingles long, dg binary, sig binary"))
+    signed = scratch.put(texts.mapInArrow(lean(_sign), "doc_id long, n_shingles long, dg binary, sig binary"))
     with_words = signed.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.put(with_words.groupBy("dg").agg(F.min("doc_id").alias("rep")))
     leaders = scratch.put(with_words.join(classes, (with_words["dg"] == classes["dg"]) & (with_words["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep", "sig"]))
@@ -183,12 +187,12 @@ def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", te
 
     ids = scratch.put(members.select(F.col("rep").alias("id")).distinct())
     wanted = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "_text")
-    packed = scratch.put(wanted.mapInArrow(_compress, "id long, z binary"))
+    packed = scratch.put(wanted.mapInArrow(lean(_compress), "id long, z binary"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         left = pairs.join(packed.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         both = left.join(packed.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-        return scratch.put(both.select("a", "b", "za", "zb").mapInArrow(_confirm, "a long, b long"))
+        return scratch.put(both.select("a", "b", "za", "zb").mapInArrow(lean(_confirm), "a long, b long"))
 
     links, comp, unsettled = None, None, None
     for turn in range(rounds):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import lean, ship, slices
 
 #: Fixed characters of the base rules: ASCII white space, symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -162,4 +162,4 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(got[n], k) for n, k in zip(names, kinds, strict=True)]], [*rest, *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{n} {k}" for n, k in _FIELDS])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
