@@ -251,7 +251,7 @@ judged AS (SELECT id, question, answer, round_even({_mean('gs')}, 3) AS grounded
     list_filter(must, lambda m: contains(lower(answer), lower(m))) AS hits, list_filter(must, lambda m: NOT contains(lower(answer), lower(m))) AS misses,
     list_filter(['the', 'zebra'], lambda m: contains(lower(answer), m)) AS forbidden FROM judged1),
 cases AS (SELECT id, groundedness, (groundedness < 0.35)::BIGINT + len(misses) + len(forbidden) + (n_hallucinations > 0)::BIGINT AS n_failures, length(answer)::DOUBLE AS latency_ms,
-    round(round_even(({_words('question')} * 0.5 + {_words('answer')} * 1.5) / 1000000, 6), 6)::DOUBLE AS cost_usd FROM judged)"""
+    round_even(({_words('question')} * 0.5 + {_words('answer')} * 1.5)::DECIMAL(18, 1), 0)::DOUBLE / 1000000 AS cost_usd FROM judged)"""
 _REPORT = "report AS (SELECT count(*) AS total, count(*) FILTER (n_failures = 0) AS passed, round_even(count(*) FILTER (n_failures = 0) / greatest(count(*), 1), 3)::DOUBLE AS pass_rate, round_even(sum(groundedness) / greatest(count(*), 1), 3)::DOUBLE AS avg_groundedness, round_even(sum(latency_ms) / greatest(count(*), 1), 1)::DOUBLE AS avg_latency_ms, round(sum(cost_usd), 6)::DOUBLE AS total_cost_usd FROM cases)"
 
 

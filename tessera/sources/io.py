@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXAMPLE = "id string, query string, expected_citations array<string>, must_contain array<string>, must_not_contain array<string>, min_groundedness double"
@@ -15,14 +15,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text, doc_ord): each .txt file of a folder is a document named by its stem; order is by name."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path)
+    """(doc_id, text, doc_ord): each .txt file of a folder is a document named by its stem; doc_ord rises with the name.
+
+    Names alone are sorted, over ranges; numbers have gaps between ranges. Texts stay where they are read until the join.
+    """
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
     name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
     rows = rows.select(name.alias("doc_id"), F.col("value").alias("text"))
-    names = rows.select("doc_id")
-    # names alone are ranked; the texts stay where they are read
-    ranks = names.withColumn("doc_ord", F.row_number().over(Window.orderBy("doc_id")).cast("long") - 1)
-    return rows.join(ranks, "doc_id")
+    order = rows.select("doc_id").orderBy("doc_id").withColumn("doc_ord", F.monotonically_increasing_id())
+    return rows.join(order, "doc_id")
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
