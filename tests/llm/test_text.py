@@ -1,0 +1,253 @@
+"""op2, op5, op6, op7, op8 and op9 against plain versions, libraries and held-out labels."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import lm, pieces, quality, secrets, tokens, toxicity
+
+SPACES = " \t\n\x0b\x0c\r"
+ODD = [(1, "plain words here"), (1, "plain words here"), (None, "no id"), (2, None), (3, ""), (4, " \n\t "), (5, "é 字 😀 ▁ x"), (6, "word " * 30_000)]
+SCHEMA = "doc_id long, text string"
+
+
+# --- secrets
+
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def plain_base(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+PARTS = ["password", "Secret", "TOKEN", "api_key", "apikey", '"', "'", " ", "=", ":", " = ", "abcdef123456", "AKIA", "AKIA1234567890ABCD", "0123456789abcdef", "é", "\n", "x.y", "client_id: alice99", "https://api.example.org/v1", "pw", "short1", "the end "]
+
+
+def test_secrets_base(table):
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40)))) for k in range(400)]
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(rows, SCHEMA)).collect()}
+    for k, text in rows:
+        base = plain_base(text)
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(b[1] == i for b in base) for i in range(3)]
+        want = ",".join(f"{KINDS[i]}:{s}:{e}" for s, i, e in base)
+        assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(got[k].spans.split(",")) | {""}
+        spans = [(int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0]), int(x.split(":")[2])) for x in got[k].spans.split(",") if x]
+        assert spans == sorted(spans) == plain_linked(text)
+
+
+def plain_linked(text, reach=secrets.REACH):
+    base = plain_base(text)
+    soft = [(m.start(), 3, m.end()) for m in re.finditer(secrets.IDENT, text)] + [(m.start(), 4, m.end()) for m in re.finditer(secrets.ENDPOINT, text)]
+    soft += [(m.start(), 5, m.end()) for m in ASSIGN.finditer(text) if 6 <= len(m[2]) < 12]
+    soft = [w for w in soft if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    role = {0: "s", 1: "i", 2: "s", 3: "i", 4: "e", 5: "s"}
+    out = list(base)
+    for w in soft:
+        near = {role[p[1]] for p in base + soft if p != w and abs(p[0] - w[0]) <= reach}
+        if (w[1] == 3 and "s" in near) or (w[1] == 4 and {"s", "i"} <= near) or (w[1] == 5 and near & {"i", "e"}):
+            out.append(w)
+    return sorted(out)
+
+
+def test_secrets_linking(table):
+    pad = "x " * 400
+    rows = [(1, "client_id: alice99\npassword = hunter22"), (2, "client_id: alice99 " + pad + "password = hunter22"), (3, "password = hunter22"), (4, "see https://a.example.org/x"), (5, "https://a.example.org/x client_id=bob1234 token=abcdefabcdef99")]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(table(rows, SCHEMA)).collect()}
+    assert got == {1: "ident:0:18,weak:19:38", 2: "", 3: "", 4: "", 5: "endpoint:0:23,ident:24:41,assign:42:62"}
+
+
+def test_secrets_odd(table):
+    rows = ODD + [(7, "token=abcdefabcdef99 " * 300)]
+    got = secrets.scan_secrets(table(rows, SCHEMA), keep=("score",)).collect()
+    assert len(got) == len(rows) and sum(r.n_assign for r in got) == 300 and {r.score for r in got} == {"x"}
+    assert secrets.scan_secrets(table([], SCHEMA)).count() == 0
+    text = spark_text(table, "a token=abcdefabcdef99 b")
+    assert text == "a [assign] b"
+
+
+def spark_text(table, text):
+    found = secrets.scan_secrets(table([(1, text)], SCHEMA), keep=("text",))
+    return found.select(secrets.redact(F.col("text"), F.col("found")).alias("t")).first().t
+
+
+# --- tokens and pieces
+
+
+def test_token_counts(table):
+    tool = tokens._load(tokens.default_tokenizer())
+    rows = ODD + [(9, "<|endoftext|> Hello, WORLD's " * 2_000), (10, "a" * 70_000)]
+    got = tokens.token_counts(table(rows, SCHEMA)).collect()
+    want = Counter()
+    for i, t in rows:
+        n = len(tool.encode(t or "", add_special_tokens=False))
+        want[i, len((t or "").encode()), n, n > 2048] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == want
+    assert tokens.token_counts(table([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("chunk,overlap", [(60, 10), (200, 64), (33, 1)])
+def test_resynchronisation(chunk, overlap):
+    tool, rng = tokens._load(tokens.default_tokenizer()), random.Random(chunk)
+    for _ in range(60):
+        text = "".join(rng.choice(["the ", "cat", " ", "\n\n", "é", "'ll ", "12", "<|startoftext|>", "字字", "ab" * 30, "́", "! "]) for _ in range(rng.randint(0, 120)))
+        assert tokens.count_tokens(tool, text, chunk, overlap) == len(tool.encode(text, add_special_tokens=False)), text
+
+
+def test_pieces(table):
+    tool = pieces.encoder(pieces.default_model())
+    assert tool.by_chunk
+    rng = random.Random(8)
+    texts = ["", " ", "  ", "▁", " ▁ a", "\n\n x", " a ", "a\x00b", "\t", "😀 a", "  lead", "x" * 5_000]
+    texts += ["".join(rng.choice(["a", "the ", " ", "\n", "é", "字", "▁", "12", ".", "Word"]) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    for (ids, line), t in zip(tool.encode(texts), texts, strict=True):
+        assert ids == tool.lib.encode(t) and line == ",".join(map(str, ids))
+    small = pieces.ChunkEncoder(pieces.default_model(), most=20)
+    assert [x[0] for x in small.encode(texts)] == [tool.lib.encode(t) for t in texts]
+    got = pieces.encode_pieces(table(ODD, SCHEMA)).collect()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = Counter()
+    for i, t in ODD:
+        ids = tool.lib.encode(t or "")
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(tool.lib.decode(ids) if ids else "")] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
+    assert pieces.encode_pieces(table([], SCHEMA)).count() == 0
+
+
+# --- quality
+
+
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = len(words)
+    seen = Counter(tuple(words[k : k + 5]) for k in range(n - 4))
+    repeat, inside, longest = set(), set(), 0
+    for k in range(n - 4):
+        if seen[tuple(words[k : k + 5])] > 1:
+            repeat.update(range(k, k + 5))
+    for i in range(n):
+        best = 0
+        for j in range(n):
+            if i != j:
+                m = 0
+                while max(i, j) + m < n and words[i + m] == words[j + m]:
+                    m += 1
+                best = max(best, m)
+        longest = max(longest, best)
+        if best >= quality.LEAST_REPEAT:
+            inside.update(range(i, i + best))
+    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    base = n < 10 or 100 * len(repeat) > 20 * n
+    fails = len(inside) > quality.MOST_COVERED * n or (longest > quality.MOST_LONGEST * n and longest > quality.LONGEST_FLOOR)
+    return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeat), base, not base and not fails, longest, len(inside))
+
+
+def test_quality(table):
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 60)))) for k in range(120)]
+    rows += [(200 + k, " ".join(passage + [f"q{j}" for j in range(5 * k)] + passage * (k % 3))) for k in range(30)]
+    rows += [(300, "a b\na b\n \n a b\n#*$"), (301, "x y z " * 40)] + [(i, t) for i, t in ODD if i != 6]
+    got = quality.quality_rules(table(rows, SCHEMA)).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered_words")
+    assert Counter((r.doc_id, *[r[n] for n in names]) for r in got) == Counter((i, *plain_quality(t or "")) for i, t in rows)
+    assert {len({tuple(x) for x in r.repeats}) == len(r.repeats) and sum(x.end - x.start for x in r.repeats) == r.covered_words for r in got} == {True}
+    assert quality.quality_rules(table([], SCHEMA)).count() == 0
+    (long,) = quality.quality_rules(table(ODD[-1:], SCHEMA)).collect()
+    assert (long.n_repeat_words, long.longest_repeat, long.kept) == (30_000, 29_999, False)
+
+
+# --- language model
+
+
+def test_lm(table, spark):
+    rng = random.Random(9)
+    pairs = {w: [rng.choice("abcdefghij") for _ in range(2)] for w in "abcdefghij"}
+    rows = []
+    for k in range(1500):
+        w, out = rng.choice("abcdefghij"), []
+        for _ in range(rng.randint(5, 40)):
+            out.append(w.upper() if rng.random() < 0.1 else w)
+            w = rng.choice(pairs[w])
+        rows.append((k, " ".join(out) + (f" rare{k}" if k % 5 == 0 else "")))
+    rows += [(None, "a b"), (2000, None), (2000, None), (2001, " \n")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    split = lambda t: (t or "").encode().lower().split() + [None]
+    c = Counter(w for i, t in rows if not held(i) for w in split(t))
+    total = sum(c.values())
+    got = lm.score_texts(table(rows, SCHEMA)).collect()
+    want = Counter()
+    for i, t in rows:
+        w = split(t)
+        want[i, held(i), len(w), sum(x in c for x in w), total, round(sum(math.log10((c[x] + 1) / (total + len(c) + 1)) for x in w), 6)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    out = [r for r in got if r.held_out]
+    assert sum(r.score for r in out) > 0.9 * sum(r.base_score for r in out)
+    assert lm.score_texts(table([], SCHEMA)).count() == 0
+    none = lm.score_texts(table([(k, "x y") for k in range(200) if held(k)], SCHEMA)).first()
+    assert none.train_tokens == 0 and none.n_known == 0 and none.base_score == 0.0 and math.isfinite(none.score)
+
+
+def test_lm_normalises():
+    rng = np.random.default_rng(1)
+    shares = rng.random(lm.CLASSES)
+    shares[lm.START] = 0
+    model = lm.Model(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.ones(lm.BUCKETS), shares / shares.sum(), lm.first_params(shares / shares.sum()))
+    trainer = lm.Trainer(model)
+    for _ in range(20):
+        trainer.step(rng.integers(0, 50, 512), rng.integers(0, 50, 512), rng.integers(1, 60, 512))
+    model.params = trainer.params
+    score = lm.Scorer(model)
+    targets = np.arange(1, lm.CLASSES)
+    for one, two in ((0, 0), (5, 9), (49, 0)):
+        assert abs((10 ** score(np.full(len(targets), one), np.full(len(targets), two), targets)).sum() - 1) < 1e-4
+
+
+# --- toxicity
+
+
+def test_toxicity_decoder():
+    words = Counter({w: 50 for w in "the idiot stupid moron trash worthless pathetic clown loser scum and of this that hello world".split()})
+    tool = toxicity.Restorer(toxicity.CharModel(words))
+    for raw, clean in (("1d10t", "idiot"), ("i.d.i.o.t", "idiot"), ("5tup1d", "stupid"), ("m o r o n", "moron"), ("traaaash", "trash"), ("w0rthle5s", "worthless"), ("l-o-s-e-r", "loser"), ("hello", "hello")):
+        assert tool.text(f"the {raw} of") == f"the {clean} of"
+    assert tool.text("key 0b96a8c8d79c4a5085c919698889f59b72ab7bb6") == "key 0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
+
+
+def test_toxicity(table, spark):
+    rng = random.Random(2)
+    bad = "idiot moron stupid trash".split()
+    disguise = {"idiot": "1d10t", "moron": "m0r0n", "stupid": "s-t-u-p-i-d", "trash": "t r a s h"}
+    word = lambda: "".join(rng.choice(["an", "er", "th", "on", "in", "ly"]) for _ in range(rng.randint(1, 4)))
+    rows, labels = [], []
+    for k in range(900):
+        text = [word() for _ in range(rng.randint(5, 60))]
+        toxic = int(k % 4 == 0)
+        held = zlib.crc32(str(k).encode()) % 5 == 0
+        if toxic:
+            for b in rng.sample(bad, 2):
+                text.insert(rng.randrange(len(text)), disguise[b] if held else b)
+        rows.append((k, " ".join(text)))
+        labels.append((k, toxic))
+    docs = table(rows + ODD[2:5], SCHEMA)
+    marks = spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, marks).collect()
+    assert len(got) == 903 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    truth = dict(labels)
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.95
+    assert not any(r.predicted for r in got if r.doc_id is None or r.doc_id == 2)
+    assert toxicity.toxicity(table([], SCHEMA), marks).count() == 0
+    assert {r.predicted for r in toxicity.toxicity(docs, marks.where("false")).collect()} == {0}
