@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean, slices
 
 #: Tokens with a class of their own, classes of the others, width of the vectors, noise samples, tokens in a step.
-OWN, BUCKETS, WIDTH, NOISE, STEP = 1022, 256, 16, 32, 8192
+OWN, BUCKETS, WIDTH, NOISE, STEP = 1022, 256, 16, 32, 1024
 START, END, FIRST_BUCKET = 0, 1, OWN + 2
 CLASSES = FIRST_BUCKET + BUCKETS
 #: Tokens whose counts are handed to every worker, at most (a few MB); the counts of all others are joined.
