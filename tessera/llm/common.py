@@ -82,14 +82,14 @@ class Scratch:
     """Tables written as Parquet to the shared folder: they cut lineage, survive lost executors, and are read back
     with fresh partitioning, so that a skewed join over them can be split at run time.
 
-    `put` writes a table and returns it as read back; `drop` removes one that is no longer needed. What is left goes
+    `put` writes a table and returns it as read back; `drop` and `keep` remove what is no longer needed. What is left goes
     when the process ends, because a returned DataFrame may still read it.
     """
 
     def __init__(self, spark: SparkSession):
         ship(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-        self._count = 0
+        self._count, self._paths = 0, set()
         atexit.register(self.clear)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -98,10 +98,18 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self._paths.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         self._delete(df.scratch_path)
+        self._paths.discard(df.scratch_path)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Drops all tables but these, which a result is still read from."""
+        for path in self._paths - {f.scratch_path for f in frames}:
+            self._delete(path)
+        self._paths = {f.scratch_path for f in frames}
 
     def clear(self) -> None:
         try:

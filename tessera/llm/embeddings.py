@@ -151,6 +151,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
     counts = scratch.put(met.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0"))
     found = classes.join(counts, classes["rep"] == counts["node"], "left").drop("node").join(comp, F.col("rep") == comp["node"], "left")
     found = scratch.put(found.select(F.col("label").alias("c_label"), F.col("dg").alias("c_dg"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    scratch.keep(rows, found)
     out = rows.join(found, (F.concat_ws("/", rows["label"], F.size("v")) == F.col("c_label")) & (rows["dg"] == F.col("c_dg")) & rows["label"].isNotNull() & rows["vec_id"].isNotNull(), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

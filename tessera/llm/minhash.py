@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", te
     else:
         classes = classes.select("dg", F.col("rep").alias("component_id"))
     classes = scratch.put(classes.withColumnRenamed("dg", "class_dg"))
+    scratch.keep(signed, classes)
     out = signed.join(classes, signed["dg"] == F.col("class_dg"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

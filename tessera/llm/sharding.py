@@ -80,6 +80,7 @@ def _even(scratch: Scratch, rows: DataFrame, total: int, shards: int) -> DataFra
     """Exactly even shards: each row's rank in its shard (unlinked rows first), by buckets; ranks below the surplus go."""
     buckets = max(64, total // 2000)
     rows = scratch.put(rows.withColumn("part", F.when(F.col("group_rows") > 1, F.lit(buckets)).otherwise(F.lit(0)) + F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(buckets))))
+    scratch.keep(rows)
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = scratch.put(counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "n"))
