@@ -21,9 +21,10 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: fl
 
     Documents with equal texts are linked. Each starts in a shard dealt by hash. In every round a join hands each linked
     document the shard that most of its group is in; documents that want to move are let through by quotas for each pair
-    of shards: as many as come the other way, and the room under (1 + slack) times the mean. Members of a group move as
-    one, except for groups too large for a quota. At last shards above their share give rows (unlinked ones first) to
-    those below, so that row counts are at most one apart (law `rows`) and slots are gapless from 0.
+    of shards: as many as come the other way, and the room that linked rows have under (1 - slack) times the mean, since
+    unlinked rows make room later. Members of a group move as one, except for groups above a quarter of a shard. At last
+    shards above their share give rows (unlinked ones first) to those below, so that row counts are at most one apart
+    (law `rows`) and slots are gapless from 0.
 
     Texts are read once and never shuffled. A group of any share of all rows is spread by row: counts are partial
     aggregates, ranks are taken in small buckets with offsets from their counts, and only shards x shards counts reach
@@ -43,8 +44,8 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: fl
     groups = scratch.put(rows.groupBy(*group).agg(F.count("*").alias("group_rows")).where("group_rows > 1"))
     dealt = F.pmod(F.xxhash64("uid", F.lit(7)), F.lit(shards)).cast("int")
     linked = scratch.put(rows.join(groups, group).withColumn("shard", dealt))
-    loads = {r.shard: r.n for r in rows.groupBy(dealt.alias("shard")).agg(F.count("*").alias("n")).collect()}
     for turn in range(rounds):
+        loads = {r.shard: r.n for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         counts = linked.groupBy(*group, "shard").agg(F.count("*").alias("n"))
         wish = scratch.put(counts.groupBy(*group).agg(F.max(F.struct("n", F.xxhash64("h", "shard").alias("tie"), "shard")).getField("shard").alias("wish")))
         wishes = linked.join(wish, group)
@@ -55,22 +56,15 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: fl
         for (s, t), n in flow.items():
             back = min(n, flow.get((t, s), 0))
             into = sum(m - min(m, flow.get((t, x), 0)) for (x, y), m in flow.items() if y == t) or 1
-            room = max(0.0, (1 + slack) * share - loads.get(t, 0))
+            room = max(0.0, (1 - slack) * share - loads.get(t, 0))
             let = min(n, back + room * (n - back) / into)
             ratio = F.when((F.col("shard") == s) & (F.col("wish") == t), F.lit(let / n)).otherwise(ratio)
-        draw = F.xxhash64(F.when(F.col("group_rows") > max(1.0, slack * share / 4), F.col("uid")).otherwise(F.col("h")), F.lit(turn))
+        draw = F.xxhash64(F.when(F.col("group_rows") > max(1.0, share / 4), F.col("uid")).otherwise(F.col("h")), F.lit(turn))
         goes = (F.pmod(draw, F.lit(1_000_000)) / 1_000_000) < ratio
         moved = scratch.put(wishes.withColumn("shard", F.when(goes, F.col("wish")).otherwise(F.col("shard"))).drop("wish"))
         scratch.drop(linked)
         scratch.drop(wish)
         linked = moved
-        loads = {s: loads.get(s, 0) for s in range(shards)}
-        # unlinked rows stay where they were dealt; linked ones are counted anew
-        now = {r.shard: r.n for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        if turn == 0:
-            first = {r.shard: r.n for r in linked.groupBy(dealt.alias("shard")).agg(F.count("*").alias("n")).collect()}
-            alone = {s: loads[s] - first.get(s, 0) for s in range(shards)}
-        loads = {s: alone[s] + now.get(s, 0) for s in range(shards)}
     placed = linked.select("uid", "shard", "group_rows")
     everyone = rows.drop("h").join(placed, "uid", "left").select("doc_id", "size", "text_crc32", "uid", F.coalesce("shard", dealt).alias("shard"), F.coalesce("group_rows", F.lit(1)).alias("group_rows"))
     return _even(scratch, everyone, total, shards)
