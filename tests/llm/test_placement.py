@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import minhash, packing, quality, sharding, stages
@@ -128,6 +129,23 @@ def test_near_duplicate_stage_odd(table, spark):
     assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.doc_id is not None) == [("1", "a b c d e f"), ("3", None)]
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_odd(table, spark, empty, tmp_path):
+    rows = [] if empty else [(1, "plain words " * 3), (None, "no id but words " * 4), (2, None), (3, ""), (3, ""), (4, "token = abcdefabcdef99 " + " ".join(f"w{k}" for k in range(3000)))]
+    docs = table(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    folder = str(tmp_path)
+    spark.createDataFrame([] if empty else [(1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, folder)
+        got = after.collect()
+        assert empty is False or not got
+        if name != "best_fit_packing":
+            assert after.columns == docs.columns, name
+        if name == "secret_scan" and not empty:
+            (row,) = [r for r in got if r.doc_id == 4]
+            assert row.text.startswith("[assign] w0 w1") and row.n_chars == len(row.text)
+
+
 def test_contract(spark, sf):
     import __spark_entry__ as entry
 
