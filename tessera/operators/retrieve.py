@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,14 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RERANK_STOP
-from ..functions.text import token_set, tokens
-from .index import LexicalIndex, hashed_vectors
+from ..functions.text import TOKEN, token_set, tokens
+from ..sources.session import ship
+from .index import DIM, LexicalIndex
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Queries that are compared in one pass over the vectors; more are taken block by block.
 QUERY_BLOCK = 2_000
 #: Scores are compared after rounding, so that sums in another order don't break ties.
 DIGITS = 9
+_TOKEN = re.compile(TOKEN)
 
 
 def _ranked(scored: DataFrame, n: int) -> DataFrame:
@@ -25,81 +31,136 @@ def _ranked(scored: DataFrame, n: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def bm25_scores(queries: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(qid, chunk_ord, score) for chunks with a term of the query; a repeated query term counts repeatedly.
+def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in blocks of about QUERY_BLOCK."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for k in range(blocks):
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
 
-    Postings, the large side, are joined once on terms; scores are partial sums before they are shuffled by query and
-    chunk. A term that most chunks have makes a skewed join, which is split at run time.
+
+def _best(rows: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], qids: np.ndarray, n: int) -> DataFrame:
+    """(qid, chunk_ord, score): the n best rows of each partition for each query, by (score, chunk_ord).
+
+    score gives queries x rows for a batch of rows (chunk_ord, ...), as one block of arithmetic; scores are rounded before
+    they are compared. A partition keeps n candidates for each query and passes on no others, so that what is shuffled
+    depends on partitions and queries and not on rows. Rows of score 0 take part like all others.
     """
-    terms = queries.select("qid", F.explode(tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(index.dictionary, "term")
-    hits = index.postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
-    tf = F.col("tf")
-    gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.greatest("dl", F.lit(1)) / F.col("avgdl")))
-    return hits.groupBy("qid", "chunk_ord").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * gain), DIGITS).alias("score"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.empty((len(qids), 0))
+        owner = np.empty((len(qids), 0), np.int64)
+        for batch in batches:
+            batch = batch.sort_values("chunk_ord", kind="stable")
+            scores = np.round(score(batch), DIGITS) + 0.0
+            keep = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+            ids = batch["chunk_ord"].to_numpy()[keep]
+            best, owner = np.hstack([best, np.take_along_axis(scores, keep, 1)]), np.hstack([owner, ids])
+            order = np.lexsort((owner, -best), axis=1)[:, :n]
+            best, owner = np.take_along_axis(best, order, 1), np.take_along_axis(owner, order, 1)
+        if best.size:
+            yield pd.DataFrame({"qid": np.repeat(qids, best.shape[1]), "chunk_ord": owner.ravel(), "score": best.ravel()})
+
+    return rows.mapInPandas(run, "qid long, chunk_ord long, score double")
+
+
+def _over_blocks(queries: DataFrame, columns: list, make: Callable[[pd.DataFrame], DataFrame], n: int) -> DataFrame:
+    """The ranked union of what make returns for each block of queries, which is brought to the driver."""
+    ship(queries.sparkSession)
+    out = None
+    for block in _blocks(queries):
+        frame = block.select(F.col("qid").cast("long").alias("qid"), *columns).toPandas().sort_values("qid", kind="stable")
+        if len(frame):
+            found = make(frame)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = queries.sparkSession.createDataFrame([], "qid long, chunk_ord long, score double")
+    return _ranked(out, n)
 
 
-def with_zero_fill(top: DataFrame, queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Top lists filled up to n with chunks of score 0, in order. The first n chunks suffice: if k < n chunks of a list
-    match, at least n - k of the first n don't. Right only where no score is negative."""
-    first = chunks.select("chunk_ord").orderBy("chunk_ord").limit(n)  # n rows
-    blank = queries.select("qid").distinct().crossJoin(F.broadcast(first))
-    fill = blank.join(top.select("qid", "chunk_ord"), ["qid", "chunk_ord"], "left_anti").withColumn("score", F.lit(0.0))
-    return _ranked(top.select("qid", "chunk_ord", "score").unionByName(fill), n)
+def _text(c: str):
+    return F.coalesce(c, F.lit("")).alias(c)
 
 
 def bm25_rank(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, n: int = 20) -> DataFrame:
-    """(qid, chunk_ord, score, rank): the n best by BM25, ties by chunk order, filled with zero scores."""
-    return with_zero_fill(_ranked(bm25_scores(queries, index), n), queries, chunks, n)
+    """(qid, chunk_ord, score, rank): the n best by BM25, ties by chunk order; chunks of score 0 fill a list up.
+
+    A repeated query term counts repeatedly. Only the dictionary's rows for the queries' own terms are computed and
+    brought to the driver; a batch of chunks then gives all scores by a product of its term weights with the queries'.
+    """
+    rows = chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), _text("text"))
+
+    def make(frame: pd.DataFrame) -> DataFrame:
+        asked = [Counter(_TOKEN.findall(q.lower())) for q in frame["query"]]
+        terms = sorted(set().union(*asked))
+        wanted = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        idf = {r.term: r.idf for r in index.dictionary.join(F.broadcast(wanted), "term", "left_semi").select("term", "idf").collect()} if terms else {}
+        avgdl = index.stats.first().avgdl or 1.0
+        place = {t: k for k, t in enumerate(t for t in terms if t in idf)}
+        weights = np.zeros((len(place), len(asked)))
+        for j, q in enumerate(asked):
+            for t, times in q.items():
+                if t in place:
+                    weights[place[t], j] = times * idf[t]
+        shared = queries.sparkSession.sparkContext.broadcast((place, weights))
+
+        def score(batch: pd.DataFrame) -> np.ndarray:
+            place, weights = shared.value
+            out = np.zeros((weights.shape[1], len(batch)))
+            for i, text in enumerate(batch["text"]):
+                found = _TOKEN.findall(text.lower())
+                tf = Counter(k for k in map(place.get, found) if k is not None)
+                if tf:
+                    times = np.fromiter(tf.values(), np.float64, len(tf))
+                    gain = times * (K1 + 1) / (times + K1 * (1 - B + B * max(1, len(found)) / avgdl))
+                    out[:, i] = gain @ weights[np.fromiter(tf.keys(), np.int64, len(tf))]
+            return out
+
+        return _best(rows, score, frame["qid"].to_numpy(), n)
+
+    return _over_blocks(queries, [_text("query")], make, n)
 
 
 def vector_rank(queries: DataFrame, vectors: DataFrame, n: int = 20) -> DataFrame:
-    """(qid, chunk_ord, score, rank): the n best of vectors (chunk_ord, v) by cosine to queries (qid, v), all compared.
+    """(qid, chunk_ord, score, rank): the n best of vectors (chunk_ord, v) by cosine to queries (qid, v), all compared."""
+    rows = vectors.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("v").cast("array<double>").alias("v"))
 
-    Blocks of queries, of bounded size, go to the workers; a batch of vectors gives a block's scores as one matrix
-    product and passes on only its own n best for each query, so that candidates shuffled are few.
-    """
-    spark = queries.sparkSession
-    schema = "qid long, chunk_ord long, score double"
-    count = queries.count()
-    out = None
-    for block in range(max(1, -(-count // QUERY_BLOCK))):
-        part = queries
-        if count > QUERY_BLOCK:
-            part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(-(-count // QUERY_BLOCK))) == block)
-        part = part.select(F.col("qid").cast("long").alias("qid"), F.col("v").cast("array<double>").alias("v")).orderBy("qid")
-        frame = part.toPandas()
-        if not len(frame):
-            continue
-        shared = spark.sparkContext.broadcast((frame["qid"].to_numpy(), _unit(frame["v"])))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            for batch in batches:
-                x, own = _unit(batch["v"]), batch["chunk_ord"].to_numpy()
-                by_order = np.argsort(own, kind="stable")
-                x, own = x[by_order], own[by_order]
-                scores = np.round(q @ x.T, DIGITS) + 0.0
-                keep = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-                rows = np.repeat(np.arange(len(ids)), keep.shape[1])
-                yield pd.DataFrame({"qid": ids[rows], "chunk_ord": own[keep.ravel()], "score": scores[rows, keep.ravel()]})
-
-        found = vectors.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("v").cast("array<double>").alias("v")).mapInPandas(best, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return _ranked(out, n)
+    def make(frame: pd.DataFrame) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(_unit(np.array(frame["v"].tolist(), np.float64)))
+        return _best(rows, lambda batch: shared.value @ _unit(np.array(batch["v"].tolist(), np.float64)).T, frame["qid"].to_numpy(), n)
+
+    return _over_blocks(queries, [F.col("v").cast("array<double>").alias("v")], make, n)
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    x = np.array(column.tolist(), np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1))
     return x / np.where(norm == 0, 1.0, norm)[:, None]
 
 
+@lru_cache(maxsize=200_000)
+def _buckets_of(token: str) -> tuple[int, int]:
+    h = int(hashlib.sha256(token.encode()).hexdigest(), 16)
+    return h % DIM, (h >> 16) % DIM
+
+
+def _hashed(texts) -> np.ndarray:
+    """Unit vectors of texts, as index.hashed_vectors has them."""
+    out = np.zeros((len(texts), DIM))
+    for row, text in zip(out, texts, strict=True):
+        for one, half in map(_buckets_of, _TOKEN.findall(text.lower())):
+            row[one] += 1.0
+            row[half] += 0.5
+    return _unit(out)
+
+
 def dense_rank(queries: DataFrame, chunks: DataFrame, n: int = 20) -> DataFrame:
-    """As vector_rank, over hashed vectors of the texts."""
-    return vector_rank(hashed_vectors(queries, "qid", "query"), hashed_vectors(chunks, "chunk_ord"), n)
+    """As vector_rank, over hashed vectors of the texts, which are made batch by batch and never written or shuffled."""
+    rows = chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), _text("text"))
+
+    def make(frame: pd.DataFrame) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(_hashed(frame["query"].tolist()))
+        return _best(rows, lambda batch: shared.value @ _hashed(batch["text"].tolist()).T, frame["qid"].to_numpy(), n)
+
+    return _over_blocks(queries, [_text("query")], make, n)
 
 
 def fuse(dense: DataFrame, bm25: DataFrame, n: int = 20, k: int = RRF) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import RATE_PER_MINUTE
 from ..operators.service import WINDOW_S
+from ..sources.session import ship
 
 
 def rate_limit_stream(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, timeout_s: int = 120) -> DataFrame:
@@ -19,6 +20,7 @@ def rate_limit_stream(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, ti
     State is the times of a key's allowed requests of the last minute, per_minute at most; it goes when a key is silent.
     Within a trigger a key's requests are taken in order of time; requests late by whole triggers are judged as they come.
     """
+    ship(requests.sparkSession)
     key_type = requests.schema["user_id"].dataType.simpleString()
     order_type = requests.schema["event_id"].dataType.simpleString()
 
@@ -51,6 +53,8 @@ def seal_stream(records: DataFrame) -> DataFrame:
 
     from ..operators.audit import GENESIS
 
+    ship(records.sparkSession)
+
     def seal(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         prev = state.get[0] if state.exists else GENESIS
         frame = pd.concat(list(frames)).sort_values("seq", kind="stable")
