@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, ship, slices
+from ..sources.session import ship
+from .common import lean, slices
 
 MARK = "▁"
 #: Marks and what follows them up to the next mark; marks at the end stand alone.

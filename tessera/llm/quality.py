@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, ship, slices
+from ..sources.session import ship
+from .common import lean, slices
 
 #: Fixed characters of the base rules: ASCII white space, symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
