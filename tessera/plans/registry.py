@@ -16,6 +16,7 @@ from ..operators.guardrails import InputPolicy, check_answer, check_request, wit
 from ..operators.index import LexicalIndex, cosine, hashed_weights, lexical_index, store_stats, with_order
 from ..sources.io import read_table
 from .ask import AskOptions, ask, qa_turns
+from .serve import audit_records, run_examples, serve
 
 #: Types and thresholds of the scans: with cards, and with names but those found by two capitals alone.
 SCAN_TYPES = ("SSN", "PHONE", "EMAIL", "MRN", "DATE", "PERSON", "ZIP", "CREDIT_CARD")
@@ -277,6 +278,32 @@ def ask_batch(spark, d):
     return out.withColumn("citations", _joined("citations"))
 
 
+def _served(spark, d):
+    """Benchmark texts as requests with keys, all in one minute: every fifth key is unknown, twenty requests a key pass."""
+    chunks = _chunks(spark, d)
+    q = _queries(spark, d).withColumn("api_key", F.concat(F.lit("key-"), (F.col("qid") % 5).cast("string"))).withColumn("at", F.col("qid").cast("double") / 100)
+    keys = service.key_frame(spark, [f"key-{k}" for k in range(4)])
+    return serve(q, keys, chunks, _index(chunks), None, AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT), 20)
+
+
+def serve_requests(spark, d):
+    return _served(spark, d).withColumn("citations", _joined("citations"))
+
+
+def serve_audit(spark, d):
+    """The log of served requests, sealed."""
+    return audit.seal(audit_records(_served(spark, d), "service", "0.0")).withColumn("details", F.to_json("details"))
+
+
+def example_eval(spark, d):
+    """Benchmark texts as examples that must find their first word."""
+    chunks = _chunks(spark, d)
+    none = F.expr("cast(array() as array<string>)")
+    rows = _queries(spark, d).select(F.col("qid").cast("string").alias("id"), "query", F.array(F.lit("#c")).alias("expected_citations"), F.slice(tokens(F.col("query")), 1, 1).alias("must_contain"), none.alias("must_not_contain"), F.lit(0.35).alias("min_groundedness"))
+    out = run_examples(rows, chunks, _index(chunks), AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT))
+    return out.withColumn("failures", _joined("failures")).withColumn("citations", _joined("citations"))
+
+
 def _cases(spark, d):
     rows = _turns(spark, d)
     none = F.expr("cast(array() as array<string>)")
@@ -401,7 +428,7 @@ _NAMED = (
     chunk_fixed, chunk_semantic, chunk_hierarchical, parent_links, section_split, sentence_split, sentence_line_split, chunk_stats, chunk_lookup,
     input_guardrail, request_intent, pii_spans, pii_counts, pii_default_types, pii_redact, pii_map, pii_seal, pii_restore, leak_scan,
     context_assembly, extractive_answer, summarize, extract_fields, prompt_answer, prompts, groundedness, output_guardrail, cited_guardrail, respond_hitl, disclaimer,
-    token_cost, ask_batch, judge, eval_cases, eval_report, regression_gate,
+    token_cost, ask_batch, serve_requests, serve_audit, example_eval, judge, eval_cases, eval_report, regression_gate,
     audit_scrub, audit_seal, audit_verify, rate_limit, service_metrics, prometheus, sse_deltas, api_keys,
 )
 
