@@ -43,6 +43,11 @@ def _encode(tokenizer, text: str, at: int) -> list[tuple[int, int, int]]:
     return [(s + at, e + at, i) for (s, e), i in zip(found.offsets, found.ids, strict=True)]
 
 
+def _blank(c: str) -> bool:
+    """White space as tokenizers know it; Python counts four separators of ASCII too."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 def _boundary(left: list, right: list, text: str, lo: int, hi: int) -> int | None:
     """The first place between lo and hi where both encodings may be spliced.
 
@@ -52,7 +57,7 @@ def _boundary(left: list, right: list, text: str, lo: int, hi: int) -> int | Non
     """
     tail = {s: k for k, (s, _, _) in enumerate(right)}
     for k, (s, _, _) in enumerate(left):
-        if lo < s < hi and text[s - 1].isspace() and s in tail:
+        if lo < s < hi and _blank(text[s - 1]) and s in tail:
             j, rest = tail[s], left[k:]
             rest = rest[: max(0, len(rest) - AGREE)]
             if len(rest) >= AGREE and rest == right[j : j + len(rest)]:
