@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import DEFAULT_KEY, RATE_PER_MINUTE
@@ -23,10 +23,15 @@ def rate_limit(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, key: str
     """(key, order, at, allowed): a request is denied where per_minute allowed ones of its key are less than 60 s old; a
     denied one doesn't count.
 
-    Only allowed requests of the last minute are state, per_minute at most. A key's requests are folded in order, over
-    its times alone; what a key's row holds is its history of times.
+    A key's requests fall into bursts: behind a pause of 60 s nothing counts any more. Bursts are found by a window over
+    the sorted times, which needs no state, and each is folded on its own, over its times alone; so neither a busy key's
+    history nor an old request is ever gathered. Only a burst is sequential by its nature.
     """
-    listed = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(order).alias("o")))).alias("h"))
+    sorted_times = Window.partitionBy(key).orderBy("_t", order)
+    rows = requests.select(key, order, F.col(at).cast("double").alias("_t"))
+    rows = rows.withColumn("_new", (F.col("_t") - F.lag("_t").over(sorted_times) >= WINDOW_S).cast("long"))
+    rows = rows.withColumn("_burst", F.coalesce(F.sum("_new").over(sorted_times), F.lit(0)))
+    listed = rows.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(order).alias("o")))).alias("h"))
     kind = requests.schema[order].dataType.simpleString()
     start = F.struct(F.expr("cast(array() as array<double>)").alias("recent"), F.expr(f"cast(array() as array<struct<o:{kind},t:double,allowed:boolean>>)").alias("out"))
 
