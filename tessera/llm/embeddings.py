@@ -18,7 +18,7 @@ from .components import block_forest, connected_components
 THRESHOLD = 0.93
 #: Vectors of the sample that the cells are fitted on, over all labels.
 SAMPLE = 40_000
-BLOCK = 512
+BLOCK = 1024
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +97,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, sam
 
     sizes = {r.label: r.n for r in leaders.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    target = max(BLOCK, 2 * math.isqrt(total))
+    target = max(2 * BLOCK, 2 * math.isqrt(total))
     part = F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.8 * sample / max(1, total)))
     taken = leaders.where(part).select("label", "v").limit(sample).toPandas()
     cells = {}

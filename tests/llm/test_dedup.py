@@ -106,7 +106,7 @@ def plain_vectors(rows, threshold=0.93):
     return links, groups([i for i, _, _ in rows], pairs)
 
 
-@pytest.mark.parametrize("block", [512, 24])
+@pytest.mark.parametrize("block", [1024, 16])
 def test_vectors(table, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(4)
