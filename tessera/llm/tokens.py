@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.session import ship
 from .common import lean, slices
 
-CHUNK = 32_768
+CHUNK = 65_536
 OVERLAP = 1_024
 #: Tokens behind a common boundary that must be the same in both encodings.
 AGREE = 8
@@ -37,10 +38,10 @@ def _load(path: str):
     return tokenizer
 
 
-def _encode(tokenizer, text: str, at: int) -> list[tuple[int, int, int]]:
-    """(start, end, id) of each token, in characters of the whole text."""
+def _encode(tokenizer, text: str, at: int) -> tuple[list[int], list[int]]:
+    """Where each token starts, in characters of the whole text, and its id."""
     found = tokenizer.encode(text, add_special_tokens=False)
-    return [(s + at, e + at, i) for (s, e), i in zip(found.offsets, found.ids, strict=True)]
+    return [s + at for s, _ in found.offsets], found.ids
 
 
 def _blank(c: str) -> bool:
@@ -48,20 +49,24 @@ def _blank(c: str) -> bool:
     return c.isspace() and not "\x1c" <= c <= "\x1f"
 
 
-def _boundary(left: list, right: list, text: str, lo: int, hi: int) -> int | None:
+def _boundary(left: tuple[list[int], list[int]], right: tuple[list[int], list[int]], text: str, lo: int, hi: int) -> int | None:
     """The first place between lo and hi where both encodings may be spliced.
 
     White space comes before it, which no token, no pre-token and no special string of the tokenizer spans and which no
     normalisation carries anything across; a token starts there in both; and from there on, up to the left chunk's last
     AGREE tokens, both have the same tokens.
     """
-    tail = {s: k for k, (s, _, _) in enumerate(right)}
-    for k, (s, _, _) in enumerate(left):
-        if lo < s < hi and _blank(text[s - 1]) and s in tail:
-            j, rest = tail[s], left[k:]
-            rest = rest[: max(0, len(rest) - AGREE)]
-            if len(rest) >= AGREE and rest == right[j : j + len(rest)]:
-                return s
+    (starts, ids), (others, other_ids) = left, right
+    last = len(starts) - AGREE
+    for k in range(bisect_right(starts, lo), last - AGREE + 1):
+        s = starts[k]
+        if s >= hi:
+            break
+        if s == starts[k - 1] or not _blank(text[s - 1]):
+            continue
+        j, n = bisect_left(others, s), last - k
+        if others[j : j + n] == starts[k:last] and other_ids[j : j + n] == ids[k:last]:
+            return s
     return None
 
 
@@ -85,12 +90,13 @@ def count_tokens(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
             right = _encode(tokenizer, text[lo:stop], lo)
             cut = _boundary(left, right, text, lo, end)
             if cut is not None:
-                total += sum(s < cut for s, _, _ in left)
-                left = [x for x in right if x[0] >= cut]
+                total += bisect_left(left[0], cut)
+                j = bisect_left(right[0], cut)
+                left = right[0][j:], right[1][j:]
                 begin, end = cut, stop
                 break
             span *= 2
-    return total + len(left)
+    return total + len(left[0])
 
 
 def counts(texts: list[str], path: str) -> list[int]:
