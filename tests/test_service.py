@@ -35,8 +35,9 @@ def streamed(spark, tmp_path, frame, name, make, batches, key):
     for k in range(batches):
         frame.where(f"{key} % {batches} = {k}" if key == "none" else key.format(k=k)).coalesce(1).write.mode("append").json(path)
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).json(path)
-    query = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
+    query.processAllAvailable()
+    query.stop()
     return spark.table(name)
 
 
