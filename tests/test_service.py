@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -35,8 +36,11 @@ def streamed(spark, tmp_path, frame, name, make, batches, key):
     for k in range(batches):
         frame.where(f"{key} % {batches} = {k}" if key == "none" else key.format(k=k)).coalesce(1).write.mode("append").json(path)
     source = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).json(path)
-    query = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).start()
-    query.processAllAvailable()
+    query = make(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
+    # state with timeouts keeps a query running when its data is done
+    rows, end = frame.count(), time.monotonic() + 120
+    while query.isActive and spark.table(name).count() < rows and time.monotonic() < end:
+        time.sleep(0.2)
     query.stop()
     return spark.table(name)
 
