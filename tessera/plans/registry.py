@@ -197,9 +197,9 @@ def pii_restore(spark, d):
 
 
 def leak_scan(spark, d):
-    """Each document's first 2,000 characters as an answer against its own map: what it leaks."""
+    """Each document's whole text as an answer against its own map: what it leaks."""
     rows = _redacted(spark, d)
-    return rows.select("doc_id", F.array_join(P.leaked_types(F.substring("text", 1, 2000), F.col("entries")), ",").alias("leaked"), P.leak_count(F.substring("text", 1, 2000), F.col("entries")).cast("long").alias("n_leaked"))
+    return rows.select("doc_id", F.array_join(P.leaked_types(F.col("text"), F.col("entries")), ",").alias("leaked"), P.leak_count(F.col("text"), F.col("entries")).cast("long").alias("n_leaked"))
 
 
 def _hits(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
 from tessera.functions import privacy as P
+from tessera.plans import registry
 
 NOTE = "Patient: Maria Gonzalez\nDOB: 03/14/1956\nMRN: AB12345\nSSN 123-45-6789, phone (214) 555-0147, mail m.g@example.org.\nSeen by Dr. Alan Turing on Jan 5, 2024; then Alan said hello to Mary Smith."
 
@@ -90,6 +91,13 @@ def test_leaks(spark):
     assert [(r.l, r.n) for r in got] == [(["SSN"], 1), ([], 0)]
 
 
+def test_leak_scan_reads_whole_texts(spark, tmp_path):
+    rows = [(1, "word " * 500 + "SSN 123-45-6789 and a.b@example.org"), (2, "SSN 123-45-6789"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (sorted(filter(None, r.leaked.split(","))), r.n_leaked) for r in registry.leak_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: (["EMAIL", "SSN"], 2), 2: (["SSN"], 1), 3: ([], 0)}
+
+
 @pytest.mark.parametrize("text", ["", None])
 def test_empty(spark, text):
     rows = spark.createDataFrame([(text,)], "t string").select(P.type_counts(P.pii_spans(F.coalesce("t", F.lit("")))).alias("m"))
