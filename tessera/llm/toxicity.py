@@ -26,8 +26,8 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 SEPARATORS = ".-_*~ "
 #: Costs in nats: keeping a letter, reading a sign as a letter, dropping a separator, dropping a repeated letter.
 SIGN_COST, GAP_COST, REPEAT_COST = 0.7, 0.2, 0.3
-#: Obfuscated words are shorter than this; longer runs of letters and signs are keys and addresses.
-LONGEST = 28
+#: Nats a letter of the character model beyond which a token is a key or an address, and no obfuscated word.
+WORST = 4.5
 
 _SIGN = "".join(re.escape(c) for c in LEET)
 _LETTER = r"[^\W\d_]"
@@ -36,10 +36,9 @@ _WORDS = re.compile(_LETTER + "+")
 _SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_SIGN}])(?: (?:{_LETTER}|[{_SIGN}])){{2,}}(?!\S)")
 #: What makes a token worth decoding: a sign or separator beside or between letters, or three equal letters.
 _SUSPECT = re.compile(rf"{_LETTER}[{_SIGN}.\-_*~]+{_LETTER}|[{_SIGN}]{_LETTER}|{_LETTER}[0-9@$]|({_LETTER})\1\1")
-#: Longer runs of letters and digits are no words.
-_KEY = re.compile(rf"[^\W_]{{{LONGEST + 1},}}")
 #: The part of a token that is decoded.
-_CORE = re.compile(rf"(?:{_LETTER}|[{_SIGN}])(?:{_LETTER}|[{_SIGN}.\-_*~])*")
+_CORE = re.compile(rf"(?:{_LETTER}|[{_SIGN}])(?:{_LETTER}|[{_SIGN}.\-_*~ ])*")
+_STRETCHED = re.compile(r"(.)\1\1")
 
 
 class CharModel:
@@ -68,9 +67,12 @@ class CharModel:
             self.known[key] = -math.log(0.05 * p1 + 0.25 * p2 + 0.7 * p3)
         return self.known[key]
 
-    def decode(self, raw: str) -> str:
-        """The cheapest letters behind a string of letters, signs and separators, by Viterbi over the last two letters."""
-        best = {"^^": (0.0, "")}
+    def decode(self, raw: str) -> tuple[str, float, int]:
+        """The cheapest letters behind a string of letters, signs and separators, by Viterbi over the last two letters;
+        their cost under the character model, and over how many letters and ends. Linear in the string: a state holds
+        (cost, cost of the letters alone, their number, path), a path its last letter and the path before it."""
+        best: dict[str, tuple] = {"^^": (0.0, 0.0, 0, None)}
+        stretched = {m.group(1) for m in _STRETCHED.finditer(raw)}
         before, run = "", 0
         for c in raw:
             run = run + 1 if c == before else 1
@@ -79,17 +81,24 @@ class CharModel:
                 options.append(("", GAP_COST))
             elif run > 2:
                 options.append(("", REPEAT_COST))
-            elif c == before and c * 3 in raw:
+            elif c == before and c in stretched:
                 options.append(("", REPEAT_COST))
-            reached: dict[str, tuple[float, str]] = {}
-            for state, (spent, out) in best.items():
+            reached: dict[str, tuple] = {}
+            for state, (spent, plain, n, path) in best.items():
                 for letter, cost in options:
-                    total = spent + cost + (self.cost(state, letter) if letter else 0.0)
+                    model = self.cost(state, letter) if letter else 0.0
+                    total = spent + cost + model
                     to = (state + letter)[-2:]
                     if to not in reached or total < reached[to][0]:
-                        reached[to] = (total, out + letter)
+                        reached[to] = (total, plain + model, n + 1, (path, letter)) if letter else (total, plain, n, path)
             best, before = reached, c
-        return min((spent + self.cost(state, "$"), out) for state, (spent, out) in best.items())[1]
+        state = min(best, key=lambda s: (best[s][0] + self.cost(s, "$"), s))
+        _, plain, n, path = best[state]
+        out = []
+        while path is not None:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out)), plain + self.cost(state, "$"), n + 1
 
 
 class Restorer:
@@ -98,23 +107,29 @@ class Restorer:
     def __init__(self, model: CharModel):
         self.model, self.seen = model, {}
 
-    def _put(self, found: re.Match) -> str:
-        raw = found.group(0)
-        core = raw.rstrip("!|+$@.-_*~")
-        if len(core) > LONGEST or not core:
-            return raw
-        return self.model.decode(core) + raw[len(core) :]
+    def restored(self, raw: str) -> str:
+        """The string with its cores decoded, or as it is where the decoded letters are no words."""
+        parts, at, spent, events = [], 0, 0.0, 0
+        for found in _CORE.finditer(raw):
+            core = found.group(0).rstrip("!|+$@.-_*~")
+            if core:
+                out, cost, n = self.model.decode(core)
+                parts += [raw[at : found.start()], out]
+                at, spent, events = found.start() + len(core), spent + cost, events + n
+        return "".join(parts) + raw[at:] if spent <= WORST * events else raw
 
     def token(self, token: str) -> str:
+        if not _SUSPECT.search(token):
+            return token
         if token not in self.seen:
             if len(self.seen) > 50_000:
                 self.seen.clear()
-            self.seen[token] = _CORE.sub(self._put, token) if _SUSPECT.search(token) and not _KEY.search(token) else token
+            self.seen[token] = self.restored(token)
         return self.seen[token]
 
     def spaced(self, text: str) -> str:
         """Letters one blank apart, put together. Only texts with single-letter tokens need the search."""
-        return _SPACED.sub(lambda m: self._put(m), text)
+        return _SPACED.sub(lambda m: self.restored(m.group(0)), text)
 
     def tokens(self, text: str) -> set[str]:
         """The distinct tokens of a text, with letters that stood apart put together."""
@@ -150,7 +165,7 @@ class ToxicityModel:
     def __init__(self, texts: list[str], toxic: list[int]):
         words: Counter = Counter()
         for t in texts:
-            words.update(w for w in _WORDS.findall(t.lower()) if len(w) < LONGEST)
+            words.update(_WORDS.findall(t.lower()))
         self.chars = CharModel(words)
         del words
         y = np.array(toxic, np.float64)

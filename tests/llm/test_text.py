@@ -226,6 +226,16 @@ def test_toxicity_decoder():
     assert tool.text("key 0b96a8c8d79c4a5085c919698889f59b72ab7bb6") == "key 0b96a8c8d79c4a5085c919698889f59b72ab7bb6"
 
 
+DECODER_WORDS = "you are a the idiot stupid moron trash worthless pathetic clown loser scum and of this that hello world"
+
+
+def test_toxicity_long_cores():
+    tool = toxicity.Restorer(toxicity.CharModel(Counter({w: 50 for w in DECODER_WORDS.split()})))
+    assert tool.text("the st" + "u" * 60 + "pid of") == "the stupid of"
+    assert tool.text(" ".join("worthlesspatheticidiot")).replace(" ", "") == "worthlesspatheticidiot"
+    assert tool.text("m" + "0" * 20_000 + "r0n") == "moron"
+
+
 def test_toxicity(table, spark):
     rng = random.Random(2)
     bad = "idiot moron stupid trash".split()
