@@ -68,7 +68,7 @@ class CharModel:
         return self.known[key]
 
     def decode(self, raw: str) -> tuple[str, float, int]:
-        """The cheapest letters behind a string of letters, signs and separators, by Viterbi over the last two letters;
+        """The cheapest words behind a string of letters, signs and separators, by Viterbi over the last two letters;
         their cost under the character model, and over how many letters and ends. Linear in the string: a state holds
         (cost, cost of the letters alone, their number, path), a path its last letter and the path before it."""
         best: dict[str, tuple] = {"^^": (0.0, 0.0, 0, None)}
@@ -84,6 +84,12 @@ class CharModel:
             elif c == before and c in stretched:
                 options.append(("", REPEAT_COST))
             reached: dict[str, tuple] = {}
+            if c in SEPARATORS:
+                # kept, as the end of a word: the next letter begins a new one
+                state = min(best, key=lambda s: (best[s][0] + self.cost(s, "$"), s))
+                spent, plain, n, path = best[state]
+                end = self.cost(state, "$")
+                reached["^^"] = (spent + end, plain + end, n + 1, (path, c))
             for state, (spent, plain, n, path) in best.items():
                 for letter, cost in options:
                     model = self.cost(state, letter) if letter else 0.0
@@ -127,6 +133,11 @@ class Restorer:
             self.seen[token] = self.restored(token)
         return self.seen[token]
 
+    def words(self, token: str) -> list[str]:
+        """Words of a token as it stands, and of what it was restored to."""
+        out = self.token(token)
+        return _WORDS.findall(token) + (_WORDS.findall(out) if out != token else [])
+
     def spaced(self, text: str) -> str:
         """Letters one blank apart, put together. Only texts with single-letter tokens need the search."""
         return _SPACED.sub(lambda m: self.restored(m.group(0)), text)
@@ -180,7 +191,7 @@ class ToxicityModel:
         for t in texts:
             found = set()
             for token in restorer.tokens(t):
-                for w in _WORDS.findall(restorer.token(token)):
+                for w in restorer.words(token):
                     found.update(features.of(w))
             rows.append(np.fromiter(found, np.int32, len(found)))
         del features, restorer
@@ -220,7 +231,7 @@ class ToxicityModel:
         def weigh(token: str) -> tuple[int, ...]:
             if len(memory) > 150_000:
                 memory.clear()
-            found = tuple(f for w in _WORDS.findall(restorer.token(token)) for f in features.of(w) if f in weights)
+            found = tuple(f for w in restorer.words(token) for f in features.of(w) if f in weights)
             memory[token] = found
             return found
 

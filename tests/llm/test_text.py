@@ -236,6 +236,14 @@ def test_toxicity_long_cores():
     assert tool.text("m" + "0" * 20_000 + "r0n") == "moron"
 
 
+def test_toxicity_word_boundaries():
+    tool = toxicity.Restorer(toxicity.CharModel(Counter({w: 50 for w in DECODER_WORDS.split()})))
+    assert tool.text("you-idiot and_1d10t this.m0r0n") == "you-idiot and_idiot this.moron"
+    assert tool.text("y o u s t u p i d m o r o n") == "you stupid moron"
+    assert {"idiot", "you"} <= set(tool.words("you-idiot"))
+    assert {"stupid", "that"} <= set(tool.words("that.stupid"))
+
+
 def test_toxicity(table, spark):
     rng = random.Random(2)
     bad = "idiot moron stupid trash".split()
