@@ -18,6 +18,8 @@ from .common import lean
 
 #: Labelled rows that the models are fitted on at most.
 MAX_TRAIN = 8_000
+#: Distinct words a worker holds before it counts their trigrams.
+MOST_WORDS = 200_000
 BITS = 22
 PREFIXES = (4, 5, 6, 7)
 MOST_FEATURES = 400
@@ -41,19 +43,47 @@ _CORE = re.compile(rf"(?:{_LETTER}|[{_SIGN}])(?:{_LETTER}|[{_SIGN}.\-_*~ ])*")
 _STRETCHED = re.compile(r"(.)\1\1")
 
 
+def trigrams_of(words: Counter) -> Counter:
+    three: Counter = Counter()
+    for word, n in words.items():
+        s = f"^^{word}$"
+        for i in range(2, len(s)):
+            three[s[i - 2 : i + 1]] += n
+    return three
+
+
+def count_trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
+    """Character trigrams of the words of all texts, counted in each partition and then summed; only the sums, as many as
+    the alphabet allows, come to the driver."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, three = Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words.update(_WORDS.findall(text.lower()))
+                if len(words) > MOST_WORDS:
+                    three.update(trigrams_of(words))
+                    words.clear()
+        three.update(trigrams_of(words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(three.keys()), pa.string()), pa.array(list(three.values()), pa.int64())], ["t", "n"])
+
+    texts = docs.where(docs[text_col].isNotNull()).select(docs[text_col].alias("_text"))
+    frame = texts.mapInArrow(lean(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    return Counter(dict(zip(frame["t"].tolist(), frame["n"].tolist(), strict=True)))
+
+
 class CharModel:
     """Interpolated character trigrams over words; `^` and `$` mark ends."""
 
-    def __init__(self, words: Counter):
-        one, two, three, ctx1, ctx2 = Counter(), Counter(), Counter(), Counter(), Counter()
-        for word, n in words.items():
-            s = f"^^{word}$"
-            for i in range(2, len(s)):
-                one[s[i]] += n
-                two[s[i - 1 : i + 1]] += n
-                three[s[i - 2 : i + 1]] += n
-                ctx1[s[i - 1]] += n
-                ctx2[s[i - 2 : i]] += n
+    def __init__(self, words: Counter | None = None, trigrams: Counter | None = None):
+        three = trigrams_of(words) if trigrams is None else trigrams
+        one, two, ctx1, ctx2 = Counter(), Counter(), Counter(), Counter()
+        for t, n in three.items():
+            one[t[2]] += n
+            two[t[1:]] += n
+            ctx1[t[1]] += n
+            ctx2[t[:2]] += n
         self.one, self.two, self.three, self.ctx1, self.ctx2 = map(dict, (one, two, three, ctx1, ctx2))
         self.total, self.size = max(1, sum(one.values())), len(one) + 1
         self.known: dict[str, float] = {}
@@ -171,14 +201,11 @@ class Features:
 
 
 class ToxicityModel:
-    """Words and word beginnings that mark toxic training texts, weighed by logistic regression over their presence."""
+    """Words and word beginnings that mark toxic training texts, weighed by logistic regression over their presence. The
+    character model is that of all documents."""
 
-    def __init__(self, texts: list[str], toxic: list[int]):
-        words: Counter = Counter()
-        for t in texts:
-            words.update(_WORDS.findall(t.lower()))
-        self.chars = CharModel(words)
-        del words
+    def __init__(self, texts: list[str], toxic: list[int], chars: CharModel):
+        self.chars = chars
         y = np.array(toxic, np.float64)
         self.prior = float((y.sum() + 1) / (len(y) + 2))
         self.weights: dict[int, float] = {}
@@ -251,7 +278,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most max_train of them (by hash of the id).
-    Rows with a null id or label are left out. Where nothing toxic is labelled, every score is low."""
+    The character model is counted over all docs, labelled or not. Rows with a null id or label are left out. Where nothing toxic is labelled, every score is low."""
     rows = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic"))
     rows = rows.where("_id is not null and _toxic is not null").where(F.crc32(F.col("_id").cast("string")) % 5 != 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     total = rows.count()
@@ -262,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     frame = found.select("_doc", "_toxic", "_text").toPandas().drop_duplicates("_doc").sort_values("_doc")
     texts, toxic = frame["_text"].tolist(), frame["_toxic"].tolist()
     del frame
-    return ToxicityModel(texts, toxic)
+    return ToxicityModel(texts, toxic, CharModel(trigrams=count_trigrams(docs, text_col)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -244,6 +244,15 @@ def test_toxicity_word_boundaries():
     assert {"stupid", "that"} <= set(tool.words("that.stupid"))
 
 
+def test_toxicity_characters_of_all_texts(table, spark):
+    rows = [(1, "one two"), (1, "one two"), (None, "zwölf"), (2, None), (3, "Two")]
+    words = Counter({"one": 2, "two": 3, "zwölf": 1})
+    assert toxicity.count_trigrams(table(rows, SCHEMA)) == toxicity.trigrams_of(words)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(table(rows, SCHEMA), labels)
+    assert model.chars.three == dict(toxicity.trigrams_of(words))
+
+
 def test_toxicity(table, spark):
     rng = random.Random(2)
     bad = "idiot moron stupid trash".split()
