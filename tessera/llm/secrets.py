@@ -8,9 +8,13 @@ Spans are whole matches, as code points from 0 with the end exclusive. Base kind
 
 Weak kinds are reported only where complementary parts co-occur in the scope, that is within `reach` characters:
 
-* `ident`: a client, account, user or access id with its value - needs a secret nearby;
+* `ident`: a client, account, user or access id or name with its value - needs a secret nearby;
 * `endpoint`: an address with a scheme, or a host or endpoint setting - needs an identifier and a secret nearby;
-* `weak`: an assigned value of 6 to 11 characters - needs an identifier or an endpoint nearby.
+* `weak`: an assigned value of 6 to 11 characters, a value of 6 or more of a name that ends in key (secret_access_key),
+  or 20 or more characters of base64 without a name - needs an identifier or an endpoint nearby. A client, account, user
+  or access key may be the identifier of another secret as well, and needs any other part nearby.
+
+Names stand in either case.
 """
 
 from __future__ import annotations
@@ -28,21 +32,40 @@ ASSIGN = (
 #: Runs of allowed characters are maximal, so a least length in the pattern equals dropping short matches afterwards.
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-IDENT = "(?:[cC]lient|[aA]ccount|[uU]ser|[aA]ccess)[_-]?(?:[iI][dD]|[nN]ame|[kK]ey(?:[_-]?[iI][dD])?)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?([A-Za-z0-9@._-]{4,64})"
-ENDPOINT = "(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{4,256}|(?:[hH]ost|[eE]ndpoint)[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?[A-Za-z0-9.-]{4,128}"
+def _either(name: str) -> str:
+    """A pattern of a name's letters in either case, ASCII only."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+_IS = "[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?"
+IDENT = f"(?:{_either('client')}|{_either('account')}|{_either('user')}|{_either('access')})[_-]?(?:{_either('id')}|{_either('name')}|{_either('key')}[_-]?{_either('id')}){_IS}([A-Za-z0-9@._-]{{4,64}})"
+ENDPOINT = f"(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{{4,256}}|(?:{_either('host')}|{_either('endpoint')}){_IS}[A-Za-z0-9.-]{{4,128}}"
+#: A setting whose name ends in key, such as secret_access_key, and one whose key may also be an identifier. The
+#: look-behind gives a run of name characters a single start, so that matching stays linear.
+_START, _MAY_BE_ID = "(?<![A-Za-z0-9_-])", f"(?:[A-Za-z0-9_-]*[_-])?(?<!{_either('secret')}[_-])(?:{_either('client')}|{_either('account')}|{_either('user')}|{_either('access')})[_-]?{_either('key')}{_IS}"
+KEY = f"{_START}(?!{_MAY_BE_ID})[A-Za-z0-9_-]*(?:[_-]{_either('key')}|[a-z0-9]Key){_IS}[A-Za-z0-9+/_.=-]{{6,}}"
+KEY_PAIR = f"{_START}{_MAY_BE_ID}[A-Za-z0-9+/_.=-]{{6,}}"
+#: An unnamed value, with letters of either case and a digit or sign; it counts where its letters and digits change their
+#: class as often as random ones do.
+OPAQUE = "(?<![A-Za-z0-9+/])(?=[A-Za-z0-9+/]*[0-9+/])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}"
 
 KINDS = ("assign", "access", "hex", "ident", "endpoint", "weak")
 REACH = 400
 
 
-def _spans(text: Column, pattern: str, kind: int, value_group: int = 0) -> Column:
-    """Array of (s, k, e, v): start, kind, end, and length of the value group; leftmost matches that don't overlap.
+def _turns(x: Column) -> Column:
+    """How many runs of one class the letters and digits of a value have."""
+    return F.regexp_count(F.regexp_replace(x, "[+/=]", ""), F.lit("[A-Z]+|[a-z]+|[0-9]+"))
+
+
+def _spans(text: Column, pattern: str, kind: int, value_group: int = 0, measure=F.length) -> Column:
+    """Array of (s, k, e, v): start, kind, end, and length (or another measure) of the value group; leftmost matches that don't overlap.
 
     Lengths of what lies between the matches and of the matches themselves add up to the offsets.
     """
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), lambda x: F.length(x)) if value_group else found
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)), measure) if value_group or measure is not F.length else found
     empty = F.expr("cast(array() as array<struct<s:int,k:int,e:int,v:int>>)")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
@@ -80,21 +103,26 @@ def scan_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     strong = F.filter("_assigned", lambda x: x["v"] >= 12)
     short = F.transform(F.filter("_assigned", lambda x: (x["v"] >= 6) & (x["v"] < 12)), lambda x: F.struct(x["s"].alias("s"), F.lit(5).alias("k"), x["e"].alias("e"), x["v"].alias("v")))
     rows = rows.withColumn("_base", F.array_sort(F.concat(strong, _spans(t, ACCESS, 1), _spans(t, HEX, 2))))
-    rows = rows.withColumn("_soft", F.concat(_spans(t, IDENT, 3), _spans(t, ENDPOINT, 4), short)).drop("_text", "_assigned")
-    # What overlaps a base span says nothing new.
-    rows = rows.withColumn("_soft", F.filter("_soft", lambda w: ~F.exists("_base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"]))))
+    rows = rows.withColumn("_soft", F.concat(_spans(t, IDENT, 3), _spans(t, ENDPOINT, 4), short))
+    # What overlaps a span of a surer kind says nothing new.
+    apart = lambda these, those: F.filter(these, lambda w: ~F.exists(those, lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
+    rows = rows.withColumn("_keys", F.concat(_spans(t, KEY, 5), _spans(t, KEY_PAIR, 6)))
+    rows = rows.withColumn("_opaque", F.filter(_spans(t, OPAQUE, 5, 0, _turns), lambda x: x["v"] * 10 >= (x["e"] - x["s"]) * 3)).drop("_text", "_assigned")
+    rows = rows.withColumn("_keys", apart("_keys", "_soft"))
+    rows = rows.withColumn("_soft", F.concat("_soft", "_keys", apart("_opaque", F.concat("_soft", "_keys")))).drop("_keys", "_opaque")
+    rows = rows.withColumn("_soft", apart("_soft", "_base"))
     rows = scratch.put(rows)
 
     with_soft = rows.where(F.size("_soft") > 0)
     part = F.explode(F.concat("_base", "_soft")).alias("p")
     parts = with_soft.select("_rid", part).select("_rid", F.col("p.s").alias("s"), F.col("p.e").alias("e"), F.col("p.k").alias("k"))
-    # identifiers: access and ident; secrets: assign, hex and weak; endpoints
-    parts = parts.withColumn("role", F.when(F.col("k").isin(1, 3), 1).when(F.col("k") == 4, 4).otherwise(2)).withColumn("bin", F.floor(F.col("s") / reach))
+    # identifiers: access and ident; secrets: assign, hex and weak; endpoints; keys that may be either of the first two
+    parts = parts.withColumn("role", F.when(F.col("k").isin(1, 3), 1).when(F.col("k") == 4, 4).when(F.col("k") == 6, 3).otherwise(2)).withColumn("bin", F.floor(F.col("s") / reach))
     weak = parts.where("k >= 3").select("_rid", F.col("s").alias("ws"), F.col("e").alias("we"), F.col("k").alias("wk"), F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])).alias("bin"))
     near = weak.join(parts, ["_rid", "bin"]).where((F.abs(F.col("s") - F.col("ws")) <= reach) & ((F.col("s") != F.col("ws")) | (F.col("k") != F.col("wk"))))
     met = near.groupBy("_rid", "ws", "we", "wk").agg(F.bit_or("role").alias("met"))
-    wanted = ((F.col("wk") == 3) & (F.col("met").bitwiseAND(2) > 0)) | ((F.col("wk") == 4) & (F.col("met").bitwiseAND(3) == 3)) | ((F.col("wk") == 5) & (F.col("met").bitwiseAND(5) > 0))
-    linked = met.where(wanted).groupBy("_rid").agg(F.collect_list(F.struct(F.col("ws").alias("s"), F.col("wk").alias("k"), F.col("we").alias("e"), F.lit(0).alias("v"))).alias("_linked"))
+    wanted = ((F.col("wk") == 3) & (F.col("met").bitwiseAND(2) > 0)) | ((F.col("wk") == 4) & (F.col("met").bitwiseAND(3) == 3)) | ((F.col("wk") == 5) & (F.col("met").bitwiseAND(5) > 0)) | (F.col("wk") == 6)
+    linked = met.where(wanted).groupBy("_rid").agg(F.collect_list(F.struct(F.col("ws").alias("s"), F.least("wk", F.lit(5)).alias("k"), F.col("we").alias("e"), F.lit(0).alias("v"))).alias("_linked"))
 
     # Only rows with candidates are joined; the others, texts that are passed through with them, stay where they are.
     out = with_soft.join(linked, "_rid", "left").unionByName(rows.where(F.size("_soft") == 0).withColumn("_linked", F.lit(None).cast("array<struct<s:int,k:int,e:int,v:int>>")))
