@@ -37,9 +37,9 @@ def _either(name: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
 
 
-_IS = "[\"']?\\x20{0,4}[:=]\\x20{0,4}[\"']?"
-IDENT = f"(?:{_either('client')}|{_either('account')}|{_either('user')}|{_either('access')})[_-]?(?:{_either('id')}|{_either('name')}|{_either('key')}[_-]?{_either('id')}){_IS}([A-Za-z0-9@._-]{{4,64}})"
-ENDPOINT = f"(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{{4,256}}|(?:{_either('host')}|{_either('endpoint')}){_IS}[A-Za-z0-9.-]{{4,128}}"
+_IS = "[\"']?\\x20*[:=]\\x20*[\"']?"
+IDENT = f"(?:{_either('client')}|{_either('account')}|{_either('user')}|{_either('access')})[_-]?(?:{_either('id')}|{_either('name')}|{_either('key')}[_-]?{_either('id')}){_IS}([A-Za-z0-9@._-]{{4,}})"
+ENDPOINT = f"(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]{{4,}}|(?:{_either('host')}|{_either('endpoint')}){_IS}[A-Za-z0-9.-]{{4,}}"
 #: A setting whose name ends in key, such as secret_access_key, and one whose key may also be an identifier. The
 #: look-behind gives a run of name characters a single start, so that matching stays linear.
 _START, _MAY_BE_ID = "(?<![A-Za-z0-9_-])", f"(?:[A-Za-z0-9_-]*[_-])?(?<!{_either('secret')}[_-])(?:{_either('client')}|{_either('account')}|{_either('user')}|{_either('access')})[_-]?{_either('key')}{_IS}"

@@ -93,6 +93,11 @@ def test_secrets_multipart(table):
     }
 
 
+def test_secrets_long_parts(table):
+    text = f"token=abcdefabcdef99 client_id        =        {'n' * 80} host: {'h' * 140} https://a.example.org/{'x' * 5_000} end"
+    assert spark_text(table, text) == "[assign] [ident] [endpoint] [endpoint] end"
+
+
 def test_secrets_odd(table):
     rows = ODD + [(7, "token=abcdefabcdef99 " * 300)]
     got = secrets.scan_secrets(table(rows, SCHEMA), keep=("score",)).collect()
