@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from ..sources.session import ship
 from .common import lean, slices
 
-CHUNK = 65_536
-OVERLAP = 1_024
+#: Characters of a chunk and of an overlap; longer texts are huge ones.
+CHUNK = 8_192
+OVERLAP = 512
 #: Tokens behind a common boundary that must be the same in both encodings.
 AGREE = 8
 
@@ -25,17 +28,68 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
-def _load(path: str):
-    import os
+#: Fixed parts of a tokenizer's description that squeeze white space and then leave it out of every piece.
+_SQUEEZE = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+_NO_SPACE = "[^\\s\\p{L}\\p{N}]+"
+
+
+def _steps(spec: dict | None) -> list[dict]:
+    if not spec:
+        return []
+    return spec.get("normalizers") or spec.get("pretokenizers") or [spec]
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+class Tokens:
+    """A tokenizer and two leaner ones that count alike, where its description proves it.
+
+    `lean` squeezes no white space: the pre-tokenizer drops it anyway, as no alternative of its pattern takes any. `ascii`
+    normalises nothing: composition leaves ASCII as it is, and lower-casing is done outside. Special strings are found
+    before all that, on the raw text; texts that may hold one in another case go to `lean`.
+    """
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = self.lean = Tokenizer.from_file(path)
+        self.ascii, self.special = None, ()
+        spec = json.loads(self.whole.to_str())
+        steps, first = _steps(spec.get("normalizer")), (_steps(spec.get("pre_tokenizer")) or [{}])[0]
+        kinds = [x["type"] for x in steps]
+        pattern = str(first.get("pattern", {}).get("Regex", ""))
+        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and pattern.endswith("|" + _NO_SPACE)
+        # every other alternative is a contraction, letters or digits
+        plain = drops and all(re.fullmatch(r"'[a-z]+|\[\\p\{[LN]\}\]\+?", x) for x in pattern.removesuffix("|" + _NO_SPACE).split("|"))
+        raw = all(not x["normalized"] and not x["lstrip"] and not x["rstrip"] for x in spec["added_tokens"])
+        if plain and raw and kinds == ["NFC", "Replace", "Lowercase"] and steps[1] == _SQUEEZE:
+            spec["normalizer"] = {"type": "Sequence", "normalizers": [steps[0], steps[2]]}
+            self.lean = Tokenizer.from_str(json.dumps(spec))
+            spec["normalizer"] = None
+            self.ascii = Tokenizer.from_str(json.dumps(spec))
+            self.special = tuple(x["content"].lower() for x in spec["added_tokens"])
+        for tool in (self.whole, self.lean, self.ascii):
+            if tool is not None:
+                tool.no_truncation()
+                tool.no_padding()
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text, encoded whole."""
+        lower = [t.lower() if self.ascii is not None and t.isascii() else None for t in texts]
+        lower = [t if t is not None and not any(x in t for x in self.special) else None for t in lower]
+        out = [0] * len(texts)
+        for tool, items in ((self.ascii, [(k, t) for k, t in enumerate(lower) if t is not None]), (self.lean, [(k, texts[k]) for k, t in enumerate(lower) if t is None])):
+            if items:
+                encode = getattr(tool, "encode_batch_fast", tool.encode_batch)
+                for (k, _), found in zip(items, encode([t for _, t in items], add_special_tokens=False), strict=True):
+                    out[k] = len(found)
+        return out
+
+
+@lru_cache(maxsize=2)
+def _load(path: str) -> Tokens:
+    return Tokens(path)
 
 
 def _encode(tokenizer, text: str, at: int) -> tuple[list[int], list[int]]:
@@ -99,17 +153,17 @@ def count_tokens(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERLA
     return total + len(left[0])
 
 
-def counts(texts: list[str], path: str) -> list[int]:
-    tokenizer = _load(path)
+def counts(texts: list[str], path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Tokens of each text; huge ones are encoded chunk by chunk, the others in batches of bounded size."""
+    tools = _load(path)
     out = [0] * len(texts)
-    short = [i for i, t in enumerate(texts) if 0 < len(t) <= CHUNK]
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    for lo, hi in slices(short, lambda i: len(texts[i]), 1_000_000):
-        for i, found in zip(short[lo:hi], encode([texts[i] for i in short[lo:hi]], add_special_tokens=False), strict=True):
-            out[i] = len(found)
+    short = [i for i, t in enumerate(texts) if 0 < len(t) <= chunk]
+    for lo, hi in slices(short, lambda i: len(texts[i]), 300_000):
+        for i, n in zip(short[lo:hi], tools.counts([texts[i] for i in short[lo:hi]]), strict=True):
+            out[i] = n
     for i, t in enumerate(texts):
-        if len(t) > CHUNK:
-            out[i] = count_tokens(tokenizer, t)
+        if len(t) > chunk:
+            out[i] = count_tokens(tools.lean, t, chunk, overlap)
     return out
 
 
