@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -21,9 +22,8 @@ WORDS, PERCENT = 5, 75
 #: with a probability of (1 - 0.75 ** 3) ** 26 < 1e-6.
 PERMUTATIONS, ROWS = 39, 3
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Buckets up to this size are unfolded to pairs; members of larger ones are compared in blocks of so many documents or
-#: so many shingles.
-SMALL_BUCKET, BLOCK, BLOCK_SHINGLES = 8, 512, 400_000
+#: Members of a bucket are compared in blocks of so many documents.
+BLOCK = 256
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +62,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def least_agreement(values: int = 2 * PERMUTATIONS, similarity: float = PERCENT / 100, risk: float = 1e-9) -> int:
+    """The number of equal values below which two sets of that similarity fall with a probability under the risk."""
+    below, t = 0.0, 0
+    while True:
+        below += math.comb(values, t) * similarity**t * (1 - similarity) ** (values - t)
+        if below >= risk:
+            return t
+        t += 1
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tool = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = batch.column("_text").to_pylist()
         for lo, hi in slices(texts, lambda t: len(t) + 1, 1_500_000):
@@ -70,16 +81,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [shingle_hashes(w) for w in words]
             full = [s for s in sets if len(s)]
             signed = iter(signatures(full).view(np.uint8).reshape(len(full), -1) if full else ())
-            digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in words]
+            joined = [b" ".join(w) if w else None for w in words]
+            digests = [hashlib.blake2b(j, digest_size=16).digest() if j else None for j in joined]
             sigs = [next(signed).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "dg", "sig"])
-
-
-def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tool = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        packed = [tool.compress(b" ".join(words_of(t))) for t in batch.column("_text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["id", "z"])
+            packed = [tool.compress(j) if j else None for j in joined]
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("uid", "doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, sigs, packed)]], ["uid", "doc_id", "text_key", "n_shingles", "dg", "sig", "z"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,133 +137,148 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def _values(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), 2 * PERMUTATIONS)
+
+
+def _screen(frame):
+    """Of a block pair, the members that may link across components by their signatures; see near_duplicates."""
+    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
+    left = frame[frame["block"] == i]
+    right = left if i == j else frame[frame["block"] == j]
+    if not len(left) or not len(right):
+        return frame[_SCREENED][:0]
+    x, y = _values(left["sig"]), _values(right["sig"])
+    n, m = left["n"].to_numpy(np.float64)[:, None], right["n"].to_numpy(np.float64)[None, :]
+    may = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
+    if i == j:
+        may &= np.tri(len(left), dtype=bool).T
+    a, b = np.nonzero(may)
+    keep = np.zeros((2, max(len(left), len(right))), bool)
+    band, least = int(frame["band"].iloc[0]), least_agreement()
+    for at in range(0, len(a), 8192):
+        p, q = a[at : at + 8192], b[at : at + 8192]
+        same = x[p] == y[q]
+        # what shares an earlier band meets there
+        fresh = (same.sum(1) >= least) & ~same[:, : band * ROWS].reshape(len(p), band, ROWS).all(2).any(1)
+        keep[0, p[fresh]] = keep[1, q[fresh]] = True
+    if i == j:
+        return left[_SCREENED][keep[0] | keep[1]]
+    import pandas as pd
+
+    return pd.concat([left[_SCREENED][keep[0, : len(left)]], right[_SCREENED][keep[1, : len(right)]]])
+
+
+_SCREENED = ["bk", "i", "j", "block", "node", "comp"]
+
+
 def _compare(frame):
-    """Links across components of a block pair, confirmed on full sets, as a spanning forest."""
+    """Links across components of a block pair, confirmed on full sets, as a spanning forest of components."""
     import pandas as pd
 
     i, j = frame["i"].iloc[0], frame["j"].iloc[0]
     left = frame[frame["block"] == i]
     right = left if i == j else frame[frame["block"] == j]
-    if not len(left) or not len(right) or (left["comp"].nunique() == 1 and set(right["comp"]) == set(left["comp"])):
+    if not len(left) or not len(right):
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
     tool = zstandard.ZstdDecompressor()
     s = [shingle_hashes(tool.decompress(z).split()) for z in left["z"]]
     t = s if i == j else [shingle_hashes(tool.decompress(z).split()) for z in right["z"]]
     both = intersections(s, t)
     n, m = np.array([len(x) for x in s], np.float64), np.array([len(x) for x in t], np.float64)
-    linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy())
-    found = pd.DataFrame(block_forest(linked, left["rep"].to_numpy(), right["rep"].to_numpy()), columns=["a", "b"]).astype("int64")
+    a, b = left["comp"].to_numpy(), right["comp"].to_numpy()
+    linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (a[:, None] != b)
+    found = pd.DataFrame(block_forest(linked, a, b), columns=["a", "b"]).astype("int64").drop_duplicates()
     if len(frame) > BLOCK // 2:
         del s, t, both, linked
         trim()
     return found
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept, copies (rows with its id and words).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_key, group_key.
 
     Words are lower-cased (A-Z); a document is its set of distinct 5-word shingles. Documents are linked where 100 times
-    the intersection reaches 75 times the union; component_id is the smallest doc_id reachable over links.
-
-    1. Each text is hashed once to a signature of minima and maxima. Documents with the same words form a class, led by
-       its smallest id; only leaders go on.
-    2. Leaders that share a band form a bucket. In each round every member meets one pivot of its bucket, unless both are
-       in one component already; the pairs are confirmed on full sets and components are found anew. A bucket of any
-       size gives as many pairs as members, and a large family collapses in a few rounds.
-    3. In buckets that still hold several components, all pairs across components are confirmed: first each member in
-       the largest of its buckets, then, once components are found anew, in all buckets that are still unsettled. Small
-       buckets are unfolded to pairs; in larger ones, block pairs give all intersections as matrix products and return
-       a spanning forest. No member is left out, whatever the bucket's size, and no bucket's pairs are written out.
+    the intersection reaches 75 times the union; component_id is the smallest doc_id reachable over links. text_key is a
+    hash of the text as it stands; group_key numbers the components, whatever ids their documents have.
+
+    1. Each text is hashed once to a signature of minima and maxima. Documents with the same words form a class, and only
+       one of each goes on.
+    2. Classes that share a band form a bucket. Every member meets two pivots of its bucket, its first and its last; the
+       pairs are confirmed on full sets and components are found. A bucket of any size gives at most twice as many pairs
+       as members, and a large family collapses at once.
+    3. In buckets that still hold several components, members outside the largest one meet all others of the bucket, in
+       blocks. Signatures go first: only pairs that agree on so many values that a link is possible (a link falls below
+       that with a probability under 1e-9), in the first band they share, send their texts on, and for those all
+       intersections of a block pair come from matrix products and return a spanning forest. No member is left out,
+       whatever the bucket's size, and no bucket's pairs are written out.
 
     Nulls: a null text is empty; documents without words have an empty set, link with nothing and are kept. A null doc_id
-    joins no class: component_id is null and kept is true. Rows that repeat a doc_id are one node. An empty table gives
-    an empty result. Other columns are ignored.
+    joins no class: component_id is null and kept is true. Rows that repeat a doc_id are judged each by its own text. An
+    empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    signed = scratch.put(texts.mapInArrow(lean(_sign), "doc_id long, n_shingles long, dg binary, sig binary"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    texts = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("_text"))
+    signed = scratch.put(texts.mapInArrow(lean(_sign), "uid long, doc_id long, text_key long, n_shingles long, dg binary, sig binary, z binary"))
     with_words = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.put(with_words.groupBy("dg").agg(F.min("doc_id").alias("rep")))
-    leaders = scratch.put(with_words.join(classes, (with_words["dg"] == classes["dg"]) & (with_words["doc_id"] == classes["rep"])).select("rep", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep", "sig"]))
+    one = with_words.groupBy("dg").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("z").alias("z"))
+    classes = scratch.put(one)
 
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    banded = leaders.select("rep", "n", F.explode(bands).alias("bk"))
-    shared = scratch.put(banded.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1").select("bk"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring("sig", k * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("bk")))
+    banded = classes.select("node", F.explode(bands).alias("b")).select("node", "b.band", "b.bk")
+    shared = scratch.put(banded.groupBy("bk").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("c")).where("c > 1"))
     members = scratch.put(banded.join(shared, "bk"))
 
-    ids = scratch.put(members.select(F.col("rep").alias("id")).distinct())
-    wanted = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", "_text")
-    packed = scratch.put(wanted.mapInArrow(lean(_compress), "id long, z binary"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(packed.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-        both = left.join(packed.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-        return scratch.put(both.select("a", "b", "za", "zb").mapInArrow(lean(_confirm), "a long, b long"))
-
-    links, comp, unsettled = None, None, None
-    for turn in range(rounds):
-        found = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp, members["rep"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("comp"))
-        found = scratch.put(found)
-        pick = F.min("rep") if turn == 0 else F.min(F.struct(F.xxhash64("rep", "bk", F.lit(turn)).alias("h"), "rep", "comp"))
-        open_ = found.groupBy("bk").agg(pick.alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        pivot = [F.col("p").alias("p_rep"), F.col("p").alias("p_comp")] if turn == 0 else [F.col("p.rep").alias("p_rep"), F.col("p.comp").alias("p_comp")]
-        open_ = scratch.put(open_.select("bk", *pivot))
-        live = scratch.put(found.join(open_, "bk"))
-        pairs = scratch.put(live.where("comp <> p_comp and rep <> p_rep").select(F.least("rep", "p_rep").alias("a"), F.greatest("rep", "p_rep").alias("b")).distinct())
-        new = confirm(pairs)
-        members = live.select("bk", "rep", "n")
-        if new.isEmpty():
-            unsettled = live.select("bk", "rep", "n", "comp")
-            break
-        links = new if links is None else links.union(new)
-        comp = scratch.put(connected_components(links, scratch))
-    if unsettled is None:
-        unsettled = _components_of(members, comp)
-    for widest in (True, False):
-        unsettled = scratch.put(unsettled)
-        rest = _across(scratch, unsettled, packed, confirm, widest)
-        if not rest.isEmpty():
-            links = rest if links is None else links.union(rest)
-            comp = scratch.put(connected_components(links, scratch))
-            unsettled = _components_of(unsettled.drop("comp"), comp)
-
-    if comp is not None:
-        classes = classes.join(comp, classes["rep"] == comp["node"], "left").select("dg", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        classes = classes.select("dg", F.col("rep").alias("component_id"))
-    classes = scratch.put(classes.withColumnRenamed("dg", "class_dg"))
-    scratch.keep(signed, classes)
-    out = signed.join(classes, signed["dg"] == F.col("class_dg"), "left")
+    pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = pairs.union(members.where("node <> first and node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))).distinct()
+    packed = classes.select("node", "z")
+    left = pairs.join(packed, F.col("a") == F.col("node")).select("a", "b", F.col("z").alias("za"))
+    both = left.join(packed, F.col("b") == F.col("node")).select("a", "b", "za", F.col("z").alias("zb"))
+    links = scratch.put(both.mapInArrow(lean(_confirm), "a long, b long"))
+    comp = scratch.put(connected_components(links, scratch))
+
+    more = _across(scratch, members, comp, classes)
+    if more is not None:
+        wider = scratch.put(connected_components(more, scratch).select(F.col("node").alias("c"), F.col("component").alias("wide")))
+        alone = wider.join(comp, F.col("c") == F.col("node"), "left_anti").select(F.col("c").alias("node"), F.col("wide").alias("component"))
+        comp = comp.join(wider, F.col("component") == F.col("c"), "left").select("node", F.coalesce("wide", "component").alias("component")).union(alone)
+    named = scratch.put(classes.select("node", "rep").join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member")).select("node", "rep", "component"))
+    heads = named.groupBy("component").agg(F.min("rep").alias("head")).withColumnRenamed("component", "of")
+    found = named.join(heads, F.col("component") == F.col("of")).select(F.col("node").alias("member"), "component", "head")
+    final = classes.select("dg", "node", "rep").join(found, F.col("node") == F.col("member"), "left")
+    final = scratch.put(final.select(F.col("dg").alias("class_dg"), F.coalesce("head", "rep").alias("component_id"), F.coalesce("component", "node").alias("group_key")))
+    scratch.keep(signed, final)
+    rows = signed.select("doc_id", "n_shingles", "text_key", "dg")
+    out = rows.join(final, (F.col("dg") == F.col("class_dg")) & F.col("doc_id").isNotNull(), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-
-
-def _components_of(members: DataFrame, comp: DataFrame) -> DataFrame:
-    return members.join(comp, members["rep"] == comp["node"], "left").select(*members.columns, F.coalesce("component", "rep").alias("comp"))
-
-
-def _across(scratch: Scratch, members: DataFrame, packed: DataFrame, confirm, widest: bool) -> DataFrame:
-    """Links across the components of each bucket that holds more than one; if widest, of large ones alone, and with each
-    member in the largest of its buckets only."""
-    sizes = F.count("*").alias("c"), F.sum("n").alias("s"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    open_ = scratch.put(members.groupBy("bk").agg(*sizes).where("lo < hi").select("bk", "c", "s"))
-    live = scratch.put(members.join(open_, "bk"))
-    large = live.where(F.col("c") > SMALL_BUCKET)
-    if widest:
-        best = large.groupBy("rep").agg(F.max(F.struct("c", "bk")).getField("bk").alias("best"))
-        best = scratch.put(best.withColumnRenamed("rep", "owner"))
-        large = large.join(best, (F.col("rep") == F.col("owner")) & (F.col("bk") == F.col("best"))).drop("owner", "best")
-    blocks = F.greatest(F.expr(f"(c + {BLOCK - 1}) div {BLOCK}"), F.expr(f"(s + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES}"))
-    large = large.withColumn("nb", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")))
-    large = large.join(packed.select(F.col("id"), "z"), F.col("rep") == F.col("id")).drop("id")
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    large = large.select("bk", "rep", "comp", "z", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    found = scratch.put(large.groupBy("bk", "i", "j").applyInPandas(_compare, "a long, b long"))
-    if widest:
-        return found
-    small = live.where(F.col("c") <= SMALL_BUCKET)
-    other = small.select("bk", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-    fits = 100 * F.least("n", "m") >= PERCENT * F.greatest("n", "m")
-    pairs = small.join(other, "bk").where((F.col("rep") < F.col("b")) & (F.col("comp") != F.col("other")) & fits).select(F.col("rep").alias("a"), "b").distinct()
-    return found.union(confirm(scratch.put(pairs)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", "group_key")
+
+
+def _across(scratch: Scratch, members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links between the components of buckets that hold several, or None where there is nothing to compare. Pivots, and
+    with them buckets of up to three, have met all others already."""
+    inner = members.where("c > 3 and node <> first and node <> last").select("bk", "band", "node")
+    inner = scratch.put(inner.join(comp.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("bk", "band", "node", F.coalesce("component", "node").alias("comp")))
+    sizes = inner.groupBy("bk", "comp").agg(F.count("*").alias("c"))
+    top = F.max(F.struct("c", "comp")).alias("top")
+    open_ = sizes.groupBy("bk").agg(F.sum("c").alias("total"), top, F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda n: F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}")
+    open_ = scratch.put(open_.select("bk", F.col("top.comp").alias("main"), blocks("total - top.c").alias("few"), blocks("top.c").alias("many")))
+    live = inner.join(open_, "bk")
+    # members outside the main component are in blocks 0 .. few-1, those in it behind; block pairs are (i, j), i < few
+    outside = F.col("comp") != F.col("main")
+    block = F.pmod(F.xxhash64("node"), F.when(outside, F.col("few")).otherwise(F.col("many"))) + F.when(outside, F.lit(0)).otherwise(F.col("few"))
+    upto = F.when(outside, F.col("few") + F.col("many")).otherwise(F.col("few"))
+    live = live.select("bk", "band", "node", "comp", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), upto - 1)).alias("other"))
+    live = live.select("bk", "band", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    signs = classes.select(F.col("node").alias("member"), "n", "sig")
+    live = live.join(signs, F.col("node") == F.col("member")).drop("member")
+    maybe = scratch.put(live.groupBy("bk", "i", "j").applyInPandas(_screen, "bk long, i long, j long, block long, node long, comp long"))
+    if maybe.isEmpty():
+        return None
+    texts = classes.select(F.col("node").alias("member"), "z")
+    near = maybe.join(texts, F.col("node") == F.col("member")).drop("member")
+    more = scratch.put(near.groupBy("bk", "i", "j").applyInPandas(_compare, "a long, b long"))
+    return None if more.isEmpty() else more
