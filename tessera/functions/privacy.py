@@ -7,39 +7,36 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import empty, fold, let, piece, running_sums, text_blocks
 from .constants import NAME_PATTERNS, NOT_NAMES, PII_PATTERNS, PII_THRESHOLD, PII_TYPES
 from .text import words_array
 
 _SPAN = "struct<start:int,neg_length:int,neg_confidence:double,ord:int,entity_type:string,text:string,detector:string>"
 
 
-def _empty(kind: str) -> Column:
-    return F.expr(f"cast(array() as array<{kind}>)")
-
-
 def _matches(text: Column, pattern: str, entity: str, confidence: float, order: int, group: int, detector: str) -> Column:
     """Spans of a pattern. The lengths of the gaps between matches, and of the matches, add up to offsets; the group, if
-    any, ends its match."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    any, ends its match. A text without a match is searched once."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("w"), inner.alias("i")), lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["i"].alias("i")))
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["g"] + F.length(x["w"])
-        span = F.struct(
-            (end - F.length(x["i"])).cast("int").alias("start"),
-            (-F.length(x["i"])).cast("int").alias("neg_length"),
+    def spans(found: Column) -> Column:
+        lengths = F.transform(F.slice(found["g"], F.lit(1), F.size(found["w"])), lambda g, i: F.length(g) + F.length(F.get(found["w"], i)))
+        return F.zip_with(running_sums(lengths), found["i"], span)
+
+    def span(end: Column, x: Column) -> Column:
+        return F.struct(
+            (end - F.length(x)).cast("int").alias("start"),
+            (-F.length(x)).cast("int").alias("neg_length"),
             F.lit(-confidence).alias("neg_confidence"),
             F.lit(order).alias("ord"),
             F.lit(entity).alias("entity_type"),
-            x["i"].alias("text"),
+            x.alias("text"),
             F.lit(detector).alias("detector"),
         )
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), _empty(_SPAN).alias("out"))
-    return F.when(F.size(whole) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(_empty(_SPAN))
+    found = F.struct(F.split(text, pattern, -1).alias("g"), whole.alias("w"), inner.alias("i"))
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(empty(_SPAN))
 
 
 def pii_spans(text: Column, enabled: Sequence[str] = PII_TYPES, thresholds: Mapping[str, float] | None = None, default: float = PII_THRESHOLD) -> Column:
@@ -56,18 +53,19 @@ def pii_spans(text: Column, enabled: Sequence[str] = PII_TYPES, thresholds: Mapp
             names = _matches(text, p, "PERSON", c, len(PII_PATTERNS) + k, 1, "heuristic-ner")
             found.append(F.filter(names, lambda x: ~F.arrays_overlap(F.split(x["text"], r"\s+"), words_array(NOT_NAMES))))
     if not found:
-        every = _empty(_SPAN)
+        every = empty(_SPAN)
     else:
         every = F.array_sort(F.concat(*found))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        clear = (F.size(acc) == 0) | (x["start"] >= last["start"] - last["neg_length"])
+    def step(last: Column, x: Column) -> tuple[Column, Column]:
+        clear = last["text"].isNull() | (x["start"] >= last["start"] - last["neg_length"])
         surer = x["neg_confidence"] < last["neg_confidence"]
-        swapped = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), x)
-        return F.when(F.size(acc) == 0, F.array_append(acc, x)).when(clear, F.array_append(acc, x)).when(surer, swapped).otherwise(acc)
+        done = clear & last["text"].isNotNull()
+        return F.when(clear | surer, x).otherwise(last), F.when(done, F.array(last)).otherwise(empty(_SPAN))
 
-    kept = F.when(F.size(every) > 0, F.aggregate(every, _empty(_SPAN), step)).otherwise(_empty(_SPAN))
+    none = F.expr(f"cast(null as {_SPAN})")
+    none = F.struct(*[none[c.split(":")[0]].alias(c.split(":")[0]) for c in _SPAN[7:-1].split(",")])
+    kept = fold(every, none, step, _SPAN, lambda last: F.when(last["text"].isNotNull(), F.array(last)).otherwise(empty(_SPAN)))
     shape = lambda x: F.struct(x["start"].alias("start"), (x["start"] - x["neg_length"]).alias("end"), x["entity_type"].alias("entity_type"), x["text"].alias("text"), (-x["neg_confidence"]).alias("confidence"), x["detector"].alias("detector"))
     return F.transform(kept, shape)
 
@@ -75,28 +73,36 @@ def pii_spans(text: Column, enabled: Sequence[str] = PII_TYPES, thresholds: Mapp
 def placeholders(spans: Column) -> Column:
     """The placeholder of each span. Numbers of a type count from the right, for every span; equal texts share the
     placeholder of their last occurrence, whatever its type."""
+    # spans sorted by type from the right, so that numbers run within a type; then by text from the right, so that the first
+    # of a text leads the others; then back in order
+    numbered = "struct<text:string,neg:int,name:string>"
+    by_type = F.array_sort(F.transform(spans, lambda x, i: F.struct(x["entity_type"].alias("t"), (-i).alias("neg"), x["text"].alias("text"))))
+
+    def number(s: Column, x: Column) -> tuple[Column, Column]:
+        n = F.when(s["t"] == x["t"], s["n"] + 1).otherwise(F.lit(1))
+        name = F.concat(F.lit("["), x["t"], F.lit("_"), n.cast("string"), F.lit("]"))
+        return F.struct(x["t"].alias("t"), n.alias("n")), F.array(F.struct(x["text"].alias("text"), x["neg"].alias("neg"), name.alias("name")))
 
-    def name(x: Column, i: Column) -> Column:
-        # the span that first gets a placeholder, walking from the right
-        owner = F.aggregate(spans, F.struct(F.lit(0).alias("i"), F.lit(-1).alias("at")), lambda acc, y: F.struct((acc["i"] + 1).alias("i"), F.when(y["text"] == x["text"], acc["i"]).otherwise(acc["at"]).alias("at")), lambda acc: acc["at"])
-        leader = F.get(spans, owner)
-        later = F.filter(F.slice(spans, owner + 1, F.size(spans)), lambda y: y["entity_type"] == leader["entity_type"])
-        return F.concat(F.lit("["), leader["entity_type"], F.lit("_"), F.size(later).cast("string"), F.lit("]"))
+    def lead(s: Column, x: Column) -> tuple[Column, Column]:
+        name = F.when(s["text"] == x["text"], s["name"]).otherwise(x["name"])
+        return F.struct(x["text"].alias("text"), name.alias("name")), F.array(F.struct((-x["neg"]).alias("i"), name.alias("name")))
 
-    return F.transform(spans, name)
+    null = F.lit(None).cast("string")
+    named = fold(by_type, F.struct(null.alias("t"), F.lit(0).alias("n")), number, numbered)
+    led = fold(F.array_sort(named), F.struct(null.alias("text"), null.alias("name")), lead, "struct<i:int,name:string>")
+    return F.transform(F.array_sort(led), lambda x: x["name"])
 
 
 def redact(text: Column, spans: Column, names: Column) -> Column:
     """The text with each span replaced by its placeholder."""
-    start = F.struct(F.lit(0).alias("at"), _empty("string").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"]["start"] - acc["at"])
-        return F.struct(x["s"]["end"].alias("at"), F.array_append(acc["out"], F.concat(gap, x["n"])).alias("out"))
+    def cut(x: Column) -> Column:
+        gap = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(x["s"], i - 1)["end"])
+        marked = F.transform(x["s"], lambda s, i: F.concat(piece(x["b"], gap(i), s["start"]), F.get(x["n"], i)))
+        return F.concat(F.array_join(marked, ""), piece(x["b"], F.element_at(x["s"], -1)["end"], x["l"]))
 
-    pairs = F.zip_with(spans, names, lambda s, n: F.struct(s.alias("s"), n.alias("n")))
-    joined = F.aggregate(pairs, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+    parts = F.struct(text_blocks(text).alias("b"), spans.alias("s"), names.alias("n"), F.length(text).alias("l"))
+    return F.when(F.size(spans) > 0, let(parts, cut)).otherwise(text)
 
 
 def redaction_entries(spans: Column, names: Column) -> Column:

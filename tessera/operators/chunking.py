@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import empty, fold, let, piece, text_blocks
 from ..functions.constants import HEADER
 from ..functions.text import sentences_and_lines, strip
 
@@ -12,34 +13,23 @@ _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _PIECE = "struct<start:int,end:int,text:string>"
 
 
-def _empty(kind: str) -> Column:
-    return F.expr(f"cast(array() as array<{kind}>)")
-
-
 def windows(text: Column, size: int = 800, overlap: int = 120) -> Column:
     """Array of (start, end, text): windows of `size` characters every size - overlap, up to the one that reaches the end;
     text is stripped, start and end are not; blank ones are left out."""
     step = max(size - overlap, 1)
     n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(_empty("int"))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(empty("int"))
     starts = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
-    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"), strip(F.substring(text, s + 1, F.lit(size))).alias("text")))
-    return F.filter(cut, lambda x: x["text"] != "")
+    cut = lambda x: F.transform(x["s"], lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), strip(piece(x["b"], s, F.least(s + size, x["n"]))).alias("text")))
+    made = let(F.struct(starts.alias("s"), text_blocks(text).alias("b"), n.alias("n")), cut)
+    return F.filter(made, lambda x: x["text"] != "")
 
 
 def sections(text: Column) -> Column:
-    """Stripped, non-empty sections; a header line begins a new one."""
-
-    def step(acc: Column, line: Column) -> Column:
-        begins = acc["on"] & strip(line).rlike(HEADER)
-        return F.struct(
-            F.lit(True).alias("on"),
-            F.when(begins | ~acc["on"], line).otherwise(F.concat(acc["cur"], F.lit("\n"), line)).alias("cur"),
-            F.when(begins, F.array_append(acc["out"], strip(acc["cur"]))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(False).alias("on"), F.lit("").alias("cur"), _empty("string").alias("out"))
-    whole = F.aggregate(F.split(text, _LINE_END, -1), start, step, lambda acc: F.array_append(acc["out"], strip(acc["cur"])))
+    """Stripped, non-empty sections; a header line begins a new one. Lines hold no carriage return, which so marks the
+    beginnings of sections while lines are joined again."""
+    lines = F.transform(F.split(text, _LINE_END, -1), lambda line, i: F.when((i > 0) & strip(line).rlike(HEADER), F.concat(F.lit("\r"), line)).otherwise(line))
+    whole = F.transform(F.split(F.array_join(lines, "\n"), "\n\r", -1), strip)
     return F.filter(whole, lambda s: s != "")
 
 
@@ -53,30 +43,29 @@ def merged_sections(text: Column, max_chars: int = 1200, min_chars: int = 200) -
     unit = lambda t, kind: F.struct(t.alias("t"), F.lit(kind).alias("k"))
     pieces = F.flatten(F.transform(sections(text), lambda s: F.when(F.length(s) > max_chars, F.concat(F.array(unit(F.lit(""), 0)), F.transform(sentences_and_lines(s), lambda x: unit(x, 1)))).otherwise(F.array(unit(s, 2)))))
 
-    def step(acc: Column, x: Column) -> Column:
-        buf, t = acc["buf"], x["t"]
+    def step(buf: Column, x: Column) -> tuple[Column, Column]:
+        t = x["t"]
         fits = F.length(buf) + F.length(t) <= max_chars
         flush = F.when(x["k"] == 0, buf != "").when(x["k"] == 1, ~fits & (F.length(buf) >= min_chars)).otherwise(~fits)
         joiner = F.when(x["k"] == 1, F.lit(" ")).otherwise(F.lit("\n"))
-        return F.struct(
-            F.when(x["k"] == 0, F.lit("")).when(flush, strip(t)).otherwise(strip(F.concat(buf, joiner, t))).alias("buf"),
-            F.when(flush, F.array_append(acc["out"], buf)).otherwise(acc["out"]).alias("out"),
-        )
+        after = F.when(x["k"] == 0, F.lit("")).when(flush, strip(t)).otherwise(strip(F.concat(buf, joiner, t)))
+        return after, F.when(flush, F.array(buf)).otherwise(empty("string"))
 
-    start = F.struct(F.lit("").alias("buf"), _empty("string").alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: F.when(strip(acc["buf"]) != "", F.array_append(acc["out"], acc["buf"])).otherwise(acc["out"]))
+    return fold(pieces, F.lit(""), step, "string", lambda buf: F.when(strip(buf) != "", F.array(buf)).otherwise(empty("string")))
 
 
 def located(text: Column, chunks: Column) -> Column:
     """Array of (start, end, text): each chunk where its first 40 characters occur behind the one before, or right there."""
 
-    def step(acc: Column, c: Column) -> Column:
-        found = F.position(F.substring(c, 1, 40), text, acc["at"] + 1) - 1
-        start = F.when(found >= 0, found).otherwise(acc["at"])
-        end = start + F.length(c)
-        return F.struct(end.cast("int").alias("at"), F.array_append(acc["out"], F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), c.alias("text"))).alias("out"))
+    def step(at: Column, c: Column) -> tuple[Column, Column]:
+        def place(found: Column) -> Column:
+            start = F.when(found >= 0, found).otherwise(at).cast("int")
+            return F.struct(start.alias("start"), (start + F.length(c)).cast("int").alias("end"), c.alias("text"))
+
+        placed = let(F.position(F.substring(c, 1, 40), text, at + 1) - 1, place)
+        return placed["end"], F.array(placed)
 
-    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), _empty(_PIECE).alias("out")), step, lambda acc: acc["out"])
+    return fold(chunks, F.lit(0), step, _PIECE)
 
 
 def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str) -> DataFrame:
@@ -114,13 +103,12 @@ def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int
     parents = located(text, merged_sections(text, parent_max))
     nested = F.transform(parents, lambda p, i: F.struct(i.alias("i"), p.alias("p"), windows(p["text"], child_size, child_overlap).alias("kids")))
 
-    def number(acc: Column, x: Column) -> Column:
+    def number(n: Column, x: Column) -> tuple[Column, Column]:
         item = lambda level, idx, piece: F.struct(F.lit(level).alias("level"), x["i"].alias("parent"), idx.cast("int").alias("idx"), piece.alias("piece"), x["p"]["text"].alias("parent_text"))
-        kids = F.transform(x["kids"], lambda k, j: item("child", acc["n"] + j, k))
-        return F.struct((acc["n"] + F.size(x["kids"])).alias("n"), F.concat(acc["out"], F.array(item("parent", x["i"], x["p"])), kids).alias("out"))
+        kids = F.transform(x["kids"], lambda k, j: item("child", n + j, k))
+        return n + F.size(x["kids"]), F.concat(F.array(item("parent", x["i"], x["p"])), kids)
 
-    kind = f"struct<level:string,parent:int,idx:int,piece:{_PIECE},parent_text:string>"
-    every = F.aggregate(nested, F.struct(F.lit(0).alias("n"), _empty(kind).alias("out")), number, lambda acc: acc["out"])
+    every = fold(nested, F.lit(0), number, f"struct<level:string,parent:int,idx:int,piece:{_PIECE},parent_text:string>")
     rows = docs.select("doc_id", F.posexplode(every).alias("ord", "x"))
     doc = F.col("doc_id").cast("string")
     parent_id = F.concat(doc, F.lit("#c"), F.col("x.parent").cast("string"))
