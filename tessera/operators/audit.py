@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.constants import HINT_KEYS
+from ..sources.session import ship
 
 GENESIS = "GENESIS"
 
@@ -15,43 +21,85 @@ def scrub(details: Column) -> Column:
     return F.transform_values(details, lambda k, v: F.when(F.lower(k).rlike("|".join(HINT_KEYS)), F.concat(F.lit("<redacted:"), F.substring(F.sha2(v, 256), 1, 8), F.lit(">"))).otherwise(v))
 
 
-def canonical(record: Column) -> Column:
-    """Our canonical form: fields by name, details sorted by key, joined by control characters that keep them apart.
+def json_text(text: Column) -> Column:
+    """A JSON string of ASCII alone: quotes and backslashes escaped, all beyond printable ASCII as \\uXXXX, in pairs beyond
+    the first plane, and the usual short forms of control characters."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(c.rlike('["\\\\]'), F.concat(F.lit("\\"), c)).when(c.rlike("[ -~]"), c)
+        for sign, short in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"), ("\b", "\\b")):
+            out = out.when(c == sign, F.lit(short))
+        pair = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return out.when(n > 0xFFFF, pair).otherwise(unit(n))
+
+    plain = F.regexp_replace(text, '(["\\\\])', "\\\\$1")
+    each = F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(text.rlike("^[ -~]*$"), plain).otherwise(each), F.lit('"'))
+
+
+def json_number(text: Column) -> Column:
+    """A decimal as the shortest JSON number of its value: no zeros at its end, but one digit behind the point."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+
 
-    record has event, request_id, actor, details (map of strings), ts (string) and record_id.
+def canonical(record: Column) -> tuple[Column, Column]:
+    """The canonical JSON of a record, keys sorted and no blanks, before and behind the value of prev_hash.
+
+    record has event, request_id, actor, details (map of strings), ts (seconds as decimal text) and record_id.
     """
-    pairs = F.transform(F.array_sort(F.map_entries(record["details"])), lambda e: F.concat(e["key"], F.lit("\x1f"), e["value"]))
-    return F.concat_ws("\x1e", record["actor"], F.array_join(pairs, "\x1d"), record["event"], record["record_id"], record["request_id"], record["ts"])
+    pairs = F.transform(F.array_sort(F.map_entries(record["details"])), lambda e: F.concat(json_text(e["key"]), F.lit(":"), F.coalesce(json_text(e["value"]), F.lit("null"))))
+    text = lambda c: F.coalesce(json_text(record[c]), F.lit("null"))
+    head = F.concat(F.lit('{"actor":'), text("actor"), F.lit(',"details":{'), F.coalesce(F.array_join(pairs, ","), F.lit("")), F.lit('},"event":'), text("event"), F.lit(',"prev_hash":"'))
+    tail = F.concat(F.lit('","record_id":'), text("record_id"), F.lit(',"request_id":'), text("request_id"), F.lit(',"ts":'), F.coalesce(json_number(record["ts"]), F.lit("null")), F.lit("}"))
+    return head, tail
+
+
+def line(record: Column) -> Column:
+    """A sealed record as a line of a log: its canonical JSON with both hashes."""
+    head, tail = canonical(record)
+    return F.concat(head, record["prev_hash"], F.lit('","record_hash":"'), record["record_hash"], tail)
 
 
-def _hash(prev: Column, body: Column) -> Column:
-    return F.sha2(F.concat(prev, F.lit("\x1e"), body), 256)
+def _hash(prev: Column, parts: tuple[Column, Column]) -> Column:
+    return F.sha2(F.concat(parts[0], prev, parts[1]), 256)
 
 
 def seal(records: DataFrame) -> DataFrame:
     """Adds prev_hash and record_hash to records (log_id, seq, event, request_id, actor, details, ts, record_id).
 
-    Sealing is sequential by its nature, so a chain is folded in one row; only the hashed bodies are gathered for that.
+    Sealing is sequential by its nature: chains are dealt to tasks, sorted, and hashed as their rows stream by, with no more
+    kept of a chain than its last hash.
     """
-    rows = records.withColumn("_body", canonical(F.struct("*")))
-    order = F.array_sort(F.collect_list(F.struct("seq", "_body")))
-    start = F.struct(F.lit(GENESIS).alias("prev"), F.expr("cast(array() as array<struct<seq:bigint,prev_hash:string,record_hash:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = _hash(acc["prev"], x["_body"])
-        return F.struct(h.alias("prev"), F.array_append(acc["out"], F.struct(x["seq"].cast("long").alias("seq"), acc["prev"].alias("prev_hash"), h.alias("record_hash"))).alias("out"))
-
-    chains = rows.groupBy("log_id").agg(F.aggregate(order, start, step, lambda acc: acc["out"]).alias("c"))
-    links = chains.select("log_id", F.explode("c").alias("x")).select("log_id", "x.*")
-    return rows.drop("_body").join(links, ["log_id", "seq"])
+    ship(records.sparkSession)
+    head, tail = canonical(F.struct("*"))
+    rows = records.withColumn("_head", head).withColumn("_tail", tail).repartition("log_id").sortWithinPartitions("log_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, prev, begun = None, GENESIS, False
+        for batch in batches:
+            before, after = [], []
+            for log_id, a, b in zip(*[batch.column(c).to_pylist() for c in ("log_id", "_head", "_tail")], strict=True):
+                if not begun or log_id != chain:
+                    chain, prev, begun = log_id, GENESIS, True
+                before.append(prev)
+                prev = hashlib.sha256(f"{a}{prev}{b}".encode()).hexdigest()
+                after.append(prev)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(before, pa.string()), pa.array(after, pa.string())], [*batch.schema.names[:-2], "prev_hash", "record_hash"])
+
+    out = StructType([*records.schema.fields, StructField("prev_hash", StringType()), StructField("record_hash", StringType())])
+    return rows.mapInArrow(run, out)
 
 
 def verify(log: DataFrame) -> DataFrame:
     """One row for each chain: log_id, ok, checked, broken_at, reason. Every record is tested on its own against its
-    predecessor's hash, in parallel; the first failing one decides, its link being tested before its own hash."""
+    predecessor's hash, in parallel; the first failing one decides, its link being tested before its own hash. Records come
+    with their fields, or with `body`, the canonical JSON that was hashed (sources.io.read_audit_lines)."""
+    own = F.sha2("body", 256) if "body" in log.columns else _hash(F.col("prev_hash"), canonical(F.struct("*")))
     before = F.lag("record_hash", 1, GENESIS).over(Window.partitionBy("log_id").orderBy("seq"))
     place = F.row_number().over(Window.partitionBy("log_id").orderBy("seq")) - 1
-    tested = log.select("log_id", "record_id", place.alias("place"), (F.col("prev_hash") != before).alias("unlinked"), (F.col("record_hash") != _hash(F.col("prev_hash"), canonical(F.struct("*")))).alias("changed"))
+    tested = log.select("log_id", "record_id", place.alias("place"), (F.col("prev_hash") != before).alias("unlinked"), (F.col("record_hash") != own).alias("changed"))
     bad = F.when(F.col("unlinked") | F.col("changed"), F.struct("place", "record_id", "unlinked"))
     found = tested.groupBy("log_id").agg(F.min(bad).alias("b"), F.count("*").alias("n"))
     ok = F.col("b").isNull()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.constants import DEFAULT_KEY, RATE_PER_MINUTE
+from ..sources.session import ship
 
 WINDOW_S = 60.0
 
@@ -21,27 +25,29 @@ def authorise(requests: DataFrame, keys: DataFrame, key: str = "api_key") -> Dat
 
 def rate_limit(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, key: str = "user_id", at: str = "at", order: str = "event_id") -> DataFrame:
     """(key, order, at, allowed): a request is denied where per_minute allowed ones of its key are less than 60 s old; a
-    denied one doesn't count.
+    denied one doesn't count, and neither does one without a time.
 
-    A key's requests fall into bursts: behind a pause of 60 s nothing counts any more. Bursts are found by a window over
-    the sorted times, which needs no state, and each is folded on its own, over its times alone; so neither a busy key's
-    history nor an old request is ever gathered. Only a burst is sequential by its nature.
+    Requests are dealt to tasks by key, sorted by time, and judged as they stream by; of a key no more is kept than the
+    times of its last per_minute allowed requests, and the work is linear. Only a key's requests follow one another.
     """
-    sorted_times = Window.partitionBy(key).orderBy("_t", order)
-    rows = requests.select(key, order, F.col(at).cast("double").alias("_t"))
-    rows = rows.withColumn("_new", (F.col("_t") - F.lag("_t").over(sorted_times) >= WINDOW_S).cast("long"))
-    rows = rows.withColumn("_burst", F.coalesce(F.sum("_new").over(sorted_times), F.lit(0)))
-    listed = rows.groupBy(key, "_burst").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(order).alias("o")))).alias("h"))
-    kind = requests.schema[order].dataType.simpleString()
-    start = F.struct(F.expr("cast(array() as array<double>)").alias("recent"), F.expr(f"cast(array() as array<struct<o:{kind},t:double,allowed:boolean>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.filter(acc["recent"], lambda t: x["t"] - t < WINDOW_S)
-        allowed = F.size(recent) < per_minute
-        return F.struct(F.when(allowed, F.array_append(recent, x["t"])).otherwise(recent).alias("recent"), F.array_append(acc["out"], F.struct(x["o"].alias("o"), x["t"].alias("t"), allowed.alias("allowed"))).alias("out"))
-
-    folded = listed.select(key, F.explode(F.aggregate("h", start, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(key, F.col("x.o").alias(order), F.col("x.t").alias(at), F.col("x.allowed").alias("allowed"))
+    ship(requests.sparkSession)
+    rows = requests.select(key, order, F.col(at).cast("double").alias(at)).repartition(key).sortWithinPartitions(key, at, order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, begun, recent = None, False, deque(maxlen=max(1, per_minute))
+        for batch in batches:
+            allowed = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not begun or k != now:
+                    now, begun = k, True
+                    recent.clear()
+                ok = per_minute > 0 and (len(recent) < per_minute or t is None or t - recent[0] >= WINDOW_S)
+                allowed.append(ok)
+                if ok and t is not None:
+                    recent.append(t)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("allowed", BooleanType())]))
 
 
 def service_metrics(requests: DataFrame) -> DataFrame:
@@ -86,3 +92,14 @@ def sse_events(answers: DataFrame, key: str, answer: str) -> DataFrame:
 def key_frame(spark, keys: Iterable[str]) -> DataFrame:
     """Keys as a table; the default one where there are none."""
     return spark.createDataFrame([(k,) for k in sorted(set(keys) or {DEFAULT_KEY})], "api_key string")
+
+
+def health(spark, version: str = "1") -> DataFrame:
+    """One row: status, version. A session that answers is alive."""
+    return spark.createDataFrame([("ok", version)], "status string, version string")
+
+
+def readiness(chunks: DataFrame) -> DataFrame:
+    """One row: ready, chunks, documents; ready once anything is indexed."""
+    counts = chunks.agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("documents"))
+    return counts.select((F.col("chunks") > 0).alias("ready"), "chunks", "documents")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .session import ship
+
 EXAMPLE = "id string, query string, expected_citations array<string>, must_contain array<string>, must_not_contain array<string>, min_groundedness double"
 AUDIT = "log_id string, seq bigint, event string, request_id string, actor string, details map<string,string>, ts string, record_id string, prev_hash string, record_hash string"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -44,7 +50,7 @@ def write_examples(examples: DataFrame, path: str) -> None:
 
 
 def append_audit(records: DataFrame, path: str) -> None:
-    """Appends sealed records to a log of JSON lines."""
+    """Appends sealed records of any chains to a log of JSON lines."""
     order = [c.split()[0] for c in AUDIT.split(", ")]
     records.select(*order).write.mode("append").json(path)
 
@@ -53,16 +59,45 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(AUDIT).json(path)
 
 
+def write_audit_chain(records: DataFrame, path: str) -> None:
+    """Writes one chain as lines of canonical JSON in order, as a log is kept elsewhere: files follow one another by name."""
+    from ..operators.audit import line
+
+    records.orderBy("seq").select(line(F.struct("*"))).write.text(path)
+
+
+def read_audit_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log_id, seq, record_id, prev_hash, record_hash, body) of logs of JSON lines, each file a chain in the order of its
+    lines; body is what was hashed: the record without its hash, as JSON with sorted keys, no blanks and ASCII alone.
+    Details may be of any JSON type. Blank lines are skipped."""
+    ship(spark)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("nth"), F.trim("value").alias("line")).where("line <> ''")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            records = [json.loads(x) for x in batch.column("line").to_pylist()]
+            taken = [[str(r.get(c, "")) for r in records] for c in ("record_id", "prev_hash")]
+            hashes = [str(r.pop("record_hash", "")) for r in records]
+            bodies = [json.dumps(r, sort_keys=True, separators=(",", ":")) for r in records]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(x, pa.string()) for x in (*taken, hashes, bodies)]], ["log_id", "at", "nth", "record_id", "prev_hash", "record_hash", "body"])
+
+    rows = lines.mapInArrow(parse, "log_id string, at long, nth long, record_id string, prev_hash string, record_hash string, body string")
+    seq = F.row_number().over(Window.partitionBy("log_id").orderBy("at", "nth")).cast("long")
+    return rows.select("log_id", seq.alias("seq"), "record_id", "prev_hash", "record_hash", "body")
+
+
 def read_keys(spark: SparkSession, path: str | None, listed: str = "") -> DataFrame:
-    """(api_key): those of a comma-separated list and those of a file's lines that don't begin with a hash sign; the
-    default key where there are none. A file of keys is configuration, and small."""
+    """(api_key): those of a comma-separated list and those of a file's lines that don't begin with a hash sign, however
+    many; the default key where there are none."""
     from ..operators.service import key_frame
 
     keys = [k.strip() for k in listed.split(",") if k.strip()]
-    if path:
-        lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.trim("value").alias("k")).limit(100_000)
-        keys += [r.k for r in lines.collect()]
-    return key_frame(spark, keys)
+    if not path:
+        return key_frame(spark, keys)
+    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.trim("value").alias("api_key"))
+    if keys:
+        return lines.union(key_frame(spark, keys)).distinct()
+    return lines.distinct() if not lines.isEmpty() else key_frame(spark, [])
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:

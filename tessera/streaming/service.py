@@ -45,7 +45,8 @@ def rate_limit_stream(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, ti
 
 
 def seal_stream(records: DataFrame) -> DataFrame:
-    """(log_id, seq, prev_hash, record_hash) of a stream of records (log_id, seq, body), body being the canonical form.
+    """(log_id, seq, prev_hash, record_hash) of a stream of records (log_id, seq, head, tail), the canonical JSON before and
+    behind the previous hash.
 
     State is a chain's last hash. A chain's records must come in order of seq over triggers; within one they are sorted.
     """
@@ -59,9 +60,9 @@ def seal_stream(records: DataFrame) -> DataFrame:
         prev = state.get[0] if state.exists else GENESIS
         frame = pd.concat(list(frames)).sort_values("seq", kind="stable")
         before, after = [], []
-        for body in frame["body"].tolist():
+        for head, tail in zip(frame["head"].tolist(), frame["tail"].tolist(), strict=True):
             before.append(prev)
-            prev = hashlib.sha256(f"{prev}\x1e{body}".encode()).hexdigest()
+            prev = hashlib.sha256(f"{head}{prev}{tail}".encode()).hexdigest()
             after.append(prev)
         state.update((prev,))
         yield pd.DataFrame({"log_id": key[0], "seq": frame["seq"], "prev_hash": before, "record_hash": after})

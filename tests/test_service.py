@@ -1,3 +1,5 @@
+import hashlib
+import json
 import random
 import time
 
@@ -70,9 +72,76 @@ def test_audit(spark, tmp_path):
     assert audit.verify(log.where("seq < 5")).first().ok  # a missing tail can't be seen
 
 
+ODD_TEXTS = ["plain", 'quo"te\\back', "tab\tline\nret\r\b\f", "\x01\x7f", "é字\u2028", "😀 𐍈", ""]
+
+
+def test_audit_is_canonical_json(spark):
+    """Hashes are those of the record as JSON with sorted keys, no blanks and ASCII alone, the previous hash among its fields."""
+    rows = [("log", k, t, f"r{k}", "system", {"b": t, "a": "x"}, ts, f"id{k}") for k, (t, ts) in enumerate(zip(ODD_TEXTS, ["1732672000.500000", "12.0", "1.250000", "3.000000", "1732672000.123456", "0.1", "7.10"], strict=True))]
+    frame = spark.createDataFrame(rows, records(spark).schema)
+    prev = "GENESIS"
+    for r in sorted(audit.seal(frame).collect(), key=lambda r: r.seq):
+        body = {"event": r.event, "request_id": r.request_id, "actor": r.actor, "details": r.details, "ts": float(r.ts), "record_id": r.record_id, "prev_hash": prev}
+        assert r.prev_hash == prev
+        prev = hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+        assert r.record_hash == prev
+    assert audit.verify(audit.seal(frame)).first().ok
+
+
+def test_audit_lines(spark, tmp_path):
+    """Logs kept as canonical lines, with details of any type, are verified; so are chains written here."""
+    def log(forge):
+        prev, lines = "GENESIS", []
+        for k in range(40):
+            rec = {"event": "response", "request_id": f"r{k}", "actor": "api", "details": {"blocked": k % 2 == 0, "g": 0.1 * k, "t": ODD_TEXTS[k % 7], "n": [1, None]}, "ts": 1732672000.123 + k, "record_id": f"id{k}", "prev_hash": prev}
+            prev = hashlib.sha256(json.dumps(rec, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+            rec["record_hash"] = prev
+            if forge and k == 30:
+                rec["actor"] = "intruder"
+            lines.append(json.dumps(rec, sort_keys=True, separators=(",", ":")))
+        return "\n".join(lines) + "\n\n"
+
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.jsonl").write_text(log(False))
+    (tmp_path / "logs" / "b.jsonl").write_text(log(True))
+    wrong = '{"event":"query","request_id":"r1","actor":"x","details":{},"ts":1,"record_id":"forged","prev_hash":"WRONG","record_hash":"WRONG"}\n'
+    (tmp_path / "logs" / "c.jsonl").write_text(log(False).strip() + "\n" + wrong)
+    got = {r.log_id[-7]: (r.ok, r.checked, r.broken_at, r.reason) for r in audit.verify(io.read_audit_lines(spark, str(tmp_path / "logs"))).collect()}
+    assert got == {"a": (True, 40, None, None), "b": (False, 30, "id30", "record_hash mismatch"), "c": (False, 40, "forged", "prev_hash mismatch")}
+    io.write_audit_chain(audit.seal(records(spark)), str(tmp_path / "own"))
+    assert audit.verify(io.read_audit_lines(spark, str(tmp_path / "own"))).first().ok
+
+
+def test_seal_and_limit_of_a_long_chain(spark):
+    """Work is linear in the records of a chain and in the requests of a key."""
+    rows = spark.range(200_000).selectExpr("'log' log_id", "id seq", "'query' event", "'r' request_id", "'system' actor", "map('n', cast(id as string)) details", "'1.0' ts", "cast(id as string) record_id")
+    assert audit.verify(audit.seal(rows)).first().asDict() == {"log_id": "log", "ok": True, "checked": 200_000, "broken_at": None, "reason": None}
+    busy = spark.range(200_000).selectExpr("'k' user_id", "id event_id", "cast(id as double) / 10 at")
+    got = service.rate_limit(busy, 60)
+    assert got.where("allowed").count() == sum(1 for k in range(200_000) if k % 600 < 60)
+
+
+def test_keys_however_many(spark, tmp_path):
+    (tmp_path / "keys").write_text("# comment\n" + "\n".join(f"key{k}" for k in range(120_000)) + "\n\nkey5\n")
+    keys = io.read_keys(spark, str(tmp_path / "keys"), "own, key7")
+    assert keys.count() == 120_001
+    asked = spark.createDataFrame([("key119999",), ("own",), ("# comment",), ("",), ("other",)], "api_key string")
+    assert {r.api_key: r.authorised for r in service.authorise(asked, keys).collect()} == {"key119999": True, "own": True, "# comment": False, "": False, "other": False}
+    (tmp_path / "none").write_text("# only a comment\n")
+    assert [r.api_key for r in io.read_keys(spark, str(tmp_path / "none")).collect()] == [r.api_key for r in io.read_keys(spark, None).collect()]
+
+
+def test_health_and_readiness(spark):
+    assert service.health(spark).first().status == "ok"
+    chunks = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z")], "doc_id string, text string")
+    assert service.readiness(chunks).first().asDict() == {"ready": True, "chunks": 3, "documents": 2}
+    assert not service.readiness(chunks.limit(0)).first().ready
+
+
 def test_seal_stream(spark, tmp_path):
     rows = records(spark)
-    bodies = rows.select("log_id", "seq", audit.canonical(F.struct("*")).alias("body"))
+    head, tail = audit.canonical(F.struct("*"))
+    bodies = rows.select("log_id", "seq", head.alias("head"), tail.alias("tail"))
     got = streamed(spark, tmp_path, bodies, "chain", live.seal_stream, 2, "seq > {k} * 3 and seq <= ({k} + 1) * 3")
     want = {r.seq: r.record_hash for r in audit.seal(rows).collect()}
     assert {r.seq: r.record_hash for r in got.collect()} == want
