@@ -128,16 +128,72 @@ _TURNS = """turns AS (
   WHERE role = 'user' AND next_role = 'assistant')"""
 
 
-def _pii() -> str:
+_SECTIONS = f"""lines AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e]') AS l FROM documents)),
+marked AS (SELECT *, sum(CASE WHEN k > 1 AND regexp_matches({_strip('line')}, {_q(C.HEADER)}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM lines),
+whole AS (SELECT doc_id, part, {_strip("string_agg(line, chr(10) ORDER BY k)")} AS section FROM marked GROUP BY doc_id, part)"""
+
+
+def _merged(most: int, least: int) -> str:
+    """Chunks of merged sections (doc_id, i, text, start, stop): a walk over each document's units, which are short sections
+    (2), the beginnings of long ones (0), and their sentences (1); then a walk over the chunks that finds their places."""
+    fits = f"length(w.buf) + length(u.t) <= {most}"
+    flush = f"CASE u.k WHEN 0 THEN w.buf <> '' WHEN 1 THEN NOT ({fits}) AND length(w.buf) >= {least} ELSE NOT ({fits}) END"
+    return f"""{_SECTIONS},
+listed AS (SELECT doc_id, part, CASE WHEN length(section) > {most} THEN list_concat([{{'k': 0, 't': ''}}], list_transform({_sents('section', True)}, lambda x: {{'k': 1, 't': x}})) ELSE [{{'k': 2, 't': section}}] END AS us FROM whole WHERE section <> ''),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, j) AS n, u.k AS k, u.t AS t FROM (SELECT doc_id, part, generate_subscripts(us, 1) AS j, unnest(us) AS u FROM listed)),
+buffers AS (
+  SELECT doc_id, 0::BIGINT AS n, '' AS buf, NULL::VARCHAR AS done FROM (SELECT DISTINCT doc_id FROM units)
+  UNION ALL
+  SELECT u.doc_id, u.n, CASE WHEN u.k = 0 THEN '' WHEN {flush} THEN {_strip('u.t')} ELSE {_strip("w.buf || CASE u.k WHEN 1 THEN ' ' ELSE chr(10) END || u.t")} END, CASE WHEN {flush} THEN w.buf END
+  FROM buffers w JOIN units u ON u.doc_id = w.doc_id AND u.n = w.n + 1),
+merged AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS i, c AS text FROM (
+    SELECT doc_id, n, done AS c FROM buffers WHERE done IS NOT NULL
+    UNION ALL SELECT doc_id, n + 1, buf FROM buffers QUALIFY n = max(n) OVER (PARTITION BY doc_id) AND {_strip('buf')} <> '')),
+located AS (
+  SELECT doc_id, -1::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS stop, '' AS text FROM (SELECT DISTINCT doc_id FROM merged)
+  UNION ALL
+  SELECT m.doc_id, m.i, l.stop + greatest(strpos(substr(d.text, l.stop + 1), left(m.text, 40)) - 1, 0), l.stop + greatest(strpos(substr(d.text, l.stop + 1), left(m.text, 40)) - 1, 0) + length(m.text), m.text
+  FROM located l JOIN merged m ON m.doc_id = l.doc_id AND m.i = l.i + 1 JOIN documents d ON d.doc_id = m.doc_id)"""
+
+
+_TREE = f"""{_merged(1500, 200)},
+parents AS (SELECT doc_id, i, text, start, stop FROM located WHERE i >= 0),
+cuts AS (SELECT doc_id, i, text AS ptext, s, least(s + 400, length(text)) AS e, {_strip('substr(text, s + 1, 400)')} AS text FROM (SELECT *, unnest(range(0, length(text), 340)) AS s FROM parents) WHERE s = 0 OR s + 60 < length(text)),
+kids AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, s) - 1 AS idx FROM cuts WHERE text <> ''),
+tree AS (
+  SELECT doc_id, i, -1 AS s, doc_id || '#c' || i AS chunk_id, text, start, stop, 'semantic' AS strategy, 'parent' AS level, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS parent_text, doc_id::VARCHAR AS owner_id FROM parents
+  UNION ALL SELECT doc_id, i, s, doc_id || '#hc' || idx, text, s, e, 'hierarchical', 'child', doc_id || '#c' || i, left(ptext, 500), doc_id || '#c' || i || ':ch' FROM kids)"""
+
+
+def _two_capitals(entity: str, conf: float, order: int, detector: str) -> str:
+    """Pairs of capitalised words behind a small letter and a blank, without look-behind: of a row of words each of which
+    could begin a pair, every other one does."""
+    word = "'[A-Z][a-z]{2,}'"
+    return f"""SELECT doc_id, {_q(entity)} AS entity_type, start, stop, span, {conf}::DOUBLE AS confidence, {order} AS ord, {_q(detector)} AS detector FROM (
+  SELECT doc_id, i, start, stop, substr(text, start + 1, stop - start) AS span, row_number() OVER (PARTITION BY doc_id, i - nth ORDER BY i) AS place FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM (
+      SELECT doc_id, text, i, s AS start, lead(e) OVER w AS stop, regexp_matches(substr(text, s - 1, 2), '^[a-z]\\s$') AND s >= 2 AND regexp_matches(substr(text, e + 1, lead(s) OVER w - e), '^\\s+$')
+        AND NOT regexp_matches(substr(text, lead(e) OVER w + 1, 1), '\\w') AS begins FROM (
+        SELECT doc_id, text, i, ends[i] - length(whole[i]) AS s, ends[i] AS e FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (
+          SELECT *, list_transform(range(1, len(whole) + 1), lambda j: list_sum(list_transform(gaps[1:j], lambda x: length(x)))::BIGINT + list_sum(list_transform(whole[1:j], lambda x: length(x)))::BIGINT) AS ends FROM (
+            SELECT doc_id, text, string_split_regex(text, {word}) AS gaps, regexp_extract_all(text, {word}) AS whole FROM plain)))) WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    WHERE begins)) WHERE place % 2 = 1 AND NOT list_has_any(string_split_regex(span, '\\s+'), {_list(C.NOT_NAMES)})"""
+
+
+def _pii(types=SCAN_TYPES, thresholds=SCAN_THRESHOLDS) -> str:
     """Spans of all patterns, then overlaps resolved by a walk over each document's spans in order.
 
     Letters outside ASCII become underscores first, which keeps offsets and makes them word characters to both engines.
     """
-    limit = lambda kind: SCAN_THRESHOLDS.get(kind, C.PII_THRESHOLD)
-    parts = [(kind, p, conf, k, 0, "regex") for k, (kind, p, conf) in enumerate(C.PII_PATTERNS) if kind in SCAN_TYPES and conf >= limit(kind)]
+    limit = lambda kind: thresholds.get(kind, C.PII_THRESHOLD)
+    parts = [(kind, p, conf, k, 0, "regex") for k, (kind, p, conf) in enumerate(C.PII_PATTERNS) if kind in types and conf >= limit(kind)]
     parts += [("PERSON", p, conf, len(C.PII_PATTERNS) + k, 1, "heuristic-ner") for k, (p, conf) in enumerate(C.NAME_PATTERNS) if conf >= limit("PERSON")]
     found = []
     for kind, p, conf, order, group, detector in parts:
+        if p.startswith("(?<="):
+            found.append(_two_capitals(kind, conf, order, detector))
+            continue
         names = f" WHERE NOT list_has_any(string_split_regex(span, '\\s+'), {_list(C.NOT_NAMES)})" if group else ""
         found.append(
             f"""SELECT * FROM (SELECT doc_id, {_q(kind)} AS entity_type, start, start + length(span) AS stop, span, {conf}::DOUBLE AS confidence, {order} AS ord, {_q(detector)} AS detector FROM (
@@ -237,10 +293,11 @@ _EVENTS = "requests AS (SELECT event_id, user_id, event_type, value, epoch_us(ts
 _RECORDS = f"""{_EVENTS}, records AS (
   SELECT user_id AS log_id, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS seq, event_type AS event, 'r' || event_id AS request_id,
     '<redacted:' || substr(sha256('u' || user_id), 1, 8) || '>' AS user_name, event_type AS type, printf('%.6f', at_s) AS ts, substr(sha256(event_id::VARCHAR), 1, 12) AS record_id FROM requests),
-bodies AS (SELECT *, 'system' || chr(30) || 'type' || chr(31) || type || chr(29) || 'user_name' || chr(31) || user_name || chr(30) || event || chr(30) || record_id || chr(30) || request_id || chr(30) || ts AS body FROM records),
+bodies AS (SELECT *, '{{"actor":"system","details":{{"type":"' || type || '","user_name":"' || user_name || '"}},"event":"' || event || '","prev_hash":"' AS head,
+  '","record_id":"' || record_id || '","request_id":"' || request_id || '","ts":' || regexp_replace(regexp_replace(ts, '(\\.\\d*?)0+$', '\\1'), '\\.$', '.0') || '}}' AS tail FROM records),
 sealed AS (
-  SELECT log_id, seq, 'GENESIS' AS prev_hash, sha256('GENESIS' || chr(30) || body) AS record_hash FROM bodies WHERE seq = 1
-  UNION ALL SELECT b.log_id, b.seq, s.record_hash, sha256(s.record_hash || chr(30) || b.body) FROM sealed s JOIN bodies b ON b.log_id = s.log_id AND b.seq = s.seq + 1)"""
+  SELECT log_id, seq, 'GENESIS' AS prev_hash, sha256(head || 'GENESIS' || tail) AS record_hash FROM bodies WHERE seq = 1
+  UNION ALL SELECT b.log_id, b.seq, s.record_hash, sha256(b.head || s.record_hash || b.tail) FROM sealed s JOIN bodies b ON b.log_id = s.log_id AND b.seq = s.seq + 1)"""
 _OBSERVED = "observed AS (SELECT round(value, 2) AS latency_ms, event_type = 'error' AS blocked, value > 100 AS needs_hitl, event_id % 50 AS tokens_in, event_id % 7 AS tokens_out FROM events)"
 _METRICS = "metrics AS (SELECT count(*) AS requests_total, count(*) FILTER (blocked) AS requests_blocked, count(*) FILTER (needs_hitl) AS hitl_escalations, coalesce(avg(latency_ms), 0) AS latency_avg_ms, coalesce(sum(tokens_in), 0)::BIGINT AS tokens_in_total, coalesce(sum(tokens_out), 0)::BIGINT AS tokens_out_total FROM observed)"
 
@@ -299,10 +356,11 @@ def oracle_sql() -> dict[str, str]:
         "chunk_fixed": f"WITH {_CHUNKS} SELECT doc_id, idx, chunk_id, text, start, stop, 'fixed' AS strategy FROM ordered",
         "sentence_split": f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_sents('text')} AS s FROM documents)",
         "sentence_line_split": f"SELECT doc_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS sentence FROM (SELECT doc_id, {_sents('text', True)} AS s FROM documents)",
-        "section_split": f"""WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS k, unnest(l) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e]') AS l FROM documents)),
-          marked AS (SELECT *, sum(CASE WHEN k > 1 AND regexp_matches({_strip('line')}, {_q(C.HEADER)}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS part FROM lines),
-          whole AS (SELECT doc_id, part, {_strip("string_agg(line, chr(10) ORDER BY k)")} AS section FROM marked GROUP BY doc_id, part)
-          SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS pos, section FROM whole WHERE section <> ''""",
+        "section_split": f"WITH {_SECTIONS} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1)::INTEGER AS pos, section FROM whole WHERE section <> ''",
+        "chunk_semantic": f"WITH RECURSIVE {_merged(1200, 200)} SELECT doc_id, i::INTEGER AS idx, doc_id || '#c' || i AS chunk_id, text, start::INTEGER AS start, stop::INTEGER AS stop, 'semantic' AS strategy FROM located WHERE i >= 0",
+        "chunk_hierarchical": f"WITH RECURSIVE {_TREE} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, s) - 1)::INTEGER AS ord, chunk_id, text, start::INTEGER AS start, stop::INTEGER AS stop, strategy, level, parent_id, parent_text, owner_id FROM tree",
+        "parent_links": f"WITH RECURSIVE {_TREE} SELECT doc_id || '#c' || i AS pid, count(*) AS children, count(*) FILTER (contains(ptext, text)) AS inside FROM kids GROUP BY ALL",
+        "pii_default_types": f"WITH RECURSIVE {_pii(C.PII_TYPES, {})}, counted AS (SELECT doc_id, entity_type, count(*) AS n FROM spans GROUP BY ALL) SELECT d.doc_id, coalesce(string_agg(entity_type || '=' || n, ',' ORDER BY entity_type), '') AS types FROM documents d LEFT JOIN counted USING (doc_id) GROUP BY d.doc_id",
         "chunk_stats": f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM ordered",
         "chunk_lookup": f"WITH {_CHUNKS} SELECT chunk_id, doc_id, text FROM ordered WHERE chunk_id = '1#c0'",
         "input_guardrail": _input_guardrail(),
@@ -313,7 +371,7 @@ def oracle_sql() -> dict[str, str]:
         "pii_map": f"{placed} SELECT doc_id, placeholder, original FROM entries",
         "pii_seal": f"{placed} SELECT d.doc_id, sha256({_q(SALT + ':')} || coalesce(e.body, '')) AS seal FROM documents d LEFT JOIN (SELECT doc_id, string_agg(placeholder || '=' || original, '|' ORDER BY placeholder) AS body FROM entries GROUP BY doc_id) e USING (doc_id)",
         "pii_restore": "SELECT doc_id, coalesce(text, '') AS restored FROM documents",
-        "leak_scan": f"{placed}, leaks AS (SELECT doc_id, regexp_extract(placeholder, '^\\[(.*)_', 1) AS kind, made FROM entries JOIN documents USING (doc_id) WHERE length(original) >= 4 AND contains(substr(text, 1, 2000), original)), kinds AS (SELECT doc_id, kind, max(made) AS made, count(*) AS n FROM leaks GROUP BY doc_id, kind) SELECT d.doc_id, coalesce(string_agg(kind, ',' ORDER BY made DESC), '') AS leaked, coalesce(sum(n), 0)::BIGINT AS n_leaked FROM documents d LEFT JOIN kinds USING (doc_id) GROUP BY d.doc_id",
+        "leak_scan": f"{placed}, leaks AS (SELECT doc_id, regexp_extract(placeholder, '^\\[(.*)_', 1) AS kind, made FROM entries JOIN documents USING (doc_id) WHERE length(original) >= 4 AND contains(text, original)), kinds AS (SELECT doc_id, kind, max(made) AS made, count(*) AS n FROM leaks GROUP BY doc_id, kind) SELECT d.doc_id, coalesce(string_agg(kind, ',' ORDER BY made DESC), '') AS leaked, coalesce(sum(n), 0)::BIGINT AS n_leaked FROM documents d LEFT JOIN kinds USING (doc_id) GROUP BY d.doc_id",
         "context_assembly": f"{index}, {_bm25(8)}, pieces AS (SELECT qid, rank, chunk_id, '[' || chunk_id || '] ' || text AS piece FROM bm25 JOIN ordered USING (chunk_ord)), totals AS (SELECT *, sum(length(piece)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM pieces) SELECT qid, coalesce(string_agg(piece, chr(10) || chr(10) ORDER BY rank) FILTER (total <= 4000), '') AS context_text, string_agg(chunk_id, {_SEP} ORDER BY rank) AS citations FROM totals GROUP BY qid",
         "extractive_answer": f"{turns} SELECT conv_id, turn, {_extractive('question', 'answer')} AS reply FROM turns",
         "summarize": f"SELECT doc_id, {_summary('text')} AS summary FROM documents",

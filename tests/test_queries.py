@@ -41,3 +41,17 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+NAMES = ["seen by Mary Smith John Brown and Alan Turing Grace Hopper Ada Byron.", "by Alan  Turing Bob", "x Mary Smithé", "a Patient Room b Kim Lee Tom Ray", "met Al Li, met Ann Lee_x, then Ann Lee", "é Mary Smith", "Dr. Ann Lee told Eve Fox; DOB: Ann Lee, 12345", "tell\tAnn\nLee", "iAnn Lee", None, ""]
+
+
+def test_names_by_two_capitals(spark, tmp_path):
+    """The SQL that stands in for look-behind, on names in a row, in other scripts and with odd blanks."""
+    rows = list(enumerate(NAMES))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r.types for r in registry.pii_default_types(spark, str(tmp_path)).collect()}
+    assert got == dict(con.execute("SELECT doc_id, types FROM (" + oracles.oracle_sql()["pii_default_types"] + ")").fetchall())
+    assert got[0] == "PERSON=5" and got[9] == got[10] == ""
