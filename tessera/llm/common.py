@@ -116,3 +116,21 @@ def slices(items: list, weight, most: int):
         total += w
     if start < len(items):
         yield start, len(items)
+
+
+#: Words of 64 bits in the bitmap of may_be_among: 2 MB of bits whatever it is made of.
+WORDS = 1 << 18
+
+
+def may_be_among(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is among the wanted ones (a single column), and some others: a filter before a join.
+
+    Keys are hashed to a bitmap of fixed size, which is all that is broadcast. Few rows pass in vain while the bitmap is
+    sparse; beyond that it lets more through, and the join behind it does the work.
+    """
+    (name,) = wanted.columns
+    word = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{c}`), 58) as int))")
+    bitmap = wanted.select(word(name).alias("_word"), bit(name).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    # at most WORDS rows of two longs
+    return rows.join(F.broadcast(bitmap), word(key) == F.col("_word")).where(F.col("_bits").bitwiseAND(bit(key)) != 0).select(*rows.columns)

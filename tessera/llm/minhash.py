@@ -11,10 +11,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, slices, trim
+from .common import Scratch, lean, may_be_among, slices, trim
 from .components import block_forest, connected_components
 
 WORDS, PERCENT = 5, 75
@@ -22,8 +22,8 @@ WORDS, PERCENT = 5, 75
 #: with a probability of (1 - 0.75 ** 3) ** 26 < 1e-6.
 PERMUTATIONS, ROWS = 39, 3
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Members of a bucket are compared in blocks of so many documents.
-BLOCK = 256
+#: Members of a bucket are compared in blocks of so many documents; block pairs are handed out in groups of about so many rows.
+BLOCK, PAIRS_ROWS = 256, 2_000
 
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -141,58 +141,77 @@ def _values(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), 2 * PERMUTATIONS)
 
 
-def _screen(frame):
-    """Of a block pair, the members that may link across components by their signatures; see near_duplicates."""
-    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-    left = frame[frame["block"] == i]
-    right = left if i == j else frame[frame["block"] == j]
-    if not len(left) or not len(right):
-        return frame[_SCREENED][:0]
-    x, y = _values(left["sig"]), _values(right["sig"])
-    n, m = left["n"].to_numpy(np.float64)[:, None], right["n"].to_numpy(np.float64)[None, :]
-    may = (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-    if i == j:
-        may &= np.tri(len(left), dtype=bool).T
-    a, b = np.nonzero(may)
-    keep = np.zeros((2, max(len(left), len(right))), bool)
-    band, least = int(frame["band"].iloc[0]), least_agreement()
-    for at in range(0, len(a), 8192):
-        p, q = a[at : at + 8192], b[at : at + 8192]
-        same = x[p] == y[q]
-        # what shares an earlier band meets there
-        fresh = (same.sum(1) >= least) & ~same[:, : band * ROWS].reshape(len(p), band, ROWS).all(2).any(1)
-        keep[0, p[fresh]] = keep[1, q[fresh]] = True
-    if i == j:
-        return left[_SCREENED][keep[0] | keep[1]]
-    import pandas as pd
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link by their sizes and signatures."""
+    least = least_agreement()
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
+        same = (_values(batch.column("sa").to_pylist()) == _values(batch.column("sb").to_pylist())).sum(1)
+        keep = pa.array((100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (same >= least))
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
-    return pd.concat([left[_SCREENED][keep[0, : len(left)]], right[_SCREENED][keep[1, : len(right)]]])
 
+def _pairs_of_blocks(frame):
+    """(i == j, places of the left block, places of the right one) for each block pair of a group."""
+    key = frame[["bk", "i", "j"]].to_numpy()
+    block = frame["block"].to_numpy()
+    order = np.lexsort((block, key[:, 2], key[:, 1], key[:, 0]))
+    cuts = np.nonzero((key[order][1:] != key[order][:-1]).any(1))[0] + 1
+    for at in np.split(order, cuts):
+        i, j = key[at[0], 1:]
+        left, right = at[block[at] == i], at[block[at] == j]
+        if len(left) and len(right):
+            yield i == j, left, right
 
-_SCREENED = ["bk", "i", "j", "block", "node", "comp"]
+
+def _screen(frame):
+    """Of block pairs, the members that may link across components by their signatures; see near_duplicates."""
+    values, n, comp, bands = _values(frame["sig"]), frame["n"].to_numpy(np.float64), frame["comp"].to_numpy(), frame["band"].to_numpy()
+    keep, least = np.zeros(len(frame), bool), least_agreement()
+    for alike, left, right in _pairs_of_blocks(frame):
+        may = (100 * np.minimum(n[left][:, None], n[right]) >= PERCENT * np.maximum(n[left][:, None], n[right])) & (comp[left][:, None] != comp[right])
+        if alike:
+            may &= np.tri(len(left), dtype=bool).T
+        a, b = np.nonzero(may)
+        band = int(bands[left[0]])
+        for at in range(0, len(a), 8192):
+            p, q = left[a[at : at + 8192]], right[b[at : at + 8192]]
+            same = values[p] == values[q]
+            # what shares an earlier band meets there
+            fresh = (same.sum(1) >= least) & ~same[:, : band * ROWS].reshape(len(p), band, ROWS).all(2).any(1)
+            keep[p[fresh]] = keep[q[fresh]] = True
+    return frame[["bk", "i", "j", "block", "node", "comp"]][keep]
 
 
 def _compare(frame):
-    """Links across components of a block pair, confirmed on full sets, as a spanning forest of components."""
+    """Links across components of block pairs, confirmed on full sets, as a spanning forest of components."""
     import pandas as pd
 
-    i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-    left = frame[frame["block"] == i]
-    right = left if i == j else frame[frame["block"] == j]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}).astype("int64")
-    tool = zstandard.ZstdDecompressor()
-    s = [shingle_hashes(tool.decompress(z).split()) for z in left["z"]]
-    t = s if i == j else [shingle_hashes(tool.decompress(z).split()) for z in right["z"]]
-    both = intersections(s, t)
-    n, m = np.array([len(x) for x in s], np.float64), np.array([len(x) for x in t], np.float64)
-    a, b = left["comp"].to_numpy(), right["comp"].to_numpy()
-    linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (a[:, None] != b)
-    found = pd.DataFrame(block_forest(linked, a, b), columns=["a", "b"]).astype("int64").drop_duplicates()
-    if len(frame) > BLOCK // 2:
-        del s, t, both, linked
-        trim()
-    return found
+    tool, comp = zstandard.ZstdDecompressor(), frame["comp"].to_numpy()
+    nodes, place = np.unique(frame["node"].to_numpy(), return_inverse=True)
+    packed = dict(zip(place.tolist(), frame["z"], strict=True))
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(k: int) -> np.ndarray:
+        if k not in sets:
+            if len(sets) > 4 * BLOCK:
+                sets.clear()
+            sets[k] = shingle_hashes(tool.decompress(packed[k]).split())
+        return sets[k]
+
+    links: set[tuple[int, int]] = set()
+    for alike, left, right in _pairs_of_blocks(frame):
+        s = [set_of(k) for k in place[left].tolist()]
+        t = s if alike else [set_of(k) for k in place[right].tolist()]
+        both = intersections(s, t)
+        n, m = np.array([len(x) for x in s], np.float64), np.array([len(x) for x in t], np.float64)
+        a, b = comp[left], comp[right]
+        linked = (100 * both >= PERCENT * (n[:, None] + m - both)) & (a[:, None] != b)
+        if linked.any():
+            links.update(block_forest(linked, a, b))
+    sets.clear()
+    trim()
+    return pd.DataFrame(sorted(links), columns=["a", "b"]).astype("int64")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,14 +223,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     1. Each text is hashed once to a signature of minima and maxima. Documents with the same words form a class, and only
        one of each goes on.
-    2. Classes that share a band form a bucket. Every member meets two pivots of its bucket, its first and its last; the
-       pairs are confirmed on full sets and components are found. A bucket of any size gives at most twice as many pairs
+    2. Classes that share a band form a bucket. Every member meets two pivots of its bucket, its first and its last;
+       pairs that may link by their signatures are confirmed on full sets, and components are found. A bucket of any size gives at most twice as many pairs
        as members, and a large family collapses at once.
     3. In buckets that still hold several components, members outside the largest one meet all others of the bucket, in
-       blocks. Signatures go first: only pairs that agree on so many values that a link is possible (a link falls below
-       that with a probability under 1e-9), in the first band they share, send their texts on, and for those all
-       intersections of a block pair come from matrix products and return a spanning forest. No member is left out,
-       whatever the bucket's size, and no bucket's pairs are written out.
+       blocks. Signatures go first: only pairs that may link, in the first band they share, send their texts on, and
+       for those all intersections of a block pair come from matrix products and return a spanning forest. No member is
+       left out, whatever the bucket's size, and no bucket's pairs are written out.
+
+    Pairs may link by their signatures where they agree on so many values that a link falls below that with a probability
+    under 1e-9.
 
     Nulls: a null text is empty; documents without words have an empty set, link with nothing and are kept. A null doc_id
     joins no class: component_id is null and kept is true. Rows that repeat a doc_id are judged each by its own text. An
@@ -223,23 +244,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("_text"))
     signed = scratch.put(texts.mapInArrow(lean(_sign), "uid long, doc_id long, text_key long, n_shingles long, dg binary, sig binary, z binary"))
     with_words = signed.where("n_shingles > 0 and doc_id is not null")
-    one = with_words.groupBy("dg").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("z").alias("z"))
+    one = with_words.groupBy("dg").agg(F.min("uid").alias("node"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.put(one)
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(k, F.substring("sig", k * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("bk")))
     banded = classes.select("node", F.explode(bands).alias("b")).select("node", "b.band", "b.bk")
     shared = scratch.put(banded.groupBy("bk").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("c")).where("c > 1"))
-    members = scratch.put(banded.join(shared, "bk"))
+    members = scratch.put(may_be_among(banded, "bk", shared.select("bk")).join(shared, "bk"))
 
     pairs = members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = pairs.union(members.where("node <> first and node <> last").select(F.col("node").alias("a"), F.col("last").alias("b"))).distinct()
-    packed = classes.select("node", "z")
-    left = pairs.join(packed, F.col("a") == F.col("node")).select("a", "b", F.col("z").alias("za"))
-    both = left.join(packed, F.col("b") == F.col("node")).select("a", "b", "za", F.col("z").alias("zb"))
+    signs = classes.select("node", "n", "sig")
+    left = pairs.join(signs, F.col("a") == F.col("node")).select("a", "b", F.col("n").alias("na"), F.col("sig").alias("sa"))
+    both = left.join(signs, F.col("b") == F.col("node")).select("a", "b", "na", F.col("n").alias("nb"), "sa", F.col("sig").alias("sb"))
+    pairs = scratch.put(both.mapInArrow(lean(_likely), "a long, b long"))
+    packed = _texts(scratch, signed, pairs.select("a").union(pairs.select("b")))
+    left = pairs.join(packed, F.col("a") == F.col("uid")).select("a", "b", F.col("z").alias("za"))
+    both = left.join(packed, F.col("b") == F.col("uid")).select("a", "b", "za", F.col("z").alias("zb"))
     links = scratch.put(both.mapInArrow(lean(_confirm), "a long, b long"))
+    scratch.drop(packed)
     comp = scratch.put(connected_components(links, scratch))
 
-    more = _across(scratch, members, comp, classes)
+    more = _across(scratch, members, comp, classes, signed)
     if more is not None:
         wider = scratch.put(connected_components(more, scratch).select(F.col("node").alias("c"), F.col("component").alias("wide")))
         alone = wider.join(comp, F.col("c") == F.col("node"), "left_anti").select(F.col("c").alias("node"), F.col("wide").alias("component"))
@@ -256,7 +282,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key", "group_key")
 
 
-def _across(scratch: Scratch, members: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame | None:
+def _texts(scratch: Scratch, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(uid, z) of the wanted nodes, which come in a single column."""
+    nodes = scratch.put(wanted.toDF("wanted").distinct())
+    texts = may_be_among(signed.where("z is not null").select("uid", "z"), "uid", nodes)
+    return scratch.put(texts.join(nodes, F.col("uid") == F.col("wanted")).select("uid", "z"))
+
+
+def _across(scratch: Scratch, members: DataFrame, comp: DataFrame, classes: DataFrame, signed: DataFrame) -> DataFrame | None:
     """Links between the components of buckets that hold several, or None where there is nothing to compare. Pivots, and
     with them buckets of up to three, have met all others already."""
     inner = members.where("c > 3 and node <> first and node <> last").select("bk", "band", "node")
@@ -265,7 +298,12 @@ def _across(scratch: Scratch, members: DataFrame, comp: DataFrame, classes: Data
     top = F.max(F.struct("c", "comp")).alias("top")
     open_ = sizes.groupBy("bk").agg(F.sum("c").alias("total"), top, F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda n: F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}")
-    open_ = scratch.put(open_.select("bk", F.col("top.comp").alias("main"), blocks("total - top.c").alias("few"), blocks("top.c").alias("many")))
+    open_ = open_.select("bk", F.col("top.comp").alias("main"), blocks("total - top.c").alias("few"), blocks("top.c").alias("many"), F.expr("total - top.c").alias("outside"), F.col("top.c").alias("inside"))
+    seen = Observation()
+    rows = F.sum(F.col("outside") * (F.col("few") + F.col("many")) + F.col("inside") * F.col("few"))
+    open_ = scratch.put(open_.observe(seen, rows.alias("rows")).drop("outside", "inside"))
+    if not seen.get["rows"]:
+        return None
     live = inner.join(open_, "bk")
     # members outside the main component are in blocks 0 .. few-1, those in it behind; block pairs are (i, j), i < few
     outside = F.col("comp") != F.col("main")
@@ -275,10 +313,13 @@ def _across(scratch: Scratch, members: DataFrame, comp: DataFrame, classes: Data
     live = live.select("bk", "band", "node", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     signs = classes.select(F.col("node").alias("member"), "n", "sig")
     live = live.join(signs, F.col("node") == F.col("member")).drop("member")
-    maybe = scratch.put(live.groupBy("bk", "i", "j").applyInPandas(_screen, "bk long, i long, j long, block long, node long, comp long"))
-    if maybe.isEmpty():
+    # block pairs are dealt to groups of about PAIRS_ROWS rows, so that small ones share a call
+    group = lambda n: F.pmod(F.xxhash64("bk", "i", "j"), F.lit(max(1, n // PAIRS_ROWS))).alias("g")
+    likely = live.groupBy(group(seen.get["rows"])).applyInPandas(_screen, "bk long, i long, j long, block long, node long, comp long")
+    seen = Observation()
+    maybe = scratch.put(likely.observe(seen, F.count("*").alias("rows")))
+    if not seen.get["rows"]:
         return None
-    texts = classes.select(F.col("node").alias("member"), "z")
-    near = maybe.join(texts, F.col("node") == F.col("member")).drop("member")
-    more = scratch.put(near.groupBy("bk", "i", "j").applyInPandas(_compare, "a long, b long"))
+    near = maybe.join(_texts(scratch, signed, maybe.select("node")), F.col("node") == F.col("uid")).drop("uid")
+    more = scratch.put(near.groupBy(group(seen.get["rows"])).applyInPandas(_compare, "a long, b long"))
     return None if more.isEmpty() else more
