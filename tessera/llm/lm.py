@@ -1,16 +1,22 @@
 """Log-bilinear neural language model, trained with noise-contrastive estimation, and scores of whole texts.
 
 A token's probability is that of its class given the two classes before it, times its share of the class. The most
-frequent training tokens are classes of their own; all others fall into classes by their last bytes. The class model is
-log-bilinear: a prediction vector, the sum of the context classes' vectors scaled by position, meets each target class's
-vector and bias. Every worker trains on its own training texts from one start, by noise-contrastive estimation; the
-parameters are averaged, weighted by tokens. Scoring normalises exactly: all normalisers for pairs of context classes
-come from one matrix product. Within a class, a token has (count + 1) over the class's sum of (count + 1) plus 1 for what
-was never seen.
+frequent training tokens are classes of their own, more of them the more training text there is; all others fall into
+classes by their last bytes. The class model is log-bilinear: a prediction vector, the sum of the context classes' vectors
+scaled by position, meets each target class's vector and bias.
+
+Training texts are dealt by hash into blocks of a fixed size, and blocks into rounds. In a round every block is trained on
+by itself, by noise-contrastive estimation from the parameters that the last round left, and the results are averaged,
+weighted by tokens, as integers. Blocks, rounds and their order follow from the texts alone, so that the model is the same
+however the table is partitioned; blocks grow in number with the text, and rounds with the logarithm of that number.
+
+Scoring normalises exactly: all normalisers for pairs of context classes come from one matrix product. Within a class, a
+token has (count + 1) over the class's sum of (count + 1) plus 1 for what was never seen.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,10 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lean, slices
 
-#: Tokens with a class of their own, classes of the others, width of the vectors, noise samples, tokens in a step.
-OWN, BUCKETS, WIDTH, NOISE, STEP = 1022, 256, 16, 32, 1024
-START, END, FIRST_BUCKET = 0, 1, OWN + 2
-CLASSES = FIRST_BUCKET + BUCKETS
+#: Classes of rare tokens, width of the vectors, noise samples, tokens in a step.
+BUCKETS, WIDTH, NOISE, STEP = 256, 16, 32, 512
+#: Tokens with a class of their own for each doubling of the training tokens.
+OWN_PER_DOUBLING = 64
+START, END = 0, 1
+#: Tokens of a training block on average; at most twice as many.
+BLOCK = 1 << 18
 #: Tokens whose counts are handed to every worker, at most (a few MB); the counts of all others are joined.
 TABLE = 300_000
 RATE = 0.15
@@ -59,34 +68,44 @@ class Model:
     bucket_sums: np.ndarray  # sum of (count + 1) over a class's tokens, and 1
     noise: np.ndarray  # share of each class among training tokens
     params: np.ndarray
+    first_bucket: int  # classes: start, end, tokens of their own, and from here on BUCKETS of the others
+
+    @property
+    def size(self) -> int:
+        return self.first_bucket + BUCKETS
 
     def split(self, params: np.ndarray | None = None):
         p = self.params if params is None else params
-        cut = np.cumsum([CLASSES * WIDTH, CLASSES * WIDTH, 2 * WIDTH])
-        return p[: cut[0]].reshape(CLASSES, WIDTH), p[cut[0] : cut[1]].reshape(CLASSES, WIDTH), p[cut[1] : cut[2]].reshape(2, WIDTH), p[cut[2] :]
+        cut = np.cumsum([self.size * WIDTH, self.size * WIDTH, 2 * WIDTH])
+        return p[: cut[0]].reshape(-1, WIDTH), p[cut[0] : cut[1]].reshape(-1, WIDTH), p[cut[1] : cut[2]].reshape(2, WIDTH), p[cut[2] :]
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each key in the table, or -1, and its class."""
         if not len(self.keys):
-            return np.full(len(keys), -1), FIRST_BUCKET + (keys & 255)
+            return np.full(len(keys), -1), self.first_bucket + (keys & 255)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         found = self.keys[at] == keys
-        return np.where(found, at, -1), np.where(found, self.classes[at], FIRST_BUCKET + (keys & 255))
+        return np.where(found, at, -1), np.where(found, self.classes[at], self.first_bucket + (keys & 255))
 
 
 def first_params(noise: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(6)
-    vectors = rng.normal(0, 0.1, 2 * CLASSES * WIDTH)
+    vectors = rng.normal(0, 0.1, 2 * len(noise) * WIDTH)
     bias = np.log(np.maximum(noise, 1e-9))
     return np.concatenate([vectors, np.ones(2 * WIDTH), bias]).astype(np.float32)
 
 
+#: Fractions of parameters and of their squared gradients when they are summed as integers, and the most that is kept of
+#: a squared gradient. With weights of 1024 tokens, sums stay exact up to 5e11 tokens a round.
+_PARAM_UNIT, _SQUARE_UNIT, _MOST_SQUARE = 2.0**24, 2.0**16, 2.0**17
+
+
 class Trainer:
     """Steps of noise-contrastive estimation with adaptive rates."""
 
-    def __init__(self, model: Model, seed: int = 0):
+    def __init__(self, model: Model, seed: int = 0, square: np.ndarray | None = None):
         self.model, self.params = model, model.params.copy()
-        self.square = np.full(len(self.params), 1e-2, np.float32)
+        self.square = np.full(len(self.params), 1e-2, np.float32) if square is None else square.copy()
         self.rng = np.random.default_rng(seed)
         self.sums = np.cumsum(model.noise)
         with np.errstate(divide="ignore"):
@@ -94,8 +113,8 @@ class Trainer:
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
         context, output, scale, bias = self.model.split(self.params)
-        n = len(target)
-        noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE) * self.sums[-1]), CLASSES - 1)
+        n, size = len(target), self.model.size
+        noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE) * self.sums[-1]), size - 1)
         r1, r2, q = context[one], context[two], output[target]
         predicted = r1 * scale[0] + r2 * scale[1]
         up = 1 / (1 + np.exp(np.clip((predicted * q).sum(1) + bias[target] - self.offset[target], -30, 30)))
@@ -106,13 +125,41 @@ class Trainer:
         g_context, g_output, g_scale, g_bias = self.model.split(grad)
         g_scale[0], g_scale[1] = (to * r1).sum(0), (to * r2).sum(0)
         columns = np.arange(WIDTH)
-        add = lambda rows, values: np.bincount((rows[:, None] * WIDTH + columns).ravel(), weights=values.ravel(), minlength=CLASSES * WIDTH).reshape(CLASSES, WIDTH)
+        add = lambda rows, values: np.bincount((rows[:, None] * WIDTH + columns).ravel(), weights=values.ravel(), minlength=size * WIDTH).reshape(size, WIDTH)
         g_context += add(np.concatenate([one, two]), np.concatenate([to * scale[0], to * scale[1]]))
         g_output += add(np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted / n, -(down.T @ predicted) / n]))
-        g_bias += np.bincount(np.concatenate([target, noise]), weights=np.concatenate([up, -down.sum(0)]) / n, minlength=CLASSES)
+        g_bias += np.bincount(np.concatenate([target, noise]), weights=np.concatenate([up, -down.sum(0)]) / n, minlength=size)
         self.square += grad * grad * n
         self.params += RATE * grad * np.sqrt(n) / np.sqrt(self.square)
 
+    def block(self, target: np.ndarray) -> None:
+        """One pass over a block: classes of consecutive tokens, every text closed by END."""
+        one, two = contexts(target)
+        order = self.rng.permutation(len(target))
+        for at in range(0, len(order), STEP):
+            part = order[at : at + STEP]
+            self.step(one[part], two[part], target[part])
+
+    def weighed(self, tokens: int) -> np.ndarray:
+        """Parameters and squared gradients times the block's weight, as integers, so that sums don't depend on order."""
+        weight = -(-tokens // 1024)
+        both = np.stack([self.params * _PARAM_UNIT, np.minimum(self.square, _MOST_SQUARE) * _SQUARE_UNIT])
+        return np.rint(both.astype(np.float64)).astype(np.int64) * weight
+
+
+def contexts(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes one and two before each token; START before a text's first."""
+    one, two = np.roll(target, 1), np.roll(target, 2)
+    one[:1] = two[:2] = START
+    one[one == END] = START
+    two[(two == END) | (one == START)] = START
+    return one, two
+
+
+def rounds_of(blocks: int) -> int:
+    """Rounds for so many blocks: one each for a few, then as many more as the logarithm of their number."""
+    return min(blocks, 3 + math.ceil(math.log2(blocks + 1)))
+
 
 class Scorer:
     """Normalised log10 probabilities of classes given two context classes, from tables."""
@@ -131,8 +178,8 @@ class Scorer:
 
 
 def _sequences(model: Model, texts: list[str]):
-    """Of several texts: words of each, keys and places of all words, and context and target classes of all tokens with
-    each text's end; at: where each text's tokens begin."""
+    """Of several texts: words of each, keys and places of all words, and classes of all tokens with each text's end; at:
+    where each text's tokens begin."""
     words = [words_of(t) for t in texts]
     n = np.array([len(w) for w in words], np.int64)
     keys = keys_of([w for ws in words for w in ws])
@@ -142,10 +189,7 @@ def _sequences(model: Model, texts: list[str]):
     inner = np.ones(len(target), bool)
     inner[at + n] = False
     target[inner] = classes
-    one, two = np.roll(target, 1), np.roll(target, 2)
-    one[at] = two[at] = START
-    two[np.minimum(at + 1, len(two) - 1)[n > 0]] = START
-    return n, keys, place, one, two, target, at, inner
+    return n, keys, place, target, at, inner
 
 
 def _cached(shared):
@@ -158,19 +202,19 @@ def _cached(shared):
 
 def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text"):
     """(model, counts, train_tokens, vocabulary): counts has key and c of every training token. All training texts are
-    counted and trained on; only the TABLE most frequent tokens and sums by class come to the driver."""
+    counted and trained on; only the TABLE most frequent tokens, sums by class and averaged parameters come to the driver."""
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
-    learnt = docs.where(~is_held_out(docs[id_col])).select(text.alias("_text"))
+    learnt = docs.where(~is_held_out(docs[id_col])).select(F.xxhash64(docs[id_col].cast("string"), text).alias("deal"), text.alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(0).to_pylist()
             for lo, hi in slices(texts, lambda t: len(t) + 1, 4_000_000):
                 keys, n = np.unique(keys_of([w for t in texts[lo:hi] for w in words_of(t)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, END_KEY)), pa.array(np.append(n, hi - lo))], ["key", "n"])
 
-    counts = scratch.put(learnt.mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
+    counts = scratch.put(learnt.select("_text").mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
     total, size = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
     level = F.floor(F.log("c") * 16)
@@ -185,44 +229,115 @@ def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     ends = keys == END_KEY
     n_ends = int(c[ends].sum()) if ends.any() else (counts.where(F.col("key") == int(END_KEY)).agg(F.sum("c")).first()[0] or 0)
     keys, c = keys[~ends], c[~ends]
-    classes = np.where(np.arange(len(keys)) < OWN, np.arange(len(keys)) + 2, FIRST_BUCKET + (keys & 255))
+    own = min(len(keys), OWN_PER_DOUBLING * int(math.log2(total + 1)))
+    first_bucket = own + 2
+    classes = np.where(np.arange(len(keys)) < own, np.arange(len(keys)) + 2, first_bucket + (keys & 255))
     order = np.argsort(keys)
-    sums, shares = np.ones(BUCKETS), np.zeros(CLASSES)
+    sums, shares = np.ones(BUCKETS), np.zeros(first_bucket + BUCKETS)
     bucket = F.col("key").bitwiseAND(255)
     for r in counts.where(F.col("key") != int(END_KEY)).groupBy(bucket.alias("k")).agg(F.sum(F.col("c") + 1).alias("s"), F.sum("c").alias("c")).collect():
         sums[r.k] += r.s
-        shares[FIRST_BUCKET + r.k] += r.c
-    own = min(OWN, len(keys))
+        shares[first_bucket + r.k] += r.c
     np.subtract.at(sums, keys[:own] & 255, c[:own] + 1)
-    np.subtract.at(shares, FIRST_BUCKET + (keys[:own] & 255), c[:own])
+    np.subtract.at(shares, first_bucket + (keys[:own] & 255), c[:own])
     shares[2 : 2 + own], shares[END] = c[:own], n_ends
     # a class without training tokens keeps a little mass, for words that were never seen
     noise = (shares + 1.0) / (shares[1:] + 1.0).sum()
     noise[START] = 0.0
-    model = Model(keys[order], c[order], classes[order], sums, noise, first_params(noise))
-    start = spark.sparkContext.broadcast(model)
+    model = Model(keys[order], c[order], classes[order], sums, noise, first_params(noise), first_bucket)
+    if total:
+        model.params = train(learnt, model, total, scratch)
+    return model, counts, int(total), int(size)
+
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, seen = Trainer(start.value), 0
-        rng = np.random.default_rng(1)
+def train(learnt: DataFrame, model: Model, total: int, scratch: Scratch) -> np.ndarray:
+    """Parameters after all rounds over the texts of learnt (deal, _text). Only sums of parameters reach the driver."""
+    spark = learnt.sparkSession
+    shards = -(-total // BLOCK)
+    turns = rounds_of(shards)
+    shared = spark.sparkContext.broadcast(model)
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for lo, hi in slices(texts, lambda t: len(t) + 1, 2_000_000):
-                _, _, _, one, two, target, _, _ = _sequences(start.value, texts[lo:hi])
-                order = rng.permutation(len(target))
-                for at in range(0, len(order), STEP):
-                    part = order[at : at + STEP]
-                    trainer.step(one[part], two[part], target[part])
-                seen += len(target)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([trainer.params], pa.list_(pa.float32()))], ["n", "params"])
-
-    trained = learnt.mapInArrow(lean(train), "n long, params array<float>").select("n", F.posexplode("params").alias("i", "v"))
-    mean = trained.groupBy("i").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v")).toPandas()
-    if len(mean):
-        model.params = model.params.copy()
-        model.params[mean["i"].to_numpy()] = mean["v"].to_numpy(np.float32)
-    return model, counts, int(total), int(size)
+                _, _, _, target, at, _ = _sequences(shared.value, texts[lo:hi])
+                parts = [x.astype("<i2").tobytes() for x in np.split(target, at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("deal").slice(lo, hi - lo), pa.array(parts, pa.binary())], ["deal", "seq"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of rows sorted by shard: a shard's texts one after another, cut after 2 * BLOCK tokens. Rows stream by, so
+        that a shard of any size takes no more memory than a block."""
+        most, now, part, held, size = 4 * BLOCK, None, 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(now + part) % turns], pa.int32()), pa.array([now], pa.int64()), pa.array([part], pa.int32()), pa.array([b"".join(held)], pa.binary())], ["turn", "shard", "part", "seq"])
+
+        for batch in batches:
+            for shard, seq in zip(batch.column("shard").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                if shard != now:
+                    if size:
+                        yield block()
+                    now, part, held, size = shard, 0, [], 0
+                while size + len(seq) > most:
+                    held.append(seq[: most - size])
+                    seq = seq[most - size :]
+                    yield block()
+                    part, held, size = part + 1, [], 0
+                held.append(seq)
+                size += len(seq)
+        if size:
+            yield block()
+
+    dealt = learnt.mapInArrow(lean(classify), "deal long, seq binary").withColumn("shard", F.pmod("deal", F.lit(shards)))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "deal").select("shard", "seq")
+    blocks = scratch.put(dealt.mapInArrow(lean(gather), "turn int, shard long, part int, seq binary"))
+    in_turn = {r.turn: r.n for r in blocks.groupBy("turn").agg(F.count("*").alias("n")).collect()}
+
+    square = None
+    for turn in range(turns):
+        if not in_turn.get(turn):
+            continue
+        state = spark.sparkContext.broadcast((model.params, square))
+
+        def learn(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            start, total_weight, sums = shared.value, 0, None
+            start.params, before = state.value
+            for batch in batches:
+                for shard, part, seq in zip(*[batch.column(c).to_pylist() for c in ("shard", "part", "seq")], strict=True):
+                    target = np.frombuffer(seq, "<i2").astype(np.int64)
+                    trainer = Trainer(start, seed=(shard, part), square=before)
+                    trainer.block(target)
+                    sums = trainer.weighed(len(target)) if sums is None else sums + trainer.weighed(len(target))
+                    total_weight += -(-len(target) // 1024)
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total_weight], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["w", "sums"])
+
+        found = blocks.where(F.col("turn") == turn).mapInArrow(lean(learn), "w long, sums binary")
+        weight, sums = add_up(found, in_turn[turn], scratch)
+        mean = sums.reshape(2, -1) / weight
+        model.params, square = (mean[0] / _PARAM_UNIT).astype(np.float32), np.maximum(mean[1] / _SQUARE_UNIT, 1e-2).astype(np.float32)
+        state.destroy()
+    scratch.drop(blocks)
+    return model.params
+
+
+def add_up(found: DataFrame, rows: int, scratch: Scratch, fan: int = 64) -> tuple[int, np.ndarray]:
+    """Sums of (w, sums) over all rows, of which there are at most so many: in a tree where a driver would get too many."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, out = 0, None
+        for batch in batches:
+            for n, x in zip(batch.column("w").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                w, out = w + n, np.frombuffer(x, np.int64) + (0 if out is None else out)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["w", "sums"])
+
+    while rows > fan:
+        rows = -(-rows // fan)
+        found = scratch.put(found.repartition(rows).mapInArrow(lean(add), "w long, sums binary"))
+    batch = next(add([pa.RecordBatch.from_pandas(found.toPandas(), schema=pa.schema([("w", pa.int64()), ("sums", pa.binary())]))]))
+    return batch.column("w")[0].as_py(), np.frombuffer(batch.column("sums")[0].as_py(), np.int64)
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,13 +366,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             for lo, hi in slices(texts, lambda t: len(t) + 1, 2_000_000):
-                n, keys, place, one, two, target, at, inner = _sequences(known, texts[lo:hi])
+                n, keys, place, target, at, inner = _sequences(known, texts[lo:hi])
+                one, two = contexts(target)
                 in_table = place >= 0
                 logs = np.zeros(len(keys))
                 logs[in_table] = table_logs[place[in_table]]
                 base, lm = np.full(len(target), np.log10(ends + 1.0)), score(one, two, target)
                 base[inner] = logs
-                shared_class = target[inner] >= FIRST_BUCKET
+                shared_class = target[inner] >= known.first_bucket
                 lm[inner] += np.where(shared_class, logs - bucket_logs[keys & 255], 0.0)
                 hits = np.full(len(target), int(ends > 0))
                 hits[inner] = in_table
