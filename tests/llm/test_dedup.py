@@ -1,5 +1,6 @@
 """op1 and op3 against brute force, with the odd inputs their docstrings define."""
 
+import math
 import random
 
 import numpy as np
@@ -71,14 +72,41 @@ def test_near_duplicates(table, seed, monkeypatch):
 
 def test_near_duplicates_odd(table):
     long = " ".join(f"w{k}" for k in range(60_000))
-    rows = [(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (4, None), (3, None), (9, long), (8, long + " end"), (2, "")]
+    rows = [(None, "a b c d e f g"), (5, "a b c d e f g"), (5, "a b c d e f g"), (6, "A b  c d e f g"), (6, "other words of the same id"), (4, None), (3, None), (9, long), (8, long + " end"), (2, "")]
     got = minhash.near_duplicates(table(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1, r.kept, r.n_shingles) for r in got) == [
-        (-1, -1, True, 3), (2, 2, True, 0), (3, 3, True, 0), (4, 4, True, 0), (5, 5, True, 3), (5, 5, True, 3), (8, 8, True, 59_997), (9, 8, False, 59_996),
+        (-1, -1, True, 3), (2, 2, True, 0), (3, 3, True, 0), (4, 4, True, 0), (5, 5, True, 3), (5, 5, True, 3), (6, 5, False, 3), (6, 6, True, 2), (8, 8, True, 59_997), (9, 8, False, 59_996),
     ]
     assert minhash.near_duplicates(table([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_large_unlinked_bucket(table):
+    """Hundreds of texts that share most of their words with each other, so that they share buckets, and link in small groups
+    only: no link is lost, and only pairs that may link by their signatures send their texts on."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for g in range(90):
+        own = list(base)
+        for at in rng.sample(range(100), 9):
+            own[at] = f"g{g}x{at}"
+        for c in range(4):
+            text = list(own)
+            for at in rng.sample(range(100), 1):
+                text[at] = f"c{g}y{c}"
+            rows.append((1000 - 4 * g - c, " ".join(text)))
+    sets, comp = plain_near(rows)
+    assert len(set(comp.values())) > 20
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(table(rows, "doc_id long, text string")).collect()}
+    assert got == comp
+
+
+def test_least_agreement():
+    least = minhash.least_agreement(78, 0.75, 1e-9)
+    below = lambda t: sum(math.comb(78, k) * 0.75**k * 0.25 ** (78 - k) for k in range(t))
+    assert below(least) < 1e-9 <= below(least + 1) and least > 20
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 500, n).astype(np.uint64)) for n in (0, 5, 100, 300, 300)]
@@ -108,7 +136,8 @@ def plain_vectors(rows, threshold=0.93):
 
 @pytest.mark.parametrize("block", [1024, 16])
 def test_vectors(table, monkeypatch, block):
-    monkeypatch.setattr(embeddings, "BLOCK", block)
+    for name in ("BLOCK", "TARGET", "STRIP"):
+        monkeypatch.setattr(embeddings, name, block)
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(12, 16))
     rows = []
@@ -134,14 +163,46 @@ def test_vectors_odd(table):
     assert embeddings.near_duplicate_vectors(table([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_cells_find_all_pairs():
+@pytest.mark.parametrize("flat", [100, 4])
+def test_cells_find_all_pairs(flat):
+    """In one level and in two, every linked pair meets once: in the lower of both home cells."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 8))
+    x = rng.normal(size=(30, 8))[rng.integers(0, 30, 500)] + rng.normal(size=(500, 8)) * 0.25
     x /= np.sqrt((x * x).sum(1))[:, None]
-    home, more = embeddings.cells_of(x, embeddings.spherical_kmeans(x, 9), 0.93)
-    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)), strict=True):
+    cells = embeddings.Cells(x[:300], len(x), 0.93, target=25, flat=flat)
+    assert (cells.first[-1] > len(cells.top)) == (flat == 4)
+    home, rows, visited = cells(x)
+    visits = set(zip(rows.tolist(), visited.tolist(), strict=True))
+    assert len(visits) == len(rows) and all(c < home[r] for r, c in visits)
+    pairs = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
+    assert len(pairs) > 500 and any(home[i] != home[j] for i, j in pairs)
+    for i, j in pairs:
         a, b = sorted((i, j), key=lambda k: home[k])
-        assert home[a] == home[b] or home[a] in more[b]
+        assert home[a] == home[b] or (b, home[a]) in visits
+
+
+def test_vectors_repeated_ids_and_extremes(table):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (7, [0.01, 1.0], 1)]
+    rows += [(20, [1e200, 0.0], 2), (21, [1e200, 1e190], 2), (22, [1e-200, 0.0], 3), (23, [2e-200, 0.0], 3), (24, [5e-324, 0.0], 3)]
+    got = embeddings.near_duplicate_vectors(table(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False),
+        (20, 1, 20, True), (21, 1, 20, False), (22, 2, 22, True), (23, 2, 22, False), (24, 2, 22, False),
+    ]
+
+
+def test_cells_fit_the_data():
+    """Vectors in separate groups are sent to no more blocks as the table grows; vectors that lie all about get large cells."""
+    rng = np.random.default_rng(6)
+    copies = []
+    for n in (10_000, 50_000):
+        x = rng.normal(size=(n // 1_000, 64))[rng.integers(0, n // 1_000, n)] + rng.normal(size=(n, 64)) * 0.1
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        copies.append(embeddings.Cells.best(x[:8_000], n, 0.93).copies(x, n))
+    assert copies[1] < 1.3 * copies[0] < 4
+    x = rng.normal(size=(40_000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    assert embeddings.Cells.best(x[:8_000], len(x), 0.93).first[-1] <= 5
 
 
 def test_components(spark):
