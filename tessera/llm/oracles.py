@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .quality import LEAST_REPEAT, LONGEST_FLOOR, MOST_COVERED, MOST_LONGEST
-from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, KINDS, REACH
+from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, KEY, KINDS, MAY_BE_ID, OPAQUE, REACH, TURNS
 
 _REACHED = """
 reached AS (SELECT node, node AS r FROM nodes UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.r),
@@ -35,7 +35,7 @@ FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN comp ON node = d.doc_i
 
 def _found(kind: int, pattern: str, group: int = 0) -> str:
     p = "'" + pattern.replace("'", "''") + "'"
-    return f"""SELECT doc_id, {kind} AS k, v, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + list_sum(list_transform(whole[1:i], lambda x: length(x)))::BIGINT - length(whole[i]) AS s,
+    return f"""SELECT doc_id, {kind} AS k, v, whole[i] AS whole, list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + list_sum(list_transform(whole[1:i], lambda x: length(x)))::BIGINT - length(whole[i]) AS s,
     list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT + list_sum(list_transform(whole[1:i], lambda x: length(x)))::BIGINT AS e
   FROM (SELECT *, length(value_[i]) AS v FROM (SELECT *, unnest(range(1, len(whole) + 1)) AS i FROM (
     SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS whole, regexp_extract_all(text, {p}, {group}) AS value_ FROM texts)))"""
@@ -47,11 +47,15 @@ def _op2() -> str:
     return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 assigned AS ({_found(0, ASSIGN, 2)}),
 base AS (SELECT doc_id, k, s, e FROM assigned WHERE v >= 12 UNION ALL SELECT doc_id, k, s, e FROM ({_found(1, ACCESS)}) UNION ALL SELECT doc_id, k, s, e FROM ({_found(2, HEX)})),
-candidates AS (SELECT doc_id, k, s, e FROM ({_found(3, IDENT)}) UNION ALL SELECT doc_id, k, s, e FROM ({_found(4, ENDPOINT)}) UNION ALL SELECT doc_id, 5, s, e FROM assigned WHERE v BETWEEN 6 AND 11),
-soft AS (SELECT * FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
-parts AS (SELECT doc_id, k, s, CASE WHEN k IN (1, 3) THEN 1 WHEN k = 4 THEN 4 ELSE 2 END AS role FROM (SELECT doc_id, k, s FROM base UNION ALL SELECT doc_id, k, s FROM soft)),
+keyed AS (SELECT doc_id, CASE WHEN regexp_matches(whole, '{MAY_BE_ID}') THEN 6 ELSE 5 END AS k, s, e FROM ({_found(5, KEY)})),
+unnamed AS (SELECT doc_id, k, s, e FROM ({_found(5, OPAQUE)}) WHERE regexp_matches(whole, '[0-9+/]') AND regexp_matches(whole, '[A-Z]') AND regexp_matches(whole, '[a-z]')
+  AND len(regexp_extract_all(regexp_replace(whole, '[+/=]', '', 'g'), '{TURNS}')) * 10 >= length(whole) * 3),
+candidates AS (SELECT doc_id, 1 AS t, k, s, e FROM ({_found(3, IDENT)}) UNION ALL SELECT doc_id, 1, k, s, e FROM ({_found(4, ENDPOINT)}) UNION ALL SELECT doc_id, 1, 5, s, e FROM assigned WHERE v BETWEEN 6 AND 11
+  UNION ALL SELECT doc_id, 2, k, s, e FROM keyed UNION ALL SELECT doc_id, 3, k, s, e FROM unnamed),
+soft AS (SELECT doc_id, k, s, e FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, 0 AS t, s, e FROM base UNION ALL SELECT doc_id, t, s, e FROM candidates) b WHERE b.doc_id = c.doc_id AND b.t < c.t AND b.s < c.e AND c.s < b.e)),
+parts AS (SELECT doc_id, k, s, CASE WHEN k IN (1, 3) THEN 1 WHEN k = 4 THEN 4 WHEN k = 6 THEN 3 ELSE 2 END AS role FROM (SELECT doc_id, k, s FROM base UNION ALL SELECT doc_id, k, s FROM soft)),
 met AS (SELECT w.doc_id, w.k, w.s, w.e, bit_or(p.role) AS met FROM soft w JOIN parts p ON p.doc_id = w.doc_id AND abs(p.s - w.s) <= {REACH} AND (p.s <> w.s OR p.k <> w.k) GROUP BY ALL),
-linked AS (SELECT doc_id, k, s, e FROM met WHERE (k = 3 AND met & 2 > 0) OR (k = 4 AND met & 3 = 3) OR (k = 5 AND met & 5 > 0)),
+linked AS (SELECT doc_id, least(k, 5) AS k, s, e FROM met WHERE (k = 3 AND met & 2 > 0) OR (k = 4 AND met & 3 = 3) OR (k = 5 AND met & 5 > 0) OR k = 6),
 firm AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({label}, ',' ORDER BY s, k) AS spans FROM base GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg({label}, ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id),
 extra AS (SELECT doc_id, count(*) AS n FROM linked GROUP BY doc_id)
