@@ -29,13 +29,16 @@ class ChunkEncoder:
     """Encodes a text chunk by chunk. Where no piece holds a mark behind another character, no merge can cross the
     start of a marked word, so that each distinct word needs segmenting only once. That is checked on loading, along
     with what makes marked text equal to the library's own normalisation; for any other model, texts go to the library
-    whole. The table is emptied when it has `most` entries, which bounds memory and changes no result."""
+    whole. Chunks of more than `longest` characters, as scripts without blanks have them, are segmented where they stand and
+    not kept; the table is emptied when its chunks reach `most` characters. Both bound memory and change no result."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 4_000_000, longest: int = 64):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as model
 
-        self.lib, self.most, self.table = sentencepiece.SentencePieceProcessor(model_file=path), most, {}
+        self.lib, self.most, self.longest = sentencepiece.SentencePieceProcessor(model_file=path), most, longest
+        self.table: dict[str, tuple[list[int], str]] = {}
+        self.held = 0
         spec = model.ModelProto()
         with open(path, "rb") as f:
             spec.ParseFromString(f.read())
@@ -45,13 +48,11 @@ class ChunkEncoder:
         self.by_chunk = not crossing and not user and train.model_type == 2 and not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces and not train.treat_whitespace_as_suffix
         self.alone = [self.lib.piece_to_id(MARK)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.table) + len(chunks) > self.most:
-            self.table.clear()
+    def _segment(self, chunks: list[str]) -> dict[str, tuple[list[int], str]]:
         # the library itself puts the first mark before a text
-        for chunk, ids in zip(chunks, self.lib.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1), strict=True):
-            ids = ids if len(chunk) > 1 else self.alone
-            self.table[chunk] = (ids, ",".join(map(str, ids)))
+        found = self.lib.encode([c[1:].replace(MARK, " ") for c in chunks], num_threads=1)
+        found = [ids if len(c) > 1 else self.alone for c, ids in zip(chunks, found, strict=True)]
+        return {c: (ids, ",".join(map(str, ids))) for c, ids in zip(chunks, found, strict=True)}
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str]]:
         """Ids of each text, and the same as decimals joined by commas."""
@@ -59,14 +60,18 @@ class ChunkEncoder:
             return [(ids, ",".join(map(str, ids))) for ids in self.lib.encode(texts, num_threads=1)]
         split = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = {c for chunks in split for c in chunks if c not in self.table}
-        if len(self.table) + len(new) > self.most:
-            self.table.clear()
+        long = {c for c in new if len(c) > self.longest}
+        size = sum(map(len, new)) - sum(map(len, long))
+        if self.held + size > self.most:
+            self.table, self.held = {}, 0
             new = {c for chunks in split for c in chunks}
-        if new:
-            self._learn(sorted(new))
+            size = sum(len(c) for c in new if len(c) <= self.longest)
+        self.table |= self._segment(sorted(new - long))
+        self.held += size
+        here = self._segment(sorted(long)) if long else {}
         out = []
         for chunks in split:
-            found = [self.table[c] for c in chunks]
+            found = [self.table[c] if c in self.table else here[c] for c in chunks] if here else [self.table[c] for c in chunks]
             out.append(([i for ids, _ in found for i in ids], ",".join([s for _, s in found])))
         return out
 
