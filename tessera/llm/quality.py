@@ -15,13 +15,15 @@ from .common import lean, slices
 #: Fixed characters of the base rules: ASCII white space, symbols.
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 LEAST_WORDS, WINDOW, MOST_REPEATED_PERCENT = 10, 5, 20
+#: Words of a common prefix that are compared for all positions at once.
+STEP = 4
 #: The method's limits: repeats of this many words and more count as covered; a text fails if they cover more than this
 #: share of its words, or if a single repeat has more than this share of its words (and more words than the floor).
 LEAST_REPEAT, MOST_COVERED, MOST_LONGEST, LONGEST_FLOOR = 10, 0.30, 0.25, 25
 
 
-def suffix_ranks(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of several texts at once, and the ranks at each doubling.
+def suffix_ranks(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The rank of every suffix of several texts at once.
 
     words: word numbers of all texts, one text after another; starts: where each begins. Suffixes end with their text and
     sort by text first. Ranks are places of the first equal prefix, so those that are unique already are sorted no more:
@@ -51,33 +53,52 @@ def suffix_ranks(words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, lis
         return todo[~alone]
 
     todo = place(todo, key, np.zeros(n, np.int64))
-    levels, h = [rank.copy()], 1
+    h = 1
     while len(todo):
         ahead = todo + h
         second = np.where(ahead < ends[todo], rank[np.minimum(ahead, n - 1)] + 1, 0)
         base = rank[todo]
         todo = place(todo, base * (n + 1) + second, base)
-        levels.append(rank.copy())
         h *= 2
-    return np.argsort(rank), levels
+    return rank
 
 
 def longest_repeats(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each position, the words of the longest substring from there on that its text has elsewhere too: the larger of
-    the common prefixes with both neighbours in the suffix array."""
+    the common prefixes with both neighbours in the suffix array.
+
+    Common prefixes below STEP are found for all positions at once; the longer ones by a walk in the order of the text, in
+    which each is at least one less than the one before it. Memory is a few numbers a word, whatever repeats.
+    """
     n = len(words)
     if not n:
         return np.zeros(0, np.int64)
-    order, levels = suffix_ranks(words, starts)
-    i, j = order[:-1], order[1:]
-    common = np.zeros(n - 1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        level = np.append(levels[k], -1)
-        a, b = np.minimum(i + common, n), np.minimum(j + common, n)
-        common += np.where((level[a] == level[b]) & (a < n) & (b < n), 1 << k, 0)
-    out = np.zeros(n, np.int64)
-    out[i] = common
-    out[j] = np.maximum(out[j], common)
+    order = np.argsort(suffix_ranks(words, starts))
+    # every text ends in a mark of its own, so that no prefix crosses an end
+    ends = np.append(starts[1:], n)
+    place = np.arange(n) + np.repeat(np.arange(len(starts)), ends - starts)
+    marked = np.empty(n + len(starts), np.int64)
+    marked[place] = words
+    marked[ends + np.arange(len(starts))] = -1 - np.arange(len(starts))
+    before = np.empty(n, np.int64)  # the suffix that sorts just before
+    before[order[1:]], before[order[0]] = order[:-1], order[0]
+    i, j = place, place[before]
+    common, alike = np.zeros(n, np.int64), i != j
+    for k in range(STEP):
+        alike &= marked[np.minimum(i + k, len(marked) - 1)] == marked[np.minimum(j + k, len(marked) - 1)]
+        common += alike
+    at = np.nonzero(alike)[0]
+    if len(at):
+        w, reached, last, h = marked.tolist(), [], -2, 0
+        for p, s, t in zip(at.tolist(), i[at].tolist(), j[at].tolist(), strict=True):
+            h = max(STEP, h - 1) if p == last + 1 else STEP
+            while w[s + h] == w[t + h]:
+                h += 1
+            reached.append(h)
+            last = p
+        common[at] = reached
+    out = common.copy()
+    np.maximum.at(out, before, common)
     return out
 
 
@@ -133,6 +154,8 @@ def _per_text(values: np.ndarray, reduce, starts: np.ndarray, some: np.ndarray)
     return out
 
 
+#: A name for the text that no column of documents is likely to have; it is taken by place, so a clash does no harm.
+_TEXT = "_quality_text"
 _FIELDS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("longest_repeat", "long"), ("covered_words", "long"), ("repeats", "array<struct<start:int,end:int>>"))
 
 
@@ -150,7 +173,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(docs.sparkSession)
     names = [n for n, _ in _FIELDS]
     rest = [c for c in docs.columns if c not in names]
-    rows = docs.select(*[docs[c] for c in rest], F.coalesce(docs[text_col], F.lit("")).alias("_quality_text"))
+    rows = docs.select(*[docs[c] for c in rest], F.coalesce(docs[text_col], F.lit("")).alias(_TEXT))
     kinds = [pa.bool_() if k == "boolean" else pa.int64() for _, k in _FIELDS[:-1]] + [pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
