@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 CAPACITIES = (512, 1024, 2048, 4096)
+#: Rows of a plan (of nine numbers each) up to which it is handed to every worker.
+SMALL_PLAN = 200_000
 
 
 class Plan:
@@ -22,31 +25,37 @@ class Plan:
         self.bins: list[tuple[int, int, int, int, int]] = []
 
 
-def _fill(capacity: int, lengths: list[int], left: dict[int, int]) -> int:
-    """Tokens that a greedy best fit from the lengths still to place puts into a bin of this capacity."""
-    room, hi = capacity, len(lengths)
+def _fill(capacity: int, lengths: list[int], left: dict[int, int]) -> dict[int, int]:
+    """How many pieces of each length a greedy best fit puts into a bin of this capacity."""
+    room, hi, used = capacity, len(lengths), {}
     while room and hi:
         i = bisect_left(lengths, room + 1, 0, hi) - 1
         if i < 0:
             break
-        room -= lengths[i] * min(left[lengths[i]], room // lengths[i])
+        n = min(left[lengths[i]], room // lengths[i])
+        if n:
+            used[lengths[i]] = n
+            room -= lengths[i] * n
         hi = i
-    return capacity - room
+    return used
 
 
 def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, bin_cost: int = 32) -> Plan:
     """Best-fit decreasing over (length: how many), for all pieces of a length at once.
 
     A piece goes to the open bin with the least sufficient room. Where none has room, the bin size is opened whose cost
-    (capacity + bin_cost) per token that the remaining lengths can fill it with is least. Once all are placed, every
-    bin shrinks to the least permitted capacity that holds its contents. The work and the plan depend on the number of
-    different lengths and not on how many pieces there are.
+    (capacity + bin_cost) per token that the remaining lengths can fill it with is least; of that size, as many bins as
+    can be filled alike, and then the sizes are weighed anew on the pieces that no opened bin is expected to take. Once
+    all are placed, every bin shrinks to the least permitted capacity that holds its contents. The work and the plan
+    depend on the number of different lengths and not on how many pieces there are.
     """
     sizes = sorted(capacities)
     lengths = sorted(n for n, c in histogram.items() if c)
     if lengths and (lengths[0] < 1 or lengths[-1] > sizes[-1]):
         raise ValueError("lengths must lie between 1 and the largest capacity")
     left = {n: histogram[n] for n in lengths}
+    spare = dict(left)  # pieces that no opened bin is expected to take
+    free = list(lengths)  # the lengths of those, ascending
     plan, opened = Plan(), 0
     rooms: list[int] = []  # the different rooms of open bins, ascending
     groups: dict[int, list[list[int]]] = {}  # room: [lo, hi, capacity] ranges of equal bins
@@ -69,8 +78,17 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, bin_cost: int =
                     del groups[room]
                     rooms.pop(i)
             else:
-                capacity = min((c for c in sizes if c >= length), key=lambda c: ((c + bin_cost) / _fill(c, lengths, left), c))
-                lo, hi, room = opened, opened + -(-left[length] // (capacity // length)), capacity
+                spare[length] = max(1, spare[length])
+                if not free or free[-1] != length:
+                    free.append(length)
+                fills = {c: _fill(c, free, spare) for c in sizes if c >= length}
+                capacity = min(fills, key=lambda c: ((c + bin_cost) / sum(n * k for n, k in fills[c].items()), c))
+                alike = min(spare[n] // k for n, k in fills[capacity].items())
+                alike = min(alike, -(-left[length] // (capacity // length)))
+                for n, k in fills[capacity].items():
+                    spare[n] -= alike * k
+                free = [n for n in free if spare[n]]
+                lo, hi, room = opened, opened + alike, capacity
                 opened = hi
             each = room // length
             full = min(hi - lo, left[length] // each)
@@ -83,7 +101,9 @@ def plan_bins(histogram: dict[int, int], capacities=CAPACITIES, bin_cost: int =
                     left[length] -= pieces
                     put_back(room - n * length, start, stop, capacity)
             put_back(room, lo + full + bool(rest), hi, capacity)
-        lengths.pop()
+        spare[length] = 0
+        if free and free[-1] == length:
+            free.pop()
     for room, ranges in groups.items():
         for lo, hi, capacity in ranges:
             used = capacity - room
@@ -117,8 +137,8 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = 32, id_col: str
     (as many as the largest capacity at most) reach the driver, and the plan that goes back is bounded likewise. Ranks
     within a length are taken in small buckets with offsets, so a length that a third of all pieces have is spread.
 
-    Nulls: a null text is empty, one end token. A null doc_id is an id like any other. Repeated rows are packed each.
-    An empty table gives an empty result. Other columns are ignored.
+    Nulls: a null text is empty, one end token. A row whose given length is null or below 1 has no piece. A null doc_id is an
+    id like any other. Repeated rows are packed each. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -132,7 +152,7 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = 32, id_col: str
     plan = plan_bins(histogram, capacities, bin_cost)
 
     total = sum(histogram.values())
-    buckets = max(64, total // 2000)
+    buckets = max(64, math.isqrt(total))  # as many offsets to add up as rows to rank in each
     pieces = pieces.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
@@ -140,12 +160,11 @@ def pack(docs: DataFrame, capacities=CAPACITIES, bin_cost: int = 32, id_col: str
     rank = F.col("offset") + F.row_number().over(Window.partitionBy("length", "part").orderBy("uid")) - 1
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", rank)
 
-    # As many rows as different lengths and bins need, whatever the input; the check guards the bound.
+    # As many rows as different lengths and bins need, whatever the input; the join is broadcast only where that is small.
     runs = cut_runs(plan)
-    if len(runs) > 64 * most:
-        raise RuntimeError("the plan outgrew its bound")
-    runs = spark.createDataFrame(runs, "run_length int, lo long, hi long, bin_lo long, per_bin long, at long, opened_capacity int, capacity int, bin_used int")
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    frame = spark.createDataFrame(runs, "run_length int, lo long, hi long, bin_lo long, per_bin long, at long, opened_capacity int, capacity int, bin_used int")
+    frame = F.broadcast(frame) if len(runs) <= SMALL_PLAN else frame
+    placed = ranked.join(frame, (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     nth = F.col("rank") - F.col("lo")
     return placed.select(
         "doc_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: fl
 
 def _even(scratch: Scratch, rows: DataFrame, total: int, shards: int) -> DataFrame:
     """Exactly even shards: each row's rank in its shard (unlinked rows first), by buckets; ranks below the surplus go."""
-    buckets = max(64, total // 2000)
+    buckets = max(64, math.isqrt(total))  # as many offsets to add up as rows to rank in each
     rows = scratch.put(rows.withColumn("part", F.when(F.col("group_rows") > 1, F.lit(buckets)).otherwise(F.lit(0)) + F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(buckets))))
     scratch.keep(rows)
     counts = rows.groupBy("shard", "part").agg(F.count("*").alias("n"))
