@@ -15,20 +15,29 @@ SCHEMA = "doc_id long, text string"
 
 
 def one_by_one(histogram, capacities, bin_cost=32):
-    """Best-fit decreasing, a piece at a time, with the same choice of the size to open."""
-    left = dict(histogram)
-    bins = []
+    """Best-fit decreasing, a piece and a bin at a time, with the sizes weighed for every bin that is opened."""
+    spare, bins = dict(histogram), []
     for length in sorted(histogram, reverse=True):
         for _ in range(histogram[length]):
-            lengths = sorted(n for n in left if left[n] and n <= length)
             fits = [b for b in bins if b[0] - b[1] >= length]
             if fits:
                 b = min(fits, key=lambda b: b[0] - b[1])
             else:
-                cap = min((c for c in sorted(capacities) if c >= length), key=lambda c: ((c + bin_cost) / packing._fill(c, lengths, left), c))
-                bins.append(b := [cap, 0])
+                spare[length] = max(1, spare[length])
+                best = None
+                for cap in sorted(c for c in capacities if c >= length):
+                    room, fill = cap, Counter()
+                    for n in sorted((n for n in spare if n <= length), reverse=True):
+                        fill[n] = min(spare[n], room // n)
+                        room -= fill[n] * n
+                    cost = (cap + bin_cost) / (cap - room)
+                    if best is None or cost < best[0]:
+                        best = cost, cap, fill
+                for n, k in best[2].items():
+                    spare[n] -= k
+                bins.append(b := [best[1], 0])
             b[1] += length
-            left[length] -= 1
+        spare[length] = 0
     return bins
 
 
@@ -47,10 +56,27 @@ def test_plan(seed):
     assert set(used) == set(ends) and all(ends[b][2] == n <= ends[b][1] <= ends[b][0] for b, n in used.items())
     assert all(cap == min(c for c in (16, 32, 64) if c >= n) for _, cap, n in ends.values())
     single = one_by_one(histogram, (16, 32, 64))
-    # opening several equal bins at once may choose another size for the last of them, so totals are close, not equal
-    assert sum(cap for _, cap, _ in ends.values()) <= 1.1 * sum(min(c for c in (16, 32, 64) if c >= b[1]) for b in single) + 64
-    one_size = packing.plan_bins(histogram, (64,))
-    assert sorted(n for lo, hi, _, _, n in one_size.bins for _ in range(lo, hi)) == sorted(b[1] for b in one_by_one(histogram, (64,)))
+    assert sorted((opened, n) for opened, _, n in ends.values()) == sorted((b[0], b[1]) for b in single)
+    cuts = packing.cut_runs(plan)
+    assert sum(hi - lo for _, lo, hi, *_ in cuts) == sum(histogram.values())
+
+
+def test_plan_of_every_length():
+    """A plan has no bound on its runs: all lengths, with counts that divide badly."""
+    rng = random.Random(3)
+    histogram = {n: rng.randint(1, 9) for n in range(1, 2049)}
+    plan = packing.plan_bins(histogram)
+    assert sum(hi - lo for _, lo, hi, *_ in packing.cut_runs(plan)) == sum(histogram.values())
+    used = sum((hi - lo) * n for lo, hi, _, _, n in plan.bins)
+    assert used == sum(n * c for n, c in histogram.items()) > 0.99 * sum((hi - lo) * cap for lo, hi, _, cap, _ in plan.bins)
+
+
+def test_pack_joins_large_plans(table, monkeypatch):
+    rows = [(k, "w " * (k % 37)) for k in range(300)]
+    few = packing.pack(table(rows, SCHEMA))
+    want = Counter((r.length, r.capacity, r.bin_used) for r in few.collect())
+    monkeypatch.setattr(packing, "SMALL_PLAN", 0)
+    assert Counter((r.length, r.capacity, r.bin_used) for r in packing.pack(table(rows, SCHEMA)).collect()) == want
 
 
 def test_pack(table):
@@ -123,10 +149,76 @@ def test_pipeline(spark, sf, table):
 
 def test_near_duplicate_stage_odd(table, spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, None), (3, None), (None, "a b c d e f"), (None, None)]
+    rows += [(7, "one text of its own"), (7, "another one, no near copy of it"), (8, "p q  r s t"), (8, "p q r s t"), (9, "P q r s t")]
     docs = table(rows, SCHEMA)
     got = stages.drop_near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
-    assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.doc_id is not None) == [("1", "a b c d e f"), ("3", None)]
+    left = sorted((str(r.doc_id), r.text or "") for r in got.collect())
+    assert [x for x in left if x[0] != "8"] == sorted([("1", "a b c d e f"), ("3", ""), ("3", ""), ("None", "a b c d e f"), ("None", ""), ("7", "one text of its own"), ("7", "another one, no near copy of it")])
+    assert len([x for x in left if x[0] == "8"]) == 1
+    assert stages.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_against_plain(table, spark, tmp_path):
+    """All stages on a small corpus, each step done again by brute force: quality over all substrings, near duplicates over
+    all pairs, secrets by a plain scan, packing a piece at a time over the library's token counts."""
+    from test_dedup import plain_near
+    from test_text import plain_linked
+
+    from tessera.llm import secrets, tokens, toxicity
+
+    rng = random.Random(21)
+    make = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    base, rows = make(80), []
+    for k in range(120):
+        words = list(base) if k % 4 == 0 else make(rng.randint(4, 120))
+        if k % 4 == 0:
+            words[rng.randrange(80)] = f"edit{k}"
+        if k % 7 == 0:
+            words += make(12) * 4
+        if k % 5 == 0:
+            words.insert(3, "client_id: alice99 password = hunter22 token=abcdefabcdef99")
+        if k % 3 == 1:
+            words.insert(1, "stupid idiot")
+        rows.append((k, " ".join(words)))
+    docs = table(rows, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    labels = [(k, 1, int(k % 3 == 1)) for k in range(120)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    left = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, str(tmp_path))
+    packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path)).collect()
+
+    bad = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).where("predicted = 1").collect()}
+    assert bad
+    plain = [(i, t) for i, t in rows if i not in bad]
+
+    def good(text):
+        w = text.split()
+        n = len(w)
+        spans = [(i, j, k) for i in range(n) for j in range(i + 1, n) for k in [next((x for x in range(n - j) if w[i + x] != w[j + x]), n - j)] if k]
+        cover = lambda least: {p for i, j, k in spans if k >= least for s in (i, j) for p in range(s, s + k)}
+        longest = max((k for _, _, k in spans), default=0)
+        return not (n < 10 or 100 * len(cover(5)) > 20 * n or len(cover(10)) > 0.3 * n or (longest > 0.25 * n and longest > 25))
+
+    judged = [(i, t) for i, t in plain if good(t)]
+    assert 10 < len(judged) < len(plain)
+    _, comp = plain_near(judged)
+    judged = [(i, t) for i, t in judged if comp[i] == i]
+
+    def hidden(text):
+        out, at = "", 0
+        for s, kind, e in plain_linked(text):
+            out, at = out + text[at:s] + f"[{secrets.KINDS[kind]}]", max(at, e)
+        return out + text[at:]
+
+    want = sorted((i, hidden(t)) for i, t in judged)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == want and any("[weak]" in t for _, t in want)
+    library = tokens._load(tokens.default_tokenizer()).whole
+    sizes = {i: len(library.encode(t, add_special_tokens=False)) + 1 for i, t in want}
+    assert Counter((r.doc_id, r.length) for r in packed) == Counter(sizes.items())
+    plan = one_by_one(Counter(sizes.values()), packing.CAPACITIES)
+    assert sorted({r.bin_id: r.bin_used for r in packed}.values()) == sorted(b[1] for b in plan)
 
 
 @pytest.mark.parametrize("empty", [False, True])
