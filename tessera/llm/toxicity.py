@@ -35,7 +35,9 @@ _SIGN = "".join(re.escape(c) for c in LEET)
 _LETTER = r"[^\W\d_]"
 _WORDS = re.compile(_LETTER + "+")
 #: Three or more single letters or signs in a row, blanks between them.
-_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_SIGN}])(?: (?:{_LETTER}|[{_SIGN}])){{2,}}(?!\S)")
+_SPACED = re.compile(rf"(?<!\S)(?:{_LETTER}|[{_SIGN}])(?: +(?:{_LETTER}|[{_SIGN}])){{2,}}(?!\S)")
+#: Marks the letters of a run whose words are unknown: any part of it may be one.
+_RUN = "\0"
 #: What makes a token worth decoding: a sign or separator beside or between letters, or three equal letters.
 _SUSPECT = re.compile(rf"{_LETTER}[{_SIGN}.\-_*~]+{_LETTER}|[{_SIGN}]{_LETTER}|{_LETTER}[0-9@$]|({_LETTER})\1\1")
 #: The part of a token that is decoded.
@@ -164,20 +166,35 @@ class Restorer:
         return self.seen[token]
 
     def words(self, token: str) -> list[str]:
-        """Words of a token as it stands, and of what it was restored to."""
+        """Words of a token as it stands, and of what it was restored to; of a run, its parts of each length a beginning has."""
+        if token[:1] == _RUN:
+            return [_RUN + token[i : i + n] for i in range(1, len(token) - PREFIXES[0] + 1) for n in PREFIXES if i + n <= len(token)]
         out = self.token(token)
         return _WORDS.findall(token) + (_WORDS.findall(out) if out != token else [])
 
+    def run(self, raw: str) -> str:
+        """Letters that stand apart, put together. The narrowest gaps lie between letters, and wider ones between words."""
+        least = min(map(len, re.findall(" +", raw)))
+        return " ".join(self.restored(re.sub(" +", " ", word)) for word in re.split(" {%d,}" % (least + 1), raw))
+
     def spaced(self, text: str) -> str:
-        """Letters one blank apart, put together. Only texts with single-letter tokens need the search."""
-        return _SPACED.sub(lambda m: self.restored(m.group(0)), text)
+        """A text with its runs put together. Only texts with single-letter tokens need the search."""
+        return _SPACED.sub(lambda m: self.run(m.group(0)), text)
 
     def tokens(self, text: str) -> set[str]:
-        """The distinct tokens of a text, with letters that stood apart put together."""
+        """The distinct tokens of a text, with letters that stood apart put together; and those runs as a whole, as where
+        their words end is the decoder's guess."""
         text = text.lower()
         found = set(text.split())
         if sum(len(t) == 1 for t in found) > 1:
-            found = set(self.spaced(text).split())
+            runs: list[str] = []
+
+            def put(m) -> str:
+                out = self.run(m.group(0))
+                runs.append(_RUN + "".join(_WORDS.findall(out)))
+                return out
+
+            found = set(_SPACED.sub(put, text).split()).union(runs)
         return found
 
     def text(self, text: str) -> str:
@@ -195,7 +212,10 @@ class Features:
         if word not in self.known:
             if len(self.known) > self.most:
                 self.known.clear()
-            keys = ["w" + word] + [f"p{word[:n]}" for n in PREFIXES if len(word) >= n]
+            if word[:1] == _RUN:
+                keys = ["w" + word[1:], "p" + word[1:]]
+            else:
+                keys = ["w" + word] + [f"p{word[:n]}" for n in PREFIXES if len(word) >= n]
             self.known[word] = tuple(xxhash.xxh32_intdigest(k) >> (32 - BITS) for k in keys)
         return self.known[word]
 

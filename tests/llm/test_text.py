@@ -397,6 +397,53 @@ def test_toxicity_word_boundaries():
     assert {"stupid", "that"} <= set(tool.words("that.stupid"))
 
 
+def all_paths(model, raw):
+    """The least cost over every way to read a string, by trying them all, and the readings that have it."""
+    ways = [("", "^^", 0.0)]
+    before, run, stretched = "", 0, set(re.findall(r"(.)\1\1", raw))
+    for c in raw:
+        run, again = (run + 1 if c == before else 1), c == before
+        options = [(x, toxicity.SIGN_COST) for x in toxicity.LEET.get(c, "")] if c in toxicity.LEET else [] if c in toxicity.SEPARATORS else [(c, 0.0)]
+        after = []
+        for out, state, cost in ways:
+            after += [(out + x, (state + x)[-2:], cost + more + model.cost(state, x)) for x, more in options]
+            if c in toxicity.SEPARATORS:
+                after += [(out, state, cost + toxicity.GAP_COST), (out + c, "^^", cost + model.cost(state, "$"))]
+            elif run > 2 or (again and c in stretched):
+                after.append((out, state, cost + toxicity.REPEAT_COST))
+        ways, before = after, c
+    ends = [(cost + model.cost(state, "$"), out) for out, state, cost in ways]
+    least = min(ends)[0]
+    return {out for cost, out in ends if cost < least + 1e-9}
+
+
+def test_toxicity_viterbi_is_the_best_of_all_paths():
+    rng = random.Random(14)
+    model = toxicity.CharModel(Counter({w: 50 for w in DECODER_WORDS.split()}))
+    for _ in range(300):
+        raw = rng.choice("aiots1053") + "".join(rng.choice("aidiot10$5.- sss") for _ in range(rng.randint(0, 8)))
+        assert model.decode(raw)[0] in all_paths(model, raw), raw
+
+
+def test_toxicity_runs():
+    """Letters apart by one blank or more; wider gaps end words; and any part of a run counts as a word."""
+    tool = toxicity.Restorer(toxicity.CharModel(Counter({w: 50 for w in DECODER_WORDS.split()})))
+    assert tool.text("the i  d  i  o  t of") == "the idiot of"
+    assert tool.text("i d i o t   m 0 r o n") == "idiot moron"
+    assert tool.text("1.d.1.0.t. 1.d.1.0.t.") == "idiot. idiot."
+    weak = toxicity.Restorer(toxicity.CharModel(Counter({w: 50 for w in "the hello world and".split()})))
+    (run,) = [t for t in weak.tokens("and i d i o t m o r o n hello") if t[0] == toxicity._RUN]
+    parts = {p for w in weak.words(run) for p in toxicity.Features().of(w)}
+    assert set(toxicity.Features().of("idiot")) <= parts and set(toxicity.Features().of("moron")) <= parts
+
+
+def test_toxicity_odd(table, spark):
+    labels = spark.createDataFrame([(1, 0), (1, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table(ODD, SCHEMA), labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ODD)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+
+
 def test_toxicity_characters_of_all_texts(table, spark):
     rows = [(1, "one two"), (1, "one two"), (None, "zwölf"), (2, None), (3, "Two")]
     words = Counter({"one": 2, "two": 3, "zwölf": 1})
@@ -409,7 +456,7 @@ def test_toxicity_characters_of_all_texts(table, spark):
 def test_toxicity(table, spark):
     rng = random.Random(2)
     bad = "idiot moron stupid trash".split()
-    disguise = {"idiot": "1d10t", "moron": "m0r0n", "stupid": "s-t-u-p-i-d", "trash": "t r a s h"}
+    disguise = {"idiot": "1d10t", "moron": "m  0  r  0  n", "stupid": "s-t-u-p-i-d", "trash": "t r a s h"}
     word = lambda: "".join(rng.choice(["an", "er", "th", "on", "in", "ly"]) for _ in range(rng.randint(1, 4)))
     rows, labels = [], []
     for k in range(900):
