@@ -113,24 +113,23 @@ class Trainer:
 
     def step(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> None:
         context, output, scale, bias = self.model.split(self.params)
-        n, size = len(target), self.model.size
-        noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE) * self.sums[-1]), size - 1)
-        r1, r2, q = context[one], context[two], output[target]
+        s_context, s_output, s_scale, s_bias = self.model.split(self.square)
+        n = len(target)
+        noise = np.minimum(np.searchsorted(self.sums, self.rng.random(NOISE) * self.sums[-1]), self.model.size - 1)
+        r1, r2, q, qn = context[one], context[two], output[target], output[noise]
         predicted = r1 * scale[0] + r2 * scale[1]
         up = 1 / (1 + np.exp(np.clip((predicted * q).sum(1) + bias[target] - self.offset[target], -30, 30)))
-        qn = output[noise]
         down = 1 / (1 + np.exp(-np.clip(predicted @ qn.T + bias[noise] - self.offset[noise], -30, 30)))
         to = (up[:, None] * q - down @ qn) / n
-        grad = np.zeros_like(self.params)
-        g_context, g_output, g_scale, g_bias = self.model.split(grad)
-        g_scale[0], g_scale[1] = (to * r1).sum(0), (to * r2).sum(0)
-        columns = np.arange(WIDTH)
-        add = lambda rows, values: np.bincount((rows[:, None] * WIDTH + columns).ravel(), weights=values.ravel(), minlength=size * WIDTH).reshape(size, WIDTH)
-        g_context += add(np.concatenate([one, two]), np.concatenate([to * scale[0], to * scale[1]]))
-        g_output += add(np.concatenate([target, noise]), np.concatenate([up[:, None] * predicted / n, -(down.T @ predicted) / n]))
-        g_bias += np.bincount(np.concatenate([target, noise]), weights=np.concatenate([up, -down.sum(0)]) / n, minlength=size)
-        self.square += grad * grad * n
-        self.params += RATE * grad * np.sqrt(n) / np.sqrt(self.square)
+        g_scale = np.stack([(to * r1).sum(0), (to * r2).sum(0)])
+        # only the rows a step touches change
+        seen, g_context = row_sums(np.concatenate([one, two]), np.concatenate([to * scale[0], to * scale[1]]))
+        hit, g_output = row_sums(np.concatenate([target, noise]), np.concatenate([np.column_stack([up[:, None] * predicted, up]), -np.column_stack([down.T @ predicted, down.sum(0)])]) / n)
+        g_output, g_bias = g_output[:, :-1], g_output[:, -1]
+        rate = RATE * np.float32(np.sqrt(n))
+        for values, square, rows, grad in ((context, s_context, seen, g_context), (output, s_output, hit, g_output), (bias, s_bias, hit, g_bias), (scale, s_scale, np.arange(2), g_scale)):
+            square[rows] += grad * grad * n
+            values[rows] += rate * grad / np.sqrt(square[rows])
 
     def block(self, target: np.ndarray) -> None:
         """One pass over a block: classes of consecutive tokens, every text closed by END."""
@@ -147,6 +146,14 @@ class Trainer:
         return np.rint(both.astype(np.float64)).astype(np.int64) * weight
 
 
+def row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows, and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    starts = np.nonzero(np.append(True, rows[1:] != rows[:-1]))[0]
+    return rows[starts], np.add.reduceat(values[order], starts, axis=0)
+
+
 def contexts(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two before each token; START before a text's first."""
     one, two = np.roll(target, 1), np.roll(target, 2)
@@ -260,7 +267,7 @@ def train(learnt: DataFrame, model: Model, total: int, scratch: Scratch) -> np.n
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            for lo, hi in slices(texts, lambda t: len(t) + 1, 2_000_000):
+            for lo, hi in slices(texts, lambda t: len(t) + 1, 1_000_000):
                 _, _, _, target, at, _ = _sequences(shared.value, texts[lo:hi])
                 parts = [x.astype("<i2").tobytes() for x in np.split(target, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("deal").slice(lo, hi - lo), pa.array(parts, pa.binary())], ["deal", "seq"])
@@ -322,7 +329,7 @@ def train(learnt: DataFrame, model: Model, total: int, scratch: Scratch) -> np.n
     return model.params
 
 
-def add_up(found: DataFrame, rows: int, scratch: Scratch, fan: int = 64) -> tuple[int, np.ndarray]:
+def add_up(found: DataFrame, rows: int, scratch: Scratch, fan: int = 16) -> tuple[int, np.ndarray]:
     """Sums of (w, sums) over all rows, of which there are at most so many: in a tree where a driver would get too many."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +372,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         bucket_logs = np.log10(known.bucket_sums)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            for lo, hi in slices(texts, lambda t: len(t) + 1, 2_000_000):
+            for lo, hi in slices(texts, lambda t: len(t) + 1, 1_000_000):
                 n, keys, place, target, at, inner = _sequences(known, texts[lo:hi])
                 one, two = contexts(target)
                 in_table = place >= 0
