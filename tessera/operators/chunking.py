@@ -68,10 +68,14 @@ def located(text: Column, chunks: Column) -> Column:
     return fold(chunks, F.lit(0), step, _PIECE)
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return ["doc_id", "doc_ord"] if "doc_ord" in docs.columns else ["doc_id"]
+
+
 def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str) -> DataFrame:
-    rows = docs.select("doc_id", F.posexplode(pieces).alias("idx", "p"))
+    rows = docs.select(*_own(docs), F.posexplode(pieces).alias("idx", "p"))
     return rows.select(
-        "doc_id",
+        *_own(docs),
         "idx",
         F.concat(F.col("doc_id").cast("string"), F.lit(f"#{label}"), F.col("idx").cast("string")).alias("chunk_id"),
         F.col("p.text").alias("text"),
@@ -109,12 +113,12 @@ def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int
         return n + F.size(x["kids"]), F.concat(F.array(item("parent", x["i"], x["p"])), kids)
 
     every = fold(nested, F.lit(0), number, f"struct<level:string,parent:int,idx:int,piece:{_PIECE},parent_text:string>")
-    rows = docs.select("doc_id", F.posexplode(every).alias("ord", "x"))
+    rows = docs.select(*_own(docs), F.posexplode(every).alias("ord", "x"))
     doc = F.col("doc_id").cast("string")
     parent_id = F.concat(doc, F.lit("#c"), F.col("x.parent").cast("string"))
     child = F.col("x.level") == "child"
     return rows.select(
-        "doc_id",
+        *_own(docs),
         "ord",
         F.when(child, F.concat(doc, F.lit("#hc"), F.col("x.idx").cast("string"))).otherwise(parent_id).alias("chunk_id"),
         F.col("x.piece.text").alias("text"),

@@ -9,15 +9,42 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import tokens
 
 DIM = 384
 
 
+#: Chunks that a document may have in a chunk_ord.
+PER_DOC = 1 << 20
+
+
+def numbered(docs: DataFrame, first: int = 0) -> DataFrame:
+    """The documents with doc_ord: their places in the table, from `first` on, without gaps. Ids may be of any type, may
+    repeat and may be null. Rows are counted for each partition, and only those counts reach the driver."""
+    rows = docs.withColumn("_m", F.monotonically_increasing_id())
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, at = [], first
+    for p, n in counts:
+        starts.append((p, at))
+        at += n
+    offsets = docs.sparkSession.createDataFrame(starts, "_p long, _start long")
+    # one row for each partition
+    return rows.join(F.broadcast(offsets), part == F.col("_p")).withColumn("doc_ord", F.col("_start") + place).drop("_m", "_p", "_start")
+
+
 def with_order(chunks: DataFrame) -> DataFrame:
-    """chunk_ord from doc_id and the chunk's place in it, without a shuffle."""
-    return chunks.withColumn("chunk_ord", F.col("doc_id").cast("long") * (1 << 20) + F.col("idx"))
+    """chunk_ord from the document's number and the chunk's place in it, without a shuffle. The number is doc_ord (see
+    `numbered`) where there is one, and else a doc_id that is a number, unique and not null."""
+    if "doc_ord" in chunks.columns:
+        base = F.col("doc_ord")
+    elif isinstance(chunks.schema["doc_id"].dataType, NumericType):
+        base = F.col("doc_id")
+    else:
+        raise ValueError("documents whose ids are no numbers need a doc_ord: see numbered()")
+    return chunks.withColumn("chunk_ord", base.cast("long") * PER_DOC + F.col("idx"))
 
 
 @dataclass
@@ -39,7 +66,8 @@ def postings_of(chunks: DataFrame) -> DataFrame:
 def lexical_index(chunks: DataFrame) -> LexicalIndex:
     postings = postings_of(chunks)
     stats = chunks.select(F.size(tokens(F.coalesce("text", F.lit("")))).alias("dl")).agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    # a term counts once for a chunk, so no posting has to be made for its frequency
+    df = chunks.select(F.explode(F.array_distinct(tokens(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     # one row: the statistics of the corpus
     dictionary = df.crossJoin(F.broadcast(stats.select("n"))).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     return LexicalIndex(postings, dictionary, stats)

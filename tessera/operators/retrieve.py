@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import RERANK_STOP
-from ..functions.text import TOKEN, token_set, tokens
+from ..functions.text import token_set, tokens
 from ..sources.session import ship
 from .index import DIM, LexicalIndex
 
@@ -23,7 +24,8 @@ K1, B, RRF = 1.5, 0.75, 60
 QUERY_BLOCK = 2_000
 #: Scores are compared after rounding, so that sums in another order don't break ties.
 DIGITS = 9
-_TOKEN = re.compile(TOKEN)
+#: What lies between tokens (functions.text.TOKEN).
+_NO_TOKEN = "[^a-z0-9]+"
 
 
 def _ranked(scored: DataFrame, n: int) -> DataFrame:
@@ -81,39 +83,96 @@ def _text(c: str):
     return F.coalesce(c, F.lit("")).alias(c)
 
 
-def bm25_rank(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, n: int = 20) -> DataFrame:
+def _split(texts) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All tokens of several texts one after another, the text each belongs to, and how many each text has."""
+    parts = pc.split_pattern_regex(pa.array([t.lower() for t in texts], pa.large_string()), pattern=_NO_TOKEN)
+    flat = parts.flatten()
+    owner = np.repeat(np.arange(len(parts)), np.diff(parts.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(flat), 0)
+    owner = owner[full.to_numpy(zero_copy_only=False)]
+    return flat.filter(full), owner, np.bincount(owner, minlength=len(parts))
+
+
+@dataclass
+class Asked:
+    """Terms of a block of queries: sorted terms, and for each the queries that ask for it and how often, in rows of at[k] to
+    at[k + 1]. Its size is that of the queries' own text."""
+
+    terms: pa.Array
+    at: np.ndarray
+    query: np.ndarray
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, texts) -> Asked:
+        flat, owner, _ = _split(texts)
+        coded = flat.dictionary_encode()
+        order = np.argsort(np.array(coded.dictionary.to_pylist(), object), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pairs, times = np.unique(place[coded.indices.to_numpy(zero_copy_only=False)] * len(texts) + owner, return_counts=True)
+        at = np.searchsorted(pairs, np.arange(len(order) + 1) * len(texts))
+        return cls(coded.dictionary.take(pa.array(order)), at, pairs % len(texts), times)
+
+    def found(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts: (text, term) pairs that occur and how often; and the number of tokens of each text."""
+        flat, owner, lengths = _split(texts)
+        term = pc.index_in(flat, value_set=self.terms.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        pairs, tf = np.unique(owner[term >= 0] * max(1, len(self.terms)) + term[term >= 0], return_counts=True)
+        return pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms)), tf, lengths
+
+
+def _frequencies(rows: DataFrame, asked: Asked) -> tuple[np.ndarray, int, float]:
+    """Document frequency of each asked term, number of chunks, and their mean length: one pass, counted in each batch, with
+    sums alone passed on."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df, n, total = np.zeros(len(shared.value.terms) + 1, np.int64), 0, 0
+        for batch in batches:
+            _, term, _, lengths = shared.value.found(batch["text"])
+            df += np.bincount(term, minlength=len(df))
+            n, total = n + len(batch), total + int(lengths.sum())
+        some = np.nonzero(df)[0]
+        yield pd.DataFrame({"k": np.append(some, [-1, -2]), "x": np.append(df[some], [n, total])})
+
+    sums = {r.k: r.x for r in rows.select("text").mapInPandas(run, "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).collect()}
+    n, total = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(len(asked.terms), np.int64)
+    df[list(sums)] = list(sums.values())
+    return df, n, total / max(1, n)
+
+
+def bm25_rank(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, n: int = 20) -> DataFrame:
     """(qid, chunk_ord, score, rank): the n best by BM25, ties by chunk order; chunks of score 0 fill a list up.
 
-    A repeated query term counts repeatedly. Only the dictionary's rows for the queries' own terms are computed and
-    brought to the driver; a batch of chunks then gives all scores by a product of its term weights with the queries'.
+    A repeated query term counts repeatedly. The frequencies of the queries' own terms come from an index, or from a pass
+    over the chunks that counts no others; a batch of chunks then gives all scores by a sparse product of its term
+    weights with the queries'.
     """
     rows = chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), _text("text"))
 
     def make(frame: pd.DataFrame) -> DataFrame:
-        asked = [Counter(_TOKEN.findall(q.lower())) for q in frame["query"]]
-        terms = sorted(set().union(*asked))
-        wanted = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-        idf = {r.term: r.idf for r in index.dictionary.join(F.broadcast(wanted), "term", "left_semi").select("term", "idf").collect()} if terms else {}
-        avgdl = index.stats.first().avgdl or 1.0
-        place = {t: k for k, t in enumerate(t for t in terms if t in idf)}
-        weights = np.zeros((len(place), len(asked)))
-        for j, q in enumerate(asked):
-            for t, times in q.items():
-                if t in place:
-                    weights[place[t], j] = times * idf[t]
-        shared = queries.sparkSession.sparkContext.broadcast((place, weights))
+        asked = Asked.of(frame["query"])
+        if index is None:
+            df, total, avgdl = _frequencies(rows, asked)
+            idf = np.where(df > 0, np.log(1 + (total - df + 0.5) / (df + 0.5)), 0.0)
+        else:
+            terms = asked.terms.to_pylist()
+            wanted = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+            known = {r.term: r.idf for r in index.dictionary.join(F.broadcast(wanted), "term", "left_semi").select("term", "idf").collect()}
+            idf, avgdl = np.array([known.get(t, 0.0) for t in terms]), index.stats.first().avgdl
+        shared = queries.sparkSession.sparkContext.broadcast((asked, idf, avgdl or 1.0, len(frame)))
 
         def score(batch: pd.DataFrame) -> np.ndarray:
-            place, weights = shared.value
-            out = np.zeros((weights.shape[1], len(batch)))
-            for i, text in enumerate(batch["text"]):
-                found = _TOKEN.findall(text.lower())
-                tf = Counter(k for k in map(place.get, found) if k is not None)
-                if tf:
-                    times = np.fromiter(tf.values(), np.float64, len(tf))
-                    gain = times * (K1 + 1) / (times + K1 * (1 - B + B * max(1, len(found)) / avgdl))
-                    out[:, i] = gain @ weights[np.fromiter(tf.keys(), np.int64, len(tf))]
-            return out
+            asked, idf, avgdl, size = shared.value
+            chunk, term, tf, lengths = asked.found(batch["text"])
+            gain = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.maximum(1, lengths[chunk]) / avgdl))
+            each = (asked.at[1:] - asked.at[:-1])[term]
+            first = np.repeat(asked.at[:-1][term] - (np.cumsum(each) - each), each)
+            at = first + np.arange(len(first))
+            cell = asked.query[at] * len(batch) + np.repeat(chunk, each)
+            return np.bincount(cell, weights=asked.times[at] * np.repeat(gain, each), minlength=size * len(batch)).reshape(size, len(batch))
 
         return _best(rows, score, frame["qid"].to_numpy(), n)
 
@@ -143,22 +202,23 @@ def _buckets_of(token: str) -> tuple[int, int]:
 
 
 def _hashed(texts) -> np.ndarray:
-    """Unit vectors of texts, as index.hashed_vectors has them."""
-    out = np.zeros((len(texts), DIM))
-    for row, text in zip(out, texts, strict=True):
-        for one, half in map(_buckets_of, _TOKEN.findall(text.lower())):
-            row[one] += 1.0
-            row[half] += 0.5
-    return _unit(out)
-
-
-def dense_rank(queries: DataFrame, chunks: DataFrame, n: int = 20) -> DataFrame:
-    """As vector_rank, over hashed vectors of the texts, which are made batch by batch and never written or shuffled."""
+    """Unit vectors of texts, as index.hashed_vectors has them. Each distinct token of a batch is hashed once."""
+    flat, owner, _ = _split(texts)
+    coded = flat.dictionary_encode()
+    buckets = np.array([_buckets_of(t) for t in coded.dictionary.to_pylist()], np.int64).reshape(-1, 2)[coded.indices.to_numpy(zero_copy_only=False)]
+    cells = np.concatenate([owner * DIM + buckets[:, 0], owner * DIM + buckets[:, 1]])
+    weights = np.repeat([1.0, 0.5], len(owner))
+    return _unit(np.bincount(cells, weights=weights, minlength=len(texts) * DIM).reshape(-1, DIM))
+
+
+def dense_rank(queries: DataFrame, chunks: DataFrame, n: int = 20, embed: Callable = _hashed) -> DataFrame:
+    """As vector_rank, over vectors of the texts, which are made batch by batch and never written or shuffled. embed gives
+    the rows of a matrix for a list of texts; by default they are hashed."""
     rows = chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), _text("text"))
 
     def make(frame: pd.DataFrame) -> DataFrame:
-        shared = queries.sparkSession.sparkContext.broadcast(_hashed(frame["query"].tolist()))
-        return _best(rows, lambda batch: shared.value @ _hashed(batch["text"].tolist()).T, frame["qid"].to_numpy(), n)
+        shared = queries.sparkSession.sparkContext.broadcast(_unit(np.asarray(embed(frame["query"].tolist()), np.float64)))
+        return _best(rows, lambda batch: shared.value @ _unit(np.asarray(embed(batch["text"].tolist()), np.float64)).T, frame["qid"].to_numpy(), n)
 
     return _over_blocks(queries, [_text("query")], make, n)
 
@@ -174,20 +234,26 @@ def fuse(dense: DataFrame, bm25: DataFrame, n: int = 20, k: int = RRF) -> DataFr
     return both.withColumn("fused_rank", F.row_number().over(order)).where(F.col("fused_rank") <= n).select("qid", "chunk_ord", "fused", "fused_rank")
 
 
-def rerank(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, top_k: int = 5) -> DataFrame:
+def overlap_score(own: Column, text: Column) -> Column:
+    """The share of a query's tokens that a text has."""
+    return F.size(F.array_intersect(own, tokens(text))) / F.greatest(F.size(own), F.lit(1))
+
+
+def rerank(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, top_k: int = 5, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(qid, chunk_ord, chunk_id, doc_id, text, score, rank, source): the top_k by the share of the query's tokens that a
-    candidate has, ties by fused rank."""
+    candidate has, or by a score of one's own of the columns (query, text); ties by fused rank."""
     texts = candidates.join(chunks.select("chunk_ord", "chunk_id", "doc_id", "text"), "chunk_ord")
-    pairs = texts.join(queries.select("qid", token_set(F.coalesce("query", F.lit("")), RERANK_STOP).alias("own")), "qid")
-    overlap = F.size(F.array_intersect("own", tokens(F.col("text"))))
-    scored = pairs.withColumn("score", overlap / F.greatest(F.size("own"), F.lit(1)))
+    query = F.coalesce("query", F.lit(""))
+    pairs = texts.join(queries.select("qid", query.alias("_query"), token_set(query, RERANK_STOP).alias("own")), "qid")
+    scored = pairs.withColumn("score", (score(F.col("_query"), F.col("text")) if score else overlap_score(F.col("own"), F.col("text"))).cast("double"))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "fused_rank")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("qid", "chunk_ord", "chunk_id", "doc_id", "text", "score", "rank", F.lit("reranked").alias("source"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, top_k: int = 5, prefetch: int = 20) -> DataFrame:
-    fused = fuse(dense_rank(queries, chunks, prefetch), bm25_rank(queries, chunks, index, prefetch), prefetch)
-    return rerank(queries, fused, chunks, top_k)
+def hybrid(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, top_k: int = 5, prefetch: int = 20, embed: Callable = _hashed, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The top_k of the fused rankings by vectors and by BM25, reranked; embed and score as in dense_rank and rerank."""
+    fused = fuse(dense_rank(queries, chunks, prefetch, embed), bm25_rank(queries, chunks, index, prefetch), prefetch)
+    return rerank(queries, fused, chunks, top_k, score)
 
 
 def chunk_by_id(chunks: DataFrame, chunk_id: str) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MIN_GROUNDEDNESS, PII_TYPES
@@ -25,6 +26,11 @@ class AskOptions:
     min_groundedness: float = MIN_GROUNDEDNESS
     pii_types: tuple[str, ...] = PII_TYPES
     salt: str = ""
+    #: Parts that may be replaced: the answer as a column of the prompt, vectors of a list of texts, and the reranker's score
+    #: as a column of query and text.
+    answer: Callable[[Column], Column] = respond_to_prompt
+    embed: Callable | None = None
+    score: Callable[[Column, Column], Column] | None = None
 
 
 _ENTRIES = "array<struct<placeholder:string,original:string>>"
@@ -43,7 +49,7 @@ def triage(requests: DataFrame, options: AskOptions) -> DataFrame:
     return rows.withColumn("redaction_seal", F.when(live, seal(entries, F.lit(options.salt))).otherwise(F.lit(""))).drop("_spans", "_names")
 
 
-def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex, decisions: DataFrame | None = None, options: AskOptions | None = None) -> DataFrame:
+def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None) -> DataFrame:
     """One row for each request (qid, query). decisions: (qid, decision) of reviewers.
 
     Each request's redaction map is its own: that of its query and those of its hits, later originals replacing earlier
@@ -53,7 +59,7 @@ def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex, decisions:
     spans = lambda c: pii_spans(c, options.pii_types)
     triaged = triage(requests, options)
     live = triaged.where(~F.col("blocked")).select("qid", F.when(F.col("redacted_query") != "", F.col("redacted_query")).otherwise(F.col("query")).alias("query"))
-    hits = hybrid(live, chunks, index, options.top_k, options.prefetch)
+    hits = hybrid(live, chunks, index, options.top_k, options.prefetch, **({"embed": options.embed} if options.embed else {}), score=options.score)
     hits = hits.withColumn("_s", spans(F.col("text"))).withColumn("_n", placeholders(F.col("_s")))
     hits = hits.withColumn("entries", redaction_entries(F.col("_s"), F.col("_n"))).withColumn("text", redact(F.col("text"), F.col("_s"), F.col("_n"))).drop("_s", "_n")
     context = assemble_context(hits, options.max_context)
@@ -68,7 +74,7 @@ def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex, decisions:
 
     free = ~F.col("blocked")
     rows = rows.withColumn("_prompt", prompt_for(F.col("intent"), F.col("redacted_query"), F.col("context_text")))
-    rows = rows.withColumn("draft_answer", F.when(free, respond_to_prompt(F.col("_prompt"))).otherwise(F.lit("")))
+    rows = rows.withColumn("draft_answer", F.when(free, options.answer(F.col("_prompt"))).otherwise(F.lit("")))
     rows = rows.withColumn("tokens_in", F.when(free, word_count(F.col("_prompt"))).otherwise(F.lit(0)).cast("long"))
     rows = rows.withColumn("tokens_out", word_count(F.col("draft_answer")).cast("long"))
     checked = check_answer(F.col("draft_answer"), F.col("context_text"), leak_count(F.col("draft_answer"), F.col("entries")), options.min_groundedness)

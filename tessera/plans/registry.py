@@ -13,7 +13,7 @@ from ..functions.text import claim_groundedness, half_even, sentences, sentences
 from ..operators import answer as A
 from ..operators import audit, chunking, evaluate, retrieve, service
 from ..operators.guardrails import InputPolicy, check_answer, check_request, with_disclaimer
-from ..operators.index import LexicalIndex, cosine, hashed_weights, lexical_index, store_stats, with_order
+from ..operators.index import cosine, hashed_weights, lexical_index, store_stats, with_order
 from ..sources.io import read_table
 from .ask import AskOptions, ask, qa_turns
 from .serve import audit_records, run_examples, serve
@@ -37,10 +37,6 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def _index(chunks: DataFrame) -> LexicalIndex:
-    return lexical_index(chunks)
-
-
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     return qa_turns(read_table(spark, d, "conversations"))
 
@@ -61,7 +57,7 @@ def term_dictionary(spark, d):
 
 def bm25_topk(spark, d):
     chunks = _chunks(spark, d)
-    return retrieve.bm25_rank(_queries(spark, d), chunks, _index(chunks)).select("qid", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    return retrieve.bm25_rank(_queries(spark, d), chunks).select("qid", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
 def hash_embed(spark, d):
@@ -74,19 +70,19 @@ def dense_topk(spark, d):
 
 def rrf_fusion(spark, d):
     chunks, q = _chunks(spark, d), _queries(spark, d)
-    fused = retrieve.fuse(retrieve.dense_rank(q, chunks), retrieve.bm25_rank(q, chunks, _index(chunks)))
+    fused = retrieve.fuse(retrieve.dense_rank(q, chunks), retrieve.bm25_rank(q, chunks))
     return fused.select("qid", "chunk_ord", F.round("fused", 9).alias("fused"), F.col("fused_rank").cast("int").alias("fused_rank"))
 
 
 def hybrid_retrieve(spark, d):
     chunks = _chunks(spark, d)
-    hits = retrieve.hybrid(_queries(spark, d), chunks, _index(chunks))
+    hits = retrieve.hybrid(_queries(spark, d), chunks)
     return hits.select("qid", "chunk_id", "doc_id", "text", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"), "source")
 
 
 def rerank(spark, d):
     chunks, q = _chunks(spark, d), _queries(spark, d)
-    top = retrieve.bm25_rank(q, chunks, _index(chunks)).select("qid", "chunk_ord", F.col("rank").alias("fused_rank"))
+    top = retrieve.bm25_rank(q, chunks).select("qid", "chunk_ord", F.col("rank").alias("fused_rank"))
     return retrieve.rerank(q, top, chunks).select("qid", "chunk_ord", F.round("score", 9).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -205,7 +201,7 @@ def leak_scan(spark, d):
 def _hits(spark, d):
     chunks = _chunks(spark, d)
     q = _queries(spark, d)
-    top = retrieve.bm25_rank(q, chunks, _index(chunks), 8)
+    top = retrieve.bm25_rank(q, chunks, None, 8)
     return top.join(chunks.select("chunk_ord", "chunk_id", "text"), "chunk_ord").select("qid", "rank", "chunk_id", "text")
 
 
@@ -274,7 +270,7 @@ def ask_batch(spark, d):
     q = _queries(spark, d)
     options = AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT)
     decisions = q.where("qid % 2 = 0").select("qid", F.lit("approve").alias("decision"))
-    out = ask(q, chunks, _index(chunks), decisions, options)
+    out = ask(q, chunks, None, decisions, options)
     return out.withColumn("citations", _joined("citations"))
 
 
@@ -283,7 +279,7 @@ def _served(spark, d):
     chunks = _chunks(spark, d)
     q = _queries(spark, d).withColumn("api_key", F.concat(F.lit("key-"), (F.col("qid") % 5).cast("string"))).withColumn("at", F.col("qid").cast("double") / 100)
     keys = service.key_frame(spark, [f"key-{k}" for k in range(4)])
-    return serve(q, keys, chunks, _index(chunks), None, AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT), 20)
+    return serve(q, keys, chunks, None, None, AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT), 20)
 
 
 def serve_requests(spark, d):
@@ -300,7 +296,7 @@ def example_eval(spark, d):
     chunks = _chunks(spark, d)
     none = F.expr("cast(array() as array<string>)")
     rows = _queries(spark, d).select(F.col("qid").cast("string").alias("id"), "query", F.array(F.lit("#c")).alias("expected_citations"), F.slice(tokens(F.col("query")), 1, 1).alias("must_contain"), none.alias("must_not_contain"), F.lit(0.35).alias("min_groundedness"))
-    out = run_examples(rows, chunks, _index(chunks), AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT))
+    out = run_examples(rows, chunks, None, AskOptions(policy=InputPolicy(strict_topic=False), salt=SALT))
     return out.withColumn("failures", _joined("failures")).withColumn("citations", _joined("citations"))
 
 

@@ -13,7 +13,7 @@ from ..operators.service import authorise, rate_limit
 from .ask import AskOptions, ask
 
 
-def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE) -> DataFrame:
+def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE) -> DataFrame:
     """One row for each request (qid, api_key, at, query): qid, status, answer, citations, groundedness, redaction_seal, and
     what metrics count (blocked, needs_hitl, tokens_in, tokens_out).
 
@@ -61,7 +61,7 @@ def audit_records(responses: DataFrame, log_id: str, ts: str) -> DataFrame:
     )
 
 
-def run_examples(examples: DataFrame, chunks: DataFrame, index: LexicalIndex, options: AskOptions | None = None) -> DataFrame:
+def run_examples(examples: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, options: AskOptions | None = None) -> DataFrame:
     """Judged cases of examples (sources.io.read_examples): each is asked, and its draft judged against its context. Time
     is not measured for single requests of a batch, so latency_ms is 0."""
     asked = examples.withColumn("qid", F.xxhash64("id"))

@@ -112,6 +112,12 @@ def register_tables(spark: SparkSession, folder: str) -> None:
 
 
 def add_documents(store: DataFrame | None, docs: DataFrame, chunker, **options) -> DataFrame:
-    """The store's chunks and those of new documents; adding an id again adds its chunks again."""
-    chunks = chunker(docs, **options)
+    """The store's chunks and those of new documents, with doc_ord and, for chunkers that number chunks, chunk_ord, by which
+    retrieval keeps them apart: adding an id again adds its chunks again, behind all others. Numbers follow the order in
+    which documents are read, so write a store before it is searched."""
+    from ..operators.index import numbered, with_order
+
+    first = 0 if store is None else (store.agg(F.max("doc_ord")).first()[0] + 1 if not store.isEmpty() else 0)
+    chunks = chunker(numbered(docs, first), **options)
+    chunks = with_order(chunks if "idx" in chunks.columns else chunks.withColumn("idx", F.col("ord")))
     return chunks if store is None else store.unionByName(chunks, allowMissingColumns=True)
