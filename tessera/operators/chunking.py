@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import empty, fold, let, piece, text_blocks
+from ..functions.arrays import CUT, empty, fold, let, piece, text_blocks
 from ..functions.constants import HEADER
 from ..functions.text import sentences_and_lines, strip
 
@@ -17,11 +17,13 @@ def windows(text: Column, size: int = 800, overlap: int = 120) -> Column:
     """Array of (start, end, text): windows of `size` characters every size - overlap, up to the one that reaches the end;
     text is stripped, start and end are not; blank ones are left out."""
     step = max(size - overlap, 1)
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(empty("int"))
-    starts = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
-    cut = lambda x: F.transform(x["s"], lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), strip(piece(x["b"], s, F.least(s + size, x["n"]))).alias("text")))
-    made = let(F.struct(starts.alias("s"), text_blocks(text).alias("b"), n.alias("n")), cut)
+
+    def cut(x: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((x["n"] + (step - size - 1)) / step).cast("int") * step)
+        one = lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), strip(piece(x["b"], s, F.least(s + size, x["n"]))).alias("text"))
+        return F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), one)).otherwise(empty(_PIECE))
+
+    made = let(F.struct(text_blocks(text).alias("b"), F.length(text).alias("n")), cut)
     return F.filter(made, lambda x: x["text"] != "")
 
 
@@ -48,24 +50,33 @@ def merged_sections(text: Column, max_chars: int = 1200, min_chars: int = 200) -
         fits = F.length(buf) + F.length(t) <= max_chars
         flush = F.when(x["k"] == 0, buf != "").when(x["k"] == 1, ~fits & (F.length(buf) >= min_chars)).otherwise(~fits)
         joiner = F.when(x["k"] == 1, F.lit(" ")).otherwise(F.lit("\n"))
-        after = F.when(x["k"] == 0, F.lit("")).when(flush, strip(t)).otherwise(strip(F.concat(buf, joiner, t)))
+        # units and buffer are stripped already
+        after = F.when((x["k"] == 0) | flush | (buf == ""), t).otherwise(F.concat(buf, joiner, t))
         return after, F.when(flush, F.array(buf)).otherwise(empty("string"))
 
-    return fold(pieces, F.lit(""), step, "string", lambda buf: F.when(strip(buf) != "", F.array(buf)).otherwise(empty("string")))
+    return fold(pieces, F.lit(""), step, "string", lambda buf: F.when(buf != "", F.array(buf)).otherwise(empty("string")))
 
 
 def located(text: Column, chunks: Column) -> Column:
-    """Array of (start, end, text): each chunk where its first 40 characters occur behind the one before, or right there."""
+    """Array of (start, end, text): each chunk where its first 40 characters occur behind the one before, or right there. They
+    are looked for close by first, and in the rest of the text only where they aren't there."""
+
+    def places(x: Column) -> Column:
+        def step(at: Column, c: Column) -> tuple[Column, Column]:
+            head = F.substring(c, 1, 40)
+            near = F.position(head, piece(x["b"], at, F.least(x["n"], at + F.length(c) + CUT)))
+
+            def place(found: Column) -> Column:
+                start = F.when(found > 0, at + found - 1).otherwise(at).cast("int")
+                return F.struct(start.alias("start"), (start + F.length(c)).cast("int").alias("end"), c.alias("text"))
 
-    def step(at: Column, c: Column) -> tuple[Column, Column]:
-        def place(found: Column) -> Column:
-            start = F.when(found >= 0, found).otherwise(at).cast("int")
-            return F.struct(start.alias("start"), (start + F.length(c)).cast("int").alias("end"), c.alias("text"))
+            anywhere = lambda found: F.when(found > 0, found).otherwise(F.position(head, text, at + 1) - at)
+            placed = let(let(near, anywhere), place)
+            return placed["end"], F.array(placed)
 
-        placed = let(F.position(F.substring(c, 1, 40), text, at + 1) - 1, place)
-        return placed["end"], F.array(placed)
+        return fold(x["c"], F.lit(0), step, _PIECE)
 
-    return fold(chunks, F.lit(0), step, _PIECE)
+    return let(F.struct(text_blocks(text).alias("b"), F.length(text).alias("n"), chunks.alias("c")), places)
 
 
 def _own(docs: DataFrame) -> list[str]:

@@ -15,51 +15,45 @@ def docs(spark, texts):
 
 
 def plain_fixed(text, size, overlap):
-    out, step = [], max(size - overlap, 1)
-    for start in range(0, len(text), step):
-        end = min(start + size, len(text))
-        if text[start:end].strip():
-            out.append((start, end, text[start:end].strip()))
-        if end == len(text):
-            break
-    return out
+    """Windows in closed form: one at every multiple of the step that is not behind a window that reached the end."""
+    n, step = len(text), max(size - overlap, 1)
+    every = ((s, min(s + size, n), text[s : s + size].strip()) for s in range(0, n, step) if s == 0 or s + size - step < n)
+    return [w for w in every if w[2]]
 
 
 def plain_sections(text):
-    groups = []
-    for line in re.split(r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]", text):
-        if groups and re.match(HEADER, line.strip()):
-            groups.append([])
-        if not groups:
-            groups.append([])
-        groups[-1].append(line)
-    return [s for s in ("\n".join(g).strip() for g in groups) if s]
+    """Sections as ranges of lines between those that are headers."""
+    lines = re.split(r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", text)
+    cuts = [0] + [k for k, line in enumerate(lines) if k and re.match(HEADER, line.strip())] + [len(lines)]
+    return [s for a, b in zip(cuts, cuts[1:], strict=False) if (s := "\n".join(lines[a:b]).strip())]
+
+
+def units(section, most):
+    """A short section is a unit; of a long one, each sentence is, behind a unit that ends what came before."""
+    if len(section) <= most:
+        return [("whole", section)]
+    return [("break", "")] + [("part", x.strip()) for x in re.split(r"(?<=[.!?])\s+|\n+", section) if x.strip()]
+
+
+def merged(todo, most, least, buf=""):
+    """Chunks of the units to do, by what the first of them does to the buffer."""
+    if not todo:
+        return [buf] if buf.strip() else []
+    (kind, text), rest = todo[0], todo[1:]
+    if kind == "break":
+        return ([buf] if buf else []) + merged(rest, most, least)
+    too_much = len(buf) + len(text) > most
+    if too_much and (kind == "whole" or len(buf) >= least):
+        return [buf] + merged(rest, most, least, text.strip())
+    return merged(rest, most, least, (buf + ("\n" if kind == "whole" else " ") + text).strip())
 
 
 def plain_semantic(text, most, least):
-    chunks, buf = [], ""
-    for sec in plain_sections(text):
-        if len(sec) > most:
-            if buf:
-                chunks.append(buf)
-            buf = ""
-            for s in filter(None, (x.strip() for x in re.split(r"(?<=[.!?])\s+|\n+", sec))):
-                if len(buf) + len(s) > most and len(buf) >= least:
-                    chunks.append(buf)
-                    buf = ""
-                buf = f"{buf} {s}".strip()
-        elif len(buf) + len(sec) > most:
-            chunks.append(buf)
-            buf = sec
-        else:
-            buf = f"{buf}\n{sec}".strip()
-    chunks += [buf] * bool(buf.strip())
-    out, at = [], 0
-    for c in chunks:
-        found = text.find(c[:40], at)
-        start = at if found < 0 else found
-        at = start + len(c)
-        out.append((start, at, c))
+    out = []
+    for c in merged([u for s in plain_sections(text) for u in units(s, most)], most, least):
+        at = out[-1][1] if out else 0
+        start = max(text.find(c[:40], at), at)
+        out.append((start, start + len(c), c))
     return out
 
 
@@ -89,6 +83,18 @@ def test_against_plain(spark, texts, windows, limits):
         assert tree.get(k, []) == want
 
 
+def test_properties(spark):
+    """Whatever the text: chunks in order, ids that count, children inside their parents, and work linear in a long text."""
+    long = "Plan:\nRest a while. Then go on, please.\n" * 30_000
+    rows = docs(spark, [NOTE, long])
+    fixed = K.chunk_fixed(rows).where("doc_id = 1").orderBy("idx").collect()
+    assert all(long[r.start : r.end].strip() == r.text and r.end - r.start <= 800 for r in fixed) and fixed[-1].end == len(long)
+    assert [r.idx for r in fixed] == list(range(len(fixed))) and all(b.start - a.start == 680 for a, b in zip(fixed, fixed[1:], strict=False))
+    merged_ = K.chunk_semantic(rows).orderBy("doc_id", "idx").collect()
+    assert all(len(r.text) <= 1200 for r in merged_) and sum(r.doc_id == 1 for r in merged_) > 900
+    assert [r.chunk_id for r in merged_ if r.doc_id == 0] == [f"0#c{k}" for k in range(sum(r.doc_id == 0 for r in merged_))]
+
+
 def test_overlap_and_ids(spark):
     got = K.chunk_fixed(docs(spark, ["abcdefghij" * 100]), 100, 20).orderBy("idx").collect()
     assert len(got) > 5 and got[0].text[-20:] in got[1].text and all(r.chunk_id.startswith("0#c") for r in got)
