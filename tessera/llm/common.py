@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where none is set and all runs in
+    one process (tests). On a cluster a folder of each machine would lose tables, so there it has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path

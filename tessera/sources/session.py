@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -29,4 +30,5 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(home)))
     context.addPyFile(path)
+    atexit.register(lambda: os.path.exists(path) and os.unlink(path))  # workers that start later still fetch it
     context._tessera_shipped = True

@@ -127,6 +127,64 @@ def test_shards(table, case):
         assert together > 0.8  # by hash alone it would be 1 / 8
 
 
+def plain_shards(spark, rows, shards=8, rounds=3, slack=0.02):
+    """The same decisions, a row at a time: rows of a group move to where most of it is, as quotas let them, and surplus rows
+    fill the shards below their share. Only the hashes come from Spark."""
+    from math import isqrt
+
+    n = len(rows)
+    texts = [t or "" for _, t in rows]
+    size, crc = [len(t.encode()) + 1 for t in texts], [zlib.crc32(t.encode()) for t in texts]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "uid long, t string").withColumn("h", F.xxhash64("t"))
+    hashes = {"h": "h", "dealt": "xxhash64(uid, 7)", "part": "xxhash64(uid, 11)"}
+    hashes |= {f"u{r}": f"xxhash64(uid, {r})" for r in range(rounds)} | {f"h{r}": f"xxhash64(h, {r})" for r in range(rounds)} | {f"s{s}": f"xxhash64(h, {s})" for s in range(shards)}
+    by_uid = {r.uid: r for r in frame.selectExpr("uid", *[f"{v} {k}" for k, v in hashes.items()]).collect()}
+    shard = [by_uid[k].dealt % shards for k in range(n)]
+    groups = defaultdict(list)
+    for k, t in enumerate(texts):
+        groups[t].append(k)
+    group_rows = [len(groups[t]) for t in texts]
+    linked = [k for k in range(n) if group_rows[k] > 1]
+    share = n / shards
+    for turn in range(rounds):
+        loads = Counter(shard[k] for k in linked)
+        wish = {}
+        for t, members in groups.items():
+            held = Counter(shard[k] for k in members)
+            wish[t] = max((c, by_uid[members[0]][f"s{s}"], s) for s, c in held.items())[2]
+        flow = Counter((shard[k], wish[texts[k]]) for k in linked if shard[k] != wish[texts[k]])
+        if not flow:
+            break
+        ratio = {}
+        for (s, t), c in flow.items():
+            back = min(c, flow.get((t, s), 0))
+            into = sum(m - min(m, flow.get((t, x), 0)) for (x, y), m in flow.items() if y == t) or 1
+            ratio[s, t] = min(c, back + max(0.0, (1 - slack) * share - loads[t]) * (c - back) / into) / c
+        for k in linked:
+            draw = by_uid[k][f"u{turn}" if group_rows[k] > max(1.0, share / 4) else f"h{turn}"] % 1_000_000 / 1_000_000
+            if shard[k] != wish[texts[k]] and draw < ratio[shard[k], wish[texts[k]]]:
+                shard[k] = wish[texts[k]]
+    buckets = max(64, isqrt(n))
+    order = lambda k: ((buckets if group_rows[k] > 1 else 0) + by_uid[k].part % buckets, k)
+    held = [sorted((k for k in range(n) if shard[k] == s), key=order) for s in range(shards)]
+    target = [n // shards + (s < n % shards) for s in range(shards)]
+    spare = [k for s in range(shards) for k in held[s][: max(0, len(held[s]) - target[s])]]
+    held = [h[max(0, len(h) - target[s]) :] for s, h in enumerate(held)]
+    for s in range(shards):
+        missing = target[s] - len(held[s])
+        held[s], spare = held[s] + spare[:missing], spare[missing:]
+    return Counter((rows[k][0], size[k], crc[k], s, slot) for s in range(shards) for slot, k in enumerate(held[s]))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shards_against_plain(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, f"text {rng.randint(0, 120)}" if rng.random() < 0.5 else "hot" if rng.random() < 0.3 * seed else f"own {k} é") for k in range(1500)] + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.balanced_shards(docs).collect())
+    assert got == plain_shards(spark, rows)
+
+
 def test_pipeline(spark, sf, table):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, kept = docs.columns, [docs.count()]
