@@ -188,11 +188,22 @@ def test_tokens_of_a_whole_table(monkeypatch):
     monkeypatch.setattr(tokens, "count_tokens", lambda tool, text, *a: spliced.append(text) or whole(tool, text, *a))
     path = tokens.default_tokenizer()
     tool = tokens._load(path)
-    assert tool.ascii is not None
+    assert tool.bare is not None
     assert tokens.counts(texts, path) == [len(x) for x in tool.whole.encode_batch(texts, add_special_tokens=False)]
     assert len(spliced) == sum(len(t) > tokens.CHUNK for t in texts) > 20
 
 
+def test_words_of_known_characters(monkeypatch):
+    """Every character that the table of words takes, among neighbours of each kind; a small table starts anew."""
+    monkeypatch.setattr(tokens, "TABLE", 50)
+    tool = tokens.Tokens(tokens.default_tokenizer())
+    texts = [x for c in map(chr, tokens._KNOWN) for x in (c, f"a{c}b", f"1{c}2", f"'{c}s", c * 3, f"A {c} .", f"'S{c}'LL")] + ["word " * 9 + "x" * 500 + "\u2018q\u2019 \u0416\u0451 \u0253\u0181"]
+    want = [len(x) for x in tool.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [n for k in range(0, len(texts), 40) for n in tool.counts(texts[k : k + 40])] == want
+    assert not [w for w in tool.table if len(w) > tokens.WORD]
+    assert all(len(c.lower()) == 1 and ord(c.lower()) in tokens._KNOWN for c in map(chr, tokens._KNOWN))
+
+
 def test_pieces(table):
     tool = pieces.encoder(pieces.default_model())
     assert tool.by_chunk
