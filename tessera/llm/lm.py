@@ -38,6 +38,8 @@ START, END = 0, 1
 BLOCK = 1 << 18
 #: Tokens whose counts are handed to every worker, at most (a few MB); the counts of all others are joined.
 TABLE = 300_000
+#: Words whose keys a worker keeps.
+KEPT = 300_000
 RATE = 0.15
 #: Key of the end token. Keys hold 56 bits of a hash and the class of rare tokens in the last 8.
 END_KEY = np.int64(-1)
@@ -47,12 +49,26 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+class _Keys(dict):
+    """Keys of words by word. Short words are kept; the table starts anew when it holds KEPT."""
+
+    def __missing__(self, word: bytes) -> int:
+        key = (xxhash.xxh3_64_intdigest(word) & ~255) | (zlib.crc32(word[-3:]) & 255)
+        key -= (key >> 63) << 64
+        if len(word) <= 64:
+            self[word] = key
+        return key
+
+
+_KEYS = _Keys()
+
+
 def keys_of(words: list[bytes]) -> np.ndarray:
-    """A signed key for each word: 56 bits of its hash, and 8 bits from its last three bytes that name its class."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    tails: dict[bytes, int] = {}
-    tail = np.fromiter((tails[t] if (t := w[-3:]) in tails else tails.setdefault(t, zlib.crc32(t) & 255) for w in words), np.uint64, len(words))
-    return ((h & ~np.uint64(255)) | tail).view(np.int64)
+    """A signed key for each word: 56 bits of its hash, and 8 bits from its last three bytes that name its class. Each
+    distinct word is hashed once for a worker's table."""
+    if len(_KEYS) > KEPT:
+        _KEYS.clear()
+    return np.fromiter(map(_KEYS.__getitem__, words), np.int64, len(words))
 
 
 def is_held_out(doc_id) -> F.Column:
