@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,37 +39,37 @@ START, END = 0, 1
 BLOCK = 1 << 18
 #: Tokens whose counts are handed to every worker, at most (a few MB); the counts of all others are joined.
 TABLE = 300_000
-#: Words whose keys a worker keeps.
-KEPT = 300_000
+#: Bytes of texts that are split into words at once; a longer text is a slice of its own.
+SLICE = 4_000_000
 RATE = 0.15
 #: Key of the end token. Keys hold 56 bits of a hash and the class of rare tokens in the last 8.
 END_KEY = np.int64(-1)
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many words each text has, all words one after another as places in a list, and that list of different words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    at, parent = coded.indices.to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    # joined and split again, which is quicker than an object for each word
+    different = coded.dictionary.cast(pa.binary())
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(different)], pa.int32()), different), b" ")[0].as_py()
+    words = joined.split(b" ") if len(different) else []
+    if b"" in words:  # what stands before white space at a text's start and behind it at its end
+        inner = at != words.index(b"")
+        at, parent = at[inner], parent[inner]
+    return np.bincount(parent, minlength=len(texts)).astype(np.int64), at, words
 
 
-class _Keys(dict):
-    """Keys of words by word. Short words are kept; the table starts anew when it holds KEPT."""
-
-    def __missing__(self, word: bytes) -> int:
-        key = (xxhash.xxh3_64_intdigest(word) & ~255) | (zlib.crc32(word[-3:]) & 255)
-        key -= (key >> 63) << 64
-        if len(word) <= 64:
-            self[word] = key
-        return key
-
-
-_KEYS = _Keys()
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """A signed key for each word: 56 bits of its hash, and 8 bits from its last three bytes that name its class."""
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    ends = np.fromiter(map(zlib.crc32, [w[-3:] for w in words]), np.uint64, len(words))
+    return ((hashes & ~np.uint64(255)) | (ends & np.uint64(255))).view(np.int64)
 
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    """A signed key for each word: 56 bits of its hash, and 8 bits from its last three bytes that name its class. Each
-    distinct word is hashed once for a worker's table."""
-    if len(_KEYS) > KEPT:
-        _KEYS.clear()
-    return np.fromiter(map(_KEYS.__getitem__, words), np.int64, len(words))
+def text_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    return slices(pc.binary_length(texts).to_pylist(), lambda n: n + 1, most)
 
 
 def is_held_out(doc_id) -> F.Column:
@@ -200,19 +201,18 @@ class Scorer:
         return (self.one[one, target - 1].astype(np.float64) + self.two[two, target - 1] - self.norm[one, two]) / np.log(10)
 
 
-def _sequences(model: Model, texts: list[str]):
-    """Of several texts: words of each, keys and places of all words, and classes of all tokens with each text's end; at:
-    where each text's tokens begin."""
-    words = [words_of(t) for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    keys = keys_of([w for ws in words for w in ws])
+def _sequences(model: Model, texts: pa.Array):
+    """Of several texts: how many words each has, keys and places of all words, and classes of all tokens with each text's
+    end; at: where each text's tokens begin. Only different words are hashed and looked up."""
+    n, which, words = words_of(texts)
+    keys = keys_of(words)
     place, classes = model.look_up(keys)
     at = np.cumsum(n + 1) - (n + 1)
     target = np.full(int((n + 1).sum()), END, np.int64)
     inner = np.ones(len(target), bool)
     inner[at + n] = False
-    target[inner] = classes
-    return n, keys, place, target, at, inner
+    target[inner] = classes[which]
+    return n, keys[which], place[which], target, at, inner
 
 
 def _cached(shared):
@@ -232,10 +232,10 @@ def fit(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in slices(texts, lambda t: len(t) + 1, 4_000_000):
-                keys, n = np.unique(keys_of([w for t in texts[lo:hi] for w in words_of(t)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, END_KEY)), pa.array(np.append(n, hi - lo))], ["key", "n"])
+            for lo, hi in text_slices(batch.column(0), SLICE):
+                _, which, words = words_of(batch.column(0).slice(lo, hi - lo))
+                keys, n = keys_of(words), np.bincount(which, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[n > 0], END_KEY)), pa.array(np.append(n[n > 0], hi - lo))], ["key", "n"])
 
     counts = scratch.put(learnt.select("_text").mapInArrow(lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
     total, size = counts.agg(F.sum("c"), F.count("*")).first()
@@ -282,10 +282,10 @@ def train(learnt: DataFrame, model: Model, total: int, scratch: Scratch) -> np.n
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for lo, hi in slices(texts, lambda t: len(t) + 1, 1_000_000):
-                _, _, _, target, at, _ = _sequences(shared.value, texts[lo:hi])
-                parts = [x.astype("<i2").tobytes() for x in np.split(target, at[1:])]
+            texts = batch.column("_text")
+            for lo, hi in text_slices(texts, SLICE):
+                _, _, _, target, at, _ = _sequences(shared.value, texts.slice(lo, hi - lo))
+                parts = [x.tobytes() for x in np.split(target.astype("<i2"), at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("deal").slice(lo, hi - lo), pa.array(parts, pa.binary())], ["deal", "seq"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,9 +387,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         table_logs = np.log10(known.counts + 1.0)
         bucket_logs = np.log10(known.bucket_sums)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            for lo, hi in slices(texts, lambda t: len(t) + 1, 1_000_000):
-                n, keys, place, target, at, inner = _sequences(known, texts[lo:hi])
+            texts = batch.column("_text")
+            for lo, hi in text_slices(texts, SLICE):
+                n, keys, place, target, at, inner = _sequences(known, texts.slice(lo, hi - lo))
                 one, two = contexts(target)
                 in_table = place >= 0
                 logs = np.zeros(len(keys))

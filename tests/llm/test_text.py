@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +313,18 @@ def markov(n, seed, states=12):
     return rows
 
 
+def test_lm_words_are_those_between_ascii_white_space():
+    texts = [" a  b\tC\x0bd\x0ce\r\nf ", "", "  ", "x", "\u00c9\xa0\u2003\x85\x1cZ b ", "b\x1fa\x00b"]
+    plain = [t.encode().lower().split() for t in texts]
+    for part in (pa.array(texts), pa.array(["before", *texts, "behind"]).slice(1, len(texts))):
+        n, which, words = lm.words_of(part)
+        assert n.tolist() == [len(p) for p in plain]
+        assert [words[k] for k in which] == [w for p in plain for w in p]
+    n, which, words = lm.words_of(pa.array(["", " "]))
+    assert n.tolist() == [0, 0] and len(which) == 0
+    assert len(lm.words_of(pa.array([], pa.string()))[0]) == 0
+
+
 def test_lm_learns_the_source(table):
     """Held-out texts cost little more than the source's own entropy, and far less than their words alone."""
     out = lm.score_texts(table(markov(1_200, 4), SCHEMA)).where("held_out").collect()
@@ -339,7 +352,7 @@ def test_lm_is_the_same_for_any_partitioning(table, monkeypatch):
     for shard in range(shards):
         stream = []
         for _, text in sorted((r.deal, r.text) for r in learnt if r.deal % shards == shard):
-            stream += [*model.look_up(lm.keys_of(lm.words_of(text)))[1].tolist(), lm.END]
+            stream += [*model.look_up(lm.keys_of(text.encode().lower().split()))[1].tolist(), lm.END]
         for part, at in enumerate(range(0, len(stream), 6_000)):
             blocks.setdefault((shard + part) % turns, []).append(((shard, part), np.array(stream[at : at + 6_000])))
     assert len(blocks) > 3 and max(map(len, blocks.values())) > 1
