@@ -1,4 +1,5 @@
-"""SQL for the training-data queries that SQL can express: op1 to op3 by plain joins over all pairs, op8 by windows."""
+"""SQL for the training-data queries that SQL can express: op1 to op3 by plain joins over all pairs, op8 by
+windows, op11 by all pairs of a query and a row."""
 
 from __future__ import annotations
 
@@ -86,5 +87,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR covered_words > {MOST_COVERED} * n_words OR huge) AS kept, covered_words FROM figures"""
 
 
+def _op11() -> str:
+    """Every query against every row, as sums of whole numbers in doubles, exact up to 2**53."""
+    return """WITH scaled AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score,
+    row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.v, c.v)::BIGINT DESC, c.vec_id)::INTEGER AS rank
+  FROM scaled q JOIN scaled c ON q.vec_id % 100 = 0 AND q.r <> c.r AND len(q.v) = len(c.v))
+WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _op1(), "op2_secret_scan": _op2(), "op3_minhash_near_dedup": _op3(), "op8_quality_rules": _op8()}
+    return {"op1_embedding_near_dedup": _op1(), "op2_secret_scan": _op2(), "op3_minhash_near_dedup": _op3(), "op8_quality_rules": _op8(), "op11_exact_topk": _op11()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .embeddings import near_duplicate_vectors
@@ -14,6 +15,7 @@ from .oracles import oracle_sql
 from .packing import pack
 from .pieces import encode_pieces
 from .quality import quality_rules
+from .search import top_inner_products
 from .secrets import scan_secrets
 from .sharding import balanced_shards
 from .tokens import token_counts
@@ -62,8 +64,12 @@ def op10_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_lm_scores, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_label_propagation_shards)
+    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_lm_scores, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_label_propagation_shards, op11_exact_topk)
     return {f.__name__: f for f in named}
 
 
