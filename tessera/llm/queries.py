@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align_tokenizers
 from .common import table
 from .embeddings import near_duplicate_vectors
 from .lm import score_texts
@@ -68,8 +69,12 @@ def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), full=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_lm_scores, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_label_propagation_shards, op11_exact_topk)
+    named = (op1_embedding_near_dedup, op2_secret_scan, op3_minhash_near_dedup, op4_best_fit_packing, op5_token_counts, op6_lm_scores, op7_sentencepiece, op8_quality_rules, op9_toxicity, op10_label_propagation_shards, op11_exact_topk, op12_token_alignment)
     return {f.__name__: f for f in named}
 
 
