@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,8 +204,8 @@ def top_inner_products(vectors: DataFrame, asked: Column, k: int = 10, scale: in
     2. A ball tree over a sample (at most SAMPLE vectors and SAMPLE_BYTES) deals all classes to cells by its planes; radii
        are taken over all classes. A cell is cut into shards of about SHARD bytes by hash. The sample steers the work only.
     3. A query first meets one shard of the cell of its highest bound. The k-th score found goes with it to all other shards
-       whose cell's bound reaches it, and none else. In a shard, a ball tree is searched by branch and bound, leaves in order
-       of their bounds. At most BLOCK queries meet a shard in a task; a shard is sent once for each of these blocks.
+       whose cell's bound reaches it, and none else; they return only what reaches it too. In a shard, a ball tree is
+       searched by branch and bound, leaves in order of their bounds. At most BLOCK queries meet a shard in a task; a shard is sent once for each of these blocks.
 
     Vectors that are null or hold a null or non-finite component (or one that overflows when scaled) take no part, nor do
     rows with a null id; zero and empty vectors do. Vectors of other lengths are no candidates. Rows that repeat an id or a
@@ -221,7 +222,9 @@ def top_inner_products(vectors: DataFrame, asked: Column, k: int = 10, scale: in
     size = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("bytes")).first()
     share = 0.8 * min(SAMPLE / max(1, size.n), SAMPLE_BYTES / max(1, size.bytes))
     taken = classes.where(F.pmod(F.xxhash64("dg"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share))).select("dim", "b").limit(SAMPLE).toPandas()
-    trees = {dim: BallTree(_matrix(frame["b"], dim), CELL if len(frame) < size.n else max(CELL, SHARD // max(1, 4 * dim))) for dim, frame in taken.groupby("dim")}
+    # cells of about a shard, as far as the sample can tell them apart
+    leaf = max(CELL, math.ceil(len(taken) * SHARD / max(1, size.bytes)))
+    trees = {dim: BallTree(_matrix(frame["b"], dim), leaf) for dim, frame in taken.groupby("dim")}
     shared = spark.sparkContext.broadcast(trees)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,8 +268,8 @@ def top_inner_products(vectors: DataFrame, asked: Column, k: int = 10, scale: in
         tree = Search(_matrix(theirs["b"], dim), np.array([i[0] for i in ids]), k + 1)
         score, row = tree(_matrix(mine["b"], dim), mine["least"].to_numpy(float))
         dg, out = mine["dg"].to_numpy(), []
-        for n, (scores, places) in enumerate(zip(score.tolist(), row.tolist(), strict=True)):
-            found = sorted((-s, i) for s, p in zip(scores, places, strict=True) if p >= 0 for i in ids[p].tolist())
+        for n, (scores, places, least) in enumerate(zip(score.tolist(), row.tolist(), mine["least"].tolist(), strict=True)):
+            found = sorted((-s, i) for s, p in zip(scores, places, strict=True) if p >= 0 and s >= least for i in ids[p].tolist())
             out += [(dg[n], -s, i) for s, i in found[: k + 1]]
         return pd.DataFrame(out, columns=["dg", "score", "id"])
 
@@ -286,7 +289,7 @@ def top_inner_products(vectors: DataFrame, asked: Column, k: int = 10, scale: in
         return to.select("dim", "cell", "part", "dg", "least", "b")
 
     begun = meet(parted(queries.withColumn("least", F.lit(float("-inf"))), True))
-    floors = begun.groupBy("dg").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low")).select(F.col("dg").alias("of"), F.when(F.col("n") > k, F.col("low")).alias("low"))
+    floors = begun.groupBy("dg").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low")).select(F.col("dg").alias("of"), F.when(F.col("n") > k, F.col("low") - F.abs("low") * 1e-12).alias("low"))
     asking = queries.join(floors, F.col("dg") == F.col("of"), "left").select("dg", "dim", "b", F.coalesce("low", F.lit(float("-inf"))).alias("least"))
     met = begun.union(meet(parted(asking, False)))
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("dg").orderBy(F.desc("score"), "id"))).where(F.col("nth") <= k + 1)
