@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.constants import DEFAULT_KEY, RATE_PER_MINUTE
 from ..sources.session import ship
+from .audit import json_text
 
 WINDOW_S = 60.0
 
@@ -83,10 +84,12 @@ def prometheus_text(metrics: DataFrame) -> DataFrame:
 
 
 def sse_events(answers: DataFrame, key: str, answer: str) -> DataFrame:
-    """(key, seq, event, data): a delta for each part between full stops with blanks, then done."""
-    parts = F.transform(F.split(answer, r"\. ", -1), lambda p: F.struct(F.lit("delta").alias("event"), F.to_json(F.struct(p.alias("text"))).alias("data")))
-    events = F.concat(parts, F.array(F.struct(F.lit("done").alias("event"), F.lit("{}").alias("data"))))
-    return answers.select(key, F.posexplode(events).alias("seq", "e")).select(key, "seq", "e.event", "e.data")
+    """(key, seq, frame): the frames of each answer's event stream. A delta for each part between full stops with blanks, then
+    done, each with the request's id; JSON of ASCII alone behind `data: `, and an empty line. A null answer is empty."""
+    of = F.concat(F.lit('data: {"request_id": '), json_text(F.col(key).cast("string")))
+    parts = F.split(F.coalesce(answer, F.lit("")), r"\. ", -1)
+    frames = F.concat(F.transform(parts, lambda p: F.concat(of, F.lit(', "delta": '), json_text(p), F.lit("}\n\n"))), F.array(F.concat(of, F.lit(', "done": true}\n\n'))))
+    return answers.select(key, F.posexplode(frames).alias("seq", "frame"))
 
 
 def key_frame(spark, keys: Iterable[str]) -> DataFrame:

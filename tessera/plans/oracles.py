@@ -39,6 +39,15 @@ def _sents(x: str, lines: bool = False) -> str:
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: {_strip('s')}), lambda s: s <> '')"
 
 
+def _json(x: str) -> str:
+    """A JSON string of ASCII alone."""
+    n = "unicode(c)"
+    pair = f"printf('\\u%04x\\u%04x', 55296 + (({n} - 65536) >> 10), 56320 + (({n} - 65536) & 1023))"
+    short = " ".join(f"WHEN {n} = {code} THEN '\\{letter}'" for code, letter in ((10, "n"), (13, "r"), (9, "t"), (12, "f"), (8, "b")))
+    one = f"CASE WHEN c = chr(34) OR c = chr(92) THEN chr(92) || c {short} WHEN {n} BETWEEN 32 AND 126 THEN c WHEN {n} > 65535 THEN {pair} ELSE printf('\\u%04x', {n}) END"
+    return f"'\"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: {one}), '') || '\"'"
+
+
 def _words(x: str) -> str:
     return rf"len(regexp_extract_all({x}, '\S+'))"
 
@@ -389,6 +398,11 @@ def oracle_sql() -> dict[str, str]:
         "regression_gate": f"WITH {_CASES}, {_REPORT}, tests AS (SELECT list_filter([CASE WHEN pass_rate < 0.8 THEN 'pass_rate < 0.8' END, CASE WHEN avg_groundedness < 0.4 THEN 'avg_groundedness < 0.4' END, CASE WHEN avg_latency_ms > 5000 THEN 'avg_latency_ms > 5000.0' END], lambda x: x IS NOT NULL) AS f FROM report) SELECT len(f) = 0 AS passed, coalesce(array_to_string(f, '; '), '') AS failures FROM tests",
         "audit_scrub": f"WITH RECURSIVE {_RECORDS} SELECT request_id, user_name, type FROM records",
         "audit_seal": f"WITH RECURSIVE {_RECORDS} SELECT log_id::VARCHAR AS log_id, seq, prev_hash, record_hash FROM sealed",
+        # three batches, each behind the heads of the one before, are the chain as a whole
+        "audit_append": f"WITH RECURSIVE {_RECORDS} SELECT log_id::VARCHAR AS log_id, seq, prev_hash, record_hash FROM sealed",
+        "audit_details": """SELECT event_id, '{"large":' || (value > 20) || ',"props":' || replace(props, ' ', '') || ',"type":"' || event_type || '","user_name":"<redacted:' || substr(sha256('u' || user_id), 1, 8) || '>","users":[' || user_id || ',null],"value":' || value || '}' AS details FROM events""",
+        "eval_audit": f"""WITH {_CASES} SELECT 'eval' AS log_id, split_part(id, '-', 1)::BIGINT * 1000 + split_part(id, '-', 2)::BIGINT AS seq, 'eval_case' AS event, 'eval-' || id AS request_id, 'eval-harness' AS actor,
+          '{{"example_id":"' || id || '","groundedness":' || groundedness || ',"latency_ms":' || latency_ms || ',"passed":' || (n_failures = 0) || '}}' AS details, '0.0' AS ts FROM cases""",
         "audit_verify": f"""WITH RECURSIVE {_RECORDS},
           broken AS (SELECT log_id, CASE WHEN log_id % 10 = 0 THEN 3 ELSE 3 END AS seq, CASE WHEN log_id % 10 = 0 THEN 'record_hash mismatch' ELSE 'prev_hash mismatch' END AS reason, CASE WHEN log_id % 10 = 0 THEN 2 ELSE 1 END AS checked FROM (SELECT DISTINCT log_id FROM records) WHERE log_id % 10 IN (0, 1)),
           sizes AS (SELECT log_id, count(*) FILTER (NOT (log_id % 10 = 1 AND seq = 2)) AS n FROM records GROUP BY log_id)
@@ -407,8 +421,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT conv_id, turn, CASE WHEN mode = 'summarize' OR contains(low, 'summarize') THEN {_summary('context')} WHEN mode = 'extract' OR contains(low, 'extract') THEN {_fields('context')} ELSE {_extractive(_strip('question'), 'context')} END AS reply FROM said""",
         "service_metrics": f"WITH {_OBSERVED}, {_METRICS} SELECT requests_total, requests_blocked, hitl_escalations, round(latency_avg_ms, 4) AS latency_avg_ms, tokens_in_total, tokens_out_total FROM metrics",
         "prometheus": f"WITH {_OBSERVED}, {_METRICS} SELECT {_exposition()} AS text FROM metrics",
-        "sse_deltas": """WITH parts AS (SELECT conv_id || '-' || turn AS id, string_split(text, '. ') AS p FROM conversations WHERE role = 'assistant'),
-          every AS (SELECT id, generate_subscripts(p, 1) - 1 AS seq, 'delta' AS event, '{"text":' || to_json(unnest(p)) || '}' AS data FROM parts UNION ALL SELECT id, len(p), 'done', '{}' FROM parts)
-          SELECT id, seq::INTEGER AS seq, event, data FROM every""",
+        "sse_deltas": f"""WITH parts AS (SELECT conv_id || '-' || turn AS id, string_split(text, '. ') AS p FROM conversations WHERE role = 'assistant'),
+          every AS (SELECT id, generate_subscripts(p, 1) - 1 AS seq, ', "delta": ' || {_json('unnest(p)')} AS rest FROM parts UNION ALL SELECT id, len(p), ', "done": true' FROM parts)
+          SELECT id, seq::INTEGER AS seq, 'data: {{"request_id": "' || id || '"' || rest || '}}' || chr(10) || chr(10) AS frame FROM every""",
         "api_keys": f"WITH {_EVENTS} SELECT event_id, (user_id % 20) % 3 = 0 AS authorised FROM requests",
     }

@@ -16,7 +16,7 @@ from ..operators.guardrails import InputPolicy, check_answer, check_request, wit
 from ..operators.index import cosine, hashed_weights, lexical_index, store_stats, with_order
 from ..sources.io import read_table
 from .ask import AskOptions, ask, qa_turns
-from .serve import audit_records, run_examples, serve
+from .serve import audit_cases, audit_records, run_examples, serve
 
 #: Types and thresholds of the scans: with cards, and with names but those found by two capitals alone.
 SCAN_TYPES = ("SSN", "PHONE", "EMAIL", "MRN", "DATE", "PERSON", "ZIP", "CREDIT_CARD")
@@ -287,8 +287,8 @@ def serve_requests(spark, d):
 
 
 def serve_audit(spark, d):
-    """The log of served requests, sealed."""
-    return audit.seal(audit_records(_served(spark, d), "service", "0.0")).withColumn("details", F.to_json("details"))
+    """The log of served requests, sealed, a chain for each key."""
+    return audit.seal(audit_records(_served(spark, d), F.col("api_key"), "0.0"))
 
 
 def example_eval(spark, d):
@@ -381,6 +381,31 @@ def audit_verify(spark, d):
     return audit.verify(forged.where(~((user % 10 == 1) & (F.col("seq") == 2))))
 
 
+def audit_append(spark, d):
+    """Chains sealed in three batches by day, each behind the last one's heads; the second brings the first one's again."""
+    rows = _records(spark, d)
+    day = F.dayofmonth(F.timestamp_seconds(F.col("ts").cast("double")))
+    first = audit.seal(rows.where(day <= 10))
+    second = audit.seal(rows.where(day <= 20), audit.heads(first))
+    sealed = first.unionByName(second)
+    sealed = sealed.unionByName(audit.seal(rows.where(day > 20), audit.heads(sealed)))
+    return sealed.select("log_id", "seq", "prev_hash", "record_hash")
+
+
+def audit_details(spark, d):
+    """Details of several types: numbers, booleans, lists and nested objects, with a text that hints at a person hidden."""
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    rows = read_table(spark, d, "events").select("event_id", F.struct(F.col("event_type").alias("type"), F.col("value").alias("value"), (F.col("value") > 20).alias("large"), F.parse_json("props").alias("props"), F.array(F.col("user_id"), F.lit(None)).alias("users"), name.alias("user_name")).alias("details"))
+    return rows.select("event_id", audit.details_json(F.col("details"), rows.schema["details"].dataType, True).alias("details"))
+
+
+def eval_audit(spark, d):
+    """Judged cases as audit records."""
+    cases = evaluate.eval_cases(_cases(spark, d))
+    place = F.split("id", "-")
+    return audit_cases(cases, "eval", "0.0", place[0].cast("long") * 1000 + place[1].cast("long")).drop("record_id")
+
+
 def rate_limit(spark, d):
     """Ten requests a minute for each user."""
     out = service.rate_limit(_requests(spark, d).withColumn("at", F.col("at") / 60), 10)
@@ -425,7 +450,7 @@ _NAMED = (
     input_guardrail, request_intent, pii_spans, pii_counts, pii_default_types, pii_redact, pii_map, pii_seal, pii_restore, leak_scan,
     context_assembly, extractive_answer, summarize, extract_fields, prompt_answer, prompts, groundedness, output_guardrail, cited_guardrail, respond_hitl, disclaimer,
     token_cost, ask_batch, serve_requests, serve_audit, example_eval, judge, eval_cases, eval_report, regression_gate,
-    audit_scrub, audit_seal, audit_verify, rate_limit, service_metrics, prometheus, sse_deltas, api_keys,
+    audit_scrub, audit_seal, audit_append, audit_details, eval_audit, audit_verify, rate_limit, service_metrics, prometheus, sse_deltas, api_keys,
 )
 
 

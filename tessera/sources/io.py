@@ -6,13 +6,14 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import ship
 
 EXAMPLE = "id string, query string, expected_citations array<string>, must_contain array<string>, must_not_contain array<string>, min_groundedness double"
-AUDIT = "log_id string, seq bigint, event string, request_id string, actor string, details map<string,string>, ts string, record_id string, prev_hash string, record_hash string"
+AUDIT = "log_id string, seq bigint, event string, request_id string, actor string, details string, ts string, record_id string, prev_hash string, record_hash string"
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -23,13 +24,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text, doc_ord): each .txt file of a folder is a document named by its stem; doc_ord rises with the name.
 
-    Names alone are sorted, over ranges; numbers have gaps between ranges. Texts stay where they are read until the join.
+    Names alone are sorted, over ranges; numbers have gaps between ranges. Texts stay where they are read until the join, by
+    path, so that files of one name in several folders stay apart.
     """
     rows = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1)
-    rows = rows.select(name.alias("doc_id"), F.col("value").alias("text"))
-    order = rows.select("doc_id").orderBy("doc_id").withColumn("doc_ord", F.monotonically_increasing_id())
-    return rows.join(order, "doc_id")
+    # names come as parts of an address, in which a plus stands for itself
+    name = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))), r"\.txt$", "")
+    rows = rows.select(F.col("_metadata.file_path").alias("_path"), name.alias("doc_id"), F.col("value").alias("text"))
+    order = rows.select("_path", "doc_id").orderBy("doc_id", "_path").withColumn("doc_ord", F.monotonically_increasing_id()).drop("doc_id")
+    return rows.join(order, "_path").drop("_path")
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
@@ -50,20 +53,50 @@ def write_examples(examples: DataFrame, path: str) -> None:
 
 
 def append_audit(records: DataFrame, path: str) -> None:
-    """Appends sealed records of any chains to a log of JSON lines."""
-    order = [c.split()[0] for c in AUDIT.split(", ")]
-    records.select(*order).write.mode("append").json(path)
+    """Appends sealed records of any chains, with details of any type, to a log of JSON lines."""
+    from ..operators.audit import line
+
+    records.select(line(F.struct("*"), records.schema["details"].dataType, ("log_id", "seq"))).write.mode("append").text(path)
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(AUDIT).json(path)
+    """Records of a log; details are their JSON."""
+    return spark.read.schema(AUDIT).json(path).select(*[c.split()[0] for c in AUDIT.split(", ")])
+
+
+def read_heads(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """(log_id, head_seq, head_hash) behind the last batch of a log (before the given one); None for a log without any."""
+    try:
+        every = spark.read.parquet(f"{path}/heads")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    rows = every if before is None else every.where(F.col("batch") < before)
+    last = rows.agg(F.max("batch")).first()[0]
+    return None if last is None else every.where(F.col("batch") == last).drop("batch")
+
+
+def append_batch(records: DataFrame, path: str, batch: int) -> None:
+    """Seals a batch of records behind all earlier batches of a log, and writes it and the heads of all chains behind it to
+    folders of the batch. Repeating a batch replaces it by the same; one that failed is repeated before the next begins."""
+    from ..operators.audit import heads, line, seal
+
+    spark = records.sparkSession
+    before = read_heads(spark, path, batch)
+    sealed = seal(records, before)
+    sealed.select(line(F.struct("*"), sealed.schema["details"].dataType, ("log_id", "seq"))).write.mode("overwrite").text(f"{path}/records/batch={batch}")
+    after = heads(read_audit(spark, f"{path}/records/batch={batch}"))
+    if before is not None:
+        after = before.unionByName(after).groupBy("log_id").agg(F.max("head_seq").alias("head_seq"), F.max_by("head_hash", "head_seq").alias("head_hash"))
+    after.write.mode("overwrite").parquet(f"{path}/heads/batch={batch}")
 
 
 def write_audit_chain(records: DataFrame, path: str) -> None:
     """Writes one chain as lines of canonical JSON in order, as a log is kept elsewhere: files follow one another by name."""
     from ..operators.audit import line
 
-    records.orderBy("seq").select(line(F.struct("*"))).write.text(path)
+    records.orderBy("seq").select(line(F.struct("*"), records.schema["details"].dataType)).write.text(path)
 
 
 def read_audit_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -66,6 +66,7 @@ def test_audit(spark, tmp_path):
     io.append_audit(sealed.where("seq > 3"), path)
     log = io.read_audit(spark, path)
     assert audit.verify(log).first().asDict() == {"log_id": "log", "ok": True, "checked": 6, "broken_at": None, "reason": None}
+    assert log.select("details").first().details.startswith('{"n":')
     changed = log.withColumn("actor", F.when(F.col("seq") == 3, "x").otherwise(F.col("actor")))
     assert audit.verify(changed).first().asDict() == {"log_id": "log", "ok": False, "checked": 2, "broken_at": "id2", "reason": "record_hash mismatch"}
     assert audit.verify(log.where("seq <> 2")).first().reason == "prev_hash mismatch"
@@ -88,6 +89,110 @@ def test_audit_is_canonical_json(spark):
     assert audit.verify(audit.seal(frame)).first().ok
 
 
+def tree(rng, depth=3):
+    kind = rng.randrange(9 if depth else 7)
+    if kind == 7:
+        return [tree(rng, depth - 1) for _ in range(rng.randrange(4))]
+    if kind == 8:
+        return {rng.choice(["b", "a", "Z", "é", "q\"", "user_name", "ß😀"]): tree(rng, depth - 1) for _ in range(rng.randrange(5))}
+    return rng.choice([None, True, False, rng.randrange(-(10**rng.randrange(1, 30)), 10**20), rng.uniform(-1, 1) * 10 ** rng.randrange(-30, 30), 0.92, 1e16, 1e-7, -0.0, 100.0, rng.choice(ODD_TEXTS)])
+
+
+def plain_scrub(details):
+    hide = lambda v: f"<redacted:{hashlib.sha256(v.encode()).hexdigest()[:8]}>"
+    return {k: hide(v) if isinstance(v, str) and any(h in k.lower() for h in ("ssn", "phone", "email", "mrn", "dob", "name", "address")) else v for k, v in details.items()}
+
+
+def body(event, request, actor, details, ts, record, prev):
+    fields = {"event": event, "request_id": request, "actor": actor, "details": details, "ts": ts, "record_id": record, "prev_hash": prev}
+    return json.dumps(fields, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def test_typed_details(spark, tmp_path):
+    """Details of any JSON type, as text and as variants, hash as json.dumps has them; sealed logs are read back and verified."""
+    rng = random.Random(3)
+    trees = [{rng.choice(["user_name", "g", "list", "Phone", "é"]): tree(rng) for _ in range(rng.randrange(5))} for _ in range(150)]
+    rows = [("log", k + 1, "response", f"r{k}", "agent", json.dumps(t, ensure_ascii=k % 2 == 0), f"{k}.5", f"id{k}") for k, t in enumerate(trees)]
+    frame = spark.createDataFrame(rows, "log_id string, seq long, event string, request_id string, actor string, details string, ts string, record_id string")
+    frame = frame.withColumn("details", audit.canonical_json(F.col("details"), True))
+    prev, want = "GENESIS", {}
+    for k, t in enumerate(trees):
+        prev = want[k + 1] = hashlib.sha256(body("response", f"r{k}", "agent", plain_scrub(t), k + 0.5, f"id{k}", prev).encode()).hexdigest()
+    sealed = audit.seal(frame)
+    assert {r.seq: r.record_hash for r in sealed.collect()} == want
+    io.append_audit(sealed.where("seq <= 70"), str(tmp_path / "log"))
+    io.append_audit(sealed.where("seq > 70"), str(tmp_path / "log"))
+    assert audit.verify(io.read_audit(spark, str(tmp_path / "log")), block=16).first().asDict() == {"log_id": "log", "ok": True, "checked": 150, "broken_at": None, "reason": None}
+    # structs with nulls, and variants
+    typed = spark.sql("select 'log' log_id, 1L seq, 'query' event, 'r' request_id, 'api' actor, named_struct('stream', false, 'g', 0.92D, 'citations', array('b#c1', null), 'seal', cast(null as string), 'n', 3) details, '1.50' ts, 'id' record_id")
+    want = hashlib.sha256(body("query", "r", "api", {"stream": False, "g": 0.92, "citations": ["b#c1", None], "seal": None, "n": 3}, 1.5, "id", "GENESIS").encode()).hexdigest()
+    variant = typed.withColumn("details", F.parse_json(F.to_json("details", {"ignoreNullFields": "false"})))
+    assert audit.seal(typed).first().record_hash == audit.seal(variant).first().record_hash == want
+    assert audit.seal(typed.withColumn("details", F.lit(None).cast("string"))).first().details == "{}"
+
+
+def test_chains_go_on(spark, tmp_path):
+    """Batches appended one after another are one chain; a repeated batch and records that come again change nothing."""
+    rows = [(f"log{k % 3}", k // 3 + 1, "query", f"r{k}", "system", {"n": str(k)}, f"{k}.0", f"id{k}") for k in range(60)]
+    frame = spark.createDataFrame(rows, records(spark).schema)
+    whole = {(r.log_id, r.seq): (r.prev_hash, r.record_hash) for r in audit.seal(frame).collect()}
+    path = str(tmp_path / "log")
+    assert io.read_heads(spark, path) is None
+    # the second batch brings some records again, the third only those of one chain
+    for number, part in ((0, frame.where("seq <= 7")), (1, frame.where("seq > 4 and seq <= 12 and log_id <> 'log2'")), (1, frame.where("seq > 4 and seq <= 12 and log_id <> 'log2'")), (2, frame.where("log_id = 'log2' and seq > 7")), (3, frame.where("seq > 12"))):
+        io.append_batch(part, path, number)
+    log = io.read_audit(spark, f"{path}/records")
+    assert {(r.log_id, r.seq): (r.prev_hash, r.record_hash) for r in log.collect()} == whole and log.count() == 60
+    assert all(r.ok and r.checked == 20 for r in audit.verify(log).collect())
+    assert {r.log_id: (r.head_seq, r.head_hash) for r in io.read_heads(spark, path).collect()} == {f"log{k}": (20, whole[f"log{k}", 20][1]) for k in range(3)}
+    later = audit.verify(log.where("seq > 7"), io.read_heads(spark, path, 1))
+    assert [(r.ok, r.checked) for r in later.where("log_id <> 'log2'").collect()] == [(True, 13)] * 2
+    assert not audit.verify(log.where("seq > 7")).first().ok
+
+
+def plain_verify(rows):
+    prev = "GENESIS"
+    for n, (seq, record, before, own, good) in enumerate(rows):
+        if before != prev:
+            return False, n, record, "prev_hash mismatch"
+        if not good:
+            return False, n, record, "record_hash mismatch"
+        prev = own
+    return True, len(rows), None, None
+
+
+def test_verify_in_blocks(spark):
+    """Any record changed or lost, at borders of blocks or not, with blocks of any size."""
+    rng = random.Random(7)
+    rows = [(f"log{c:02}", k + 1, "query", f"r{k}", "system", {"n": str(k)}, f"{k}.0", f"id{c}-{k}") for c in range(40) for k in range(rng.choice([1, 2, 9, 30]))]
+    sealed = [r.asDict() for r in audit.seal(spark.createDataFrame(rows, records(spark).schema)).collect()]
+    kept, plain = [], {}
+    for c in range(40):
+        chain = sorted((r for r in sealed if r["log_id"] == f"log{c:02}"), key=lambda r: r["seq"])
+        for _ in range(c % 3):
+            at = rng.randrange(len(chain))
+            if rng.random() < 0.5 and len(chain) > 1:
+                chain.pop(at)
+            else:
+                chain[at]["actor"] = "intruder"
+        kept += chain
+        plain[f"log{c:02}"] = plain_verify([(r["seq"], r["record_id"], r["prev_hash"], r["record_hash"], r["actor"] == "system") for r in chain])
+    frame = spark.createDataFrame(kept, audit.seal(records(spark)).schema)
+    for block in (1, 4, 7, 1 << 16):
+        assert {r.log_id: (r.ok, r.checked, r.broken_at, r.reason) for r in audit.verify(frame, block=block).collect()} == plain
+
+
+def test_verify_spreads_a_chain(spark):
+    """Records of a single chain are never put in order in one task: windows over records are by block, and only blocks' own
+    rows, one each, by chain."""
+    plan = audit.verify(audit.seal(records(spark)))._jdf.queryExecution().optimizedPlan().toString()
+    over = [x for x in plan.splitlines() if "Window [" in x and ("row_number" in x or "lag(record_hash" in x)]
+    assert over and all("block#" in x for x in over)
+    rows = spark.range(100_000).selectExpr("'log' log_id", "id + 1 seq", "cast(id as string) record_id", "cast(id as string) prev_hash", "cast(id + 1 as string) record_hash", "'x' body")
+    spread = rows.select(F.floor(F.col("seq") / 1024).alias("b")).distinct().count()
+    assert spread == 98 and audit.verify(rows, block=1024).first().reason == "prev_hash mismatch"
+
+
 def test_audit_lines(spark, tmp_path):
     """Logs kept as canonical lines, with details of any type, are verified; so are chains written here."""
     def log(forge):
@@ -168,8 +273,10 @@ def test_metrics_and_events(spark):
     assert "clinical_requests_total 2\n" in text and "clinical_latency_avg_ms 15.0\n" in text and text.endswith("clinical_tokens_out_total 3\n") and text.count("\n") == 18
     empty = service.service_metrics(rows.where("false")).first()
     assert empty.requests_total == 0 and empty.latency_avg_ms == 0
-    events = service.sse_events(spark.createDataFrame([(1, "A b. C d. E")], "id long, a string"), "id", "a").orderBy("seq").collect()
-    assert [(r.event, r.data) for r in events] == [("delta", '{"text":"A b"}'), ("delta", '{"text":"C d"}'), ("delta", '{"text":"E"}'), ("done", "{}")]
+    said = 'A "b". C\n\\d. é😀. '
+    events = service.sse_events(spark.createDataFrame([(1, said), (2, None)], "id long, a string"), "id", "a").orderBy("id", "seq").collect()
+    frames = [json.dumps({"request_id": "1", "delta": x}) for x in said.split(". ")] + [json.dumps({"request_id": "1", "done": True}), json.dumps({"request_id": "2", "delta": ""}), json.dumps({"request_id": "2", "done": True})]
+    assert [r.frame for r in events] == [f"data: {x}\n\n" for x in frames] and [r.seq for r in events] == [0, 1, 2, 3, 4, 0, 1]
 
 
 def test_keys(spark, tmp_path):
@@ -184,9 +291,9 @@ def test_keys(spark, tmp_path):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    for name, text in (("b.txt", "two\nlines"), ("a.txt", "one"), ("c.md", "no")):
+    for name, text in (("b.txt", "two\nlines"), ("a.txt", "one"), ("c.md", "no"), ("my notes+é%20.txt", "odd")):
         (tmp_path / "d" / name).write_text(text)
-    assert [(r.doc_id, r.text) for r in io.read_text_folder(spark, str(tmp_path / "d")).orderBy("doc_ord").collect()] == [("a", "one"), ("b", "two\nlines")]
+    assert [(r.doc_id, r.text) for r in io.read_text_folder(spark, str(tmp_path / "d")).orderBy("doc_ord").collect()] == [("a", "one"), ("b", "two\nlines"), ("my notes+é%20", "odd")]
     (tmp_path / "g.jsonl").write_text('{"id": "1", "query": "q", "must_contain": ["m"]}\n\n{"id": "2", "query": "r", "min_groundedness": 0.5}\n')
     examples = io.read_examples(spark, str(tmp_path / "g.jsonl"))
     io.write_examples(examples, str(tmp_path / "out"))
