@@ -9,8 +9,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, lean, slices
 from .pieces import MARK
 
-#: Frequent segments that are handed to the workers whole, and the longest that may be among them or in a worker's table.
+#: The most frequent segments that are handed to the workers whole, and the longest that may be among them or in a worker's
+#: table.
 HEAD, LONGEST = 100_000, 64
+#: Characters of segments that are encoded at once.
+TOGETHER = 100_000
 #: Characters of segments that a worker's table or count holds before it starts anew.
 HELD = 4_000_000
 
@@ -38,6 +43,32 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
+class Alignments(NamedTuple):
+    """Of each segment: tokens of A and B, groups, and the groups as text; if asked for, all links by the place of their segment."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
+    place: np.ndarray | None = None
+    a: np.ndarray | None = None
+    b: np.ndarray | None = None
+
+    def pairs(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets by segment, then A ids, B ids and numbers of the different pairs of each segment."""
+        rows, counts = _different(self.place, self.a, self.b)
+        return np.searchsorted(rows[0], np.arange(n + 1)), rows[1], rows[2], counts
+
+
+def _different(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows in order, and how often each occurs."""
+    by = np.lexsort(columns[::-1])
+    sorted_ = [c[by] for c in columns]
+    first = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in sorted_], axis=0)])
+    at = np.nonzero(first)[0]
+    return [c[at] for c in sorted_], np.diff(np.append(at, len(by)))
+
+
 class Aligner:
     """Both tokenizers, the bytes of their tokens, and where texts may be split without a change of either's tokens.
 
@@ -72,6 +103,11 @@ class Aligner:
             proto.ParseFromString(f.read())
         norm, train = proto.normalizer_spec, proto.trainer_spec
         self.b_bytes = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b"" for p in proto.pieces]
+        table = lambda rows: np.array([*rows, None], object)[:-1]
+        self.a_bytes, self.b_bytes = table(self.a_bytes.get(i, b"") for i in range(max(self.a_bytes) + 1)), table(self.b_bytes)
+        self.a_size, self.b_size = [np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes)]
+        names = [str(i) for t in (self.a_bytes, self.b_bytes) for i in range(len(t))]
+        self.names, self.digits = np.stack([table(n + sign for n in names) for sign in (",", "|", ";", "")]), np.array([len(n) for n in names])
         self.blank = self.b.piece_to_id(MARK)
         apart = pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor") and not spec["model"].get("dropout")
         exact = train.model_type == 2 and train.byte_fallback and not norm.precompiled_charsmap and norm.add_dummy_prefix and not norm.remove_extra_whitespaces and norm.escape_whitespaces and not train.treat_whitespace_as_suffix
@@ -83,6 +119,7 @@ class Aligner:
             space = [c for c in map(chr, range(0x10000)) if c.isspace() and (c == " " or all(parts(c + x) == 2 for x in "!a1"))]
             inside = set("".join(longer))
             cls = lambda chars: "".join(map(re.escape, chars))
+            self.space = set(space)
             every, never = cls(space), cls(c for c in space if c != " " and c in inside)
             more = f"(?:[{never}][{every}]*[^{every}]*)*" if never else ""
             self.pattern = re.compile(f"[{every}]*[^{every}]+{more}|[{every}]+")
@@ -93,46 +130,60 @@ class Aligner:
         if not text:
             return None
         if self.pattern is None:
-            return [" " + text] if self.align([" " + text])[0] is not None else None
+            try:
+                self.align([" " + text], links=False)
+            except ValueError:
+                return None
+            return [" " + text]
         # every other character is in a piece or falls back to its bytes
         return None if MARK in text else self.pattern.findall(" " + text)
 
-    def _encoded(self, segments: list[str]) -> Iterator[tuple[bytes, list[int], list[int]]]:
-        for lo, hi in slices(segments, len, 300_000):
-            part = segments[lo:hi]
-            encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
-            firsts = [x.ids for x in encode(part, add_special_tokens=False)]
-            seconds = self.b.encode([s[1:] if s[0] == " " else s for s in part], num_threads=1)
-            for s, a, b in zip(part, firsts, seconds, strict=True):
-                yield s.encode(), a, [self.blank] if s == " " else b if s[0] == " " else b[1:]
-
-    def align(self, segments: list[str]) -> list[tuple[int, int, int, str, list[tuple[int, int]]] | None]:
-        """(tokens of A, tokens of B, groups, the groups as text, links) of each; None where the bytes differ."""
-        out = []
-        for raw, a, b in self._encoded(segments):
-            mine, theirs = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(mine) != raw or b"".join(theirs) != raw:
-                out.append(None)
-                continue
-            links, groups, i, j, begun, since = [], [], 0, 0, 0, 0
-            end, other = len(mine[0]), len(theirs[0])
-            while True:
-                links.append((a[i], b[j]))
-                if end == other:
-                    i, j = i + 1, j + 1
-                    groups.append(f"{','.join(map(str, a[begun:i]))}|{','.join(map(str, b[since:j]))}")
-                    if i == len(a):
-                        break
-                    begun, since = i, j
-                    end, other = end + len(mine[i]), other + len(theirs[j])
-                elif end < other:
-                    i += 1
-                    end += len(mine[i])
-                else:
-                    j += 1
-                    other += len(theirs[j])
-            out.append((len(a), len(b), len(groups), ";".join(groups), links))
-        return out
+    def _encoded(self, segments: list[str], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of both, of all segments one after the other; A encodes the first `together` of them as one text."""
+        encode = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+        parts = ["".join(segments[:together])] * (together > 0) + segments[together:]
+        first = [i for x in encode(parts, add_special_tokens=False) for i in x.ids]
+        found = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
+        second = [i for s, ids in zip(segments, found, strict=True) for i in ([self.blank] if s == " " else ids if s[0] == " " else ids[1:])]
+        return np.array(first, np.int64), np.array(second, np.int64)
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, last: np.ndarray) -> list[str]:
+        """The groups of each segment as text, from the group of each token and the last group of each segment."""
+        ids, key = np.concatenate([a, b + len(self.a_bytes)]), np.concatenate([2 * group_a, 2 * group_b + 1])
+        by = np.argsort(key, kind="stable")
+        ids, key = ids[by], key[by]
+        ends = np.append(key[1:] != key[:-1], True)
+        # a comma, and at an end a bar behind A's, a semicolon behind B's, nothing behind the segment's last
+        sign = np.where(ends, 1 + key % 2, 0)
+        closing = np.nonzero(ends & (key % 2 == 1))[0][last]
+        sign[closing] = 3
+        every = "".join(self.names[sign, ids].tolist())
+        at = np.cumsum(self.digits[ids] + (sign < 3))[closing].tolist()
+        return [every[p:q] for p, q in pairwise([0, *at])]
+
+    def align(self, segments: list[str], links: bool = True) -> Alignments:
+        """Alignments of segments. A encodes them as one text, as nothing crosses their starts, but for those that end in white
+        space or aren't proven; ValueError if the bytes differ."""
+        joins = [self.pattern is not None and s[-1] not in self.space for s in segments]
+        order = [k for k, j in enumerate(joins) if j] + [k for k, j in enumerate(joins) if not j]
+        ordered = [segments[k] for k in order]
+        raw = [s.encode() for s in ordered]
+        a, b = self._encoded(ordered, sum(joins))
+        whole = b"".join(raw)
+        if b"".join(self.a_bytes[a].tolist()) != whole or b"".join(self.b_bytes[b].tolist()) != whole:
+            raise ValueError("the bytes of the tokens differ from the text")
+        mine, theirs, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum([len(x) for x in raw])
+        common = mine[np.searchsorted(theirs, mine) < np.searchsorted(theirs, mine, "right")]
+        of_a, of_b, of_groups = [np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (mine, theirs, common)]
+        texts = self._texts(a, b, np.searchsorted(common, mine), np.searchsorted(common, theirs), np.cumsum(of_groups) - 1)
+        back = np.argsort(order)
+        out = Alignments(of_a[back], of_b[back], of_groups[back], [texts[k] for k in back.tolist()])
+        if not links:
+            return out
+        # between two ends of either, one token of each is at work: a link
+        places = np.sort(np.concatenate([mine, theirs]))
+        places = places[np.append(places[1:] != places[:-1], True)]
+        return out._replace(place=np.array(order)[np.searchsorted(ends, places)], a=a[np.searchsorted(mine, places)], b=b[np.searchsorted(theirs, places)])
 
 
 @lru_cache(maxsize=2)
@@ -171,14 +222,11 @@ def _aligned(paths: tuple[str, str]):
         tool = _load(*paths)
         for batch in batches:
             segments = batch.column("segment").to_pylist()
-            for lo, hi in slices(segments, len, HELD):
+            for lo, hi in slices(segments, len, TOGETHER):
                 found = tool.align(segments[lo:hi])
-                if None in found:
-                    raise RuntimeError("a segment's bytes differ, against what was proven of the tokenizers")
-                pairs = [Counter(x[4]) for x in found]
-                ints = pa.list_(pa.int32())
-                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array([x[n] for x in found], pa.int64()) for n in range(3)], pa.array([x[3] for x in found], pa.string())]
-                columns += [pa.array([[p[n] for p in c] for c in pairs], ints) for n in range(2)] + [pa.array([list(c.values()) for c in pairs], ints)]
+                offsets, *pairs = found.pairs(hi - lo)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in pairs]
+                columns = [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(x, pa.int64()) for x in found[:3]], pa.array(found.groups, pa.string()), *lists]
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "n", "n_a", "n_b", "n_groups", "groups", "a", "b", "m"])
 
     return lean(run)
@@ -196,8 +244,10 @@ def _composed(paths: tuple[str, str], head, full: bool):
             for lo, hi in slices(texts, lambda t: sum(map(len, t or ())) + 1, 1_000_000):
                 counts = [Counter(t or ()) for t in texts[lo:hi]]
                 new = list({s for c in counts for s in c if s not in known and s not in own})
-                found = zip(new, tool.align(new), strict=True)
-                here = {s: (x[0], x[1], x[2], x[3]) for s, x in found}
+                here = {}
+                for p, q in slices(new, len, TOGETHER):
+                    x = tool.align(new[p:q], links=False)
+                    here.update(zip(new[p:q], zip(x.n_a.tolist(), x.n_b.tolist(), x.n_groups.tolist(), x.groups, strict=True), strict=True))
                 rows = []
                 for segments, count in zip(texts[lo:hi], counts, strict=True):
                     figures, tail, groups = [0] * 6, [], []
@@ -260,8 +310,17 @@ def align_tokenizers(docs: DataFrame, a_path: str | None = None, b_path: str | N
     known = scratch.put(known.drop("a", "b", "m").join(sums, "sid"))
 
     columns = ["n_a", "n_b", "n_groups", "groups", "n_best", "count_sum"]
-    frequent = known.where(F.length("segment") <= LONGEST).orderBy(F.desc("n"), "segment").limit(HEAD).select("segment", *columns)
-    head = docs.sparkSession.sparkContext.broadcast({r[0]: tuple(r[1:]) for r in frequent.collect()})
+    # as many of the highest steps of a scale of counts as the table has room for
+    step = F.floor(F.log2("n") * 16).cast("int")
+    short = known.where(F.length("segment") <= LONGEST)
+    room, least = HEAD, 1 << 16
+    for r in sorted(short.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        room -= r.rows
+        if room < 0:
+            break
+        least = r.step
+    frequent = short.where(step >= least).select("segment", *columns).toArrow()
+    head = docs.sparkSession.sparkContext.broadcast(dict(zip(frequent.column(0).to_pylist(), zip(*[c.to_pylist() for c in frequent.columns[1:]], strict=True), strict=True)))
     figures = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     composed = scratch.put(texts.mapInArrow(_composed(paths, head, full), f"uid long, doc_id {kind}, {figures}, tail array<string>, times array<long>" + ", groups string" * full))
     rare = composed.select(F.col("uid").alias("of"), F.explode(F.arrays_zip("tail", "times")).alias("x")).select("of", F.col("x.tail").alias("segment"), "x.times")

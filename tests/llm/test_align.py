@@ -99,7 +99,7 @@ COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 ODD = [None, "", " ", "  ", "\n", "\n\n a\n", "a\r\nb\r\n  c;\r\nd", "\ta\t\tb ", " a  b ", "x y  z　w", "a\x1c b\x85c\x1f", "a▁b", "▁", "<|endoftext|> <s>x</s> <unk> <0x41>", "naïve café 😀😀 ‍👩‍👩‍👧 日本語の文字列 текст", "don't we'll 'tis I'm  o'clock", "1234567 12.5% --- !!! ... ;;;\r", "a\x00b", "A" * 5_000, " " * 3_000 + "x", "word " * 4_000, "﻿bom ​zero"]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"HEAD": 3, "LONGEST": 6, "HELD": 60}])
+@pytest.mark.parametrize("sizes", [{}, {"HEAD": 3, "LONGEST": 6, "HELD": 60, "TOGETHER": 50}])
 def test_align(table, libraries, sizes, monkeypatch):
     for name, size in sizes.items():
         monkeypatch.setattr(align, name, size)
@@ -126,9 +126,13 @@ def test_segments_are_apart(libraries):
         found = tool.split(text or "")
         if found:
             assert "".join(found) == " " + text
-            parts = tool.align(found)
-            whole = tool.align([" " + text])[0]
-            assert sum(p[0] for p in parts) == whole[0] and ";".join(p[3] for p in parts) == whole[3]
+            parts, apart = tool.align(found), [tool.align([s]) for s in found]
+            assert parts.groups == [x.groups[0] for x in apart] and parts.n_a.tolist() == [x.n_a[0] for x in apart]
+            plain = align.Aligner(*PATHS)
+            plain.pattern = None
+            whole = plain.align([" " + text])
+            assert parts.n_b.sum() == whole.n_b[0] and ";".join(parts.groups) == whole.groups[0]
+            assert sorted(zip(parts.a, parts.b, strict=True)) == sorted(zip(whole.a, whole.b, strict=True))
     tool.pattern = None
     assert tool.split("a b") == [" a b"] and tool.split("a▁b") is None
 
