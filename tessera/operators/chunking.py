@@ -79,14 +79,14 @@ def located(text: Column, chunks: Column) -> Column:
     return let(F.struct(text_blocks(text).alias("b"), F.length(text).alias("n"), chunks.alias("c")), places)
 
 
-def _own(docs: DataFrame) -> list[str]:
-    return ["doc_id", "doc_ord"] if "doc_ord" in docs.columns else ["doc_id"]
+def _own(docs: DataFrame, keep: tuple[str, ...] = ()) -> list[str]:
+    return ["doc_id", *["doc_ord"] * ("doc_ord" in docs.columns), *keep]
 
 
-def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str) -> DataFrame:
-    rows = docs.select(*_own(docs), F.posexplode(pieces).alias("idx", "p"))
+def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str, keep: tuple[str, ...]) -> DataFrame:
+    rows = docs.select(*_own(docs, keep), F.posexplode(pieces).alias("idx", "p"))
     return rows.select(
-        *_own(docs),
+        *_own(docs, keep),
         "idx",
         F.concat(F.col("doc_id").cast("string"), F.lit(f"#{label}"), F.col("idx").cast("string")).alias("chunk_id"),
         F.col("p.text").alias("text"),
@@ -96,18 +96,19 @@ def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str) -> Dat
     )
 
 
-def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
-    """Chunks of sliding windows: doc_id, idx, chunk_id, text, start, end, strategy."""
-    return _exploded(docs, windows(F.coalesce("text", F.lit("")), size, overlap), "c", "fixed")
+def chunk_fixed(docs: DataFrame, size: int = 800, overlap: int = 120, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of sliding windows: doc_id, idx, chunk_id, text, start, end, strategy. keep: columns of the documents that their
+    chunks carry on."""
+    return _exploded(docs, windows(F.coalesce("text", F.lit("")), size, overlap), "c", "fixed", keep)
 
 
-def chunk_semantic(docs: DataFrame, max_chars: int = 1200, min_chars: int = 200) -> DataFrame:
+def chunk_semantic(docs: DataFrame, max_chars: int = 1200, min_chars: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of merged sections, in the same columns; start and end are approximate, as white space is rewritten."""
     text = F.coalesce("text", F.lit(""))
-    return _exploded(docs, located(text, merged_sections(text, max_chars, min_chars)), "c", "semantic")
+    return _exploded(docs, located(text, merged_sections(text, max_chars, min_chars)), "c", "semantic", keep)
 
 
-def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int = 400, child_overlap: int = 60) -> DataFrame:
+def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int = 400, child_overlap: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parents of merged sections, each followed by its children, windows over the parent's text.
 
     Columns as above, and ord (place within the document), level, parent_id, parent_text (500 characters), owner_id (the
@@ -124,12 +125,12 @@ def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int
         return n + F.size(x["kids"]), F.concat(F.array(item("parent", x["i"], x["p"])), kids)
 
     every = fold(nested, F.lit(0), number, f"struct<level:string,parent:int,idx:int,piece:{_PIECE},parent_text:string>")
-    rows = docs.select(*_own(docs), F.posexplode(every).alias("ord", "x"))
+    rows = docs.select(*_own(docs, keep), F.posexplode(every).alias("ord", "x"))
     doc = F.col("doc_id").cast("string")
     parent_id = F.concat(doc, F.lit("#c"), F.col("x.parent").cast("string"))
     child = F.col("x.level") == "child"
     return rows.select(
-        *_own(docs),
+        *_own(docs, keep),
         "ord",
         F.when(child, F.concat(doc, F.lit("#hc"), F.col("x.idx").cast("string"))).otherwise(parent_id).alias("chunk_id"),
         F.col("x.piece.text").alias("text"),

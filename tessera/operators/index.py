@@ -16,7 +16,7 @@ from ..functions.text import tokens
 DIM = 384
 
 
-#: Chunks that a document may have in a chunk_ord.
+#: Chunks that a document may have in a chunk_ord; documents are numbered up to 2**43.
 PER_DOC = 1 << 20
 
 
@@ -44,7 +44,9 @@ def with_order(chunks: DataFrame) -> DataFrame:
         base = F.col("doc_id")
     else:
         raise ValueError("documents whose ids are no numbers need a doc_ord: see numbered()")
-    return chunks.withColumn("chunk_ord", base.cast("long") * PER_DOC + F.col("idx"))
+    number = base.cast("long") * PER_DOC + F.col("idx")
+    outside = (F.col("idx") >= PER_DOC) | (base >= 1 << 43) | (base < 0)
+    return chunks.withColumn("chunk_ord", F.when(outside, F.raise_error(F.lit("a document has too many chunks, or too high a number, for a chunk_ord"))).otherwise(number))
 
 
 @dataclass

@@ -61,16 +61,21 @@ def _mean(scores: str) -> str:
     return f"(CASE WHEN len({scores}) = 0 THEN 1.0 ELSE list_sum({scores})::DOUBLE / len({scores}) END)"
 
 
-_CHUNKS = f"""
+def fixed_chunks(docs: str = "documents") -> str:
+    """Chunks of the texts of a table (doc_id, text), in `ordered`."""
+    return f"""
 windows AS (
   SELECT doc_id, text, s, length(text) AS n
-  FROM (SELECT doc_id, text, unnest(range(0, length(text), 680)) AS s FROM documents WHERE length(text) > 0)
+  FROM (SELECT doc_id, text, unnest(range(0, length(text), 680)) AS s FROM {docs} WHERE length(text) > 0)
   WHERE s = 0 OR s - 680 + 800 < length(text)
 ), chunks AS (
   SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS idx, piece AS text, s::INTEGER AS start, least(s + 800, n)::INTEGER AS stop
   FROM (SELECT *, {_strip('substr(text, s + 1, 800)')} AS piece FROM windows) WHERE piece <> ''
 ), ordered AS (SELECT *, doc_id * 1048576 + idx AS chunk_ord, doc_id || '#c' || idx AS chunk_id FROM chunks)"""
 
+
+_CHUNKS = fixed_chunks()
+
 _INDEX = f"""
 occurrences AS (SELECT chunk_ord, unnest({_tok('text')}) AS term FROM ordered),
 lengths AS (SELECT chunk_ord, len({_tok('text')}) AS dl FROM ordered),
@@ -243,6 +248,11 @@ redacted AS (
     FROM placed JOIN documents t USING (doc_id) GROUP BY doc_id) p USING (doc_id))"""
 
 
+def redacted_documents() -> str:
+    """Documents without personal data, in `redacted`; their spans and the entries of their maps beside."""
+    return f"WITH RECURSIVE {_pii()}, {_PLACED}"
+
+
 def _input_guardrail() -> str:
     low = "lower(coalesce(text, ''))"
     cases = [(f"length({_strip('coalesce(text, chr(32))')}) < 3", "Query too short.", "min-length", "'='"), ("length(text) > 2000", "Query exceeds 2000 characters.", "max-length", "'length=' || length(text)")]
