@@ -10,19 +10,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.session import ship
-from .common import lean
+from .common import Scratch, lean
 
 #: Labelled rows that the models are fitted on at most.
 MAX_TRAIN = 8_000
-#: Distinct words a worker holds before it counts their trigrams.
-MOST_WORDS = 200_000
+#: Distinct words a worker holds before it counts their trigrams, and trigrams before it passes them on.
+MOST_WORDS, MOST_TRIGRAMS = 200_000, 300_000
+#: Letters with trigrams of their own, the most frequent ones; all others count as one letter. With both ends of words the
+#: table has fewer than (LETTERS + 3)**3 rows, whatever scripts there are.
+LETTERS = 96
+OTHER = "\uffff"
 BITS = 22
 PREFIXES = (4, 5, 6, 7)
-MOST_FEATURES = 400
 #: Fixed letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "l", "€": "e"}
 SEPARATORS = ".-_*~ "
@@ -54,24 +57,37 @@ def trigrams_of(words: Counter) -> Counter:
     return three
 
 
-def count_trigrams(docs: DataFrame, text_col: str = "text") -> Counter:
-    """Character trigrams of the words of all texts, counted in each partition and then summed; only the sums, as many as
-    the alphabet allows, come to the driver."""
-    ship(docs.sparkSession)
+def count_trigrams(docs: DataFrame, text_col: str = "text", letters: int = LETTERS) -> Counter:
+    """Character trigrams of the words of all texts, counted in each partition and then summed. The most frequent letters have
+    trigrams of their own, all others are OTHER: the sums that come to the driver are bounded by their number."""
+    scratch = Scratch(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, three = Counter(), Counter()
+
+        def passed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(three.keys()), pa.string()), pa.array(list(three.values()), pa.int64())], ["t", "n"])
+            three.clear()
+            return out
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words.update(_WORDS.findall(text.lower()))
                 if len(words) > MOST_WORDS:
                     three.update(trigrams_of(words))
                     words.clear()
+                    if len(three) > MOST_TRIGRAMS:
+                        yield passed_on()
         three.update(trigrams_of(words))
-        yield pa.RecordBatch.from_arrays([pa.array(list(three.keys()), pa.string()), pa.array(list(three.values()), pa.int64())], ["t", "n"])
+        yield passed_on()
 
     texts = docs.where(docs[text_col].isNotNull()).select(docs[text_col].alias("_text"))
-    frame = texts.mapInArrow(lean(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).toPandas()
+    table = scratch.put(texts.mapInArrow(lean(run), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")))
+    last = F.substring("t", 3, 1)
+    own = [r.c for r in table.where(last != "$").groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(letters).collect()]
+    fold = f"[^^${''.join(map(re.escape, own))}]"
+    frame = table.groupBy(F.regexp_replace("t", fold, OTHER).alias("t")).agg(F.sum("n").alias("n")).toPandas()
+    scratch.keep()
     return Counter(dict(zip(frame["t"].tolist(), frame["n"].tolist(), strict=True)))
 
 
@@ -92,12 +108,17 @@ class CharModel:
 
     def cost(self, context: str, char: str) -> float:
         key = context + char
-        if key not in self.known:
-            p1 = (self.one.get(char, 0) + 1) / (self.total + self.size)
-            p2 = self.two.get(key[1:], 0) / self.ctx1.get(key[1], math.inf)
-            p3 = self.three.get(key, 0) / self.ctx2.get(context, math.inf)
-            self.known[key] = -math.log(0.05 * p1 + 0.25 * p2 + 0.7 * p3)
-        return self.known[key]
+        found = self.known.get(key)
+        if found is None:
+            a, b, c = (x if x in self.one or x in "^$" else OTHER for x in key)
+            p1 = (self.one.get(c, 0) + 1) / (self.total + self.size)
+            p2 = self.two.get(b + c, 0) / self.ctx1.get(b, math.inf)
+            p3 = self.three.get(a + b + c, 0) / self.ctx2.get(a + b, math.inf)
+            found = -math.log(0.05 * p1 + 0.25 * p2 + 0.7 * p3)
+            if len(self.known) >= MOST_TRIGRAMS:
+                self.known.clear()
+            self.known[key] = found
+        return found
 
     def decode(self, raw: str) -> tuple[str, float, int]:
         """The cheapest words behind a string of letters, signs and separators, by Viterbi over the last two letters;
@@ -222,53 +243,29 @@ class Features:
 
 class ToxicityModel:
     """Words and word beginnings that mark toxic training texts, weighed by logistic regression over their presence. The
-    character model is that of all documents."""
+    character model is that of all documents.
+
+    x has a column for each of the chosen features, log_odds theirs; toxic is 1 for each toxic row, 0 for others.
+    """
 
-    def __init__(self, texts: list[str], toxic: list[int], chars: CharModel):
-        self.chars = chars
-        y = np.array(toxic, np.float64)
-        self.prior = float((y.sum() + 1) / (len(y) + 2))
+    def __init__(self, chars: CharModel, toxic: np.ndarray, chosen: list[int], log_odds: np.ndarray, x: np.ndarray):
+        self.chars, y = chars, np.asarray(toxic, np.float64)
+        prior = float((y.sum() + 1) / (len(y) + 2))
         self.weights: dict[int, float] = {}
-        self.bias = math.log(self.prior / (1 - self.prior)) if y.sum() else -5.0
+        self.bias = math.log(prior / (1 - prior)) if y.sum() else -5.0
         if not y.sum() or y.sum() == len(y):
             self.bias = -5.0 if not y.sum() else 5.0
             return
-        features, restorer = Features(), Restorer(self.chars)
-        rows = []
-        for t in texts:
-            found = set()
-            for token in restorer.tokens(t):
-                for w in restorer.words(token):
-                    found.update(features.of(w))
-            rows.append(np.fromiter(found, np.int32, len(found)))
-        del features, restorer
-        marked, clean = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
-        for r, toxic_row in zip(rows, y, strict=True):
-            (marked if toxic_row else clean)[r] += 1
-        often = np.nonzero(marked >= 5)[0]
-        m, c = marked[often].astype(float), clean[often].astype(float)
-        del marked, clean
-        ratio = np.log((m + 0.5) / (y.sum() + 1)) - np.log((c + 0.5) / (len(y) - y.sum() + 1))
-        expected = (m + c) * y.mean()
-        surprise = (m - expected) / np.sqrt(expected * (1 - y.mean()) + 1e-9)
-        good = np.nonzero((ratio > 1.5) & (surprise > 6))[0]
-        good = np.sort(good[np.argsort(-surprise[good], kind="stable")][:MOST_FEATURES])
-        chosen, ratio = often[good], ratio[good]
-        place = {int(f): k for k, f in enumerate(chosen)}
-        x = np.zeros((len(rows), len(chosen)), np.float32)
-        for k, r in enumerate(rows):
-            x[k, [place[int(f)] for f in r if int(f) in place]] = 1
-        x = np.hstack([x, np.ones((len(rows), 1), np.float32)]).astype(np.float64)
+        x = np.hstack([x, np.ones((len(y), 1))]).astype(np.float64)
         w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], 1.0)
         w[-1], penalty[-1] = self.bias, 1e-6
         # a word counts twice at least, as itself and by its beginning: each half of its log odds is where weights shrink to
-        mean = np.append(ratio / 2, 0.0)
+        mean = np.append(log_odds / 2, 0.0)
         for _ in range(25):  # Newton steps, damped
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * (w - mean))
             w += step / max(1.0, np.abs(step).max() / 2)
-        w, b = w[:-1], w[-1]
-        self.weights, self.bias = {int(f): float(v) for f, v in zip(chosen, w, strict=True) }, float(b)
+        self.weights, self.bias = {int(f): float(v) for f, v in zip(chosen, w, strict=False)}, float(w[-1])
 
     def scorer(self):
         """A function from texts to scores, with tables of its own."""
@@ -296,9 +293,18 @@ class ToxicityModel:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, most_features: int = 400, least_toxic: int = 5, least_log_odds: float = 1.5, least_surprise: float = 6.0, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learns from labelled rows whose crc32(doc_id as text) mod 5 is not 0, at most max_train of them (by hash of the id).
-    The character model is counted over all docs, labelled or not. Rows with a null id or label are left out. Where nothing toxic is labelled, every score is low."""
+
+    The character model is counted over all docs, labelled or not. The features of the labelled texts are made and counted by
+    tasks. A feature is one of the model's if at least least_toxic toxic texts have it, its log odds are over least_log_odds,
+    and the toxic texts that have it are more than expected by over least_surprise standard deviations; most_features of them
+    stay, the most surprising ones. Only which of these each labelled text has comes to the driver.
+
+    Rows with a null id or label are left out; of rows that repeat an id, that of the smallest hash of its text is taken. Where
+    nothing toxic is labelled, every score is low.
+    """
+    scratch = Scratch(docs.sparkSession)
     rows = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["toxic"].cast("int").alias("_toxic"))
     rows = rows.where("_id is not null and _toxic is not null").where(F.crc32(F.col("_id").cast("string")) % 5 != 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     total = rows.count()
@@ -306,10 +312,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     taken = rows.where(draw).limit(max_train)
     # at most max_train ids: small by that bound
     found = docs.select(docs[id_col].cast("long").alias("_doc"), F.coalesce(docs[text_col], F.lit("")).alias("_text")).join(F.broadcast(taken), F.col("_doc") == F.col("_id"))
-    frame = found.select("_doc", "_toxic", "_text").toPandas().drop_duplicates("_doc").sort_values("_doc")
-    texts, toxic = frame["_text"].tolist(), frame["_toxic"].tolist()
-    del frame
-    return ToxicityModel(texts, toxic, CharModel(trigrams=count_trigrams(docs, text_col)))
+    one = Window.partitionBy("_doc").orderBy(F.xxhash64("_text"))
+    found = found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select("_doc", "_toxic", "_text")
+    chars = CharModel(trigrams=count_trigrams(docs, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, restorer = Features(), Restorer(shared.value)
+        for batch in batches:
+            lists = [sorted({f for token in restorer.tokens(t) for w in restorer.words(token) for f in features.of(w)}) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["_doc", "_toxic", "_features"])
+
+    listed = scratch.put(found.mapInArrow(lean(run), "_doc long, _toxic int, _features array<int>"))
+    n, toxic = listed.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
+    counts = listed.select("_toxic", F.explode("_features").alias("f")).groupBy("f").agg(F.sum("_toxic").cast("double").alias("m"), F.count("*").cast("double").alias("all"))
+    expected = F.col("all") * F.lit(toxic / max(1, n))
+    odds = F.log((F.col("m") + 0.5) / F.lit(toxic + 1.0)) - F.log((F.col("all") - F.col("m") + 0.5) / F.lit(n - toxic + 1.0))
+    surprise = (F.col("m") - expected) / F.sqrt(expected * F.lit(1 - toxic / max(1, n)) + 1e-9)
+    good = counts.where(F.col("m") >= least_toxic).select("f", odds.alias("odds"), surprise.alias("surprise")).where((F.col("odds") > least_log_odds) & (F.col("surprise") > least_surprise))
+    best = sorted((r.f, r.odds) for r in good.orderBy(F.desc("surprise"), "f").limit(most_features).collect())
+    chosen = [f for f, _ in best]
+    frame = listed.select("_doc", "_toxic", F.array_intersect("_features", F.lit(chosen).cast("array<int>")).alias("has")).toPandas().sort_values("_doc")
+    scratch.keep()
+    x = np.zeros((len(frame), len(chosen)))
+    for k, has in enumerate(frame["has"]):
+        x[k, np.searchsorted(chosen, has)] = 1
+    return ToxicityModel(chars, frame["_toxic"].to_numpy(), chosen, np.array([o for _, o in best]), x)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, model: ToxicityModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -502,3 +502,38 @@ def test_toxicity(table, spark):
     assert not any(r.predicted for r in got if r.doc_id is None or r.doc_id == 2)
     assert toxicity.toxicity(table([], SCHEMA), marks).count() == 0
     assert {r.predicted for r in toxicity.toxicity(docs, marks.where("false")).collect()} == {0}
+
+
+def test_trigrams_of_many_letters(table, monkeypatch):
+    """The most frequent letters have trigrams of their own, thousands of others are one letter; what is remembered is bounded."""
+    rng = random.Random(4)
+    words = ["".join(chr(0xAC00 + rng.randrange(8_000)) for _ in range(rng.randint(1, 6))) for _ in range(3_000)] + ["abab", "cab", "bcd", "straße"] * 400
+    rng.shuffle(words)
+    rows = [(k, " ".join(words[k::50])) for k in range(50)]
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 100)
+    monkeypatch.setattr(toxicity, "MOST_TRIGRAMS", 150)
+    letters = Counter("".join(words))
+    own = {c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:4]} | set("^$")
+    want = Counter()
+    for t, n in toxicity.trigrams_of(Counter(words)).items():
+        want["".join(c if c in own else toxicity.OTHER for c in t)] += n
+    got = toxicity.count_trigrams(table(rows, SCHEMA), letters=4)
+    assert got == want and len(got) <= 7**3
+    model = toxicity.CharModel(trigrams=got)
+    assert model.cost("한국", "어") == model.cost("中文", "字") > model.cost("^a", "b")
+    tool = toxicity.Restorer(model)
+    for w in words[:2_000]:
+        tool.restored(f"{w}.{w}")
+    assert len(model.known) <= 150
+
+
+def test_fit_takes_features(spark, table):
+    """Bounds of the features are parameters; a repeated id counts once, by the smallest hash of its text."""
+    rows = [(k, ("you idiot moron " if k % 3 == 0 else "fine words here ") + f"w{k}") for k in range(300)]
+    docs = table(rows + rows[:30], SCHEMA)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    whole, few = toxicity.fit(docs, labels), toxicity.fit(docs, labels, most_features=2)
+    assert len(few.weights) == 2 < len(whole.weights) and set(few.weights) < set(whole.weights)
+    assert not toxicity.fit(docs, labels, least_toxic=1000).weights
+    score = whole.scorer()
+    assert score("you idiot moron") > 0.5 > score("fine day")
