@@ -5,24 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that nothing has used, where driver and executors share files: under spark.checkpoint.dir, or a local one
-    where none is set and all runs in one process."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = f"file://{tempfile.gettempdir()}/tessera-jobs"
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def with_defaults(config: dict | None, defaults: dict) -> dict:
     """The settings of a job; a name that it doesn't know is an error."""
     unknown = set(config or {}) - set(defaults)

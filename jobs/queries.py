@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.plans import oracles
 from tessera.plans.registry import SALT
+from tessera.sources.session import new_folder
 
 from . import index_documents, seal_days
-from .common import new_folder
 
 
 def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

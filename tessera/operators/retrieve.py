@@ -18,6 +18,7 @@ from ..functions.constants import RERANK_STOP
 from ..functions.text import token_set, tokens
 from ..sources.session import ship
 from .index import DIM, LexicalIndex
+from .postings import PostingIndex
 
 K1, B, RRF = 1.5, 0.75, 60
 #: Queries that are compared in one pass over the vectors; more are taken block by block.
@@ -143,13 +144,15 @@ def _frequencies(rows: DataFrame, asked: Asked) -> tuple[np.ndarray, int, float]
     return df, n, total / max(1, n)
 
 
-def bm25_rank(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, n: int = 20) -> DataFrame:
+def bm25_rank(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, n: int = 20) -> DataFrame:
     """(qid, chunk_ord, score, rank): the n best by BM25, ties by chunk order; chunks of score 0 fill a list up.
 
     A repeated query term counts repeatedly. The frequencies of the queries' own terms come from an index, or from a pass
     over the chunks that counts no others; a batch of chunks then gives all scores by a sparse product of its term
-    weights with the queries'.
+    weights with the queries'. An index kept in storage is searched by its postings instead, and the chunks aren't read.
     """
+    if isinstance(index, PostingIndex):
+        return index.rank(queries, n)
     rows = chunks.select(F.col("chunk_ord").cast("long").alias("chunk_ord"), _text("text"))
 
     def make(frame: pd.DataFrame) -> DataFrame:
@@ -250,7 +253,7 @@ def rerank(queries: DataFrame, candidates: DataFrame, chunks: DataFrame, top_k:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("qid", "chunk_ord", "chunk_id", "doc_id", "text", "score", "rank", F.lit("reranked").alias("source"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, top_k: int = 5, prefetch: int = 20, embed: Callable = _hashed, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, top_k: int = 5, prefetch: int = 20, embed: Callable = _hashed, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """The top_k of the fused rankings by vectors and by BM25, reranked; embed and score as in dense_rank and rerank."""
     fused = fuse(dense_rank(queries, chunks, prefetch, embed), bm25_rank(queries, chunks, index, prefetch), prefetch)
     return rerank(queries, fused, chunks, top_k, score)

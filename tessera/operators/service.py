@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -28,17 +28,27 @@ def rate_limit(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, key: str
     """(key, order, at, allowed): a request is denied where per_minute allowed ones of its key are less than 60 s old; a
     denied one doesn't count, and neither does one without a time.
 
-    Requests are dealt to tasks by key, sorted by time, and judged as they stream by; of a key no more is kept than the
-    times of its last per_minute allowed requests, and the work is linear. Only a key's requests follow one another.
+    A key's requests behind a minute without any don't depend on those before. So requests are counted by key and minute of
+    the clock; behind a minute that has none, a new piece of the key begins, and pieces are dealt to tasks on their own.
+    Within a piece, requests are sorted by time and judged as they stream by, with no more kept than the times of its last
+    per_minute allowed ones; the work is linear. Only requests of a piece follow one another.
     """
     ship(requests.sparkSession)
-    rows = requests.select(key, order, F.col(at).cast("double").alias(at)).repartition(key).sortWithinPartitions(key, at, order)
+    asked = requests.select(key, order, F.col(at).cast("double").alias(at)).withColumn("_minute", F.floor(F.col(at) / WINDOW_S))
+    minutes = asked.groupBy(key, "_minute").agg(F.lit(True).alias("_some")).drop("_some")
+    by_minute = Window.partitionBy(key).orderBy("_minute")
+    begins = F.col("_minute") - F.lag("_minute").over(by_minute) > 1
+    pieces = minutes.withColumn("_begins", F.when(begins | F.lag("_minute").over(by_minute).isNull(), F.col("_minute")))
+    # the minute in which the piece began that a minute belongs to
+    pieces = pieces.withColumn("_piece", F.last("_begins", True).over(by_minute)).select(F.col(key).alias("_k"), F.col("_minute").alias("_m"), "_piece")
+    asked = asked.join(pieces, F.col(key).eqNullSafe(F.col("_k")) & F.col("_minute").eqNullSafe(F.col("_m")), "left")
+    rows = asked.repartition(key, "_piece").sortWithinPartitions(key, "_piece", at, order).select(key, order, at, "_piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun, recent = None, False, deque(maxlen=max(1, per_minute))
         for batch in batches:
             allowed = []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for *k, t in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if not begun or k != now:
                     now, begun = k, True
                     recent.clear()
@@ -46,9 +56,9 @@ def rate_limit(requests: DataFrame, per_minute: int = RATE_PER_MINUTE, key: str
                 allowed.append(ok)
                 if ok and t is not None:
                     recent.append(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], [*batch.schema.names, "allowed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(allowed, pa.bool_())], [*batch.schema.names[:3], "allowed"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("allowed", BooleanType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:3], StructField("allowed", BooleanType())]))
 
 
 def service_metrics(requests: DataFrame) -> DataFrame:

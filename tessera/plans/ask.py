@@ -14,6 +14,7 @@ from ..functions.text import half_even, word_count
 from ..operators.answer import assemble_context, final_answer, intent, prompt_for, respond_to_prompt, token_cost
 from ..operators.guardrails import InputPolicy, check_answer, check_request
 from ..operators.index import LexicalIndex
+from ..operators.postings import PostingIndex
 from ..operators.retrieve import hybrid
 
 
@@ -49,7 +50,7 @@ def triage(requests: DataFrame, options: AskOptions) -> DataFrame:
     return rows.withColumn("redaction_seal", F.when(live, seal(entries, F.lit(options.salt))).otherwise(F.lit(""))).drop("_spans", "_names")
 
 
-def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None) -> DataFrame:
+def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None) -> DataFrame:
     """One row for each request (qid, query). decisions: (qid, decision) of reviewers.
 
     Each request's redaction map is its own: that of its query and those of its hits, later originals replacing earlier

@@ -363,6 +363,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "term_postings": f"{index} SELECT term, chunk_ord, tf, dl FROM postings JOIN lengths USING (chunk_ord)",
         "term_dictionary": f"{index} SELECT term, df, round(idf, 9) AS idf FROM dictionary",
+        # an index in storage, in segments, gives what one over all chunks gives
+        "index_terms": f"{index} SELECT term, df, round(idf, 9) AS idf FROM dictionary",
+        "bm25_postings": f"{index}, {_bm25(20)} SELECT qid, chunk_ord, round(score, 6) AS score, rank::INTEGER AS rank FROM bm25",
         "bm25_topk": f"{index}, {_bm25(20)} SELECT qid, chunk_ord, round(score, 6) AS score, rank::INTEGER AS rank FROM bm25",
         "hash_embed": f"WITH {_vectors('dv', 'doc_id', 'documents')} SELECT doc_id, bucket, round(w, 9) AS w FROM dv",
         "dense_topk": f"WITH {_CHUNKS}, {_DENSE} SELECT qid, chunk_ord, round(score, 6) AS score, rank::INTEGER AS rank FROM dense",

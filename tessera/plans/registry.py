@@ -11,10 +11,11 @@ from ..functions import privacy as P
 from ..functions.constants import GROUND_STOP
 from ..functions.text import claim_groundedness, half_even, sentences, sentences_and_lines, token_set, tokens, word_count
 from ..operators import answer as A
-from ..operators import audit, chunking, evaluate, retrieve, service
+from ..operators import audit, chunking, evaluate, postings, retrieve, service
 from ..operators.guardrails import InputPolicy, check_answer, check_request, with_disclaimer
 from ..operators.index import cosine, hashed_weights, lexical_index, store_stats, with_order
 from ..sources.io import read_table
+from ..sources.session import new_folder
 from .ask import AskOptions, ask, qa_turns
 from .serve import audit_cases, audit_records, run_examples, serve
 
@@ -60,6 +61,28 @@ def bm25_topk(spark, d):
     return retrieve.bm25_rank(_queries(spark, d), chunks).select("qid", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
 
 
+def _stored_index(spark, d):
+    """An index in storage: English documents, then two segments of the others, which are merged."""
+    folder, docs = new_folder(spark, "index"), read_table(spark, d, "documents").withColumn("doc_ord", F.col("doc_id"))
+    other = F.coalesce(F.col("lang") != "en", F.lit(True))
+    for number, part in enumerate((~other, other & (F.col("lang") == "de"), other & F.coalesce(F.col("lang") != "de", F.lit(True)))):
+        postings.add_segment(docs.where(part).select("doc_id", "doc_ord", "text"), folder, number)
+    sizes = [r.n for r in postings.PostingIndex(spark, folder).live]
+    postings.merge_segments(spark, folder, len(sizes), sizes[0])
+    return postings.PostingIndex(spark, folder)
+
+
+def bm25_postings(spark, d):
+    """BM25 over posting lists in storage, without a pass over texts."""
+    top = _stored_index(spark, d).rank(_queries(spark, d))
+    return top.select("qid", "chunk_ord", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+def index_terms(spark, d):
+    """The dictionary of the index in storage: frequencies are sums over its segments."""
+    return _stored_index(spark, d).dictionary().select("term", "df", F.round("idf", 9).alias("idf"))
+
+
 def hash_embed(spark, d):
     return hashed_weights(_docs(spark, d), "doc_id").select("doc_id", "bucket", F.round("w", 9).alias("w"))
 
@@ -445,7 +468,7 @@ def parent_links(spark, d):
 
 
 _NAMED = (
-    bm25_topk, term_postings, term_dictionary, hash_embed, dense_topk, rrf_fusion, rerank, hybrid_retrieve, vector_topk, vector_cosine, retrieval_metrics,
+    bm25_topk, bm25_postings, index_terms, term_postings, term_dictionary, hash_embed, dense_topk, rrf_fusion, rerank, hybrid_retrieve, vector_topk, vector_cosine, retrieval_metrics,
     chunk_fixed, chunk_semantic, chunk_hierarchical, parent_links, section_split, sentence_split, sentence_line_split, chunk_stats, chunk_lookup,
     input_guardrail, request_intent, pii_spans, pii_counts, pii_default_types, pii_redact, pii_map, pii_seal, pii_restore, leak_scan,
     context_assembly, extractive_answer, summarize, extract_fields, prompt_answer, prompts, groundedness, output_guardrail, cited_guardrail, respond_hitl, disclaimer,

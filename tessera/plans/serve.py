@@ -10,11 +10,12 @@ from ..functions.text import half_even
 from ..operators.audit import canonical_json
 from ..operators.evaluate import eval_cases
 from ..operators.index import LexicalIndex
+from ..operators.postings import PostingIndex
 from ..operators.service import authorise, rate_limit
 from .ask import AskOptions, ask
 
 
-def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE) -> DataFrame:
+def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE) -> DataFrame:
     """One row for each request (qid, api_key, at, query, and stream and latency_ms where they are known): qid, api_key, stream,
     query_chars, status, answer, citations, groundedness, hitl_decision, hitl_reason, redaction_seal, latency_ms, and what
     metrics count (blocked, needs_hitl, tokens_in, tokens_out).
@@ -95,7 +96,7 @@ def audit_cases(cases: DataFrame, log_id: str, ts: str, order: Column) -> DataFr
     return rows.select("log_id", "seq", "e.event", "request_id", "e.actor", "e.details", F.lit(ts).alias("ts"), _record_id("log_id", "request_id", "seq"))
 
 
-def run_examples(examples: DataFrame, chunks: DataFrame, index: LexicalIndex | None = None, options: AskOptions | None = None) -> DataFrame:
+def run_examples(examples: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, options: AskOptions | None = None) -> DataFrame:
     """Judged cases of examples (sources.io.read_examples): each is asked, and its draft judged against its context. Time
     is not measured for single requests of a batch, so latency_ms is 0."""
     asked = examples.withColumn("qid", F.xxhash64("id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,14 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
     atexit.register(lambda: os.path.exists(path) and os.unlink(path))  # workers that start later still fetch it
     context._tessera_shipped = True
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that nothing has used, where driver and executors share files: under spark.checkpoint.dir, or a local one
+    where none is set and all runs in one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}/tessera-folders"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

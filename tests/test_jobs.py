@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import index_documents, queries, seal_days
-from jobs.common import command_line, new_folder, with_defaults
+from jobs.common import command_line, with_defaults
 from tessera.operators import audit
+from tessera.sources.session import new_folder
 
 from test_queries import norm
 

@@ -33,6 +33,26 @@ def test_rate_limit(spark):
     assert [r.allowed for r in service.rate_limit(edge, 1).orderBy("event_id").collect()] == [True, False, True]
 
 
+def test_rate_limit_in_pieces(spark):
+    """A key's requests behind a silent minute are judged apart, with the same answers, on any times; one key is dealt to many
+    tasks."""
+    rng = random.Random(9)
+    rows, t = [], -400.0
+    for k in range(600):
+        t += rng.choice([0.0, 0.5, 7.0, 59.0, 60.0, 60.5, 119.0, 121.0, 300.0])
+        rows.append((rng.choice([None, "a", "b", "b"]), k, t))
+    frame = spark.createDataFrame([(u, k, t) for u, k, t in rows] + [("a", 1000, None), (None, 1001, None)], "user_id string, event_id long, at double").repartition(5)
+    got = {r.event_id: r.allowed for r in service.rate_limit(frame, 2).collect()}
+    assert got == plain_limit([(u or "", k, t) for u, k, t in rows], 2) | {1000: True, 1001: True}
+    busy = spark.range(20_000).selectExpr("'k' user_id", "id event_id", "cast(id div 20 * 200 + id % 20 as double) at")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = service.rate_limit(busy.repartition(8), 5).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n"), F.count_if("allowed").alias("ok")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r.n for r in spread) < 12_000 and sum(r.ok for r in spread) == 5_000
+
+
 def streamed(spark, tmp_path, frame, name, make, batches, key):
     path = str(tmp_path / name)
     for k in range(batches):
