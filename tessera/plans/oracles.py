@@ -394,6 +394,7 @@ def oracle_sql() -> dict[str, str]:
         "pii_seal": f"{placed} SELECT d.doc_id, sha256({_q(SALT + ':')} || coalesce(e.body, '')) AS seal FROM documents d LEFT JOIN (SELECT doc_id, string_agg(placeholder || '=' || original, '|' ORDER BY placeholder) AS body FROM entries GROUP BY doc_id) e USING (doc_id)",
         "pii_restore": "SELECT doc_id, coalesce(text, '') AS restored FROM documents",
         "leak_scan": f"{placed}, leaks AS (SELECT doc_id, regexp_extract(placeholder, '^\\[(.*)_', 1) AS kind, made FROM entries JOIN documents USING (doc_id) WHERE length(original) >= 4 AND contains(text, original)), kinds AS (SELECT doc_id, kind, max(made) AS made, count(*) AS n FROM leaks GROUP BY doc_id, kind) SELECT d.doc_id, coalesce(string_agg(kind, ',' ORDER BY made DESC), '') AS leaked, coalesce(sum(n), 0)::BIGINT AS n_leaked FROM documents d LEFT JOIN kinds USING (doc_id) GROUP BY d.doc_id",
+        "leak_across": f"{placed}, originals AS (SELECT DISTINCT original FROM entries WHERE length(original) >= 4) SELECT doc_id, count(*) AS n_originals FROM originals JOIN (SELECT DISTINCT doc_id, text FROM documents) d ON contains(d.text, original) GROUP BY doc_id",
         "context_assembly": f"{index}, {_bm25(8)}, pieces AS (SELECT qid, rank, chunk_id, '[' || chunk_id || '] ' || text AS piece FROM bm25 JOIN ordered USING (chunk_ord)), totals AS (SELECT *, sum(length(piece)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM pieces) SELECT qid, coalesce(string_agg(piece, chr(10) || chr(10) ORDER BY rank) FILTER (total <= 4000), '') AS context_text, string_agg(chunk_id, {_SEP} ORDER BY rank) AS citations FROM totals GROUP BY qid",
         "extractive_answer": f"{turns} SELECT conv_id, turn, {_extractive('question', 'answer')} AS reply FROM turns",
         "summarize": f"SELECT doc_id, {_summary('text')} AS summary FROM documents",

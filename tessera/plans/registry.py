@@ -14,6 +14,7 @@ from ..operators import answer as A
 from ..operators import audit, chunking, evaluate, postings, retrieve, service
 from ..operators.guardrails import InputPolicy, check_answer, check_request, with_disclaimer
 from ..operators.index import cosine, hashed_weights, lexical_index, store_stats, with_order
+from ..operators.leaks import leaks_between
 from ..sources.io import read_table
 from ..sources.session import new_folder
 from .ask import AskOptions, ask, qa_turns
@@ -221,6 +222,13 @@ def leak_scan(spark, d):
     return rows.select("doc_id", F.array_join(P.leaked_types(F.col("text"), F.col("entries")), ",").alias("leaked"), P.leak_count(F.col("text"), F.col("entries")).cast("long").alias("n_leaked"))
 
 
+def leak_across(spark, d):
+    """Each document's whole text as an answer against the maps of all documents: how many originals it holds."""
+    originals = _redacted(spark, d).select(F.explode("entries").alias("e")).select("e.original")
+    found = leaks_between(_docs(spark, d).withColumnRenamed("doc_id", "answer_id"), originals)
+    return found.groupBy("answer_id").agg(F.count("*").alias("n_originals")).withColumnRenamed("answer_id", "doc_id")
+
+
 def _hits(spark, d):
     chunks = _chunks(spark, d)
     q = _queries(spark, d)
@@ -470,7 +478,7 @@ def parent_links(spark, d):
 _NAMED = (
     bm25_topk, bm25_postings, index_terms, term_postings, term_dictionary, hash_embed, dense_topk, rrf_fusion, rerank, hybrid_retrieve, vector_topk, vector_cosine, retrieval_metrics,
     chunk_fixed, chunk_semantic, chunk_hierarchical, parent_links, section_split, sentence_split, sentence_line_split, chunk_stats, chunk_lookup,
-    input_guardrail, request_intent, pii_spans, pii_counts, pii_default_types, pii_redact, pii_map, pii_seal, pii_restore, leak_scan,
+    input_guardrail, request_intent, pii_spans, pii_counts, pii_default_types, pii_redact, pii_map, pii_seal, pii_restore, leak_scan, leak_across,
     context_assembly, extractive_answer, summarize, extract_fields, prompt_answer, prompts, groundedness, output_guardrail, cited_guardrail, respond_hitl, disclaimer,
     token_cost, ask_batch, serve_requests, serve_audit, example_eval, judge, eval_cases, eval_report, regression_gate,
     audit_scrub, audit_seal, audit_append, audit_details, eval_audit, audit_verify, rate_limit, service_metrics, prometheus, sse_deltas, api_keys,

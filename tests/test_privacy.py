@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
 from tessera.functions import privacy as P
+from tessera.operators.leaks import leaks_between
 from tessera.plans import registry
 
 NOTE = "Patient: Maria Gonzalez\nDOB: 03/14/1956\nMRN: AB12345\nSSN 123-45-6789, phone (214) 555-0147, mail m.g@example.org.\nSeen by Dr. Alan Turing on Jan 5, 2024; then Alan said hello to Mary Smith."
@@ -102,3 +104,16 @@ def test_leak_scan_reads_whole_texts(spark, tmp_path):
 def test_empty(spark, text):
     rows = spark.createDataFrame([(text,)], "t string").select(P.type_counts(P.pii_spans(F.coalesce("t", F.lit("")))).alias("m"))
     assert rows.first().m == {}
+
+
+def test_leaks_between(spark):
+    """Against the double loop: any request's originals in any answer, across lines, scripts, repeats and overlapping places."""
+    rng = random.Random(6)
+    originals = ["555-123-4567", "abc", None, "", "a@b.c", "Élan Müller", "aaaa", "aaaaaa", "line\ntwo", "字字字字", "😀😀😀😀", "x.y*z", "555-123-4567"] + ["".join(rng.choice("ab1-") for _ in range(rng.randint(4, 9))) for _ in range(60)]
+    answers = [(k, "".join(rng.choice("ab1-") for _ in range(rng.randint(0, 60)))) for k in range(120)]
+    answers += [(200, "call 555-123-4567 or a@b.c"), (201, None), (202, ""), (203, "Élan Müller\nline\ntwo"), (204, "aaaaa"), (205, "字字字字字 😀😀😀😀"), (206, "xxy*z x.y*z"), (206, "aaaa again"), (None, "aaaa")]
+    answers += [(300, "no leaks " * 20_000 + "555-123-4567")]
+    got = leaks_between(spark.createDataFrame(answers, "answer_id long, text string"), spark.createDataFrame([(o,) for o in originals], "original string"))
+    want = {(i, o) for i, t in answers for o in originals if i is not None and t is not None and o is not None and len(o) >= 4 and o in t}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+    assert leaks_between(spark.createDataFrame([], "answer_id long, text string"), spark.createDataFrame([("abcd",)], "original string")).count() == 0
