@@ -57,6 +57,12 @@ PII_THRESHOLD = 0.5
 # Fixed pattern of a section's header line.
 HEADER = r"^[A-Z][A-Za-z0-9 ,/\-()]{2,60}:?\s*$"
 
+# Fixed phrases that tell a request's intent, fixed names of a prompt's blocks, and the fixed pattern of a field's line.
+SUMMARY_WORDS = ("summariz", "summary", "tldr", "overview")
+EXTRACT_WORDS = ("extract", "list all", "what medications", "allergies")
+PROMPT_TAGS = ("CONTEXT", "QUESTION", "ANSWER")
+FIELD = r"^\s*([A-Za-z][A-Za-z0-9 _/-]{1,30}):\s*(.+)"
+
 # Fixed parts of log keys whose values are hidden.
 HINT_KEYS = "ssn phone email mrn dob name address".split()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import ANSWER_PROMPT, ANSWER_STOP, ESCALATED, EXTRACT_PROMPT, NO_CONTEXT, NO_EVIDENCE, NO_FIELDS, NO_SUMMARY, PRICE_IN, PRICE_OUT, SUMMARY_PROMPT
+from ..functions.constants import ANSWER_PROMPT, ANSWER_STOP, ESCALATED, EXTRACT_PROMPT, EXTRACT_WORDS, FIELD, NO_CONTEXT, NO_EVIDENCE, NO_FIELDS, NO_SUMMARY, PRICE_IN, PRICE_OUT, PROMPT_TAGS, SUMMARY_PROMPT, SUMMARY_WORDS
 from ..functions.text import half_even, sentences, strip, token_set, tokens, word_count
 from .guardrails import with_disclaimer
 
@@ -16,7 +16,7 @@ def intent(query: Column) -> Column:
     """summarize, extract or qa, by what the lower-cased request contains."""
     q = F.lower(query)
     has = lambda *words: F.greatest(*[F.contains(q, F.lit(w)) for w in words])
-    return F.when(has("summariz", "summary", "tldr", "overview"), F.lit("summarize")).when(has("extract", "list all", "what medications", "allergies"), F.lit("extract")).otherwise(F.lit("qa"))
+    return F.when(has(*SUMMARY_WORDS), F.lit("summarize")).when(has(*EXTRACT_WORDS), F.lit("extract")).otherwise(F.lit("qa"))
 
 
 def assemble_context(hits: DataFrame, max_chars: int = 4000) -> DataFrame:
@@ -47,7 +47,7 @@ def prompt_for(intent_: Column, question: Column, context: Column) -> Column:
 
 def tagged_block(prompt: Column, tag: str) -> Column:
     """What follows a tag, up to the next of the tags CONTEXT, QUESTION and ANSWER at a line's start, or to the end."""
-    return strip(F.regexp_extract(prompt, rf"(?s){tag}:\s*(.*?)(?=\n(?:CONTEXT|QUESTION|ANSWER):|\z)", 1))
+    return strip(F.regexp_extract(prompt, rf"(?s){tag}:\s*(.*?)(?=\n(?:{'|'.join(PROMPT_TAGS)}):|\z)", 1))
 
 
 def _cited(parts: Column, joiner: str) -> Column:
@@ -69,9 +69,8 @@ def summary(context: Column, n: int = 3) -> Column:
 
 def extract_fields(context: Column) -> Column:
     """The first ten lines of the form key: value."""
-    pattern = r"^\s*([A-Za-z][A-Za-z0-9 _/-]{1,30}):\s*(.+)"
-    lines = F.filter(F.split(context, _LINES, -1), lambda x: x.rlike(pattern))
-    fields = F.transform(F.slice(lines, 1, 10), lambda x: F.concat(strip(F.regexp_extract(x, pattern, 1)), F.lit(": "), strip(F.regexp_extract(x, pattern, 2))))
+    lines = F.filter(F.split(context, _LINES, -1), lambda x: x.rlike(FIELD))
+    fields = F.transform(F.slice(lines, 1, 10), lambda x: F.concat(strip(F.regexp_extract(x, FIELD, 1)), F.lit(": "), strip(F.regexp_extract(x, FIELD, 2))))
     return F.when(F.size(fields) > 0, _cited(fields, "\n")).otherwise(F.lit(NO_FIELDS))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import audit, evaluate, service
 from tessera.sources import io
+from tessera.streaming import limits as live_limits
 from tessera.streaming import service as live
 
 
@@ -74,6 +75,34 @@ def test_rate_limit_stream(spark, tmp_path):
     assert {r.event_id: r.allowed for r in got.collect()} == plain_limit(rows, 5)
 
 
+def test_rate_limit_by_time(spark, tmp_path):
+    """Requests that come in any order within the watermark get the answers of the batch form; state goes on from one run to
+    the next, and from what the batch form allowed."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rng = random.Random(12)
+        rows = sorted(((rng.choice("ab"), k, float(rng.choice([rng.randrange(100, 700), rng.randrange(100, 700, 20)]))) for k in range(160)), key=lambda r: r[2] + rng.uniform(0, 90))
+        want = plain_limit([("b", -1, 60.0), ("b", -2, 95.0), *rows], 4)
+        since = spark.createDataFrame([("b", 60.0), ("b", 95.0)], "user_id string, at double")
+        schema, path = "user_id string, event_id long, ts timestamp", str(tmp_path / "in")
+        got = {}
+        for k, part in enumerate((rows[:60], rows[60:], [("z", 1000, 5000.0)], [("z", 1001, 9000.0), ("a", 1002, 50.0)])):  # the last but one moves the watermark, the last is too late
+            frame = spark.createDataFrame(part, "user_id string, event_id long, at double").select("user_id", "event_id", F.timestamp_micros((F.col("at") * 1_000_000).cast("long")).alias("ts"))
+            frame.coalesce(1).write.mode("append").json(path)
+            source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+            out = live_limits.rate_limit_by_time(source, 4, "100 seconds", since).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            assert out.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+            found = {r.event_id: r.allowed for r in spark.read.schema("user_id string, event_id long, at double, allowed boolean").parquet(str(tmp_path / "out")).collect()}
+            assert got.items() <= found.items()
+            got = found
+        assert {e: ok for e, ok in got.items() if e < 1000} == {e: ok for e, ok in want.items() if e >= 0}
+        assert 1002 not in got and got[1000]
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+
+
 def records(spark, n=6):
     rows = [("log", k + 1, "query", f"r{k}", "system", {"user_name": "Ann", "n": str(k)}, f"{k}.0", f"id{k}") for k in range(n)]
     return spark.createDataFrame(rows, "log_id string, seq long, event string, request_id string, actor string, details map<string,string>, ts string, record_id string")
