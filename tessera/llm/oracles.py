@@ -6,32 +6,36 @@ from __future__ import annotations
 from .quality import LEAST_REPEAT, LONGEST_FLOOR, MOST_COVERED, MOST_LONGEST
 from .secrets import ACCESS, ASSIGN, ENDPOINT, HEX, IDENT, KEY, KINDS, MAY_BE_ID, OPAQUE, REACH, TURNS
 
-_REACHED = """
-reached AS (SELECT node, node AS r FROM nodes UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.r),
-comp AS (SELECT node, min(r) AS component_id FROM reached GROUP BY node)"""
+def _reached(name: str) -> str:
+    """Rows are nodes, as each is judged by itself; of those that a row reaches, the smallest id names its component."""
+    return f"""
+reached AS (SELECT node, node AS to_ FROM nodes UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.to_),
+comp AS (SELECT node, min({name}) AS component_id FROM reached JOIN numbered ON r = to_ GROUP BY node)"""
 
 
 def _op1() -> str:
-    return f"""WITH RECURSIVE usable AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
-nodes AS (SELECT DISTINCT a AS node FROM links), {_REACHED},
+    return f"""WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS r, vec_id, label, embedding FROM embeddings),
+usable AS (
+  SELECT r, label, embedding::DOUBLE[] AS e FROM numbered
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+nodes AS (SELECT DISTINCT a AS node FROM links), {_reached("vec_id")},
 counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
-FROM embeddings LEFT JOIN comp ON node = vec_id LEFT JOIN counted ON a = vec_id"""
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(coalesce(component_id, vec_id) = vec_id, true) AS kept
+FROM numbered LEFT JOIN comp ON node = r LEFT JOIN counted ON a = r"""
 
 
 def _op3() -> str:
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
-sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_ >= 75 * (p.n + q.n - both_)),
-nodes AS (SELECT DISTINCT a AS node FROM links), {_REACHED}
-SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
-FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN comp ON node = d.doc_id"""
+    return f"""WITH RECURSIVE numbered AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+words AS (SELECT r, doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM numbered),
+shingles AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k+4], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+shared AS (SELECT x.r AS a, y.r AS b, count(*) AS both_ FROM shingles x JOIN shingles y ON x.s = y.s AND x.r <> y.r WHERE x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.r = a JOIN sizes q ON q.r = b WHERE 100 * both_ >= 75 * (p.n + q.n - both_)),
+nodes AS (SELECT DISTINCT a AS node FROM links), {_reached("doc_id")}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(coalesce(component_id, d.doc_id) = d.doc_id, true) AS kept
+FROM numbered d LEFT JOIN sizes USING (r) LEFT JOIN comp ON node = d.r"""
 
 
 def _found(kind: int, pattern: str, group: int = 0) -> str:

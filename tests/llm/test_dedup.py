@@ -216,3 +216,23 @@ def test_components(spark):
     want = groups({n for p in pairs for n in p}, pairs)
     assert got == {n: c for n, c in want.items() if any(n in p and p[0] != p[1] for p in pairs)}
     assert connected_components(frame.where("false"), Scratch(spark)).count() == 0
+
+
+def test_repeated_ids_in_sql(spark, table, tmp_path):
+    """Rows are nodes, in the operators and in their SQL: rows that repeat an id, or have none, are judged each."""
+    import duckdb
+
+    from tessera.llm.oracles import oracle_sql
+
+    a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "other words of no group at all here")
+    docs = [(5, a), (3, a), (5, b), (9, b), (9, c), (9, c), (None, a), (None, c), (7, None)]
+    vectors = [(5, [1.0, 0.0], 1), (3, [1.0, 0.01], 1), (5, [0.0, 1.0], 1), (9, [0.01, 1.0], 1), (None, [1.0, 0.0], 1), (4, [1.0, 0.0], None), (4, [1.0, 0.0], 2)]
+    table(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents"))
+    table(vectors, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings"))
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}/*.parquet'")
+    got = minhash.near_duplicates(spark.read.parquet(str(tmp_path / "documents"))).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(oracle_sql()["op3_minhash_near_dedup"]).fetchall()))
+    got = embeddings.near_duplicate_vectors(spark.read.parquet(str(tmp_path / "embeddings"))).select("vec_id", "n_links", "component_id", "kept")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, con.sql(oracle_sql()["op1_embedding_near_dedup"]).fetchall()))

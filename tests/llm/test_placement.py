@@ -300,7 +300,7 @@ def test_contract(spark, sf):
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13)) and "pipeline" in entry.queries()
     assert [s[0] for s in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "minhash_near_dedup", "secret_scan", "best_fit_packing"]
 
 
