@@ -15,21 +15,24 @@ from ..operators.service import authorise, rate_limit
 from .ask import AskOptions, ask
 
 
-def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE) -> DataFrame:
-    """One row for each request (qid, api_key, at, query, and stream and latency_ms where they are known): qid, api_key, stream,
+def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None, per_minute: int = RATE_PER_MINUTE, since: DataFrame | None = None) -> DataFrame:
+    """One row for each request (qid, api_key, at, query, and stream and latency_ms where they are known): qid, api_key, at, stream,
     query_chars, status, answer, citations, groundedness, hitl_decision, hitl_reason, redaction_seal, latency_ms, and what
     metrics count (blocked, needs_hitl, tokens_in, tokens_out).
 
     Status 401: no such key; 429: over the key's rate; 422: blocked by a guardrail; 200: answered. Only requests that get
-    past a gate go on to the next.
+    past a gate go on to the next. since: (api_key, at) of requests that were let through before these, which count in rates.
     """
     known = authorise(requests, keys)
-    rated = rate_limit(known.where("authorised"), per_minute, key="api_key", at="at", order="qid").select("qid", "allowed")
+    counted = known.where("authorised").select("qid", "api_key", F.col("at").cast("double").alias("at"))
+    if since is not None:
+        counted = counted.unionByName(since.select(F.lit(None).cast(counted.schema["qid"].dataType).alias("qid"), "api_key", F.col("at").cast("double").alias("at")))
+    rated = rate_limit(counted, per_minute, key="api_key", at="at", order="qid").where("qid is not null").select("qid", "allowed")
     gated = known.join(rated, "qid", "left")
     admitted = gated.where("allowed").select("qid", F.trim(F.coalesce("query", F.lit(""))).alias("query"))
     answered = ask(admitted, chunks, index, decisions, options)
     given = lambda c, other: F.coalesce(c, other).alias(c) if c in requests.columns else other.alias(c)
-    asked = gated.select("qid", "api_key", given("stream", F.lit(False)), given("latency_ms", F.lit(0.0)), F.length(F.trim(F.coalesce("query", F.lit("")))).alias("query_chars"), "authorised", "allowed")
+    asked = gated.select("qid", "api_key", F.col("at").cast("double").alias("at"), given("stream", F.lit(False)), given("latency_ms", F.lit(0.0)), F.length(F.trim(F.coalesce("query", F.lit("")))).alias("query_chars"), "authorised", "allowed")
     rows = asked.join(answered, "qid", "left")
     status = F.when(~F.col("authorised"), 401).when(~F.coalesce("allowed", F.lit(False)), 429).when(F.col("blocked"), 422).otherwise(200)
     said = F.when(status == 200, F.col("final_answer")).when(status == 422, F.col("block_reason")).otherwise(F.lit(""))
@@ -37,6 +40,7 @@ def serve(requests: DataFrame, keys: DataFrame, chunks: DataFrame, index: Lexica
     return rows.select(
         "qid",
         "api_key",
+        "at",
         "stream",
         "query_chars",
         status.alias("status"),
@@ -63,10 +67,10 @@ def _record_id(*parts) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 12).alias("record_id")
 
 
-def audit_records(responses: DataFrame, log_id: str | Column, ts: str) -> DataFrame:
+def audit_records(responses: DataFrame, log_id: str | Column, ts: str | Column) -> DataFrame:
     """Records, ready to be sealed, of responses (see serve): a query, a response, and a redaction for each request that got
     past keys and rates. log_id: one name for all, or a column that gives each request's; a log is one chain, so a log for
-    each key or day can be sealed by many tasks."""
+    each key or day can be sealed by many tasks. ts: seconds as decimal text, of all or of each request."""
     admitted = responses.where("status in (200, 422)")
     made = F.array(
         _event("query", F.concat(F.lit("api:"), F.substring("api_key", 1, 6)), query_chars=F.col("query_chars"), stream=F.col("stream")),
@@ -74,7 +78,8 @@ def audit_records(responses: DataFrame, log_id: str | Column, ts: str) -> DataFr
         _event("redaction", F.lit("privacy-pipeline"), seal=F.when(F.col("redaction_seal") == "", F.lit("none")).otherwise(F.col("redaction_seal"))),
     )
     log = F.lit(log_id) if isinstance(log_id, str) else log_id
-    rows = admitted.select(log.alias("log_id"), "qid", F.posexplode(made).alias("k", "e"))
+    when = F.lit(ts) if isinstance(ts, str) else ts
+    rows = admitted.select(log.alias("log_id"), "qid", when.alias("ts"), F.posexplode(made).alias("k", "e"))
     request = F.col("qid").cast("string")
     return rows.select(
         "log_id",
@@ -83,7 +88,7 @@ def audit_records(responses: DataFrame, log_id: str | Column, ts: str) -> DataFr
         request.alias("request_id"),
         "e.actor",
         "e.details",
-        F.lit(ts).alias("ts"),
+        "ts",
         _record_id("log_id", request, "k"),
     )
 

@@ -85,5 +85,5 @@ def test_postings_in_the_plan(spark, tmp_path):
     index = PostingIndex(spark, path)
     queries = spark.createDataFrame([(1, "metformin dose of the patient")], "qid long, query string")
     options = AskOptions(policy=InputPolicy(strict_topic=False))
-    one, two = (ask(queries, index.chunks(), i, None, options).first() for i in (index, None))
-    assert one == two and "500 mg" in one.draft_answer
+    said = ask(queries, index.chunks(), index, None, options).first()
+    assert "500 mg" in said.draft_answer and said.citations[0].startswith("a#")
