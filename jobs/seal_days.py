@@ -46,12 +46,12 @@ def _there(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def records_of(events: DataFrame, before: DataFrame, settings: dict) -> DataFrame:
     """Audit records of events, numbered on from the heads of their logs; details are canonical JSON, hidden where they hint
-    at a person."""
+    at a person. What isn't JSON where it should be is kept as text; a null log or event is an empty text."""
     at, order = F.col(settings["at"]), F.col(settings["order"])
     # times without a zone are taken as they stand, whatever the session's zone is
     local = events.schema[settings["at"]].dataType.typeName() == "timestamp_ntz"
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at) if local else F.unix_micros(at)
-    details = F.struct(*settings["values"], *[F.parse_json(c).alias(c) for c in settings["json"]])
+    details = F.struct(*settings["values"], *[F.coalesce(F.try_parse_json(c), F.col(c).cast("variant")).alias(c) for c in settings["json"]])
     kind = events.select(details.alias("d")).schema["d"].dataType
     rows = events.withColumn("micros", micros).select(
         F.coalesce(F.col(settings["log"]).cast("string"), F.lit("")).alias("log_id"),

@@ -100,6 +100,10 @@ def test_seal_days_broken_off(spark, tmp_path, monkeypatch):
             seal_days.run(spark, source, output)
     assert spark.read.parquet(f"{output}/marks").count() == 1
     assert rows_of(seal_days.run(spark, source, output)) == whole
+    odd = events(spark, (1,)).where("event_id < 3").withColumn("props", F.try_element_at(F.array(F.lit(None), F.lit("no {json"), F.lit("[1, 2]")), (F.col("event_id") + 1).cast("int"))).withColumn("user_id", F.lit(None).cast("bigint"))
+    odd.write.parquet(str(tmp_path / "odd"))
+    sealed = seal_days.run(spark, str(tmp_path / "odd"), str(tmp_path / "odd_log")).orderBy("seq").collect()
+    assert [(r.log_id, json.loads(r.details)["props"]) for r in sealed] == [("", None), ("", "no {json"), ("", [1, 2])]
     empty = events(spark, (1,)).where("false")
     empty.write.parquet(str(tmp_path / "none"))
     assert seal_days.run(spark, str(tmp_path / "none"), str(tmp_path / "nothing")).count() == 0
