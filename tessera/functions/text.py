@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from .constants import GROUND_STOP
 
 TOKEN = "[a-z0-9]+"
@@ -52,6 +53,25 @@ def half_even(x: Column, digits: int) -> Column:
     return F.bround(x, digits)
 
 
+def fixed_digits(x: Column, digits: int) -> Column:
+    """x with one or two digits behind the point, as C and Python print it: the double's exact value is rounded, and ties
+    alone go to the even digit. (format_string rounds the shortest decimal form, half up.)"""
+    scale, half = 10**digits, 1 << 29
+
+    def text(v: Column) -> Column:
+        # 60 bits behind the point; bits further down are under the least midpoint, so that they decide nothing
+        bits = ((v - F.floor(v)) * float(1 << 60)).cast("long")
+        low = bits.bitwiseAND((1 << 30) - 1) * scale
+        high = F.shiftright(bits, 30) * scale + F.shiftright(low, 30)
+        rest, below, q = high.bitwiseAND((1 << 30) - 1), low.bitwiseAND((1 << 30) - 1), F.shiftright(high, 30)
+        up = (rest > half) | ((rest == half) & ((below > 0) | (q % 2 == 1)))
+        total = F.floor(v) * scale + q + up.cast("long")
+        return F.concat(F.floor(total / scale).cast("string"), F.lit("."), F.lpad((total % scale).cast("string"), digits, "0"))
+
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.abs(x) < float(1 << 45), F.concat(sign, let(F.abs(x), text))).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def claim_groundedness(claim: Column, context_tokens: Column) -> Column:
     """Share of a claim's tokens that the context has; 1 for a claim without tokens."""
     own = token_set(claim, GROUND_STOP)

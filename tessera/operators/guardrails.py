@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.constants import DISCLAIMER, GROUND_STOP, MIN_GROUNDEDNESS, REQUEST_RULES, TOPIC_WORDS
-from ..functions.text import claim_groundedness, half_even, mean_or_one, sentences, strip, token_set, tokens, words_array
+from ..functions.text import claim_groundedness, fixed_digits, half_even, mean_or_one, sentences, strip, token_set, tokens, words_array
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def check_answer(answer: Column, context: Column, leaks: Column | None = None, m
     context_tokens = token_set(context, GROUND_STOP)
     claims = F.filter(sentences(answer), lambda s: F.size(token_set(s, GROUND_STOP)) > 3)
     ground = mean_or_one(F.transform(claims, lambda s: claim_groundedness(s, context_tokens)))
-    issues = [F.when(ground < min_groundedness, F.concat(F.lit("Low groundedness "), F.format_string("%.2f", ground), F.lit(f" < {min_groundedness:.2f}")))]
+    issues = [F.when(ground < min_groundedness, F.concat(F.lit("Low groundedness "), fixed_digits(ground, 2), F.lit(f" < {min_groundedness:.2f}")))]
     if require_citations:
         issues.append(F.when(~has_citation(answer), F.lit("Missing source citations")))
     if leaks is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.constants import DEFAULT_KEY, RATE_PER_MINUTE
+from ..functions.text import fixed_digits
 from ..sources.session import ship
 from .audit import json_text
 
@@ -88,7 +89,7 @@ def prometheus_text(metrics: DataFrame) -> DataFrame:
     """One row, text: metrics in the exposition format."""
     lines: list[Column] = []
     for name, what, kind, column in EXPOSED:
-        value = F.format_string("%.1f", column) if kind == "gauge" else F.col(column).cast("string")
+        value = fixed_digits(F.col(column), 1) if kind == "gauge" else F.col(column).cast("string")
         lines += [F.lit(f"# HELP {name} {what}"), F.lit(f"# TYPE {name} {kind}"), F.concat(F.lit(f"{name} "), value)]
     return metrics.select(F.concat(F.array_join(F.array(*lines), "\n"), F.lit("\n")).alias("text"))
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
-from tessera.functions.text import claim_groundedness, sentences, strip, token_set
+from tessera.functions.text import claim_groundedness, fixed_digits, sentences, strip, token_set
 from tessera.operators import answer as A
 from tessera.operators.guardrails import InputPolicy, check_answer, check_request
 
@@ -40,6 +40,16 @@ def test_answers(spark):
     assert check("", "").issues == ["Missing source citations"]
 
 
+def test_printed_groundedness(spark):
+    """The reason prints the exact value of the double: 1/8 is a tie and goes to the even digit, 7/40 lies under one."""
+    values = [0.125, 0.175, 0.375, 0.005, 0.015, 0.0, 1e-12, 0.34999999999999997, 0.995, 0.9999, 1.0, 2.675, 12.25, 0.25, 0.35, 1e9 + 0.5, -0.125, *[k / 80 for k in range(80)], *[k / 7 for k in range(30)]]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (1, 2):
+        assert [r.x for r in rows.select(fixed_digits(F.col("x"), digits).alias("x")).collect()] == [f"{v:.{digits}f}" for v in values]
+    words = "a1 b1 c1 d1 e1 f1 g1 h1"
+    assert one(spark, check_answer(F.col("a"), F.col("c")), a=words, c="a1").reason == "Low groundedness 0.12 < 0.35; Missing source citations"
+
+
 def test_text(spark):
     assert one(spark, strip(F.col("a")), a="  \x1c x\ty  \n") == "x\ty"
     assert one(spark, sentences(F.col("a")), a=" One. Two!  Three? four.five ") == ["One.", "Two!", "Three?", "four.five"]
