@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Items that are folded, and characters that are cut, at a time. An array is copied when an item is appended, and a text is
@@ -21,6 +21,13 @@ def empty(kind: str) -> Column:
     return F.expr(f"cast(array() as array<{kind}>)")
 
 
+def exploded(rows: DataFrame, keep: list, items: Column, name: str, place: str | None = None) -> DataFrame:
+    """The rows' columns to keep with each of an array's items, which aren't null, and its place if that has a name. The array
+    is computed once: before a plain explode, the optimizer puts filters that compute it again, twice."""
+    each = F.posexplode_outer(items).alias(place, name) if place else F.explode_outer(items).alias(name)
+    return rows.select(*keep, each).where(F.col(name).isNotNull())
+
+
 def blocks_of(items: Column, size: int = FOLD) -> Column:
     """An array in blocks; null for an empty one."""
     return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.size(items) - 1, F.lit(size)), lambda at: F.slice(items, at + 1, size)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import CUT, empty, fold, let, piece, text_blocks
+from ..functions.arrays import CUT, empty, exploded, fold, let, piece, text_blocks
 from ..functions.constants import HEADER
 from ..functions.text import sentences_and_lines, strip
 
@@ -84,7 +84,7 @@ def _own(docs: DataFrame, keep: tuple[str, ...] = ()) -> list[str]:
 
 
 def _exploded(docs: DataFrame, pieces: Column, label: str, strategy: str, keep: tuple[str, ...]) -> DataFrame:
-    rows = docs.select(*_own(docs, keep), F.posexplode(pieces).alias("idx", "p"))
+    rows = exploded(docs, _own(docs, keep), pieces, "p", "idx")
     return rows.select(
         *_own(docs, keep),
         "idx",
@@ -125,7 +125,7 @@ def chunk_hierarchical(docs: DataFrame, parent_max: int = 1500, child_size: int
         return n + F.size(x["kids"]), F.concat(F.array(item("parent", x["i"], x["p"])), kids)
 
     every = fold(nested, F.lit(0), number, f"struct<level:string,parent:int,idx:int,piece:{_PIECE},parent_text:string>")
-    rows = docs.select(*_own(docs, keep), F.posexplode(every).alias("ord", "x"))
+    rows = exploded(docs, _own(docs, keep), every, "x", "ord")
     doc = F.col("doc_id").cast("string")
     parent_id = F.concat(doc, F.lit("#c"), F.col("x.parent").cast("string"))
     child = F.col("x.level") == "child"

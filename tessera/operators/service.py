@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.constants import DEFAULT_KEY, RATE_PER_MINUTE
+from ..functions.arrays import exploded
 from ..functions.text import fixed_digits
 from ..sources.session import ship
 from .audit import json_text
@@ -100,7 +101,7 @@ def sse_events(answers: DataFrame, key: str, answer: str) -> DataFrame:
     of = F.concat(F.lit('data: {"request_id": '), json_text(F.col(key).cast("string")))
     parts = F.split(F.coalesce(answer, F.lit("")), r"\. ", -1)
     frames = F.concat(F.transform(parts, lambda p: F.concat(of, F.lit(', "delta": '), json_text(p), F.lit("}\n\n"))), F.array(F.concat(of, F.lit(', "done": true}\n\n'))))
-    return answers.select(key, F.posexplode(frames).alias("seq", "frame"))
+    return exploded(answers, [key], frames, "frame", "seq")
 
 
 def key_frame(spark, keys: Iterable[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import constants as C
 from tessera.functions import privacy as P
+from tessera.operators import leaks
 from tessera.operators.leaks import leaks_between
 from tessera.plans import registry
 
@@ -117,3 +118,24 @@ def test_leaks_between(spark):
     want = {(i, o) for i, t in answers for o in originals if i is not None and t is not None and o is not None and len(o) >= 4 and o in t}
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
     assert leaks_between(spark.createDataFrame([], "answer_id long, text string"), spark.createDataFrame([("abcd",)], "original string")).count() == 0
+
+
+def test_leaks_of_many_lengths(spark):
+    """Originals longer than what is looked up, that differ behind it, at the ends of texts and across pieces that are hashed
+    at a time; no text meets originals by a gram that many have."""
+    long = "x" * 70
+    originals = [long + "1", long + "2", "é" * 24, "é" * 25, "555-123-4567", "abcd"]
+    pad = "abc " * (leaks.PIECE // 4)
+    answers = [(1, long + "1"), (2, long + "2" + long + "1"), (3, long), (4, "é" * 30), (5, "é" * 24), (6, pad[:-6] + "555-123-4567"), (7, "555-123-456"), (8, "ab"), (9, "cd"), (10, "a" * 3 + pad + "bcd")]
+    frames = spark.createDataFrame(answers, "answer_id long, text string").coalesce(1), spark.createDataFrame([(o,) for o in originals], "original string")
+    found = leaks_between(*frames)
+    assert sorted(map(tuple, found.collect())) == sorted((i, o) for i, t in answers for o in originals if o in t)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan and "MapInArrow" in plan
+
+
+def test_arrays_are_computed_once(spark, sf):
+    """The optimizer's filters on what is exploded would compute spans and their map again."""
+    for name in ("pii_map", "pii_spans"):
+        plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"\d{3}-\d{2}-\d{4}") <= 4, name
