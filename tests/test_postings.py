@@ -87,3 +87,19 @@ def test_postings_in_the_plan(spark, tmp_path):
     options = AskOptions(policy=InputPolicy(strict_topic=False))
     said = ask(queries, index.chunks(), index, None, options).first()
     assert "500 mg" in said.draft_answer and said.citations[0].startswith("a#")
+
+
+def test_segments_are_written_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Neither chunks nor postings are shuffled on the way to storage, and a shard's lists are cut by its characters."""
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(postings, "SHARD", 500)
+    plans, put = {}, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, to: (plans.update({to.split("/")[-2]: self._df._jdf.queryExecution().executedPlan().toString()}), put(self, to))[1])
+    path = str(tmp_path / "index")
+    add_segment(frames(spark, [(f"d{k}", t) for k, t in enumerate(texts(2, 60))]).withColumn("doc_ord", F.monotonically_increasing_id() % 1000 + F.spark_partition_id() * 1000), path, 0)
+    assert not any("Exchange" in plans[c] for c in ("chunks", "postings"))
+    lists = PostingIndex(spark, path)._read("postings").collect()
+    assert len({r.shard for r in lists}) > 2 and len({(r.shard, r.term) for r in lists}) == len(lists)
+    assert all(r.n == len(r.ords) == len(r.tfs) and r.max_tf == max(r.tfs) and r.min_dl == min(r.dls) and all(d > 0 for d in r.ords[1:]) for r in lists)
+
