@@ -25,8 +25,9 @@ from .pieces import MARK
 HEAD, LONGEST = 100_000, 64
 #: Characters of segments that are encoded at once.
 TOGETHER = 100_000
-#: Characters of segments that a worker's table or count holds before it starts anew.
-HELD = 4_000_000
+#: Characters of segments that a worker's count holds before it is passed on, and that its table of rare segments, whose
+#: entries are larger, holds before it starts anew; and characters of texts that are split and composed at once.
+HELD, TABLE, PART = 2_000_000, 1_000_000, 500_000
 
 
 def default_tokenizers() -> tuple[str, str]:
@@ -240,16 +241,17 @@ def _composed(paths: tuple[str, str], head, full: bool):
         tool, known, held = _load(*paths), head.value, 0
         own: dict[str, tuple] = {}
         for batch in batches:
-            texts = [tool.split(t) for t in batch.column("_text").to_pylist()]
-            for lo, hi in slices(texts, lambda t: sum(map(len, t or ())) + 1, 1_000_000):
-                counts = [Counter(t or ()) for t in texts[lo:hi]]
+            whole = batch.column("_text").to_pylist()
+            for lo, hi in slices(whole, lambda t: len(t or "") + 1, PART):
+                texts = [tool.split(t) for t in whole[lo:hi]]
+                counts = [Counter(t or ()) for t in texts]
                 new = list({s for c in counts for s in c if s not in known and s not in own})
                 here = {}
                 for p, q in slices(new, len, TOGETHER):
                     x = tool.align(new[p:q], links=False)
                     here.update(zip(new[p:q], zip(x.n_a.tolist(), x.n_b.tolist(), x.n_groups.tolist(), x.groups, strict=True), strict=True))
                 rows = []
-                for segments, count in zip(texts[lo:hi], counts, strict=True):
+                for segments, count in zip(texts, counts, strict=True):
                     figures, tail, groups = [0] * 6, [], []
                     for s, n in count.items():
                         x = known.get(s) or own.get(s) or here[s]
@@ -266,7 +268,7 @@ def _composed(paths: tuple[str, str], head, full: bool):
                     rows.append((*figures, hashlib.sha256(groups.encode()).hexdigest() if segments else "", [s for s, _ in tail], [n for _, n in tail], groups))
                 short = {s: x for s, x in here.items() if len(s) <= LONGEST}
                 size = sum(map(len, short))
-                if held + size > HELD:
+                if held + size > TABLE:
                     own, held = {}, 0
                 own |= short
                 held += size

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -144,3 +145,18 @@ def test_op12(spark, sf, libraries):
     got = queries()["op12_token_alignment"](spark, sf)
     assert tuple(got.columns) == COLUMNS
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(libraries, rows)
+
+
+def test_a_worker_holds_few_segments():
+    """What composing holds of texts full of rare segments is bounded, within a batch and over batches."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    run = align._composed(align.default_tokenizers(), SimpleNamespace(value={}), False)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(range(20)), pa.array([" ".join(f"q{b * 10**6 + k * 10**4 + j:x}" for j in range(6_000)) for k in range(20)])], ["uid", "doc_id", "_text"]) for b in range(3)]
+    next(run(iter([b.slice(0, 1) for b in batches[:1]])))  # loads the tokenizers
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 60 and peak < 90e6
