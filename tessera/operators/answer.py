@@ -19,14 +19,14 @@ def intent(query: Column) -> Column:
     return F.when(has(*SUMMARY_WORDS), F.lit("summarize")).when(has(*EXTRACT_WORDS), F.lit("extract")).otherwise(F.lit("qa"))
 
 
-def assemble_context(hits: DataFrame, max_chars: int = 4000) -> DataFrame:
+def assemble_context(hits: DataFrame, max_chars: int = 4000, more: tuple[str, ...] = ()) -> DataFrame:
     """(qid, context_text, citations): tagged texts in rank order up to the first that would exceed max_chars; citations
-    name all hits. A query's hits are as few as top_k."""
+    name all hits. A query's hits are as few as top_k. more: columns of hits that are listed in rank order besides."""
     piece = hits.withColumn("piece", F.concat(F.lit("["), "chunk_id", F.lit("] "), "text"))
     so_far = piece.withColumn("total", F.sum(F.length("piece")).over(Window.partitionBy("qid").orderBy("rank")))
-    listed = so_far.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "piece", "total"))).alias("h"))
+    listed = so_far.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "piece", "total", *more))).alias("h"))
     inside = F.filter("h", lambda x: x["total"] <= max_chars)
-    return listed.select("qid", F.array_join(F.transform(inside, lambda x: x["piece"]), "\n\n").alias("context_text"), F.transform("h", lambda x: x["chunk_id"]).alias("citations"))
+    return listed.select("qid", F.array_join(F.transform(inside, lambda x: x["piece"]), "\n\n").alias("context_text"), F.transform("h", lambda x: x["chunk_id"]).alias("citations"), *[F.col("h")[c].alias(c) for c in more])
 
 
 def answer_prompt(question: Column, context: Column) -> Column:

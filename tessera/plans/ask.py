@@ -50,6 +50,13 @@ def triage(requests: DataFrame, options: AskOptions) -> DataFrame:
     return rows.withColumn("redaction_seal", F.when(live, seal(entries, F.lit(options.salt))).otherwise(F.lit(""))).drop("_spans", "_names")
 
 
+def _last_of_each(lists: str) -> Column:
+    """The map of several hits: of each placeholder, the original in the last of them that has it."""
+    behind = lambda i: F.flatten(F.slice(lists, i + 2, F.size(lists)))
+    last = F.transform(lists, lambda es, i: F.filter(es, lambda e: ~F.exists(behind(i), lambda x: x["placeholder"] == e["placeholder"])))
+    return F.array_sort(F.flatten(last))
+
+
 def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingIndex | None = None, decisions: DataFrame | None = None, options: AskOptions | None = None) -> DataFrame:
     """One row for each request (qid, query). decisions: (qid, decision) of reviewers.
 
@@ -63,11 +70,9 @@ def ask(requests: DataFrame, chunks: DataFrame, index: LexicalIndex | PostingInd
     hits = hybrid(live, chunks, index, options.top_k, options.prefetch, **({"embed": options.embed} if options.embed else {}), score=options.score)
     hits = hits.withColumn("_s", spans(F.col("text"))).withColumn("_n", placeholders(F.col("_s")))
     hits = hits.withColumn("entries", redaction_entries(F.col("_s"), F.col("_n"))).withColumn("text", redact(F.col("text"), F.col("_s"), F.col("_n"))).drop("_s", "_n")
-    context = assemble_context(hits, options.max_context)
-    # the map of the hits: of each placeholder, the original in the last of them
-    maps = hits.select("qid", "rank", F.explode("entries").alias("e")).groupBy("qid", "e.placeholder").agg(F.max_by("e.original", "rank").alias("original"))
-    maps = maps.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("placeholder", "original"))).alias("hit_entries"))
-    rows = triaged.join(context, "qid", "left").join(maps, "qid", "left")
+    # hits are read once: their texts and maps are listed together
+    context = assemble_context(hits, options.max_context, ("entries",))
+    rows = triaged.join(context.withColumn("hit_entries", _last_of_each("entries")).drop("entries"), "qid", "left")
     rows = rows.withColumn("context_text", F.coalesce("context_text", F.lit(""))).withColumn("citations", F.coalesce("citations", F.expr("cast(array() as array<string>)")))
     rows = rows.withColumn("hit_entries", F.coalesce("hit_entries", F.expr(f"cast(array() as {_ENTRIES})")))
     kept = F.filter("query_entries", lambda e: ~F.exists("hit_entries", lambda h: h["placeholder"] == e["placeholder"]))
