@@ -53,18 +53,20 @@ def records_of(events: DataFrame, before: DataFrame, settings: dict) -> DataFram
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at) if local else F.unix_micros(at)
     details = F.struct(*settings["values"], *[F.coalesce(F.try_parse_json(c), F.col(c).cast("variant")).alias(c) for c in settings["json"]])
     kind = events.select(details.alias("d")).schema["d"].dataType
-    rows = events.withColumn("micros", micros).select(
-        F.coalesce(F.col(settings["log"]).cast("string"), F.lit("")).alias("log_id"),
-        F.row_number().over(Window.partitionBy(F.coalesce(F.col(settings["log"]).cast("string"), F.lit(""))).orderBy(at, order)).cast("long").alias("place"),
+    # events are numbered as they come; what is made of them is made behind the shuffle, on as many tasks as that has
+    rows = events.withColumn("_log", F.coalesce(F.col(settings["log"]).cast("string"), F.lit("")))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_log").orderBy(at, order)).cast("long"))
+    rows = rows.join(before.select(F.col("log_id").alias("_of"), F.col("head_seq").alias("_head")), F.col("_log") == F.col("_of"), "left")
+    rows = rows.withColumn("_micros", micros).select(
+        F.col("_log").alias("log_id"),
+        (F.coalesce("_head", F.lit(0)) + F.col("_place")).alias("seq"),
         F.coalesce(F.col(settings["event"]), F.lit("")).alias("event"),
         order.cast("string").alias("request_id"),
         F.lit(settings["actor"]).alias("actor"),
         details_json(details, kind, True).alias("details"),
-        F.format_string("%d.%06d", F.expr("micros div 1000000"), F.pmod("micros", F.lit(1_000_000))).alias("ts"),
+        F.format_string("%d.%06d", F.expr("_micros div 1000000"), F.pmod("_micros", F.lit(1_000_000))).alias("ts"),
         F.to_date(at).alias("day"),
     )
-    rows = rows.join(before.select(F.col("log_id").alias("of"), "head_seq"), F.col("log_id") == F.col("of"), "left").drop("of")
-    rows = rows.withColumn("seq", F.coalesce("head_seq", F.lit(0)) + F.col("place"))
     rows = rows.withColumn("record_id", F.substring(F.sha2(F.concat_ws(":", "log_id", "seq", "request_id"), 256), 1, 12))
     return rows.select("log_id", "seq", "event", "request_id", "actor", "details", "ts", "record_id", "day")
 
@@ -89,10 +91,10 @@ def run(spark: SparkSession, source: str, output: str, through: str | None = Non
     def put(rows: DataFrame, name: str) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{output}/{name}")
 
-    put(seal(records_of(events, before, settings), before), "records")
+    put(seal(records_of(events, before, settings), before, ready=True), "records")
     new = stored().where(F.col("day") <= F.lit(through).cast("date"))
     new = new.where(F.col("day") > F.lit(mark).cast("date")) if mark else new
-    broken = verify(new.drop("day"), before).where("not ok").limit(10).collect()
+    broken = verify(new.drop("day"), before, ready=True).where("not ok").limit(10).collect()
     if broken:
         raise RuntimeError(f"chains that don't verify: {', '.join(f'{r.log_id} at {r.broken_at}' for r in broken)}")
     put(new.groupBy("day", "event").agg(F.count("*").alias("events"), F.countDistinct("log_id").alias("logs")), "counts")

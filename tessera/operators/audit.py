@@ -34,13 +34,15 @@ def canonical_json(text: Column, scrubbed: bool = False) -> Column:
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
+        encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
+
         def one(text):
             if text is None:
                 return None
             value = json.loads(text)
             if scrubbed and isinstance(value, dict):
                 value = {k: f"<redacted:{hashlib.sha256(v.encode()).hexdigest()[:8]}>" if isinstance(v, str) and any(h in k.lower() for h in hints) else v for k, v in value.items()}
-            return json.dumps(value, sort_keys=True, separators=(",", ":"))
+            return encode(value)
 
         return texts.map(one)
 
@@ -81,10 +83,11 @@ def json_number(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
 
 
-def _fields(record: Column, kind: DataType) -> dict[str, Column]:
-    """The JSON of each field that is hashed, but for prev_hash."""
+def _fields(record: Column, kind: DataType | None) -> dict[str, Column]:
+    """The JSON of each field that is hashed, but for prev_hash. No kind: details are canonical JSON as they stand."""
     text = lambda c: F.coalesce(json_text(record[c]), F.lit("null"))
-    return {c: text(c) for c in ("actor", "event", "record_id", "request_id")} | {"details": details_json(record["details"], kind), "ts": F.coalesce(json_number(record["ts"]), F.lit("null"))}
+    details = record["details"] if kind is None else details_json(record["details"], kind)
+    return {c: text(c) for c in ("actor", "event", "record_id", "request_id")} | {"details": details, "ts": F.coalesce(json_number(record["ts"]), F.lit("null"))}
 
 
 def _object(fields: dict[str, Column]) -> list[Column]:
@@ -95,11 +98,11 @@ def _object(fields: dict[str, Column]) -> list[Column]:
     return [*out, F.lit("}")]
 
 
-def canonical(record: Column, kind: DataType = _TEXTS) -> tuple[Column, Column]:
+def canonical(record: Column, kind: DataType | None = _TEXTS) -> tuple[Column, Column]:
     """The canonical JSON of a record, keys sorted and no blanks, before and behind the value of prev_hash.
 
-    record has event, request_id, actor, details (of type kind, see details_json), ts (seconds as decimal text) and
-    record_id.
+    record has event, request_id, actor, details (of type kind, see details_json; of none, if they are canonical JSON), ts
+    (seconds as decimal text) and record_id.
     """
     parts = _object(_fields(record, kind) | {"prev_hash": F.lit('"')})
     at = next(n for n, name in enumerate(sorted([*_fields(record, kind), "prev_hash"])) if name == "prev_hash") * 2 + 2
@@ -118,19 +121,22 @@ def heads(log: DataFrame) -> DataFrame:
     return log.groupBy("log_id").agg(F.max("seq").alias("head_seq"), F.max_by("record_hash", "seq").alias("head_hash"))
 
 
-def seal(records: DataFrame, after: DataFrame | None = None) -> DataFrame:
+def seal(records: DataFrame, after: DataFrame | None = None, ready: bool = False) -> DataFrame:
     """Adds prev_hash and record_hash to records (log_id, seq, event, request_id, actor, details, ts, record_id).
 
     after: heads of chains that go on (see heads). Their first new record is linked to the head, and records up to a head's
     place are left out, as they are sealed already; so a batch that comes again changes nothing. Other chains begin anew.
 
-    Details that are no map of strings become their canonical JSON. Sealing is sequential by its nature: chains are dealt to
+    Details that are no map of strings become their canonical JSON; ready: they are that already (see details_json), and are
+    taken as they stand. Sealing is sequential by its nature: chains are dealt to
     tasks, sorted, and hashed as their rows stream by, with no more kept of a chain than its last hash.
     """
     ship(records.sparkSession)
     kind = records.schema["details"].dataType
-    if kind != _TEXTS:
-        records, kind = records.withColumn("details", details_json(F.col("details"), kind)), StringType()
+    if not ready and kind != _TEXTS:
+        # canonical from here on
+        records, ready = records.withColumn("details", details_json(F.col("details"), kind)), True
+    kind = None if ready else kind
     before, behind = canonical(F.struct("*"), kind)
     rows = records.withColumn("_before", before).withColumn("_behind", behind).withColumn("_new", F.lit(True))
     if after is not None:
@@ -159,16 +165,17 @@ def seal(records: DataFrame, after: DataFrame | None = None) -> DataFrame:
     return rows.mapInArrow(run, out)
 
 
-def verify(log: DataFrame, after: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def verify(log: DataFrame, after: DataFrame | None = None, block: int = BLOCK, ready: bool = False) -> DataFrame:
     """One row for each chain: log_id, ok, checked, broken_at, reason. The first failing record decides, its link being tested
     before its own hash. Records come with their fields, or with `body`, the canonical JSON that was hashed
-    (sources.io.read_audit_lines). after: heads that the chains go on from (see heads).
+    (sources.io.read_audit_lines). after: heads that the chains go on from (see heads). ready: details are the canonical JSON
+    that was hashed, so that any other text of the same value fails, too.
 
     A chain may be of any length: its records are tested in blocks of consecutive places, each against the record before it
     in the block, and blocks are dealt to tasks as such. A block leaves one row, its first link, its last hash and what failed
     first; those rows alone, a chain's length over `block`, are put in order by chain to test the links between blocks.
     """
-    own = F.sha2("body", 256) if "body" in log.columns else F.sha2(F.concat(*(lambda p: (p[0], F.col("prev_hash"), p[1]))(canonical(F.struct("*"), log.schema["details"].dataType))), 256)
+    own = F.sha2("body", 256) if "body" in log.columns else F.sha2(F.concat(*(lambda p: (p[0], F.col("prev_hash"), p[1]))(canonical(F.struct("*"), None if ready else log.schema["details"].dataType))), 256)
     rows = log.select("log_id", "seq", "record_id", "prev_hash", "record_hash", (F.col("record_hash") != own).alias("changed"), F.floor(F.col("seq") / block).cast("long").alias("block"))
     within = Window.partitionBy("log_id", "block").orderBy("seq")
     rows = rows.withColumn("place", F.row_number().over(within) - 1).withColumn("before", F.lag("record_hash").over(within))

@@ -142,3 +142,20 @@ def test_job_queries(spark, sf, name):
     found = con.execute(queries.oracle_sql()[name])
     place = [[d[0] for d in found.description].index(c) for c in columns]
     assert sorted(tuple(norm(r[c]) for c in columns) for r in frame.collect()) == sorted(tuple(norm(r[i]) for i in place) for r in found.fetchall())
+
+
+def test_seal_days_makes_details_once(spark, tmp_path):
+    """Details are made once, behind the shuffle that numbers events; they are hashed and verified as they are stored."""
+    before = spark.createDataFrame([], seal_days.HEADS)
+    records = seal_days.records_of(events(spark, (1,)), before, seal_days.DEFAULTS)
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    made = plan(audit.seal(records, before, ready=True))
+    assert made.count("ArrowEvalPython") == 1 and made.index("ArrowEvalPython") < made.index("Window")  # what comes later stands first
+    source, output = str(tmp_path / "events"), str(tmp_path / "log")
+    events(spark, (1, 2)).write.parquet(source)
+    seal_days.run(spark, source, output)
+    log = spark.read.parquet(f"{output}/records").drop("day")
+    assert "ArrowEvalPython" not in plan(audit.verify(log, ready=True))
+    assert all(r.ok for r in audit.verify(log, ready=True).collect()) and all(r.ok for r in audit.verify(log).collect())
+    other = log.withColumn("details", F.when(F.col("request_id") == "1", F.concat(F.lit(" "), "details")).otherwise(F.col("details")))
+    assert [(r.log_id, r.reason) for r in audit.verify(other, ready=True).where("not ok").collect()] == [("1", "record_hash mismatch")]
