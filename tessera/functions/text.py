@@ -10,6 +10,8 @@ from .constants import GROUND_STOP
 
 TOKEN = "[a-z0-9]+"
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: The white space that _EDGES means.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _AFTER_STOP = r"(?<=[.!?])\s+"
 
 
@@ -22,6 +24,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, _EDGES, "")
 
 
+def trimmed(piece: Column) -> Column:
+    """As strip, for pieces of bounded length: only their ends are looked at, but each takes eight bytes more a byte for a while."""
+    return F.btrim(piece, F.lit(_SPACES))
+
+
 def tokens(text: Column) -> Column:
     """Runs of a-z and 0-9 in the lower-cased text, with repeats."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import CUT, empty, exploded, fold, let, piece, text_blocks
 from ..functions.constants import HEADER
-from ..functions.text import sentences_and_lines, strip
+from ..functions.text import sentences_and_lines, strip, trimmed
 
 _LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 _PIECE = "struct<start:int,end:int,text:string>"
@@ -20,7 +20,7 @@ def windows(text: Column, size: int = 800, overlap: int = 120) -> Column:
 
     def cut(x: Column) -> Column:
         last = F.greatest(F.lit(0), F.floor((x["n"] + (step - size - 1)) / step).cast("int") * step)
-        one = lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), strip(piece(x["b"], s, F.least(s + size, x["n"]))).alias("text"))
+        one = lambda s: F.struct(s.alias("start"), F.least(s + size, x["n"]).alias("end"), trimmed(piece(x["b"], s, F.least(s + size, x["n"]))).alias("text"))
         return F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), last, F.lit(step)), one)).otherwise(empty(_PIECE))
 
     made = let(F.struct(text_blocks(text).alias("b"), F.length(text).alias("n")), cut)

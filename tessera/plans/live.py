@@ -12,6 +12,7 @@ from ..operators.index import LexicalIndex
 from ..operators.postings import PostingIndex
 from ..operators.service import WINDOW_S, service_metrics
 from ..sources.io import append_batch
+from ..sources.session import without_scratch
 from .ask import AskOptions
 from .serve import audit_records, serve
 
@@ -46,9 +47,10 @@ def serve_stream(requests: DataFrame, keys: DataFrame, chunks: DataFrame, path:
         if first is None:
             return
         since = responses(spark, path).where((F.col("batch") < number) & (F.col("at") > first - WINDOW_S) & F.col("status").isin(200, 422))
-        served = serve(batch, keys, chunks, index, None, options, per_minute, since.select("api_key", "at"))
         folder = f"{path}/responses/batch={number}"
-        served.write.mode("overwrite").parquet(folder)
+        with without_scratch(spark):
+            served = serve(batch, keys, chunks, index, None, options, per_minute, since.select("api_key", "at"))
+            served.write.mode("overwrite").parquet(folder)
         # the log is of what was written
         written = spark.read.schema(served.schema).parquet(folder)
         append_batch(audit_records(written, F.col("api_key"), F.format_string("%.6f", "at")), f"{path}/audit", number)
